@@ -244,8 +244,8 @@ _REAL_SESSION = (
 )
 
 
-def pick(columns, real=()) -> str:
-    return ", ".join(f"round({c}, 6) AS {c}" if c in real else c for c in columns)
+def pick(columns, real=(), digits=6) -> str:
+    return ", ".join(f"round({c}, {digits}) AS {c}" if c in real else c for c in columns)
 
 
 _FILES = ("exe_copy_count", "doc_copy_count", "archive_copy_count")
@@ -258,9 +258,9 @@ oracle("session_counts", """SELECT user_id, pc, session_start, session_event_cou
   session_http_count, session_usb_used, session_external_email, session_exe_copied, session_unique_domains,
   session_attachment_count FROM sess_feat""")
 oracle("session_entropy", "SELECT user_id, pc, session_start, round(session_event_entropy, 6) AS session_event_entropy FROM sess_feat")
-oracle("daily_session_stats", f"SELECT user_id, date, {pick([c for c in SESSION if c != 'longest_inter_session_gap'], _REAL_SESSION)} FROM day_sess")
+oracle("daily_session_stats", f"SELECT user_id, date, {pick([c for c in SESSION if c != 'longest_inter_session_gap'], _REAL_SESSION, 3)} FROM day_sess")
 oracle("session_gaps", "SELECT user_id, date, round(longest_inter_session_gap, 6) AS longest_inter_session_gap FROM gaps")
-oracle("daily_merged", f"SELECT user_id, date, {pick(DAILY_COLUMNS, _REAL_DAILY)}, {pick(SESSION, _REAL_SESSION)} FROM merged")
+oracle("daily_merged", f"SELECT user_id, date, {pick(DAILY_COLUMNS, _REAL_DAILY, 3)}, {pick(SESSION, _REAL_SESSION, 3)} FROM merged")
 oracle("latest_profile", "SELECT employee_name, user_id, role, department, functional_unit FROM profile")
 oracle("attribute_changes", "SELECT * FROM changes")
 oracle("terminated_users", "SELECT * FROM ended")
@@ -270,10 +270,177 @@ oracle("enriched_daily", f"SELECT user_id, date, pc, total_actions, sess_count,
 oracle("unified_events", "SELECT CAST(id AS VARCHAR) AS id, datetime, user_id, pc, activity, to_addr, cc, bcc, CAST(attachments AS VARCHAR) AS attachments, url, filename FROM (SELECT * REPLACE (date_trunc('second', datetime) AS datetime) FROM ev)")
 oracle("ingest_csv_roundtrip", "SELECT CAST(id AS VARCHAR) AS id, date_trunc('second', datetime) AS datetime, user_id, pc, activity, url, filename, to_addr, CAST(attachments AS VARCHAR) AS attachments FROM ev")
 oracle("labels_load", "SELECT dataset, scenario, details, user_id, start_date, end_date FROM truth")
-oracle("lookup_encode", """SELECT u.user_id, u.functional_unit, t.code FROM (SELECT user_id,
+oracle("lookup_encode", """SELECT u.user_id, u.functional_unit, coalesce(t.code, -1) AS code FROM (SELECT user_id,
   CASE functional_unit WHEN 'FU0' THEN 'Administration' WHEN 'FU1' THEN 'ResearchAndEngineering' WHEN 'FU2' THEN 'Manufacturing'
     WHEN 'FU3' THEN 'Finance' WHEN 'FU4' THEN 'SalesAndMarketing' ELSE 'Unlisted' END AS functional_unit FROM profile) u
 LEFT JOIN (VALUES ('Administration', 1), ('ResearchAndEngineering', 2), ('Manufacturing', 3), ('Finance', 4),
   ('SalesAndMarketing', 5), ('PurchasingAndContracts', 6)) t(name, code) ON t.name = u.functional_unit""")
 oracle("events_in_range", f"SELECT id, datetime, user_id, activity FROM ev WHERE CAST(datetime AS DATE) BETWEEN DATE '2024-01-25' - {P.lookback + P.rolling_window} AND DATE '2024-01-28'")
 oracle("user_filter", "SELECT user_id, activity, count(*) AS n FROM ev WHERE user_id IN (SELECT user_id FROM truth) GROUP BY ALL")
+
+
+# --- features -----------------------------------------------------------------------------------
+
+_LOGGED = [c for c in (*CONTINUOUS, *SESSION) if c not in UNLOGGED]
+_LATE = "CAST(after_hours_actions > 0 AS INTEGER)"
+CTE["logged"] = (
+    "SELECT * REPLACE (" + ", ".join(f"ln(1 + {c}) AS {c}" for c in _LOGGED) + f"""),
+  ln(1 + file_copy_count * CAST(usb_connect_count > usb_disconnect_count AS INTEGER)) AS file_usb_interaction,
+  ln(1 + external_email_count * total_attachments) AS external_email_attachments,
+  ln(1 + http_request_count * {_LATE}) AS http_after_hours,
+  ln(1 + emails_sent * {_LATE}) AS email_after_hours
+FROM enriched"""
+)
+_REL = ",\n".join(
+    f"""({c} - avg({c}) OVER u) / greatest(stddev_pop({c}) OVER u, 1e-8::DOUBLE) AS {c}_zscore,
+  avg({c}) OVER r AS {c}_rolling_mean, coalesce(stddev_pop({c}) OVER r, 0) AS {c}_rolling_std"""
+    for c in P.normalized
+)
+
+
+def featured_cte(source: str) -> str:
+    return f"""
+SELECT *, {_REL},
+  sin(2 * pi() * dow / 7.0::DOUBLE) AS day_of_week_sin, cos(2 * pi() * dow / 7.0::DOUBLE) AS day_of_week_cos,
+  CAST(dow >= 5 AS INTEGER) AS is_weekend
+FROM {source}
+WINDOW u AS (PARTITION BY user_id), r AS (PARTITION BY user_id ORDER BY date ROWS BETWEEN {P.rolling_window - 1} PRECEDING AND CURRENT ROW)"""
+
+
+CTE["featured"] = featured_cte("logged")
+CTE["codes"] = """
+SELECT *, CAST(dense_rank() OVER (ORDER BY user_id NULLS LAST) - 1 AS INTEGER) AS user_id_encoded,
+  CAST(dense_rank() OVER (ORDER BY pc NULLS LAST) - 1 AS INTEGER) AS pc_encoded,
+  CAST(dense_rank() OVER (ORDER BY role NULLS LAST) - 1 AS INTEGER) AS role_encoded,
+  CAST(dense_rank() OVER (ORDER BY department NULLS LAST) - 1 AS INTEGER) AS department_encoded,
+  CAST(dense_rank() OVER (ORDER BY functional_unit NULLS LAST) - 1 AS INTEGER) AS functional_unit_encoded
+FROM enriched"""
+CTE["user_pos"] = "SELECT user_id, max(is_insider) AS positive FROM enriched GROUP BY user_id"
+CTE["normals"] = f"""
+SELECT user_id, row_number() OVER (ORDER BY md5('{P.seed}|' || user_id)) AS place, count(*) OVER () AS n
+FROM user_pos WHERE positive = 0"""
+CTE["splits"] = f"""
+SELECT user_id, CASE WHEN place <= floor(n * {P.train_share}::DOUBLE) THEN 'train'
+  WHEN place <= floor(n * {P.train_share}::DOUBLE) + floor(n * {P.val_share}::DOUBLE) THEN 'val' ELSE 'test' END AS split
+FROM normals
+UNION ALL SELECT user_id, 'test' FROM user_pos WHERE positive = 1"""
+
+
+def scaler_cte(source: str) -> str:
+    return "SELECT " + ", ".join(
+        f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) < 1e-8 THEN 1.0 ELSE stddev_pop({c}) END AS s_{c}" for c in P.scaled
+    ) + f" FROM {source} JOIN splits USING (user_id) WHERE split = 'train'"
+
+
+def scaled_cte(source: str, scaler: str) -> str:
+    return f"SELECT {source}.* REPLACE (" + ", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in P.scaled) + f") FROM {source}, {scaler}"
+
+
+CTE["scaler"] = scaler_cte("featured")
+CTE["scaled"] = scaled_cte("featured", "scaler")
+
+oracle("log_features", "SELECT user_id, date, " + ", ".join(f"round({c}, 6) AS {c}" for c in _LOGGED) + " FROM logged")
+oracle("interaction_features", "SELECT user_id, date, " + ", ".join(f"round({c}, 6) AS {c}" for c in INTERACTION) + " FROM logged")
+oracle("user_zscore", "SELECT user_id, date, " + ", ".join(f"{r6(c + '_zscore')} AS {c}_zscore" for c in P.normalized) + " FROM featured")
+oracle("rolling_stats", "SELECT user_id, date, " + ", ".join(f"{r6(f'{c}_{k}')} AS {c}_{k}" for c in P.normalized for k in ("rolling_mean", "rolling_std")) + " FROM featured")
+oracle("calendar_features", "SELECT user_id, date, " + ", ".join(f"{r6(c)} AS {c}" for c in CYCLICAL) + ", is_weekend FROM featured")
+oracle("dictionary_encode", "SELECT user_id, date, " + ", ".join(f"{c}_encoded" for c in CATEGORICAL) + " FROM codes")
+_EARLY = "(SELECT * FROM enriched WHERE date < DATE '2024-01-08')"
+oracle("encode_unseen", "SELECT e.user_id, e.date, " + ", ".join(
+    f"""coalesce(d_{c}.code, (SELECT count(*) FROM (SELECT DISTINCT {c} FROM {_EARLY})))::INTEGER AS {c}_encoded""" for c in CATEGORICAL
+) + " FROM enriched e " + " ".join(
+    f"""LEFT JOIN (SELECT {c}, row_number() OVER (ORDER BY {c} NULLS LAST) - 1 AS code FROM (SELECT DISTINCT {c} FROM {_EARLY})) d_{c}
+  ON d_{c}.{c} IS NOT DISTINCT FROM e.{c}""" for c in CATEGORICAL))
+oracle("dictionary_sizes", " UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) AS size FROM (SELECT DISTINCT {c} FROM enriched)" for c in CATEGORICAL))
+oracle("user_split", "SELECT user_id, split FROM splits")
+oracle("scaled_features", "SELECT user_id, date, is_insider, " + ", ".join(c if c in BINARY else f"{r6(c)} AS {c}" for c in P.vector) + " FROM scaled")
+oracle("apply_artifacts", "SELECT s.user_id, s.date, " + ", ".join(f"s.{c}" if c in BINARY else f"{r6('s.' + c)} AS {c}" for c in P.behavioural) + ", " + ", ".join(f"{c}_encoded" for c in CATEGORICAL) + " FROM scaled s JOIN codes c ON c.user_id = s.user_id AND c.date = s.date")
+
+# --- windows ------------------------------------------------------------------------------------
+
+CTE["numbered"] = "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date) - 1 AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM scaled"
+
+
+def members_cte(lookback: int, stride: int, source: str = "numbered") -> str:
+    """Windows by their start row; a short user has one window that starts before the first row."""
+    return f"""
+SELECT d.*, w.seq_no, CAST(d.rn - w.start AS INTEGER) AS pos, w.padding FROM {source} d JOIN (
+  SELECT user_id, (rn // {stride})::BIGINT AS seq_no, rn AS start, 0 AS padding FROM {source} WHERE rn % {stride} = 0 AND rn + {lookback} <= n
+  UNION ALL SELECT DISTINCT user_id, 0::BIGINT, n - {lookback}, CAST({lookback} - n AS INTEGER) FROM {source} WHERE n < {lookback}) w
+ON w.user_id = d.user_id AND d.rn >= w.start AND d.rn < w.start + {lookback}"""
+
+
+CTE["members"] = members_cte(P.lookback, P.stride)
+CTE["members_long"] = members_cte(28, 5)
+CTE["members_dense"] = members_cte(P.lookback, 1)
+_WIN = "SELECT user_id, seq_no, CAST(max(is_insider) AS INTEGER) AS label, max(date) AS end_date, CAST(max(padding) AS INTEGER) AS padding"
+_SUMS = f", CAST({P.lookback} AS INTEGER) AS n_days, {r6('sum(total_actions)')} AS sum_actions, {r6('max(sess_count)')} AS max_sessions"
+oracle("sliding_windows", f"{_WIN}{_SUMS} FROM members GROUP BY user_id, seq_no")
+oracle("padded_windows", f"{_WIN}, CAST(28 AS INTEGER) AS n_days, {r6('sum(total_actions)')} AS sum_actions, {r6('sum(pos * total_actions)')} AS weighted_actions FROM members_long GROUP BY user_id, seq_no")
+oracle("window_labels", "SELECT user_id, seq_no, CAST(max(is_insider) AS INTEGER) AS label, min(date) AS first_date, max(date) AS end_date, CAST(max(padding) AS INTEGER) AS padding, count(*) AS n_days FROM members GROUP BY user_id, seq_no")
+oracle("dense_windows", f"SELECT user_id, seq_no, min(date) AS first_date, max(date) AS end_date, count(*) AS n_days, {r6('avg(total_actions)')} AS mean_actions FROM members_dense GROUP BY user_id, seq_no")
+oracle("min_days_filter", "SELECT user_id, count(*) AS active_days FROM daily GROUP BY user_id HAVING count(*) >= 26")
+
+# --- augmentation -------------------------------------------------------------------------------
+
+CTE["copies"] = f"SELECT unnest(generate_series(1, {P.copies}))::INTEGER AS copy"
+
+
+def unit(text: str) -> str:
+    return f"(('0x' || substr(md5({text}), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+_F = list(P.vector)
+CTE["pos_days"] = "SELECT m.* FROM members m JOIN (SELECT user_id, seq_no FROM members GROUP BY 1, 2 HAVING max(is_insider) = 1) USING (user_id, seq_no)"
+CTE["pos_long"] = "SELECT user_id, seq_no, pos, unnest(range(0, " + str(len(_F)) + ")) AS f, unnest([" + ", ".join(f"{c}::DOUBLE" for c in _F) + "]) AS x FROM pos_days"
+# padded days are zeros and count towards the spread; the test tables have no short user here
+CTE["spread"] = "SELECT f, stddev_pop(x) AS sd FROM pos_long GROUP BY f"
+_DROP = unit(f"'drop{P.seed}|' || copy || '|' || f")
+_FACTOR = "(0.9::DOUBLE + " + unit(f"'scale{P.seed}|' || copy") + " * (1.1::DOUBLE - 0.9::DOUBLE))"
+_DRAWN = f"|{P.seed}|' || user_id || '|' || seq_no || '|' || copy || '|' || pos || '|' || f"
+_GAUSS = "(sqrt(-2.0::DOUBLE * ln(" + unit("'u1" + _DRAWN) + " + power(2.0::DOUBLE, -33))) * cos(2 * pi() * " + unit("'u2" + _DRAWN) + "))"
+
+
+def augmented(value: str) -> str:
+    return f"SELECT user_id, seq_no, copy, {r6(f'sum({value})')} AS total, {r6(f'sum({value} * (f + 1) * (pos + 1))')} AS weighted FROM pos_long JOIN spread USING (f), copies GROUP BY user_id, seq_no, copy"
+
+
+oracle("augment_dropout", augmented(f"x * CASE WHEN {_DROP} > {P.dropout_rate}::DOUBLE THEN 1 ELSE 0 END"))
+oracle("augment_scale", augmented(f"x * {_FACTOR}"))
+oracle("augment_jitter", augmented(f"(x + {_GAUSS} * {P.noise_std}::DOUBLE * sd)"))
+oracle("augment_counts", """SELECT copy, label, count(*) AS windows FROM (
+  SELECT 0 AS copy, CAST(max(is_insider) AS INTEGER) AS label FROM members GROUP BY user_id, seq_no
+  UNION ALL SELECT copy, 1 FROM copies, (SELECT DISTINCT user_id, seq_no FROM pos_days)) GROUP BY copy, label""")
+
+# --- scoring ------------------------------------------------------------------------------------
+
+_B = P.behavioural
+
+
+def profile_cte(source: str) -> str:
+    return "SELECT user_id, date, is_insider, rn, n, " + ", ".join(
+        f"coalesce(power({c} - avg({c}) OVER h, 2), 0) AS {c}" for c in P.vector
+    ) + f" FROM {source} WINDOW h AS (PARTITION BY user_id ORDER BY date ROWS BETWEEN {P.profile_days} PRECEDING AND 1 PRECEDING)"
+
+
+def day_error_cte(source: str) -> str:
+    return "SELECT user_id, date, is_insider, rn, n, (" + " + ".join(_B) + f") / {len(_B)}.0::DOUBLE AS error FROM {source}"
+
+
+def window_score_cte(source: str) -> str:
+    return f"""SELECT user_id, seq_no, CAST(max(is_insider) AS INTEGER) AS label, max(date) AS end_date, sum(error) / {P.lookback}.0::DOUBLE AS mean_error,
+  max(error) AS max_error, 0.5::DOUBLE * sum(error) / {P.lookback}.0::DOUBLE + 0.5::DOUBLE * max(error) AS score
+FROM {source} GROUP BY user_id, seq_no"""
+
+
+CTE["profile_err"] = profile_cte("numbered")
+CTE["day_err"] = day_error_cte("profile_err")
+CTE["err_members"] = members_cte(P.lookback, P.stride, "day_err")
+CTE["win_score"] = window_score_cte("err_members")
+_SHOWN = ("total_actions", "emails_sent", "sess_count", "mean_session_entropy", "http_request_count_zscore")
+oracle("profile_reconstruction", "SELECT user_id, date, " + ", ".join(f"{r6(c)} AS {c}" for c in _SHOWN) + " FROM profile_err")
+oracle("day_error", "SELECT user_id, date, round(error, 6) AS error FROM day_err")
+oracle("window_score", "SELECT user_id, seq_no, label, end_date, round(max_error, 6) AS max_error, round(score, 6) AS score FROM win_score")
+oracle("window_mean_error", "SELECT user_id, seq_no, end_date, round(mean_error, 6) AS mean_error FROM win_score")
+oracle("embedding_mean_pool", "SELECT label, dim, " + r6("avg(value::DOUBLE)") + """ AS value FROM (
+  SELECT label, CAST(unnest(range(0, len(embedding))) AS INTEGER) AS dim, unnest(embedding) AS value FROM embeddings) GROUP BY label, dim""")

@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from vigilume.config import CONTEXT_ONLY, SESSION
-from vigilume.functions.columns import month_of
-from vigilume.operators import context, daily as dy, sessions as se
+from vigilume.config import CATEGORICAL, CONTEXT_ONLY, CYCLICAL, SESSION
+from vigilume.operators import augment as ag, context, daily as dy, features as ft, scoring as sc, sessions as se, windows as wn
 from vigilume.schema import LOG_SCHEMAS
-from vigilume.session import shared_dir
-from vigilume.sources import fixtures as fx, logs
+from vigilume.session import shared_dir, stored
+from vigilume.sources import artifacts, fixtures as fx, logs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -96,7 +95,9 @@ def lookup_encode(spark: SparkSession, d: str) -> DataFrame:
     }
     unit = reduce(lambda c, kv: c.when(F.col("functional_unit") == kv[0], kv[1]), names.items(), F.when(F.lit(False), ""))
     profile = context.latest_profile(fx.snapshots(spark, d)).select("user_id", unit.otherwise("Unlisted").alias("functional_unit"))
-    return logs.encode_units(profile, "functional_unit").select("user_id", "functional_unit", "code")
+    return logs.encode_units(profile, "functional_unit").select(
+        "user_id", "functional_unit", F.coalesce("code", F.lit(-1)).alias("code")
+    )
 
 
 @query
@@ -231,7 +232,7 @@ def session_entropy(spark: SparkSession, d: str) -> DataFrame:
 @query
 def daily_session_stats(spark: SparkSession, d: str) -> DataFrame:
     features = se.session_features(session_table(spark, d), fx.events(spark, d), CFG, hosts=False)
-    return rounded(se.daily_session_stats(features, CFG))
+    return rounded(se.daily_session_stats(features, CFG), 3)
 
 
 @query
@@ -241,4 +242,298 @@ def session_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def daily_merged(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(merged(spark, d).select("user_id", "date", *dy.DAILY_COLUMNS, *SESSION))
+    return rounded(merged(spark, d).select("user_id", "date", *dy.DAILY_COLUMNS, *SESSION), 3)
+
+
+# --- features -----------------------------------------------------------------------------------
+
+
+def feature_table(spark: SparkSession, d: str) -> DataFrame:
+    """Unscaled features, stored once because fitting and applying both read them."""
+    return stored(ft.featured(enriched(spark, d), CFG), "featured")
+
+
+def fitted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Features, user splits and the scaler fitted on training users."""
+    days = feature_table(spark, d)
+    splits = stored(wn.split_users(days, CFG), "splits")
+    train = days.join(splits.where(F.col("split") == "train"), "user_id", "left_semi")
+    return days, splits, ft.fit_scaler(train, CFG.scaled)
+
+
+def scaled(spark: SparkSession, d: str) -> DataFrame:
+    days, _, scaler = fitted(spark, d)
+    return ft.apply_scaler(days, scaler, CFG.scaled)
+
+
+def encoded(spark: SparkSession, d: str) -> DataFrame:
+    days, _, scaler = fitted(spark, d)
+    out = ft.apply_scaler(days, scaler, CFG.scaled)
+    return ft.encode(out, ft.fit_dictionary(days, CATEGORICAL), CATEGORICAL)
+
+
+def keys_of_days(spark: SparkSession, d: str) -> DataFrame:
+    """Days with their category values only."""
+    days = dy.daily_activity(fx.events(spark, d), CFG).select("user_id", "date", "pc")
+    profile = context.latest_profile(fx.snapshots(spark, d)).select("user_id", *context.PROFILE)
+    return days.join(profile, "user_id", "left")
+
+
+@query
+def log_features(spark: SparkSession, d: str) -> DataFrame:
+    logged = ft.log_features(enriched(spark, d))
+    return rounded(logged.select("user_id", "date", *ft.LOGGED))
+
+
+@query
+def interaction_features(spark: SparkSession, d: str) -> DataFrame:
+    days = daily(spark, d)
+    return rounded(days.select("user_id", "date", *[e.alias(n) for n, e in ft.interaction_columns().items()]))
+
+
+@query
+def user_zscore(spark: SparkSession, d: str) -> DataFrame:
+    days = ft.user_relative(ft.log_features(merged(spark, d)), CFG)
+    return rounded(days.select("user_id", "date", *[f"{c}_zscore" for c in CFG.normalized]))
+
+
+@query
+def rolling_stats(spark: SparkSession, d: str) -> DataFrame:
+    days = ft.user_relative(ft.log_features(merged(spark, d)), CFG)
+    kinds = [f"{c}_{k}" for c in CFG.normalized for k in ("rolling_mean", "rolling_std")]
+    return rounded(days.select("user_id", "date", *kinds))
+
+
+@query
+def calendar_features(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ft.calendar(daily(spark, d)).select("user_id", "date", *CYCLICAL, "is_weekend"))
+
+
+@query
+def dictionary_encode(spark: SparkSession, d: str) -> DataFrame:
+    days = stored(keys_of_days(spark, d), "keys")
+    out = ft.encode(days, ft.fit_dictionary(days, CATEGORICAL), CATEGORICAL)
+    return out.select("user_id", "date", *[f"{c}_encoded" for c in CATEGORICAL])
+
+
+@query
+def encode_unseen(spark: SparkSession, d: str) -> DataFrame:
+    days = stored(keys_of_days(spark, d), "keys")
+    known = ft.fit_dictionary(days.where(F.col("date") < "2024-01-08"), CATEGORICAL)
+    return ft.encode(days, known, CATEGORICAL).select("user_id", "date", *[f"{c}_encoded" for c in CATEGORICAL])
+
+
+@query
+def dictionary_sizes(spark: SparkSession, d: str) -> DataFrame:
+    days = stored(keys_of_days(spark, d), "keys")
+    return ft.dictionary_sizes(ft.fit_dictionary(days, CATEGORICAL), CATEGORICAL)
+
+
+@query
+def scaled_features(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(scaled(spark, d).select("user_id", "date", "is_insider", *CFG.vector))
+
+
+@query
+def apply_artifacts(spark: SparkSession, d: str) -> DataFrame:
+    days, _, scaler = fitted(spark, d)
+    home = shared_dir(spark, "artifacts")
+    artifacts.save(home, scaler, ft.fit_dictionary(days, CATEGORICAL), CFG)
+    out = artifacts.load(spark, home).apply(days)
+    return rounded(out.select("user_id", "date", *CFG.behavioural, *[f"{c}_encoded" for c in CATEGORICAL]))
+
+
+# --- windows ------------------------------------------------------------------------------------
+
+
+def labelled_days(spark: SparkSession, d: str) -> DataFrame:
+    """Active days with the truth flag, without any feature."""
+    days = fx.events(spark, d).select("user_id", F.to_date("datetime").alias("date")).distinct()
+    return context.flag_truth_days(days, truth(spark, d))
+
+
+@query
+def user_split(spark: SparkSession, d: str) -> DataFrame:
+    return wn.split_users(labelled_days(spark, d), CFG)
+
+
+def window_table(spark: SparkSession, d: str, lookback: int, stride: int) -> DataFrame:
+    return wn.sliding_windows(encoded(spark, d), CFG.vector, [f"{c}_encoded" for c in CATEGORICAL], lookback, stride)
+
+
+def over_days(feature: str, fold: Callable[[Column], Column]) -> Column:
+    """Fold one feature over the days of a window."""
+    at = CFG.vector.index(feature)
+    return fold(F.transform("days", lambda day: F.get(day["x"], F.lit(at))))
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
+@query
+def sliding_windows(spark: SparkSession, d: str) -> DataFrame:
+    w = window_table(spark, d, CFG.lookback, CFG.stride)
+    return rounded(
+        w.select(
+            "user_id", "seq_no", "label", "end_date", "padding",
+            F.size("days").alias("n_days"),
+            over_days("total_actions", total).alias("sum_actions"),
+            over_days("sess_count", F.array_max).alias("max_sessions"),
+        )
+    )
+
+
+@query
+def padded_windows(spark: SparkSession, d: str) -> DataFrame:
+    w = window_table(spark, d, 28, 5)
+    at = CFG.vector.index("total_actions")
+    weighted = F.aggregate("days", F.lit(0.0), lambda a, day: a + day["pos"] * F.get(day["x"], F.lit(at)))
+    return rounded(
+        w.select(
+            "user_id", "seq_no", "label", "end_date", "padding",
+            F.size("days").alias("n_days"),
+            over_days("total_actions", total).alias("sum_actions"),
+            weighted.alias("weighted_actions"),
+        )
+    )
+
+
+@query
+def window_labels(spark: SparkSession, d: str) -> DataFrame:
+    return wn.window_labels(wn.window_days(labelled_days(spark, d), CFG.lookback, CFG.stride))
+
+
+@query
+def dense_windows(spark: SparkSession, d: str) -> DataFrame:
+    members = wn.window_days(scaled(spark, d).select("user_id", "date", "total_actions"), CFG.lookback, 1)
+    return rounded(
+        members.groupBy("user_id", "seq_no").agg(
+            F.min("date").alias("first_date"), F.max("date").alias("end_date"),
+            F.count("*").alias("n_days"), F.avg("total_actions").alias("mean_actions"),
+        )
+    )
+
+
+@query
+def min_days_filter(spark: SparkSession, d: str) -> DataFrame:
+    days = fx.events(spark, d).select("user_id", F.to_date("datetime").alias("date")).distinct()
+    return wn.min_days_filter(days, 26).groupBy("user_id").agg(F.count("*").alias("active_days"))
+
+
+# --- augmentation -------------------------------------------------------------------------------
+
+
+def augmented(spark: SparkSession, d: str, **chosen: bool) -> DataFrame:
+    windows = stored(window_table(spark, d, CFG.lookback, CFG.stride), "windows")
+    return ag.augment(windows, len(CFG.vector), CFG, **chosen)
+
+
+def augmented_totals(copies: DataFrame) -> DataFrame:
+    weights = F.transform(F.sequence(F.lit(1), F.lit(len(CFG.vector))), lambda i: i.cast("double"))
+
+    def weighted(day: Column) -> Column:
+        return total(F.zip_with(day["x"], weights, lambda x, w: x * w)) * (day["pos"] + 1)
+
+    return rounded(
+        copies.where(F.col("copy") > 0).select(
+            "user_id", "seq_no", "copy",
+            total(F.transform("days", lambda day: total(day["x"]))).alias("total"),
+            total(F.transform("days", weighted)).alias("weighted"),
+        )
+    )
+
+
+@query
+def augment_jitter(spark: SparkSession, d: str) -> DataFrame:
+    return augmented_totals(augmented(spark, d, dropout=False, scale=False))
+
+
+@query
+def augment_dropout(spark: SparkSession, d: str) -> DataFrame:
+    return augmented_totals(augmented(spark, d, jitter=False, scale=False))
+
+
+@query
+def augment_scale(spark: SparkSession, d: str) -> DataFrame:
+    return augmented_totals(augmented(spark, d, jitter=False, dropout=False))
+
+
+@query
+def augment_counts(spark: SparkSession, d: str) -> DataFrame:
+    return augmented(spark, d).groupBy("copy", "label").agg(F.count("*").alias("windows"))
+
+
+# --- scoring ------------------------------------------------------------------------------------
+
+
+def profile_error_table(spark: SparkSession, d: str) -> DataFrame:
+    return sc.profile_errors(scaled(spark, d), CFG.vector, CFG.profile_days)
+
+
+def day_errors(spark: SparkSession, d: str) -> DataFrame:
+    return sc.day_error(profile_error_table(spark, d), CFG.behavioural)
+
+
+@query
+def profile_reconstruction(spark: SparkSession, d: str) -> DataFrame:
+    shown = ["total_actions", "emails_sent", "sess_count", "mean_session_entropy", "http_request_count_zscore"]
+    return rounded(profile_error_table(spark, d).select("user_id", "date", *shown))
+
+
+@query
+def day_error(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(day_errors(spark, d).select("user_id", "date", "error"))
+
+
+def window_scores(spark: SparkSession, d: str) -> DataFrame:
+    return sc.window_score(day_errors(spark, d), CFG.lookback, CFG.stride, CFG)
+
+
+@query
+def window_score(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(window_scores(spark, d).drop("mean_error"))
+
+
+@query
+def window_mean_error(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(window_scores(spark, d).select("user_id", "seq_no", "end_date", "mean_error"))
+
+
+def pca_days(spark: SparkSession, d: str, k: int = 8) -> tuple[DataFrame, sc.PCAModel]:
+    days, splits, scaler = fitted(spark, d)
+    vectors = sc.day_vectors(ft.apply_scaler(days, scaler, CFG.scaled), CFG.behavioural)
+    vectors = vectors.select("user_id", "date", "is_insider", "vector")
+    train = vectors.join(splits.where(F.col("split") == "train"), "user_id", "left_semi")
+    return vectors, sc.fit_pca(train, k)
+
+
+@query
+def pca_reconstruction(spark: SparkSession, d: str) -> DataFrame:
+    vectors, model = pca_days(spark, d)
+    errors = sc.pca_errors(vectors, model, len(CFG.behavioural))
+    return rounded(sc.window_score(errors, CFG.lookback, CFG.stride, CFG))
+
+
+@query
+def batch_model_score(spark: SparkSession, d: str) -> DataFrame:
+    vectors, model = pca_days(spark, d)
+    days = vectors.select(
+        "user_id", "date", "is_insider",
+        *[F.get(sc.vector_to_array("vector"), F.lit(i)).alias(c) for i, c in enumerate(CFG.behavioural)],
+    )
+    windows = wn.sliding_windows(days, CFG.behavioural, [], CFG.lookback, CFG.stride)
+    make = sc.linear_autoencoder(model.pc.toArray().tolist(), CFG.lookback, CFG)
+    return rounded(sc.batch_score(windows, make, CFG.lookback, len(CFG.behavioural)))
+
+
+@query
+def window_embedding(spark: SparkSession, d: str) -> DataFrame:
+    vectors, model = pca_days(spark, d)
+    pooled = sc.window_embedding(model.transform(vectors), CFG.lookback, CFG.stride)
+    return pooled.select("user_id", "seq_no", "end_date", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+
+
+@query
+def embedding_mean_pool(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(sc.mean_pool(fx.table(spark, d, "embeddings"), "label", "embedding"))
