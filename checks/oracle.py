@@ -402,7 +402,7 @@ _GAUSS = "(sqrt(-2.0::DOUBLE * ln(" + unit("'u1" + _DRAWN) + " + power(2.0::DOUB
 
 
 def augmented(value: str) -> str:
-    return f"SELECT user_id, seq_no, copy, {r6(f'sum({value})')} AS total, {r6(f'sum({value} * (f + 1) * (pos + 1))')} AS weighted FROM pos_long JOIN spread USING (f), copies GROUP BY user_id, seq_no, copy"
+    return f"SELECT user_id, seq_no, copy, round(sum({value}), 3) AS total, round(sum({value} * (f + 1) * (pos + 1)), 3) AS weighted FROM pos_long JOIN spread USING (f), copies GROUP BY user_id, seq_no, copy"
 
 
 oracle("augment_dropout", augmented(f"x * CASE WHEN {_DROP} > {P.dropout_rate}::DOUBLE THEN 1 ELSE 0 END"))
@@ -444,3 +444,259 @@ oracle("window_score", "SELECT user_id, seq_no, label, end_date, round(max_error
 oracle("window_mean_error", "SELECT user_id, seq_no, end_date, round(mean_error, 6) AS mean_error FROM win_score")
 oracle("embedding_mean_pool", "SELECT label, dim, " + r6("avg(value::DOUBLE)") + """ AS value FROM (
   SELECT label, CAST(unnest(range(0, len(embedding))) AS INTEGER) AS dim, unnest(embedding) AS value FROM embeddings) GROUP BY label, dim""")
+
+
+# --- thresholds and metrics ---------------------------------------------------------------------
+
+
+def points_cte(source: str) -> str:
+    """Counts at or above every distinct score."""
+    return f"""
+SELECT t.score, (SELECT count(*) FROM {source} s WHERE s.label = 1 AND s.score >= t.score) AS tp,
+  (SELECT count(*) FROM {source} s WHERE s.label = 0 AND s.score >= t.score) AS fp,
+  (SELECT count(*) FROM {source} WHERE label = 1) AS p, (SELECT count(*) FROM {source} WHERE label = 0) AS n
+FROM (SELECT DISTINCT score FROM {source}) t"""
+
+
+def best_f1_cte(points: str) -> str:
+    return f"""
+SELECT score AS threshold FROM (
+  SELECT score, tp / (tp + fp)::DOUBLE AS pr, tp / p::DOUBLE AS re FROM {points})
+ORDER BY 2 * pr * re / (pr + re + 1e-10::DOUBLE) DESC, score LIMIT 1"""
+
+
+CTE["points"] = points_cte("test_set")
+CTE["f1_point"] = best_f1_cte("points")
+CTE["corners"] = """
+SELECT * FROM (SELECT *, row_number() OVER (ORDER BY score DESC) AS place, count(*) OVER () AS last,
+  lead(fp, 1) OVER o - 2 * fp + coalesce(lag(fp, 1) OVER o, 0) AS d_fp,
+  lead(tp, 1) OVER o - 2 * tp + coalesce(lag(tp, 1) OVER o, 0) AS d_tp FROM points WINDOW o AS (ORDER BY score DESC))
+WHERE place = 1 OR place = last OR d_fp <> 0 OR d_tp <> 0"""
+CTE["limits"] = """
+SELECT 'percentile_99' AS method, quantile_cont(score, 0.99) AS threshold, false AS is_oracle FROM cal_set
+UNION ALL SELECT 'percentile_95', quantile_cont(score, 0.95), false FROM cal_set
+UNION ALL SELECT 'mean_plus_3std', avg(score) + 3 * stddev_pop(score), false FROM cal_set
+UNION ALL SELECT 'best_f1', threshold, true FROM f1_point
+UNION ALL SELECT 'fixed_recall_95', (SELECT score FROM corners ORDER BY abs(tp / p::DOUBLE - 0.95::DOUBLE), score DESC LIMIT 1), true
+UNION ALL SELECT 'fixed_recall_99', (SELECT score FROM corners ORDER BY abs(tp / p::DOUBLE - 0.99::DOUBLE), score DESC LIMIT 1), true"""
+CTE["cells"] = """
+SELECT method, threshold, is_oracle, count(*) FILTER (label = 1 AND score >= threshold) AS tp,
+  count(*) FILTER (label = 0 AND score < threshold) AS tn, count(*) FILTER (label = 0 AND score >= threshold) AS fp,
+  count(*) FILTER (label = 1 AND score < threshold) AS fn
+FROM test_set, limits GROUP BY ALL"""
+
+
+def rates(source: str, keys: str = "") -> str:
+    def r(num: str, den: str, name: str) -> str:
+        return f"round(CASE WHEN {den} > 0 THEN ({num})::DOUBLE / ({den}) ELSE 0 END, 6) AS {name}"
+
+    return f"SELECT {keys} tp, tn, fp, fn, " + ", ".join(
+        [
+            r("tp + tn", "(tp + tn + fp + fn)", "accuracy"), r("tp", "(tp + fp)", "precision"), r("tp", "(tp + fn)", "recall"),
+            r("2 * tp", "(2 * tp + fp + fn)", "f1"), r("fp", "(fp + tn)", "fpr"), r("fn", "(fn + tp)", "fnr"), r("tn", "(tn + fp)", "specificity"),
+        ]
+    ) + f" FROM {source}"
+
+
+oracle("threshold_percentile", "SELECT method, round(threshold, 6) AS threshold, is_oracle FROM limits WHERE method LIKE 'percentile%'")
+oracle("threshold_mean3std", "SELECT method, round(threshold, 6) AS threshold, is_oracle FROM limits WHERE method LIKE 'mean%'")
+oracle("threshold_best_f1", "SELECT round(threshold, 6) AS threshold FROM f1_point")
+oracle("threshold_fixed_recall", "SELECT method, round(threshold, 6) AS threshold, is_oracle FROM limits WHERE method LIKE 'fixed%'")
+oracle("threshold_lookup", """SELECT 'percentile_95' AS asked, method, round(threshold, 6) AS threshold FROM limits WHERE method = 'percentile_95'
+UNION ALL SELECT 'best_f1', method, round(threshold, 6) FROM limits WHERE method = 'mean_plus_3std'
+UNION ALL SELECT 'percentile_99', 'calibration percentile_99', round(threshold, 6) FROM limits WHERE method = 'percentile_99'""")
+oracle("threshold_metrics", rates("cells", "method, round(threshold, 6) AS threshold, is_oracle,"))
+oracle("pr_curve", "SELECT round(score, 6) AS threshold, round(tp / (tp + fp)::DOUBLE, 6) AS precision, round(tp / p::DOUBLE, 6) AS recall FROM points")
+oracle("roc_curve", "SELECT round(score, 6) AS threshold, round(fp / n::DOUBLE, 6) AS fpr, round(tp / p::DOUBLE, 6) AS tpr FROM points")
+oracle("average_precision", "SELECT round(sum((tp - before) / p::DOUBLE * tp / (tp + fp)::DOUBLE), 6) AS auprc FROM (SELECT *, coalesce(lag(tp) OVER (ORDER BY score DESC), 0) AS before FROM points)")
+oracle("auroc", """SELECT round(sum(CASE WHEN a.score > b.score THEN 1.0::DOUBLE WHEN a.score = b.score THEN 0.5::DOUBLE ELSE 0 END) / count(*), 6) AS auroc
+FROM (SELECT score FROM test_set WHERE label = 1) a, (SELECT score FROM test_set WHERE label = 0) b""")
+oracle("score_separation", """SELECT round(normal_mean, 6) AS normal_mean, round(normal_std, 6) AS normal_std, round(normal_median, 6) AS normal_median,
+  round(insider_mean, 6) AS insider_mean, round(insider_std, 6) AS insider_std, round(insider_median, 6) AS insider_median,
+  round(insider_mean / greatest(normal_mean, 1e-10::DOUBLE), 6) AS mean_ratio, round(insider_median / greatest(normal_median, 1e-10::DOUBLE), 6) AS median_ratio,
+  round(normal_p95, 6) AS normal_p95,
+  (SELECT round(avg(CAST(score < normal_p95 AS INT)), 6) FROM test_set WHERE label = 1) AS overlap_below_normal_p95
+FROM (SELECT avg(score) FILTER (label = 0) AS normal_mean, stddev_pop(score) FILTER (label = 0) AS normal_std,
+  quantile_cont(score, 0.5) FILTER (label = 0) AS normal_median, quantile_cont(score, 0.95) FILTER (label = 0) AS normal_p95,
+  avg(score) FILTER (label = 1) AS insider_mean, stddev_pop(score) FILTER (label = 1) AS insider_std,
+  quantile_cont(score, 0.5) FILTER (label = 1) AS insider_median FROM test_set)""")
+
+CTE["own_set"] = "SELECT * REPLACE ('U' || lpad(CAST(seq_no % 60 AS VARCHAR), 5, '0') AS user_id) FROM score_set"
+CTE["own_test"] = "SELECT * FROM own_set WHERE label IS NOT NULL"
+CTE["own_points"] = points_cte("own_test")
+CTE["own_limit"] = best_f1_cte("own_points")
+CTE["judged"] = "SELECT *, CAST(score >= threshold AS INTEGER) AS pred FROM own_test, own_limit"
+CTE["user_cells"] = """
+SELECT count(*) FILTER (l = 1 AND q = 1) AS tp, count(*) FILTER (l = 0 AND q = 0) AS tn, count(*) FILTER (l = 0 AND q = 1) AS fp,
+  count(*) FILTER (l = 1 AND q = 0) AS fn, count(*) AS total_users, count(*) FILTER (l = 1) AS insider_users, count(*) FILTER (l = 0) AS normal_users
+FROM (SELECT user_id, max(label) AS l, max(pred) AS q FROM judged GROUP BY user_id)"""
+CTE["placed"] = "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY copy, end_date, seq_no) AS place FROM judged"
+CTE["per_user"] = """
+SELECT user_id, count(*) AS total_sequences, count(*) FILTER (label = 1) AS insider_sequences,
+  count(*) FILTER (label = 1 AND pred = 1) AS detected, max(score) AS max_score, avg(score) AS mean_score,
+  coalesce(min(place) FILTER (label = 1 AND pred = 1) - min(place) FILTER (label = 1), -1) AS latency_sequences,
+  arg_min(end_date, place) FILTER (label = 1) AS first_insider_date,
+  arg_min(end_date, place) FILTER (label = 1 AND pred = 1) AS first_detection_date
+FROM placed GROUP BY user_id HAVING count(*) FILTER (label = 1) > 0"""
+CTE["last_truth"] = """
+SELECT user_id, scenario, details, start_date AS truth_start, end_date AS truth_end FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY start_date DESC) AS place FROM truth) WHERE place = 1"""
+CTE["latency"] = """
+SELECT u.*, t.scenario, t.truth_start, t.truth_end,
+  coalesce(date_diff('day', first_insider_date, first_detection_date) * 24.0::DOUBLE, -1) AS latency_hours,
+  coalesce(date_diff('day', first_insider_date, first_detection_date)::DOUBLE, -1) AS latency_days,
+  round(epoch_us(truth_end - CAST(first_detection_date AS TIMESTAMP)) / 3600e6::DOUBLE, 1) AS lead_time_hours
+FROM per_user u LEFT JOIN last_truth t USING (user_id)"""
+_RATE = "detected / insider_sequences::DOUBLE"
+oracle("user_level_metrics", rates("user_cells", "total_users, insider_users, normal_users,"))
+oracle("per_user_breakdown", f"SELECT user_id, total_sequences, insider_sequences, detected, round({_RATE}, 6) AS detection_rate, round(max_score, 6) AS max_score, round(mean_score, 6) AS mean_score, latency_sequences, first_insider_date, first_detection_date FROM per_user")
+oracle("detection_latency", "SELECT user_id, first_insider_date, first_detection_date, latency_hours, latency_days, coalesce(scenario, 0) AS scenario, truth_start, truth_end, lead_time_hours FROM latency")
+oracle("latency_summary", """SELECT count(*) FILTER (detected > 0) AS caught_users, count(*) FILTER (detected = 0) AS missed_users, count(*) AS total_insider_users,
+  round(avg(latency_sequences) FILTER (detected > 0), 6) AS mean_latency_sequences,
+  round(quantile_cont(latency_sequences::DOUBLE, 0.5) FILTER (detected > 0), 6) AS median_latency_sequences,
+  round(avg(h), 1) AS mean_latency_hours, round(quantile_cont(h, 0.5), 1) AS median_latency_hours, round(min(h), 1) AS min_latency_hours, round(max(h), 1) AS max_latency_hours
+FROM (SELECT *, CASE WHEN detected > 0 AND latency_hours >= 0 THEN latency_hours END AS h FROM latency)""")
+CTE["scenario_sums"] = """
+SELECT coalesce(t.scenario, 0) AS scenario, CAST(sum(insider_sequences) AS BIGINT) AS insider_sequences, CAST(sum(detected) AS BIGINT) AS detected_sequences,
+  count(*) AS insider_users, count(*) FILTER (detected > 0) AS users_detected
+FROM per_user u LEFT JOIN last_truth t USING (user_id) GROUP BY 1"""
+oracle("per_scenario", "SELECT *, round(detected_sequences / insider_sequences::DOUBLE, 6) AS sequence_recall, round(users_detected / insider_users::DOUBLE, 6) AS user_recall FROM scenario_sums")
+oracle("exclude_scenarios", "SELECT user_id, count(*) AS windows FROM own_set WHERE user_id NOT IN (SELECT user_id FROM last_truth WHERE scenario IN (1, 3)) GROUP BY user_id")
+CTE["window_sessions"] = """
+SELECT j.user_id, j.seq_no, j.pred, s.session_start, s.is_after_hours, CAST(j.end_date >= t.truth_start AND j.end_date <= t.truth_end AS INTEGER) AS true_day
+FROM judged j JOIN last_truth t USING (user_id) LEFT JOIN sess s ON s.user_id = j.user_id AND s.session_date = j.end_date"""
+CTE["session_sums"] = """
+SELECT count(session_start) FILTER (true_day = 1) AS total_insider_sessions,
+  count(session_start) FILTER (true_day = 1 AND pred = 1) AS flagged_insider_sessions,
+  count(session_start) FILTER (pred = 1) AS total_flagged_sessions,
+  count(DISTINCT seq_no) FILTER (pred = 1) AS total_flagged_days,
+  count(DISTINCT seq_no) FILTER (pred = 1 AND true_day = 1 AND is_after_hours = 1) AS correct_localizations FROM window_sessions"""
+oracle("session_metrics", """SELECT * EXCLUDE (a, b), round(a, 4) AS session_precision, round(b, 4) AS session_recall,
+  round(2 * a * b / greatest(a + b, 1e-10::DOUBLE), 4) AS session_f1,
+  round(correct_localizations / greatest(total_flagged_days, 1)::DOUBLE, 4) AS session_localization_accuracy
+FROM (SELECT *, flagged_insider_sessions / greatest(total_flagged_sessions, 1)::DOUBLE AS a,
+  flagged_insider_sessions / greatest(total_insider_sessions, 1)::DOUBLE AS b FROM session_sums)""")
+
+# --- triage -------------------------------------------------------------------------------------
+
+
+def risk_cte(source: str) -> str:
+    return f"""
+SELECT user_id, CASE WHEN f / n::DOUBLE > 0.5 OR top > 2 * threshold THEN 'HIGH' WHEN f / n::DOUBLE > 0.25 THEN 'MEDIUM'
+    WHEN f > 0 THEN 'LOW' ELSE 'NORMAL' END AS severity,
+  round(top, 6) AS anomaly_score_max, round(mean, 6) AS anomaly_score_mean, n AS total_sequences, f AS flagged_sequences,
+  round(f / n::DOUBLE, 4) AS detection_rate
+FROM (SELECT user_id, count(*) AS n, count(*) FILTER (pred = 1) AS f, max(score) AS top, avg(score) AS mean, max(threshold) AS threshold
+  FROM {source} GROUP BY user_id)"""
+
+
+CTE["risk"] = risk_cte("judged")
+oracle("severity", "SELECT user_id, severity FROM risk")
+oracle("user_risk", "SELECT * FROM risk")
+oracle("top_k_users", "SELECT * FROM risk ORDER BY anomaly_score_max DESC, user_id LIMIT 10")
+oracle("risk_report_counts", "SELECT severity, count(*) AS users FROM risk WHERE severity <> 'NORMAL' GROUP BY severity")
+CTE["best"] = "SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, end_date DESC, seq_no DESC) AS INTEGER) AS rank, seq_no, end_date, round(score, 6) AS score FROM judged"
+oracle("top_windows", "SELECT * FROM best WHERE rank <= 5")
+CTE["scored6"] = "SELECT * REPLACE (round(score, 6) AS score) FROM win_score"
+CTE["sampled"] = """
+SELECT user_id, seq_no FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq_no) AS place
+  FROM scored6 WHERE score >= (SELECT quantile_cont(score, 0.9) FROM scored6)) WHERE place <= 5"""
+CTE["feat_members"] = members_cte(P.lookback, P.stride, "profile_err")
+CTE["feat_long"] = "SELECT user_id, seq_no, unnest(range(0, " + str(len(_F)) + ")) AS f, unnest([" + ", ".join(f"{c}::DOUBLE" for c in _F) + f"]) / {P.lookback}.0::DOUBLE AS e FROM feat_members SEMI JOIN sampled USING (user_id, seq_no)"
+CTE["feat_mean"] = "SELECT user_id, f, sum(e) / count(DISTINCT seq_no) AS e FROM feat_long GROUP BY user_id, f"
+
+
+def texts() -> str:
+    from vigilume.operators.triage import indicator_text
+
+    return "(VALUES " + ", ".join(f"({i}, '{indicator_text(c)}')" for i, c in enumerate(_F)) + ") t(f, text)"
+
+
+oracle("risk_indicators", f"""SELECT user_id, string_agg(text, '; ' ORDER BY place) AS indicators FROM (
+  SELECT user_id, text, min(place) AS place FROM (
+    SELECT user_id, f, row_number() OVER (PARTITION BY user_id ORDER BY e DESC, f DESC) AS place FROM feat_mean) JOIN {texts()} USING (f)
+  WHERE place <= 3 GROUP BY user_id, text) GROUP BY user_id""")
+CTE["flag_dates"] = """
+SELECT user_id, end_date FROM (SELECT user_id, end_date, row_number() OVER (PARTITION BY user_id ORDER BY end_date) AS place
+  FROM (SELECT DISTINCT user_id, end_date FROM judged WHERE pred = 1)) WHERE place <= 10"""
+CTE["drill_ev"] = """
+SELECT * FROM (
+  SELECT s.user_id, s.pc, s.session_start, e.datetime, e.activity AS type,
+    coalesce(e.filename, e.url, CASE WHEN e.activity = 'Email' THEN 'to: ' || coalesce(e.to_addr, '') END, e.activity) AS detail,
+    row_number() OVER (PARTITION BY s.user_id, s.pc, s.session_start ORDER BY e.datetime, e.id) AS nth
+  FROM sess s JOIN flag_dates d ON d.user_id = s.user_id AND d.end_date = s.session_date
+  JOIN ev e ON e.user_id = s.user_id AND e.datetime BETWEEN s.session_start AND s.session_end) WHERE nth <= 20"""
+CTE["drill_sum"] = """
+SELECT user_id, pc, session_start, string_agg(c || ' ' || type, ', ' ORDER BY first) AS mix FROM (
+  SELECT user_id, pc, session_start, type, count(*) AS c, min(nth) AS first FROM drill_ev GROUP BY ALL) GROUP BY ALL"""
+CTE["drill"] = """
+SELECT s.*, d.end_date AS date, m.mix, x.usb, x.exe, x.fil, x.shown FROM sess s
+JOIN flag_dates d ON d.user_id = s.user_id AND d.end_date = s.session_date
+LEFT JOIN drill_sum m ON m.user_id = s.user_id AND m.pc = s.pc AND m.session_start = s.session_start
+LEFT JOIN (SELECT user_id, pc, session_start, bool_or(type IN ('Connect', 'Disconnect')) AS usb,
+    bool_or(detail LIKE '%.exe' OR detail LIKE '%.msi' OR detail LIKE '%.bat') AS exe, bool_or(type = 'File') AS fil,
+    string_agg(strftime(datetime, '%Y-%m-%d %H:%M:%S') || ' ' || type || ' ' || detail, '; ' ORDER BY nth) FILTER (nth <= 10) AS shown
+  FROM drill_ev GROUP BY ALL) x ON x.user_id = s.user_id AND x.pc = s.pc AND x.session_start = s.session_start"""
+CTE["drill_risk"] = """
+SELECT *, CASE WHEN exe THEN 'high' WHEN usb THEN CASE WHEN is_after_hours = 1 THEN 'high' ELSE 'medium' END
+  WHEN is_after_hours = 1 THEN CASE WHEN duration_min < 15 THEN 'high' ELSE 'medium' END ELSE 'low' END AS risk FROM drill"""
+oracle("session_drilldown", """SELECT user_id, date, pc, session_start, session_end, round(duration_min, 1) AS duration_min, risk,
+  CAST(round_even(duration_min, 0) AS INT) || '-min session' || coalesce(': ' || mix, '') AS summary,
+  concat_ws('; ', CASE WHEN is_after_hours = 1 THEN 'After-hours session (' || hour_of_start || ':00)' END,
+    CASE WHEN duration_min < 15 THEN 'Short session (<15 min)' END, CASE WHEN usb THEN 'USB device activity' END,
+    CASE WHEN exe THEN 'Executable file copied' END, CASE WHEN fil AND duration_min < 15 THEN 'File activity in short session' END) AS indicators,
+  CASE WHEN risk IN ('medium', 'high') THEN coalesce(shown, '') ELSE '' END AS events FROM drill_risk""")
+oracle("alert_report", f"""SELECT 'INSIDER-' || u.user_id || '-' || lpad(CAST(place AS VARCHAR), greatest(3, length(CAST(place AS VARCHAR))), '0') AS alert_id,
+  CASE WHEN {_RATE} > 0.5 OR max_score > 2 * (SELECT threshold FROM own_limit) THEN 'HIGH' WHEN {_RATE} > 0.25 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+  u.user_id, total_sequences, detected AS flagged_sequences, round({_RATE}, 6) AS detection_rate, round(max_score, 6) AS max_anomaly_score,
+  round(mean_score, 6) AS mean_anomaly_score, insider_sequences, latency_sequences, first_detection_date AS first_detection,
+  least(5, total_sequences) AS n_windows, round(max_score, 6) AS best_score, coalesce(t.scenario, 0) AS scenario,
+  (SELECT count(DISTINCT date) FROM drill d WHERE d.user_id = u.user_id) AS n_days
+FROM (SELECT *, row_number() OVER (ORDER BY user_id) AS place FROM per_user) u LEFT JOIN last_truth t ON t.user_id = u.user_id WHERE detected > 0""")
+
+# --- profiling ----------------------------------------------------------------------------------
+
+oracle("table_counts", " UNION ALL ".join(
+    f"SELECT '{name}' AS \"table\", count(*) AS rows, 'ok' AS status FROM {cte}" for name, cte in
+    (("events", "ev"), ("users", "profile"), ("insiders", "truth"), ("psychometric", "psy"), ("user_changes", "changes"), ("terminated_users", "ended"), ("sessions", "sess"))
+) + " UNION ALL SELECT 'activity_encoding', 0, 'not found'")
+_LI = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+oracle("numeric_profile", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count({c}) AS non_null, count(DISTINCT {c}) AS distinct_values, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, round(avg({c}), 6) AS avg FROM lineitem" for c in _LI))
+oracle("top_values", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", {c} AS value, n, place FROM (SELECT {c}, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, {c}) AS INTEGER) AS place
+  FROM ev WHERE {c} IS NOT NULL GROUP BY {c}) WHERE place <= 5""" for c in ("user_id", "pc", "activity", "to_addr", "cc", "bcc", "url", "filename")))
+oracle("event_overview", """SELECT 'first_event' AS metric, strftime(min(datetime), '%Y-%m-%d %H:%M:%S') AS value FROM ev
+UNION ALL SELECT 'last_event', strftime(max(datetime), '%Y-%m-%d %H:%M:%S') FROM ev
+UNION ALL SELECT 'days', CAST(count(DISTINCT CAST(datetime AS DATE)) AS VARCHAR) FROM ev
+UNION ALL SELECT 'users', CAST(count(DISTINCT user_id) AS VARCHAR) FROM ev
+UNION ALL SELECT 'first_user', min(user_id) FROM ev UNION ALL SELECT 'last_user', max(user_id) FROM ev
+UNION ALL SELECT 'pcs', CAST(count(DISTINCT pc) AS VARCHAR) FROM ev
+UNION ALL SELECT 'null_pcs', CAST(count(*) FILTER (pc IS NULL) AS VARCHAR) FROM ev
+UNION ALL SELECT 'activity ' || activity, CAST(count(*) AS VARCHAR) FROM ev GROUP BY activity""")
+oracle("top_users_sample", """SELECT user_id, events, nth, datetime, activity, pc, url[1:40] AS url, to_addr[1:30] AS to_addr FROM (
+  SELECT e.*, b.events, CAST(row_number() OVER (PARTITION BY e.user_id ORDER BY datetime, id) AS INTEGER) AS nth FROM ev e
+  JOIN (SELECT user_id, count(*) AS events FROM ev GROUP BY user_id ORDER BY events DESC, user_id LIMIT 3) b ON b.user_id = e.user_id) WHERE nth <= 5""")
+oracle("sample_rows", """SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source, CASE WHEN length(t) > 50 THEN t[1:47] || '...' ELSE t END AS text
+FROM (SELECT *, regexp_replace(text, '\\s', ' ', 'g') AS t FROM documents ORDER BY doc_id LIMIT 10)""")
+oracle("context_summary", "SELECT 'scenario' AS part, CAST(scenario AS VARCHAR) AS item, count(*) AS value FROM truth GROUP BY scenario UNION ALL "
+    + " UNION ALL ".join(f"SELECT 'trait', '{t} min', min({t})::BIGINT FROM psy UNION ALL SELECT 'trait', '{t} max', max({t})::BIGINT FROM psy" for t in TRAITS)
+    + " UNION ALL SELECT 'changes', 'rows', count(*) FROM changes UNION ALL "
+    + " UNION ALL ".join(f"SELECT 'changes', '{c}', CAST(sum({c}) AS BIGINT) FROM changes" for c in ("role_changed", "dept_changed", "fu_changed"))
+    + " UNION ALL SELECT 'terminated', termination_month, count(*) FROM ended GROUP BY termination_month")
+oracle("score_histogram", """SELECT label, bin, n, round(n / (sum(n) OVER (PARTITION BY label) * w), 6) AS density FROM (
+  SELECT label, least(CAST(floor((score - lo) / w) AS INTEGER), 119) AS bin, count(*) AS n, any_value(w) AS w FROM test_set,
+    (SELECT lo, hi, (hi - lo) / 120.0::DOUBLE AS w FROM (SELECT min(score) AS lo, quantile_cont(score, 0.995) AS hi FROM test_set))
+  WHERE score <= hi GROUP BY 1, 2)""")
+_CHART = ("precision", "recall", "f1", "fpr", "fnr")
+oracle("chart_threshold_long", " UNION ALL ".join(f"SELECT method, is_oracle, '{m}' AS metric, {m} AS value FROM ({rates('cells', 'method, is_oracle,')})" for m in _CHART))
+oracle("chart_scenario_long", """SELECT scenario, 'sequence_recall' AS metric, round(detected_sequences / insider_sequences::DOUBLE, 6) AS value FROM scenario_sums
+UNION ALL SELECT scenario, 'user_recall', round(users_detected / insider_users::DOUBLE, 6) FROM scenario_sums""")
+oracle("chart_confusion", """SELECT CAST(t AS INTEGER) AS truth, CAST(p AS INTEGER) AS predicted, (SELECT count(*) FROM judged WHERE label = t AND pred = p) AS n
+FROM (VALUES (0), (1)) a(t), (VALUES (0), (1)) b(p)""")
+oracle("chart_session_confusion", """SELECT 0 AS truth, 0 AS predicted, 0::BIGINT AS n
+UNION ALL SELECT 0, 1, total_flagged_sessions - flagged_insider_sessions FROM session_sums
+UNION ALL SELECT 1, 0, total_insider_sessions - flagged_insider_sessions FROM session_sums
+UNION ALL SELECT 1, 1, flagged_insider_sessions FROM session_sums""")
+oracle("chart_timeline", "SELECT user_id, truth_start, truth_end, first_insider_date, first_detection_date, CASE WHEN detected > 0 THEN 'caught' ELSE 'missed' END AS outcome FROM latency")
+oracle("chart_scatter", f"SELECT user_id, seq_no, copy, label, score, md5('{P.seed}|' || user_id || '|' || seq_no || '|' || copy) AS draw FROM test_set")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
-from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
+from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import DoubleType
 
 from vigilume.config import Settings
 from vigilume.operators.windows import WINDOW, window_days
@@ -97,7 +98,7 @@ def batch_score(windows: DataFrame, make_predict: Callable, lookback: int, n_fea
     (batch, lookback * n_features) to one score per row.
     """
     scorer = predict_batch_udf(
-        make_predict, return_type="double", batch_size=batch_size, input_tensor_shapes=[[lookback * n_features]]
+        make_predict, return_type=DoubleType(), batch_size=batch_size, input_tensor_shapes=[[lookback * n_features]]
     )
     flat = F.flatten(F.transform("days", lambda d: d["x"]))
     return windows.withColumn("score", scorer(flat)).drop("days")
@@ -129,8 +130,3 @@ def calibration_scores(scored: DataFrame, splits: DataFrame) -> DataFrame:
     chosen = usable.agg(F.max("split").alias("_chosen")).scalar()
     return scored.join(usable.where(F.col("split") == chosen), "user_id").drop("split")
 
-
-__all__ = [
-    "array_to_vector", "batch_score", "calibration_scores", "day_error", "day_vectors", "fit_pca",
-    "linear_autoencoder", "mean_pool", "pca_errors", "profile_errors", "window_embedding", "window_score",
-]

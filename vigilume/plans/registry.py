@@ -8,7 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from vigilume.config import CATEGORICAL, CONTEXT_ONLY, CYCLICAL, SESSION
-from vigilume.operators import augment as ag, context, daily as dy, features as ft, scoring as sc, sessions as se, windows as wn
+from vigilume.operators import (
+    augment as ag, context, daily as dy, features as ft, metrics as mt, profiling as pr, scoring as sc, sessions as se,
+    triage as tr, windows as wn,
+)
 from vigilume.schema import LOG_SCHEMAS
 from vigilume.session import shared_dir, stored
 from vigilume.sources import artifacts, fixtures as fx, logs
@@ -440,7 +443,8 @@ def augmented_totals(copies: DataFrame) -> DataFrame:
             "user_id", "seq_no", "copy",
             total(F.transform("days", lambda day: total(day["x"]))).alias("total"),
             total(F.transform("days", weighted)).alias("weighted"),
-        )
+        ),
+        3,
     )
 
 
@@ -537,3 +541,301 @@ def window_embedding(spark: SparkSession, d: str) -> DataFrame:
 @query
 def embedding_mean_pool(spark: SparkSession, d: str) -> DataFrame:
     return rounded(sc.mean_pool(fx.table(spark, d, "embeddings"), "label", "embedding"))
+
+
+# --- thresholds and metrics ---------------------------------------------------------------------
+
+
+def test_set(spark: SparkSession, d: str) -> DataFrame:
+    return fx.scores(spark, d).where(F.col("label").isNotNull())
+
+
+def calibration_set(spark: SparkSession, d: str) -> DataFrame:
+    return fx.scores(spark, d).where(F.col("label").isNull())
+
+
+def test_ladder(spark: SparkSession, d: str) -> DataFrame:
+    return stored(mt.ladder(test_set(spark, d)), "ladder")
+
+
+def all_thresholds(spark: SparkSession, d: str) -> DataFrame:
+    return mt.thresholds(test_ladder(spark, d), calibration_set(spark, d))
+
+
+def judged_users(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of the sixty fixture users, judged at their best F1."""
+    own = fx.user_scores(spark, d).where(F.col("label").isNotNull())
+    limit = mt.best_f1(mt.ladder(own)).select(F.lit("best_f1").alias("method"), "threshold", F.lit(True).alias("is_oracle"))
+    return mt.judge(own, limit)
+
+
+@query
+def threshold_percentile(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(mt.thresholds(None, calibration_set(spark, d), ["percentile_99", "percentile_95"]))
+
+
+@query
+def threshold_mean3std(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(mt.thresholds(None, calibration_set(spark, d), ["mean_plus_3std"]))
+
+
+@query
+def threshold_best_f1(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(mt.best_f1(mt.ladder(test_set(spark, d))))
+
+
+@query
+def threshold_fixed_recall(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(mt.thresholds(test_ladder(spark, d), calibration_set(spark, d), ["fixed_recall_95", "fixed_recall_99"]))
+
+
+@query
+def threshold_lookup(spark: SparkSession, d: str) -> DataFrame:
+    cal = calibration_set(spark, d)
+    known = mt.thresholds(None, cal, ["percentile_95", "mean_plus_3std"])
+    parts = [
+        mt.lookup_threshold(k, asked, cal).select(F.lit(asked).alias("asked"), "method", "threshold")
+        for asked, k in (("percentile_95", known), ("best_f1", known), ("percentile_99", known.limit(0)))
+    ]
+    return rounded(reduce(DataFrame.unionByName, parts))
+
+
+@query
+def threshold_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(mt.threshold_metrics(test_set(spark, d), all_thresholds(spark, d)))
+
+
+@query
+def pr_curve(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(mt.pr_curve(mt.ladder(test_set(spark, d))))
+
+
+@query
+def roc_curve(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(mt.roc_curve(mt.ladder(test_set(spark, d))))
+
+
+@query
+def average_precision(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(mt.ranking_metrics(mt.ladder(test_set(spark, d))).select("auprc"))
+
+
+@query
+def auroc(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(mt.ranking_metrics(mt.ladder(test_set(spark, d))).select("auroc"))
+
+
+@query
+def score_separation(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(mt.score_separation(test_set(spark, d), test_ladder(spark, d)))
+
+
+@query
+def user_level_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(mt.user_level_metrics(judged_users(spark, d)))
+
+
+@query
+def per_user_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(mt.per_user_breakdown(judged_users(spark, d)))
+
+
+def latencies(spark: SparkSession, d: str) -> DataFrame:
+    return mt.detection_latency(mt.per_user_breakdown(judged_users(spark, d)), truth(spark, d))
+
+
+@query
+def detection_latency(spark: SparkSession, d: str) -> DataFrame:
+    return latencies(spark, d).select(
+        "user_id", "first_insider_date", "first_detection_date", "latency_hours", "latency_days",
+        F.coalesce("scenario", F.lit(0)).alias("scenario"), "truth_start", "truth_end", "lead_time_hours",
+    )
+
+
+@query
+def latency_summary(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(mt.latency_summary(mt.detection_latency(mt.per_user_breakdown(judged_users(spark, d)))))
+
+
+@query
+def per_scenario(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(mt.per_scenario(judged_users(spark, d), truth(spark, d)))
+
+
+@query
+def exclude_scenarios(spark: SparkSession, d: str) -> DataFrame:
+    kept = mt.exclude_scenarios(fx.user_scores(spark, d), truth(spark, d), [1, 3])
+    return kept.groupBy("user_id").agg(F.count("*").alias("windows"))
+
+
+@query
+def session_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return mt.session_metrics(judged_users(spark, d), session_table(spark, d), truth(spark, d))
+
+
+# --- triage -------------------------------------------------------------------------------------
+
+
+@query
+def severity(spark: SparkSession, d: str) -> DataFrame:
+    return tr.user_risk(judged_users(spark, d)).select("user_id", "severity")
+
+
+@query
+def user_risk(spark: SparkSession, d: str) -> DataFrame:
+    return tr.user_risk(judged_users(spark, d))
+
+
+@query
+def top_windows(spark: SparkSession, d: str) -> DataFrame:
+    return tr.top_windows(judged_users(spark, d))
+
+
+@query
+def top_k_users(spark: SparkSession, d: str) -> DataFrame:
+    return tr.top_users(tr.user_risk(judged_users(spark, d)), 10)
+
+
+@query
+def risk_report_counts(spark: SparkSession, d: str) -> DataFrame:
+    return tr.severity_counts(tr.user_risk(judged_users(spark, d)))
+
+
+def judged_windows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Daily errors and windows judged at the 90th percentile of all window scores."""
+    errors = stored(profile_error_table(spark, d).select("user_id", "date", "is_insider", *CFG.vector), "errors")
+    scored = sc.window_score(sc.day_error(errors, CFG.behavioural), CFG.lookback, CFG.stride, CFG)
+    scored = stored(scored.select("user_id", "seq_no", F.lit(0).alias("copy"), "end_date", "label", F.round("score", 6).alias("score")), "scores")
+    limit = mt.percentiles(mt.ladder(scored), {"threshold": 0.9})
+    return errors, mt.judge(scored, limit.select(F.lit("percentile_90").alias("method"), "threshold"))
+
+
+@query
+def risk_indicators(spark: SparkSession, d: str) -> DataFrame:
+    errors, judged = judged_windows(spark, d)
+    found = tr.risk_indicators(errors, judged, CFG.vector, CFG.lookback, CFG.stride)
+    return found.select("user_id", F.array_join("indicators", "; ").alias("indicators"))
+
+
+def drilldown(spark: SparkSession, d: str) -> DataFrame:
+    return tr.session_drilldown(judged_users(spark, d), session_table(spark, d), fx.events(spark, d), CFG)
+
+
+@query
+def session_drilldown(spark: SparkSession, d: str) -> DataFrame:
+    shown = F.transform(
+        "events", lambda e: F.concat_ws(" ", F.date_format(e["time"], "yyyy-MM-dd HH:mm:ss"), e["type"], e["detail"])
+    )
+    return drilldown(spark, d).select(
+        "user_id", "date", "pc", "session_start", "session_end", "duration_min", "risk", "summary",
+        F.array_join("indicators", "; ").alias("indicators"), F.array_join(shown, "; ").alias("events"),
+    )
+
+
+def alert_table(spark: SparkSession, d: str) -> DataFrame:
+    judged = judged_users(spark, d)
+    breakdown = mt.detection_latency(mt.per_user_breakdown(judged))
+    return tr.alerts(breakdown, judged, truth=truth(spark, d), drilldown=drilldown(spark, d))
+
+
+@query
+def alert_report(spark: SparkSession, d: str) -> DataFrame:
+    """Alerts through the JSON sink, read back and flattened."""
+    home = shared_dir(spark, "alerts")
+    nested = alert_table(spark, d)
+    artifacts.save_report(nested, home)
+    back = spark.read.schema(nested.schema).json(home)
+    return rounded(
+        back.select(
+            "alert_id", "severity", "user_id", "detection_summary.*",
+            F.size("top_anomalous_windows").cast("long").alias("n_windows"),
+            F.get("top_anomalous_windows", F.lit(0))["anomaly_score"].alias("best_score"),
+            F.coalesce("scenario", F.lit(0)).alias("scenario"),
+            F.greatest(F.size("session_drilldown"), F.lit(0)).cast("long").alias("n_days"),
+        )
+    )
+
+
+# --- profiling ----------------------------------------------------------------------------------
+
+
+@query
+def table_counts(spark: SparkSession, d: str) -> DataFrame:
+    snaps = fx.snapshots(spark, d)
+    return pr.table_counts(
+        spark,
+        {
+            "events": fx.events(spark, d), "users": context.latest_profile(snaps), "insiders": truth(spark, d),
+            "psychometric": traits(spark, d), "user_changes": context.attribute_changes(snaps),
+            "terminated_users": context.terminations(snaps), "sessions": session_table(spark, d), "activity_encoding": None,
+        },
+    )
+
+
+@query
+def numeric_profile(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(pr.numeric_profile(fx.table(spark, d, "lineitem")))
+
+
+@query
+def top_values(spark: SparkSession, d: str) -> DataFrame:
+    return pr.top_values(fx.events(spark, d).drop("content"))
+
+
+@query
+def event_overview(spark: SparkSession, d: str) -> DataFrame:
+    return pr.event_overview(fx.events(spark, d))
+
+
+@query
+def top_users_sample(spark: SparkSession, d: str) -> DataFrame:
+    return pr.top_users_sample(fx.events(spark, d))
+
+
+@query
+def sample_rows(spark: SparkSession, d: str) -> DataFrame:
+    docs = fx.table(spark, d, "documents").select("doc_id", "lang", "source", F.regexp_replace("text", r"\s", " ").alias("text"))
+    return pr.sample_rows(docs.orderBy("doc_id"))
+
+
+@query
+def context_summary(spark: SparkSession, d: str) -> DataFrame:
+    snaps = fx.snapshots(spark, d)
+    return pr.context_summary(truth(spark, d), traits(spark, d), context.attribute_changes(snaps), context.terminations(snaps))
+
+
+@query
+def score_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(pr.score_histogram(test_set(spark, d), test_ladder(spark, d)))
+
+
+@query
+def chart_threshold_long(spark: SparkSession, d: str) -> DataFrame:
+    metrics = mt.threshold_metrics(test_set(spark, d), all_thresholds(spark, d))
+    return rounded(pr.long_form(metrics, ["method", "is_oracle"], ["precision", "recall", "f1", "fpr", "fnr"]))
+
+
+@query
+def chart_scenario_long(spark: SparkSession, d: str) -> DataFrame:
+    scenarios = mt.per_scenario(judged_users(spark, d), truth(spark, d))
+    return rounded(pr.long_form(scenarios, ["scenario"], ["sequence_recall", "user_recall"]))
+
+
+@query
+def chart_confusion(spark: SparkSession, d: str) -> DataFrame:
+    return pr.confusion_cells(mt.confusion(judged_users(spark, d)))
+
+
+@query
+def chart_session_confusion(spark: SparkSession, d: str) -> DataFrame:
+    return pr.session_confusion(mt.session_metrics(judged_users(spark, d), session_table(spark, d), truth(spark, d)))
+
+
+@query
+def chart_timeline(spark: SparkSession, d: str) -> DataFrame:
+    return pr.timeline(latencies(spark, d))
+
+
+@query
+def chart_scatter(spark: SparkSession, d: str) -> DataFrame:
+    return pr.scatter_points(test_set(spark, d), CFG.seed)

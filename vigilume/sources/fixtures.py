@@ -124,3 +124,9 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("toxic").alias("label"),
         F.round((F.col("n_chars") % 97) / F.lit(97.0) + raised, 6).alias("score"),
     )
+
+
+def user_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored windows again, spread over sixty users of the activity log."""
+    spread = F.concat(F.lit("U"), F.lpad((F.col("seq_no") % 60).cast("string"), 5, "0"))
+    return scores(spark, sf_dir).withColumn("user_id", spread)
