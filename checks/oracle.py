@@ -618,7 +618,7 @@ oracle("risk_indicators", f"""SELECT user_id, string_agg(text, '; ' ORDER BY pla
   WHERE place <= 3 GROUP BY user_id, text) GROUP BY user_id""")
 CTE["flag_dates"] = """
 SELECT user_id, end_date FROM (SELECT user_id, end_date, row_number() OVER (PARTITION BY user_id ORDER BY end_date) AS place
-  FROM (SELECT DISTINCT user_id, end_date FROM judged WHERE pred = 1)) WHERE place <= 10"""
+  FROM (SELECT DISTINCT user_id, end_date FROM own_test WHERE score >= (SELECT quantile_cont(score, 0.5) FROM own_test))) WHERE place <= 10"""
 CTE["drill_ev"] = """
 SELECT * FROM (
   SELECT s.user_id, s.pc, s.session_start, e.datetime, e.activity AS type,
@@ -646,7 +646,7 @@ oracle("session_drilldown", """SELECT user_id, date, pc, session_start, session_
     CASE WHEN duration_min < 15 THEN 'Short session (<15 min)' END, CASE WHEN usb THEN 'USB device activity' END,
     CASE WHEN exe THEN 'Executable file copied' END, CASE WHEN fil AND duration_min < 15 THEN 'File activity in short session' END) AS indicators,
   CASE WHEN risk IN ('medium', 'high') THEN coalesce(shown, '') ELSE '' END AS events FROM drill_risk""")
-oracle("alert_report", f"""SELECT 'INSIDER-' || u.user_id || '-' || lpad(CAST(place AS VARCHAR), greatest(3, length(CAST(place AS VARCHAR))), '0') AS alert_id,
+oracle("alert_report", f"""SELECT 'INSIDER-' || u.user_id || '-' || lpad(CAST(place AS VARCHAR), CAST(greatest(3, length(CAST(place AS VARCHAR))) AS INTEGER), '0') AS alert_id,
   CASE WHEN {_RATE} > 0.5 OR max_score > 2 * (SELECT threshold FROM own_limit) THEN 'HIGH' WHEN {_RATE} > 0.25 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
   u.user_id, total_sequences, detected AS flagged_sequences, round({_RATE}, 6) AS detection_rate, round(max_score, 6) AS max_anomaly_score,
   round(mean_score, 6) AS mean_anomaly_score, insider_sequences, latency_sequences, first_detection_date AS first_detection,
@@ -662,7 +662,7 @@ oracle("table_counts", " UNION ALL ".join(
 ) + " UNION ALL SELECT 'activity_encoding', 0, 'not found'")
 _LI = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
 oracle("numeric_profile", " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", count({c}) AS non_null, count(DISTINCT {c}) AS distinct_values, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, round(avg({c}), 6) AS avg FROM lineitem" for c in _LI))
+    f"SELECT '{c}' AS \"column\", count({c}) AS non_null, count(DISTINCT {c}) AS distinct_values, min({c})::DOUBLE AS min, max({c})::DOUBLE AS max, round(avg({c}), 4) AS avg FROM lineitem" for c in _LI))
 oracle("top_values", " UNION ALL ".join(
     f"""SELECT '{c}' AS "column", {c} AS value, n, place FROM (SELECT {c}, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, {c}) AS INTEGER) AS place
   FROM ev WHERE {c} IS NOT NULL GROUP BY {c}) WHERE place <= 5""" for c in ("user_id", "pc", "activity", "to_addr", "cc", "bcc", "url", "filename")))
@@ -700,3 +700,38 @@ UNION ALL SELECT 1, 0, total_insider_sessions - flagged_insider_sessions FROM se
 UNION ALL SELECT 1, 1, flagged_insider_sessions FROM session_sums""")
 oracle("chart_timeline", "SELECT user_id, truth_start, truth_end, first_insider_date, first_detection_date, CASE WHEN detected > 0 THEN 'caught' ELSE 'missed' END AS outcome FROM latency")
 oracle("chart_scatter", f"SELECT user_id, seq_no, copy, label, score, md5('{P.seed}|' || user_id || '|' || seq_no || '|' || copy) AS draw FROM test_set")
+
+# --- inference and streaming --------------------------------------------------------------------
+
+_RANGED = (
+    "ev", "hourly", "busiest", "pc_use", "daily", "sess", "sess_ev", "sess_mix", "sess_feat", "gaps", "day_sess",
+    "merged", "enriched", "logged", "featured", "scaled", "numbered", "profile_err", "day_err", "members_dense",
+)
+
+
+def ranged(text: str) -> str:
+    """The same SQL over the events of the scored date range."""
+    return re.sub(r"\b(" + "|".join(_RANGED) + r")\b", r"\1_r", text)
+
+
+CTE["ev_r"] = f"SELECT * FROM ev WHERE CAST(datetime AS DATE) BETWEEN DATE '2024-01-25' - {P.lookback + P.rolling_window} AND DATE '2024-01-28'"
+for _name in _RANGED[1:-1]:
+    CTE[f"{_name}_r"] = ranged(CTE[_name])
+CTE["err_dense_r"] = members_cte(P.lookback, 1, "day_err_r")
+CTE["range_scores"] = window_score_cte("err_dense_r")
+CTE["range_limit"] = "SELECT quantile_cont(score, 0.95) AS threshold FROM win_score JOIN splits USING (user_id) WHERE split = 'val'"
+CTE["range_judged"] = "SELECT *, CAST(score >= threshold AS INTEGER) AS pred FROM range_scores, range_limit"
+CTE["range_risk"] = risk_cte("range_judged")
+oracle("score_range", "SELECT * FROM range_risk")
+oracle("inference_features", "SELECT s.user_id, s.date, " + ", ".join(f"s.{c}" if c in BINARY else f"{r6('s.' + c)} AS {c}" for c in P.behavioural)
+    + ", " + ", ".join(f"(SELECT any_value({c}_encoded) FROM codes k WHERE k.{c} IS NOT DISTINCT FROM s.{c}) AS {c}_encoded" for c in CATEGORICAL)
+    + " FROM scaled_r s WHERE s.user_id IN (SELECT user_id FROM truth)")
+oracle("stream_daily", """SELECT user_id, CAST(datetime AS DATE) AS date, count(*) AS total_actions, count(*) FILTER (activity = 'Logon') AS num_sessions,
+  count(*) FILTER (activity = 'Http') AS http_request_count, count(*) FILTER (activity = 'Email') AS emails_sent,
+  count(*) FILTER (activity = 'File') AS file_copy_count, count(*) FILTER (activity = 'Connect') AS usb_connect_count,
+  count(*) FILTER (hour(datetime) < 8 OR hour(datetime) >= 18) AS after_hours_actions
+FROM ev GROUP BY user_id, CAST(datetime AS DATE)""")
+# a twelve-hour bin is closed once the watermark, one day behind the newest mark, is twelve hours past its end
+oracle("stream_sessions", """SELECT user_id, pc, session_date, session_start, session_end, is_after_hours FROM sess
+WHERE (epoch_us(session_start) // 43200000000 + 2) * 43200000 + 1 <=
+  (SELECT epoch_us(max(datetime)) // 1000 - 86400000 FROM ev WHERE activity IN ('Logon', 'Logoff'))""")

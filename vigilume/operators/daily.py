@@ -63,12 +63,14 @@ def daily_activity(events: DataFrame, cfg: Settings) -> DataFrame:
             F.when(is_activity("Email") & F.col("to_addr").isNotNull(), tag("to", F.col("to_addr"))),
         )
     )
-    tagged = events.select(
+    # amounts and tags first: below the explode they are computed once per event
+    measured = events.select(
         "user_id",
         F.to_date("datetime").alias("date"),
         *[expr.alias(name) for name, expr in measures.items()],
-        F.explode(tags).alias("t"),
+        tags.alias("tags"),
     )
+    tagged = measured.select("user_id", "date", *measures, F.explode("tags").alias("t"))
     keyed = tagged.groupBy("user_id", "date", "t.tag", "t.key").agg(
         F.count("*").alias("n"), *[F.sum(m).alias(m) for m in measures]
     )

@@ -16,7 +16,11 @@ from vigilume.functions.columns import one, ratio, with_scalars
 from vigilume.functions.ordering import running_totals
 
 TINY = 1e-10
-ORDER = F.struct("copy", "end_date", "seq_no")
+
+
+def window_order() -> Column:
+    """The order of a user's windows."""
+    return F.struct("copy", "end_date", "seq_no")
 
 
 def ladder(scores: DataFrame) -> DataFrame:
@@ -242,19 +246,20 @@ def per_user_breakdown(judged: DataFrame) -> DataFrame:
     """
     positive = F.col("label") == 1
     hit = positive & (F.col("pred") == 1)
+    order = window_order()
     users = judged.groupBy("user_id").agg(
         F.count("*").alias("total_sequences"),
         F.count_if(positive).alias("insider_sequences"),
         F.count_if(hit).alias("detected"),
         F.max("score").alias("max_score"),
         F.avg("score").alias("mean_score"),
-        F.min(F.when(positive, ORDER)).alias("first_positive"),
-        F.min(F.when(hit, ORDER)).alias("first_detected"),
+        F.min(F.when(positive, order)).alias("first_positive"),
+        F.min(F.when(hit, order)).alias("first_detected"),
     ).where(F.col("insider_sequences") > 0)
     waited = (
         judged.join(users.select("user_id", "first_positive", "first_detected").where(F.col("first_detected").isNotNull()), "user_id")
         .groupBy("user_id")
-        .agg(F.count_if((ORDER >= F.col("first_positive")) & (ORDER < F.col("first_detected"))).alias("waited"))
+        .agg(F.count_if((order >= F.col("first_positive")) & (order < F.col("first_detected"))).alias("waited"))
     )
     return users.join(waited, "user_id", "left").select(
         "user_id", "total_sequences", "insider_sequences", "detected",

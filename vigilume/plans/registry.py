@@ -12,9 +12,12 @@ from vigilume.operators import (
     augment as ag, context, daily as dy, features as ft, metrics as mt, profiling as pr, scoring as sc, sessions as se,
     triage as tr, windows as wn,
 )
+from vigilume.plans.inference import calibration_limit, inference_features as run_features, score_range as run_scores
+from vigilume.plans.prepare import Inputs, Prepared, enriched_days, merged_days, prepare
 from vigilume.schema import LOG_SCHEMAS
 from vigilume.session import shared_dir, stored
 from vigilume.sources import artifacts, fixtures as fx, logs
+from vigilume.streaming import daily as sd, sessions as ss
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -175,19 +178,16 @@ def session_feature_table(spark: SparkSession, d: str) -> DataFrame:
     return se.session_features(session_table(spark, d), fx.events(spark, d), CFG)
 
 
-def merged(spark: SparkSession, d: str) -> DataFrame:
-    ev = fx.events(spark, d)
-    return merged_days(ev)
+def inputs(spark: SparkSession, d: str) -> Inputs:
+    return Inputs(fx.events(spark, d), fx.snapshots(spark, d), traits(spark, d), truth(spark, d))
 
 
-def merged_days(ev: DataFrame) -> DataFrame:
-    sess = se.sessions(ev, CFG)
-    features = se.session_features(sess, ev, CFG, hosts=False)
-    return se.merge_sessions(dy.daily_activity(ev, CFG), se.daily_session_stats(features, CFG), se.session_gaps(sess))
+def merged(spark: SparkSession, d: str) -> DataFrame:
+    return merged_days(fx.events(spark, d), CFG)
 
 
 def enriched(spark: SparkSession, d: str) -> DataFrame:
-    return context.enrich(merged(spark, d), fx.snapshots(spark, d), traits(spark, d), truth(spark, d))
+    return enriched_days(inputs(spark, d), CFG)
 
 
 @query
@@ -251,28 +251,12 @@ def daily_merged(spark: SparkSession, d: str) -> DataFrame:
 # --- features -----------------------------------------------------------------------------------
 
 
-def feature_table(spark: SparkSession, d: str) -> DataFrame:
-    """Unscaled features, stored once because fitting and applying both read them."""
-    return stored(ft.featured(enriched(spark, d), CFG), "featured")
-
-
-def fitted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Features, user splits and the scaler fitted on training users."""
-    days = feature_table(spark, d)
-    splits = stored(wn.split_users(days, CFG), "splits")
-    train = days.join(splits.where(F.col("split") == "train"), "user_id", "left_semi")
-    return days, splits, ft.fit_scaler(train, CFG.scaled)
-
-
 def scaled(spark: SparkSession, d: str) -> DataFrame:
-    days, _, scaler = fitted(spark, d)
-    return ft.apply_scaler(days, scaler, CFG.scaled)
+    return prepare(inputs(spark, d), CFG).scaled(CFG)
 
 
 def encoded(spark: SparkSession, d: str) -> DataFrame:
-    days, _, scaler = fitted(spark, d)
-    out = ft.apply_scaler(days, scaler, CFG.scaled)
-    return ft.encode(out, ft.fit_dictionary(days, CATEGORICAL), CATEGORICAL)
+    return prepare(inputs(spark, d), CFG).encoded(CFG)
 
 
 def keys_of_days(spark: SparkSession, d: str) -> DataFrame:
@@ -337,13 +321,18 @@ def scaled_features(spark: SparkSession, d: str) -> DataFrame:
     return rounded(scaled(spark, d).select("user_id", "date", "is_insider", *CFG.vector))
 
 
+def saved_artifacts(spark: SparkSession, d: str) -> tuple[Prepared, artifacts.Artifacts]:
+    """Fitted, written and loaded again."""
+    ready = prepare(inputs(spark, d), CFG)
+    home = shared_dir(spark, "artifacts")
+    artifacts.save(home, ready.scaler, ready.dictionary(CFG), CFG)
+    return ready, artifacts.load(spark, home)
+
+
 @query
 def apply_artifacts(spark: SparkSession, d: str) -> DataFrame:
-    days, _, scaler = fitted(spark, d)
-    home = shared_dir(spark, "artifacts")
-    artifacts.save(home, scaler, ft.fit_dictionary(days, CATEGORICAL), CFG)
-    out = artifacts.load(spark, home).apply(days)
-    return rounded(out.select("user_id", "date", *CFG.behavioural, *[f"{c}_encoded" for c in CATEGORICAL]))
+    ready, fitted = saved_artifacts(spark, d)
+    return rounded(fitted.apply(ready.days).select("user_id", "date", *CFG.behavioural, *[f"{c}_encoded" for c in CATEGORICAL]))
 
 
 # --- windows ------------------------------------------------------------------------------------
@@ -505,10 +494,9 @@ def window_mean_error(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pca_days(spark: SparkSession, d: str, k: int = 8) -> tuple[DataFrame, sc.PCAModel]:
-    days, splits, scaler = fitted(spark, d)
-    vectors = sc.day_vectors(ft.apply_scaler(days, scaler, CFG.scaled), CFG.behavioural)
-    vectors = vectors.select("user_id", "date", "is_insider", "vector")
-    train = vectors.join(splits.where(F.col("split") == "train"), "user_id", "left_semi")
+    ready = prepare(inputs(spark, d), CFG)
+    vectors = sc.day_vectors(ready.scaled(CFG), CFG.behavioural).select("user_id", "date", "is_insider", "vector")
+    train = vectors.join(ready.splits.where(F.col("split") == "train"), "user_id", "left_semi")
     return vectors, sc.fit_pca(train, k)
 
 
@@ -718,7 +706,11 @@ def risk_indicators(spark: SparkSession, d: str) -> DataFrame:
 
 
 def drilldown(spark: SparkSession, d: str) -> DataFrame:
-    return tr.session_drilldown(judged_users(spark, d), session_table(spark, d), fx.events(spark, d), CFG)
+    """Sessions behind the windows that reach the median score."""
+    own = fx.user_scores(spark, d).where(F.col("label").isNotNull())
+    median = mt.percentiles(mt.ladder(own), {"threshold": 0.5})
+    judged = mt.judge(own, median.select(F.lit("median").alias("method"), "threshold"))
+    return tr.session_drilldown(judged, session_table(spark, d), fx.events(spark, d), CFG)
 
 
 @query
@@ -774,7 +766,7 @@ def table_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def numeric_profile(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(pr.numeric_profile(fx.table(spark, d, "lineitem")))
+    return rounded(pr.numeric_profile(fx.table(spark, d, "lineitem")), 4)
 
 
 @query
@@ -839,3 +831,40 @@ def chart_timeline(spark: SparkSession, d: str) -> DataFrame:
 @query
 def chart_scatter(spark: SparkSession, d: str) -> DataFrame:
     return pr.scatter_points(test_set(spark, d), CFG.seed)
+
+
+# --- inference and streaming --------------------------------------------------------------------
+
+
+@query
+def inference_features(spark: SparkSession, d: str) -> DataFrame:
+    _, fitted = saved_artifacts(spark, d)
+    users = truth(spark, d).select("user_id").distinct()
+    days = run_features(inputs(spark, d), CFG, fitted, users=users, date_range=RANGE)
+    return rounded(days.select("user_id", "date", *CFG.behavioural, *[f"{c}_encoded" for c in CATEGORICAL]))
+
+
+@query
+def score_range(spark: SparkSession, d: str) -> DataFrame:
+    """Flagship: fit on training users, then score a date range and rank its users by risk."""
+    ready, fitted = saved_artifacts(spark, d)
+    limit = stored(calibration_limit(ready, CFG), "limit")
+    days = stored(run_features(inputs(spark, d), CFG, fitted, date_range=RANGE), "range")
+    return run_scores(days, limit, CFG)
+
+
+def event_stream(spark: SparkSession, d: str) -> DataFrame:
+    schema = fx.table(spark, d, "events").schema
+    return fx.events_from(spark.readStream.schema(schema).parquet(f"{d}/events.parquet*"))
+
+
+@query
+def stream_daily(spark: SparkSession, d: str) -> DataFrame:
+    counts = sd.live_daily(event_stream(spark, d), CFG)
+    return sd.run_available(counts, ["user_id", "date"]).drop("approx_domains")
+
+
+@query
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    found = ss.live_sessions(event_stream(spark, d), CFG)
+    return sd.run_available(found, ["user_id", "pc", "session_start"], mode="append")

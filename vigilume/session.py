@@ -19,6 +19,8 @@ def local_session(cpus: int | str = "*", name: str = "vigilume", memory: str = "
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        # call sites of column expressions are not recorded: plans here are wide, and each costs round trips
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )

@@ -20,42 +20,29 @@ def _user(key: str):
 
 def events_from(raw: DataFrame) -> DataFrame:
     """The activity log behind a table (or stream) of raw test events."""
-    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    kind = F.col("event_type")
-    # fixed values: suffixes by k
-    suffixes = F.array(*[F.lit(s) for s in (".exe", ".DOCX", ".zip", ".txt", ".bat", ".pdf", ".7z", ".jpg")])
-    activity = (
-        F.when(kind == "signup", "Logon")
-        .when(kind == "error", "Logoff")
-        .when(kind == "view", "Http")
-        .when(kind == "purchase", "Email")
-        .when(k % 4 == 2, "Connect")
-        .when(k % 4 == 3, "Disconnect")
-        .otherwise("File")
+    keyed = raw.selectExpr("*", "cast(regexp_extract(props, '([0-9]+)', 1) as int) as k")
+    named = keyed.selectExpr(
+        "*",
+        """case event_type when 'signup' then 'Logon' when 'error' then 'Logoff' when 'view' then 'Http'
+             when 'purchase' then 'Email'
+             else case k % 4 when 2 then 'Connect' when 3 then 'Disconnect' else 'File' end end as activity""",
     )
-    mail, web = F.col("activity") == "Email", F.col("activity") == "Http"
-    url = F.concat(
-        F.lit("http://d"), (F.col("k") % 17).cast("string"), F.lit(".example.com"),
-        F.when(F.col("k") % 2 == 0, ":8080").otherwise(""), F.lit("/p/"), F.col("event_id").cast("string"),
-    )
-    to = F.concat(
-        F.lit("u"), F.col("k").cast("string"), F.when(F.col("k") % 3 == 0, "@example.org").otherwise("@dtaa.com")
-    )
-    name = F.concat(F.lit("f"), F.col("k").cast("string"), F.get(suffixes, F.floor(F.col("k") / 4).cast("int") % 8))
-    return raw.select("*", k.alias("k"), activity.alias("activity")).select(
-        F.col("event_id").alias("id"),
-        F.col("ts").alias("datetime"),
-        _user("user_id").alias("user_id"),
-        F.concat(F.lit("PC-"), (F.col("user_id") * 2 + F.when(F.col("k") % 10 < 8, 0).otherwise(1)).cast("string")).alias("pc"),
+    return named.selectExpr(
+        "event_id as id",
+        "ts as datetime",
+        "concat('U', lpad(cast(user_id as string), 5, '0')) as user_id",
+        "concat('PC-', cast(user_id * 2 + if(k % 10 < 8, 0, 1) as string)) as pc",
         "activity",
-        F.when(mail, to).alias("to_addr"),
-        F.when(mail & (F.col("k") % 2 == 1), "c@dtaa.com").alias("cc"),
-        F.when(mail & (F.col("k") % 4 > 0), "b@dtaa.com").alias("bcc"),
-        F.col("value").alias("size"),
-        F.when(mail, F.col("k") % 4).alias("attachments"),
-        F.when(web & (F.col("k") % 20 != 0), url).alias("url"),
-        F.when(F.col("activity") == "File", name).alias("filename"),
-        F.lit(None).cast("string").alias("content"),
+        "if(activity = 'Email', concat('u', k, if(k % 3 = 0, '@example.org', '@dtaa.com')), null) as to_addr",
+        "if(activity = 'Email' and k % 2 = 1, 'c@dtaa.com', null) as cc",
+        "if(activity = 'Email' and k % 4 > 0, 'b@dtaa.com', null) as bcc",
+        "value as size",
+        "if(activity = 'Email', k % 4, null) as attachments",
+        """if(activity = 'Http' and k % 20 <> 0,
+             concat('http://d', k % 17, '.example.com', if(k % 2 = 0, ':8080', ''), '/p/', event_id), null) as url""",
+        """if(activity = 'File', concat('f', k, get(
+             array('.exe', '.DOCX', '.zip', '.txt', '.bat', '.pdf', '.7z', '.jpg'), (k div 4) % 8)), null) as filename""",
+        "cast(null as string) as content",
     )
 
 
