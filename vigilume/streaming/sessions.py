@@ -47,7 +47,7 @@ def live_sessions(events: DataFrame, cfg: Settings, late: str = "1 day") -> Data
             logons += part.loc[~part["off"], "us"].tolist()
             logoffs += part.loc[part["off"], "us"].tolist()
         state.update((logons, logoffs))
-        due = ((key[2] + 1) * limit + limit) // 1000 + 1
+        due = (int(key[2]) + 2) * limit // 1000 + 1
         state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
 
     us = micros(F.col("datetime"))
