@@ -34,11 +34,11 @@ def attribute_changes(snapshots: DataFrame) -> DataFrame:
 def terminations(snapshots: DataFrame) -> DataFrame:
     """First month in which a user of the preceding snapshot is absent."""
     present = snapshots.select("user_id", "ldap_month").distinct()
-    months = present.select("ldap_month").distinct()
-    # one row per calendar month
-    following = months.select("ldap_month", F.lead("ldap_month").over(W.partitionBy(F.lit(0)).orderBy("ldap_month")).alias("next_month"))
-    expected = present.join(following, "ldap_month").where(F.col("next_month").isNotNull()).select(
-        "user_id", F.col("next_month").alias("ldap_month")
+    # the calendar: one short array of months
+    calendar = present.agg(F.array_sort(F.collect_set("ldap_month")).alias("_months"))
+    after = F.get("_months", F.array_position("_months", F.col("ldap_month")).cast("int"))
+    expected = (
+        with_scalars(present, calendar).select("user_id", after.alias("ldap_month")).where(F.col("ldap_month").isNotNull())
     )
     gone = expected.join(present, ["user_id", "ldap_month"], "left_anti")
     return gone.groupBy("user_id").agg(F.min("ldap_month").alias("termination_month"))

@@ -51,27 +51,19 @@ def _event_measures(cfg: Settings) -> dict[str, Column]:
 
 def daily_activity(events: DataFrame, cfg: Settings) -> DataFrame:
     measures = _event_measures(cfg)
-
-    def tag(name: str, key: Column) -> Column:
-        return F.struct(F.lit(name).alias("tag"), key.cast("string").alias("key"))
-
-    tags = F.array_compact(
-        F.array(
-            tag("hour", F.hour("datetime")),
-            F.when(F.col("pc").isNotNull(), tag("pc", F.col("pc"))),
-            F.when(is_activity("Http") & F.col("url").isNotNull(), tag("host", host_of(F.col("url")))),
-            F.when(is_activity("Email") & F.col("to_addr").isNotNull(), tag("to", F.col("to_addr"))),
-        )
-    )
-    # amounts and tags first: below the explode they are computed once per event
+    keys = {
+        "hour": F.hour("datetime").cast("string"),
+        "pc": F.col("pc"),
+        "host": F.when(is_activity("Http"), host_of(F.col("url"))),
+        "to": F.when(is_activity("Email"), F.col("to_addr")),
+    }
+    # amounts and keys are computed once per event, below the unpivot
     measured = events.select(
-        "user_id",
-        F.to_date("datetime").alias("date"),
-        *[expr.alias(name) for name, expr in measures.items()],
-        tags.alias("tags"),
+        "user_id", F.to_date("datetime").alias("date"),
+        *[expr.alias(name) for name, expr in {**measures, **keys}.items()],
     )
-    tagged = measured.select("user_id", "date", *measures, F.explode("tags").alias("t"))
-    keyed = tagged.groupBy("user_id", "date", "t.tag", "t.key").agg(
+    tagged = measured.unpivot(["user_id", "date", *measures], list(keys), "tag", "key").where(F.col("key").isNotNull())
+    keyed = tagged.groupBy("user_id", "date", "tag", "key").agg(
         F.count("*").alias("n"), *[F.sum(m).alias(m) for m in measures]
     )
     # every event carries exactly one hour tag, so amounts are summed over those rows only

@@ -78,8 +78,8 @@ def fit_dictionary(days: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     Distinct values are ranked range by range, since user and machine names may be many.
     """
-    entries = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in columns])
-    distinct = days.select(F.inline(entries)).distinct()
+    text = days.select(*[F.col(c).cast("string").alias(c) for c in columns])
+    distinct = text.unpivot([], list(columns), "feature", "value").distinct()
     return ranked(distinct, "value", "place", by=["feature"]).select(
         "feature", "value", (F.col("place") - 1).cast("int").alias("code")
     )
@@ -114,12 +114,12 @@ def encode(days: DataFrame, dictionary: DataFrame, columns: Sequence[str]) -> Da
 
 def fit_scaler(train_days: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, mean, std) over the training days; a constant feature gets std 1."""
-    stats = train_days.agg(
-        *[F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(c) for c in columns]
-    )
-    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c)["mean"].alias("mean"), F.col(c)["std"].alias("std")) for c in columns])
-    return stats.select(F.inline(rows)).withColumn(
-        "std", F.when(F.col("std") < SMALLEST_STD, 1.0).otherwise(F.col("std"))
+    values = train_days.select(F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("place", "x"))
+    stats = values.groupBy("place").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+    return stats.select(
+        F.get(F.array(*[F.lit(c) for c in columns]), F.col("place")).alias("feature"),
+        "mean",
+        F.when(F.col("std") < SMALLEST_STD, 1.0).otherwise(F.col("std")).alias("std"),
     )
 
 

@@ -52,8 +52,8 @@ def numeric_profile(df: DataFrame) -> DataFrame:
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC)]
     if not names:
         raise ValueError("no numeric column")
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in names])
-    values = df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count("*").alias("n"))
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in names])
+    values = numbers.unpivot([], names, "column", "value").groupBy("column", "value").agg(F.count("*").alias("n"))
     present = F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)
     return values.groupBy("column").agg(
         F.sum(present).alias("non_null"),
@@ -69,9 +69,8 @@ def top_values(df: DataFrame, k: int = 5) -> DataFrame:
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not names:
         raise ValueError("no text column")
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in names])
     counts = (
-        df.select(F.inline(pairs)).where(F.col("value").isNotNull())
+        df.select(*names).unpivot([], names, "column", "value").where(F.col("value").isNotNull())
         .groupBy("column", "value").agg(F.count("*").alias("n"))
     )
     place = F.row_number().over(W.partitionBy("column").orderBy(F.col("n").desc(), "value"))
@@ -80,13 +79,10 @@ def top_values(df: DataFrame, k: int = 5) -> DataFrame:
 
 def event_overview(events: DataFrame) -> DataFrame:
     """(metric, value) rows: time range, days, users, machines and counts by activity."""
-    def tag(name: str, key):
-        return F.struct(F.lit(name).alias("tag"), key.cast("string").alias("key"))
-
-    tags = F.array(
-        tag("day", F.to_date("datetime")), tag("user", F.col("user_id")), tag("pc", F.col("pc")), tag("activity", F.col("activity"))
+    keyed = events.select(
+        "datetime", F.to_date("datetime").cast("string").alias("day"), F.col("user_id").alias("user"), "pc", "activity"
     )
-    keys = events.select("datetime", F.inline(tags)).groupBy("tag", "key").agg(
+    keys = keyed.unpivot(["datetime"], ["day", "user", "pc", "activity"], "tag", "key").groupBy("tag", "key").agg(
         F.count("*").alias("n"), F.min("datetime").alias("first"), F.max("datetime").alias("last")
     )
     is_tag = lambda t: (F.col("tag") == t) & F.col("key").isNotNull()

@@ -95,11 +95,12 @@ def session_counts(sess: DataFrame, events: DataFrame, cfg: Settings) -> DataFra
     lo = F.greatest("s", F.col("bin") * width)
     hi = F.least("e", (F.col("bin") + 1) * width - 1)
     # a border is read before (rank 0) or after (rank 2) the events of its instant
-    border = F.array(
-        F.struct(lo.alias("us"), F.lit(0).alias("rank"), F.lit(-1).alias("sign")),
-        F.struct(hi.alias("us"), F.when(F.col("empty"), 0).otherwise(2).alias("rank"), F.lit(1).alias("sign")),
+    opening = F.col("sign") < 0
+    borders = pieces.withColumn("sign", F.explode(F.array(F.lit(-1), F.lit(1)))).select(
+        *KEY, *facts, "bin", "sign",
+        F.when(opening, lo).otherwise(hi).alias("us"),
+        F.when(opening | F.col("empty"), 0).otherwise(2).alias("rank"),
     )
-    borders = pieces.select(*KEY, *facts, "bin", F.inline(border))
     stream = flow.unionByName(borders, allowMissingColumns=True)
     so_far = W.partitionBy("user_id", "pc", "bin").orderBy("us", "rank").rowsBetween(W.unboundedPreceding, 0)
     read = stream.select(
@@ -140,7 +141,7 @@ def session_hosts(sess: DataFrame, events: DataFrame, cfg: Settings) -> DataFram
     last = (
         stream.select("*", here.alias("here"), after.alias("after"), touching.alias("touching"))
         .where(F.col("host").isNotNull())
-        .withColumn("m", F.explode(F.array_distinct(F.array_compact(F.array("here", "after", "touching")))))
+        .unpivot(["user_id", "pc", "closed_by_logoff", "us", "host"], ["here", "after", "touching"], "candidate", "m")
         .where(F.col("m.lo") <= F.col("us"))
         .groupBy("user_id", "pc", "closed_by_logoff", F.col("m.end_us").alias("end_us"), "host")
         .agg(F.max("us").alias("us"))
