@@ -1,8 +1,8 @@
 """Running totals and ranks over a whole table without sorting it in one task.
 
-Keys are cut into ranges at a bounded sample of their own values; totals run inside each range and
-are shifted by the totals of the ranges before it. Only the range table (at most ``points`` + 2 rows
-per ``by`` group) is handled in one place.
+Rows are range-partitioned by key, and the partition number is stored with them. Totals then run inside
+each range and are shifted by the totals of the ranges before it; only the table of ranges (one row per
+shuffle partition and ``by`` group) is handled in one place.
 """
 
 from __future__ import annotations
@@ -11,25 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-POINTS = 255
-
-
-def split_points(df: DataFrame, key: str, points: int = POINTS) -> list:
-    """At most ``points`` values of ``key``, picked by hash so that every run picks the same ones."""
-    picked = (
-        df.select(key).where(F.col(key).isNotNull()).distinct()
-        .orderBy(F.xxhash64(key), key).limit(points).collect()
-    )
-    return sorted(r[0] for r in picked)
-
-
-def range_of(key: str, points: list) -> Column:
-    """Number of split points at or below the key; NULL keys come last."""
-    if not points:
-        return F.when(F.col(key).isNull(), 1).otherwise(0)
-    bounds = F.array(*[F.lit(p) for p in points])
-    below = F.size(F.filter(bounds, lambda b: b <= F.col(key)))
-    return F.when(F.col(key).isNull(), len(points) + 1).otherwise(below)
+from vigilume.session import stored
 
 
 def running_totals(
@@ -37,35 +19,35 @@ def running_totals(
     key: str,
     totals: Mapping[str, Column],
     by: Sequence[str] = (),
-    points: list | None = None,
     previous: Sequence[str] = (),
 ) -> DataFrame:
-    """Add inclusive running totals in ascending ``key`` order.
+    """Add inclusive running totals in ascending ``key`` order, NULL last.
 
     ``key`` is unique within ``by``, and ``by`` has few distinct values. For every column in
-    ``previous`` the value on the preceding row is added as ``prev_<column>``.
+    ``previous`` the value on the preceding row is added as ``prev_<column>``. The ranges are written
+    to the shared folder: they are read twice and must be the same both times.
     """
-    if points is None:
-        points = split_points(df, key)
     cols = df.columns
-    ranged = df.withColumn("_range", range_of(key, points))
-    for name, expr in totals.items():
-        ranged = ranged.withColumn(f"_t_{name}", expr)
-
+    ranged = stored(
+        df.select("*", *[expr.alias(f"_t_{name}") for name, expr in totals.items()])
+        .repartitionByRange(*by, F.col(key).asc_nulls_last())
+        .withColumn("_range", F.spark_partition_id()),
+        "ranges",
+    )
     order = W.partitionBy(*by, "_range").orderBy(F.col(key).asc_nulls_last())
     local = order.rowsBetween(W.unboundedPreceding, 0)
-    keyed = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"))
+    last = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"))
     per_range = ranged.groupBy(*by, "_range").agg(
         *[F.sum(f"_t_{n}").alias(f"_s_{n}") for n in totals],
-        *[F.max_by(c, keyed).alias(f"_l_{c}") for c in previous],
+        *[F.max_by(c, last).alias(f"_l_{c}") for c in previous],
     )
-    ranges = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    before = ranges.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy("_range")
+    before = ranges.rowsBetween(W.unboundedPreceding, -1)
     shift = per_range.select(
         *[F.col(b).alias(f"_by_{b}") for b in by],
         F.col("_range").alias("_at"),
         *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in totals],
-        *[F.lag(f"_l_{c}").over(ranges.orderBy("_range")).alias(f"_p_{c}") for c in previous],
+        *[F.lag(f"_l_{c}").over(ranges).alias(f"_p_{c}") for c in previous],
     )
     same_range = F.col("_range") == F.col("_at")
     for b in by:
@@ -76,7 +58,7 @@ def running_totals(
         *[F.lag(c).over(order).alias(f"_g_{c}") for c in previous],
         F.row_number().over(order).alias("_row"),
     )
-    # at most (points + 2) rows per `by` group
+    # one row per shuffle partition and `by` group
     joined = local_rows.join(F.broadcast(shift), same_range)
     return joined.select(
         *cols,
@@ -88,6 +70,6 @@ def running_totals(
     )
 
 
-def ranked(df: DataFrame, key: str, name: str, by: Sequence[str] = (), points: list | None = None) -> DataFrame:
+def ranked(df: DataFrame, key: str, name: str, by: Sequence[str] = ()) -> DataFrame:
     """Add the 1-based rank of every (unique) key within ``by``."""
-    return running_totals(df, key, {name: F.lit(1).cast("long")}, by=by, points=points)
+    return running_totals(df, key, {name: F.lit(1).cast("long")}, by=by)

@@ -854,8 +854,7 @@ def score_range(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
-    schema = fx.table(spark, d, "events").schema
-    return fx.events_from(spark.readStream.schema(schema).parquet(f"{d}/events.parquet*"))
+    return fx.events_from(spark.readStream.schema(fx.SCHEMAS["events"]).parquet(f"{d}/events.parquet*"))
 
 
 @query
