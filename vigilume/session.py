@@ -8,11 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int | str = "*", name: str = "vigilume", memory: str = "8g") -> SparkSession:
+def local_session(
+    cpus: int | str = "*", name: str = "vigilume", memory: str = "8g", shared: str | None = None
+) -> SparkSession:
     """A single-machine session for tests and benchmarks; on a cluster bring your own."""
     partitions = "8" if cpus == "*" else str(cpus)
+    builder = SparkSession.builder if shared is None else SparkSession.builder.config("spark.checkpoint.dir", shared)
     return (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.sql.session.timeZone", "UTC")
@@ -26,12 +29,17 @@ def local_session(cpus: int | str = "*", name: str = "vigilume", memory: str = "
     )
 
 
+_local_roots: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``; a local one only when that is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="vigilume-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _local_roots:
+            _local_roots[app] = tempfile.mkdtemp(prefix="vigilume-")
+        root = _local_roots[app]
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
