@@ -62,17 +62,17 @@ def impute_traits(df: DataFrame, traits: DataFrame) -> DataFrame:
 def flag_truth_days(days: DataFrame, truth: DataFrame) -> DataFrame:
     """Add ``is_insider``: the day, taken as midnight, lies in a truth interval of its user.
 
-    The intervals of a user are gathered first (a label file holds a handful per user), so that two
-    intervals never duplicate a day.
+    Intervals become the set of days they cover, so that this is an equality join on the key the days
+    are already partitioned by, and two intervals never duplicate a day.
     """
-    intervals = truth.groupBy(F.col("user_id").alias("_user")).agg(
-        F.collect_list(F.struct("start_date", "end_date")).alias("_truth")
-    )
-    midnight = F.col("date").cast("timestamp_ntz")
-    inside = F.exists("_truth", lambda t: (midnight >= t["start_date"]) & (midnight <= t["end_date"]))
-    return days.join(intervals, F.col("user_id") == F.col("_user"), "left").select(
-        *days.columns, F.when(inside, 1).otherwise(0).alias("is_insider")
+    first = F.date_add(F.to_date("start_date"), F.when(F.to_date("start_date").cast("timestamp_ntz") < F.col("start_date"), 1).otherwise(0))
+    last = F.to_date("end_date")
+    covered = (
+        truth.select("user_id", first.alias("_first"), last.alias("_last")).where(F.col("_first") <= F.col("_last"))
+        .select("user_id", F.explode(F.sequence("_first", "_last")).alias("date")).distinct()
+        .withColumn("_hit", F.lit(1))
     )
+    return days.join(covered, ["user_id", "date"], "left").select(*days.columns, F.coalesce("_hit", F.lit(0)).alias("is_insider"))
 
 
 def add_changes(days: DataFrame, changes: DataFrame) -> DataFrame:
@@ -102,12 +102,12 @@ def add_terminated(days: DataFrame, ended: DataFrame) -> DataFrame:
 def enrich(days: DataFrame, snapshots: DataFrame, traits: DataFrame, truth: DataFrame | None) -> DataFrame:
     """Days with profile, traits, change flags, termination and (when known) the truth flag.
 
-    All joins use the user key of a table with one row per user and active day; Spark picks
-    broadcast or shuffle from the measured size of the context tables.
+    The days have one row per user and active day. Joins by (user, day) come first, on the partitioning
+    of the days, and joins by user last, so that the per-user windows that follow need no shuffle of
+    their own. Spark picks broadcast or shuffle from the measured size of the context tables.
     """
-    profile = latest_profile(snapshots).select("user_id", *PROFILE)
-    out = days.join(profile, "user_id", "left")
-    out = impute_traits(out, traits)
+    out = days.withColumn("is_insider", F.lit(0)) if truth is None else flag_truth_days(days, truth)
     out = add_changes(out, attribute_changes(snapshots))
-    out = add_terminated(out, terminations(snapshots))
-    return out.withColumn("is_insider", F.lit(0)) if truth is None else flag_truth_days(out, truth)
+    out = out.join(latest_profile(snapshots).select("user_id", *PROFILE), "user_id", "left")
+    out = impute_traits(out, traits)
+    return add_terminated(out, terminations(snapshots))

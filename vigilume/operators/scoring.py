@@ -70,10 +70,9 @@ def pca_errors(days: DataFrame, model: PCAModel, n_features: int) -> DataFrame:
     return out.withColumn("error", F.greatest(lost, F.lit(0.0)) / F.lit(float(n_features)))
 
 
-def window_embedding(encoded: DataFrame, lookback: int, stride: int, pooling: str = "mean") -> DataFrame:
-    """One vector per window from encoded days: their mean (padding counts as zeros) or the last day."""
-    size = encoded.select(F.size(vector_to_array("encoded"))).first()
-    width = size[0] if size else 0
+def window_embedding(encoded: DataFrame, width: int, lookback: int, stride: int, pooling: str = "mean") -> DataFrame:
+    """One vector per window from encoded days of ``width`` numbers: their mean (padding counts as
+    zeros) or the last day."""
     day = encoded.select("user_id", "date", vector_to_array("encoded").alias("z"))
     members = window_days(day, lookback, stride)
     if pooling == "last":

@@ -260,7 +260,8 @@ def alerts(
     truth: DataFrame | None = None,
     drilldown: DataFrame | None = None,
 ) -> DataFrame:
-    """One nested row per caught user of a latency table.
+    """One nested row per caught user of a latency table. ``drilldown`` adds its dates with their session
+    count and highest risk; write the drill-down next to the alerts for the sessions.
 
     ``alert_id`` numbers the caught user among all positive users in name order.
     """
@@ -281,10 +282,11 @@ def alerts(
             F.struct(F.col("truth_start").alias("start"), F.col("truth_end").alias("end")).alias("ground_truth_window"),
         ]
     if drilldown is not None:
-        # at most ten dates per user, each with the sessions of one day
-        days = drilldown.groupBy("user_id", "date").agg(
-            F.array_sort(F.collect_list(F.struct("session_start", "session_id", "session_end", "duration_min", "risk", "summary", "indicators", "events"))).alias("sessions")
-        ).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("date", "sessions"))).alias("session_drilldown"))
+        # ten dates per user at most; the sessions themselves stay rows of the drill-down table
+        level = F.max(F.when(F.col("risk") == "high", 3).when(F.col("risk") == "medium", 2).otherwise(1))
+        per_date = drilldown.groupBy("user_id", "date").agg(F.count("*").alias("sessions"), level.alias("level"))
+        risk = F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col("level")).alias("risk")
+        days = per_date.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("date", "sessions", risk))).alias("session_drilldown"))
         out = out.join(days, "user_id", "left")
         extra.append(F.col("session_drilldown"))
     number = F.lpad(F.col("_place").cast("string"), F.greatest(F.lit(3), F.length(F.col("_place").cast("string"))), F.lit("0"))

@@ -522,7 +522,7 @@ def batch_model_score(spark: SparkSession, d: str) -> DataFrame:
 @query
 def window_embedding(spark: SparkSession, d: str) -> DataFrame:
     vectors, model = pca_days(spark, d)
-    pooled = sc.window_embedding(model.transform(vectors), CFG.lookback, CFG.stride)
+    pooled = sc.window_embedding(model.transform(vectors), model.getK(), CFG.lookback, CFG.stride)
     return pooled.select("user_id", "seq_no", "end_date", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 

@@ -125,8 +125,11 @@ def encode_units(df: DataFrame, column: str, codes: dict[str, int] = FUNCTIONAL_
 def events_in_range(events: DataFrame, start: str, end: str, cfg: Settings) -> DataFrame:
     """Events of [start, end], with enough earlier days to fill rolling windows and look-backs."""
     first = F.date_sub(F.lit(start).cast("date"), cfg.lookback + cfg.rolling_window)
-    day = F.col("date") if "date" in events.columns else F.to_date("datetime")
-    return events.where(day.between(first, F.lit(end).cast("date")))
+    last = F.lit(end).cast("date")
+    if "date" in events.columns:  # partition column
+        return events.where(F.col("date").between(first, last))
+    after = F.date_add(last, 1).cast("timestamp_ntz")
+    return events.where((F.col("datetime") >= first.cast("timestamp_ntz")) & (F.col("datetime") < after))
 
 
 def for_users(df: DataFrame, users: list[str] | DataFrame) -> DataFrame:
