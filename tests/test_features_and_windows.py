@@ -127,3 +127,29 @@ def test_pca_error_equals_projection_residual(spark):
     got = np.array([r["error"] for r in sc.pca_errors(vectors, model, 4).collect()])
     p = model.pc.toArray()
     assert np.allclose(got, ((x - x @ p @ p.T) ** 2).mean(axis=1))
+
+
+def test_supplied_model_and_pooling_equal_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    cols = ["p", "q", "r"]
+    x = rng.normal(size=(6, 3))
+    rows = [("u", FIRST + timedelta(days=i), 0, *map(float, v)) for i, v in enumerate(x)]
+    days = spark.createDataFrame(rows, "user_id string, date date, is_insider int, p double, q double, r double")
+    basis = np.linalg.qr(rng.normal(size=(3, 2)))[0]
+    windows = wn.sliding_windows(days, cols, [], 4, 1)
+    make = sc.linear_autoencoder(basis.tolist(), 4, Settings())
+    got = {r["seq_no"]: r["score"] for r in sc.batch_score(windows, make, 4, 3).collect()}
+    per_day = ((x - x @ basis @ basis.T) ** 2).mean(axis=1)
+    assert got == {i: pytest.approx(0.5 * per_day[i : i + 4].mean() + 0.5 * per_day[i : i + 4].max()) for i in range(3)}
+
+    vectors = sc.day_vectors(days, cols)
+    model = sc.fit_pca(vectors, 2)
+    z = x @ model.pc.toArray()
+    encoded = model.transform(vectors)
+    mean = {r["seq_no"]: r["embedding"] for r in sc.window_embedding(encoded, 2, 4, 1).collect()}
+    last = {r["seq_no"]: r["embedding"] for r in sc.window_embedding(encoded, 2, 4, 1, "last").collect()}
+    assert all(np.allclose(mean[i], z[i : i + 4].mean(axis=0)) and np.allclose(last[i], z[i + 3]) for i in range(3))
+    with pytest.raises(ValueError):
+        sc.window_embedding(encoded, 2, 4, 1, "max")
