@@ -185,19 +185,21 @@ def session_features(sess: DataFrame, events: DataFrame, cfg: Settings, hosts: b
     return out.join(distinct, KEY, "left").na.fill(0, ["session_unique_domains"])
 
 
-def session_gaps(sess: DataFrame) -> DataFrame:
-    """Longest non-negative pause between a session and the end of the one that started before it."""
+def add_gaps(sess: DataFrame) -> DataFrame:
+    """Add ``gap``: minutes since the end of the session that started before, of the same user and day."""
     day = W.partitionBy("user_id", "session_date").orderBy("session_start", "pc", "session_id")
-    gap = minutes_between(F.lag("session_end").over(day), F.col("session_start"))
-    return (
-        sess.select("user_id", "session_date", gap.alias("gap"))
-        .where(F.col("gap") >= 0)
-        .groupBy("user_id", F.col("session_date").alias("date"))
-        .agg(F.max("gap").alias("longest_inter_session_gap"))
-    )
+    return sess.withColumn("gap", minutes_between(F.lag("session_end").over(day), F.col("session_start")))
+
+
+def session_gaps(sess: DataFrame) -> DataFrame:
+    """Longest non-negative gap per user and day, where there is one."""
+    gaps = add_gaps(sess.select(*KEY, "session_date", "session_end")).where(F.col("gap") >= 0)
+    return gaps.groupBy("user_id", F.col("session_date").alias("date")).agg(F.max("gap").alias("longest_inter_session_gap"))
 
 
 def daily_session_stats(features: DataFrame, cfg: Settings) -> DataFrame:
+    """Session statistics per user and day; with a ``gap`` column also the longest gap (0 without one)."""
+    longest = [F.coalesce(F.max(F.when(F.col("gap") >= 0, F.col("gap"))), F.lit(0.0)).alias("longest_inter_session_gap")]
     dur, after = F.col("duration_min"), F.col("is_after_hours")
     usb = F.col("session_usb_used") == 1
     return features.groupBy("user_id", F.col("session_date").alias("date")).agg(
@@ -219,10 +221,11 @@ def daily_session_stats(features: DataFrame, cfg: Settings) -> DataFrame:
         F.count_if(usb & (after == 1)).alias("usb_after_hours_sessions"),
         F.count_if(F.col("session_file_count") > cfg.heavy_files).alias("file_heavy_sessions"),
         F.count_if(usb & (dur < cfg.short_session_min)).alias("short_usb_sessions"),
+        *(longest if "gap" in features.columns else []),
     )
 
 
-def merge_sessions(days: DataFrame, stats: DataFrame, gaps: DataFrame) -> DataFrame:
-    """Daily rows with the session statistics of the day, 0 where there was no session."""
-    joined = days.join(stats, ["user_id", "date"], "left").join(gaps, ["user_id", "date"], "left")
+def merge_sessions(days: DataFrame, stats: DataFrame) -> DataFrame:
+    """Daily rows with the session statistics of the day (gaps included), 0 where there was no session."""
+    joined = days.join(stats, ["user_id", "date"], "left")
     return joined.na.fill(0, list(SESSION)).select(*days.columns, *SESSION)

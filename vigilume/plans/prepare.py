@@ -26,12 +26,13 @@ class Inputs:
 
 
 def merged_days(events: DataFrame, cfg: Settings) -> DataFrame:
-    """Daily activity with the session statistics of the day."""
-    sess = sessions.sessions(events, cfg)
-    per_session = sessions.session_features(sess, events, cfg, hosts=False)
-    return sessions.merge_sessions(
-        daily.daily_activity(events, cfg), sessions.daily_session_stats(per_session, cfg), sessions.session_gaps(sess)
-    )
+    """Daily activity with the session statistics of the day.
+
+    Gaps are read on the way from sessions to days, so the sessions are paired once.
+    """
+    features = sessions.session_features(sessions.sessions(events, cfg), events, cfg, hosts=False)
+    stats = sessions.daily_session_stats(sessions.add_gaps(features), cfg)
+    return sessions.merge_sessions(daily.daily_activity(events, cfg), stats)
 
 
 def enriched_days(inputs: Inputs, cfg: Settings) -> DataFrame:
