@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,10 +34,36 @@ def local_session(
 _local_roots: dict[str, str] = {}
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application; ``--py-files`` does the same at its start.
+
+    Functions that run inside workers refer to its modules, which workers otherwise find only where the package is
+    installed or the driver's folder is on their path.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = Path(__file__).resolve().parent
+        archive = f"{tempfile.mkdtemp(prefix='vigilume-')}/vigilume-package.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for path in sorted(root.rglob("*.py")):
+                out.write(path, path.relative_to(root.parent))
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(app)
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; a local one only when that is unset (tests)."""
+    """A fresh folder under ``spark.checkpoint.dir``; where that is unset a local one, in local mode only.
+
+    On several machines each executor would write to a disk of its own, so there the setting is required.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _local_roots:
             _local_roots[app] = tempfile.mkdtemp(prefix="vigilume-")
