@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vigilume.session import ship_package
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -19,23 +22,52 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilume.llm.secret_scan import scan_secrets
+
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigilume.llm.token_files import token_file_digests
 
     return token_file_digests(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilume.llm.html_extract import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilume.llm.decontaminate import find_contamination
+
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigilume.llm.bpe_automaton import round_trip_digests
 
     return round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilume.llm.compression_quality import fit_model, score_documents
+
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, fit_model(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_secret_scan,
         op3_token_files,
+        op6_html_extract,
+        op7_decontaminate,
         op9_bpe_automaton,
+        op10_compression_quality,
     )
 }
 
