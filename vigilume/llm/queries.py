@@ -46,6 +46,12 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilume.llm.ngram_jaccard import similarity_classes
+
+    return similarity_classes(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigilume.llm.bpe_automaton import round_trip_digests
 
@@ -66,6 +72,7 @@ QUERIES: dict[str, Query] = {
         op3_token_files,
         op6_html_extract,
         op7_decontaminate,
+        op8_ngram_jaccard,
         op9_bpe_automaton,
         op10_compression_quality,
     )
