@@ -34,6 +34,12 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op4_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilume.llm.cover_tree import link_vectors
+
+    return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigilume.llm.html_extract import extract_pages
 
@@ -70,6 +76,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_secret_scan,
         op3_token_files,
+        op4_cover_tree,
         op6_html_extract,
         op7_decontaminate,
         op8_ngram_jaccard,
