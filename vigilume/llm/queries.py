@@ -49,6 +49,12 @@ def op4_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilume.llm.line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigilume.llm.html_extract import extract_pages
 
@@ -87,6 +93,7 @@ QUERIES: dict[str, Query] = {
         op2_chat_format,
         op3_token_files,
         op4_cover_tree,
+        op5_line_dedup,
         op6_html_extract,
         op7_decontaminate,
         op8_ngram_jaccard,
