@@ -131,7 +131,7 @@ def node_of(values: np.ndarray) -> int:
 
 
 def sets_of(docs: DataFrame, join: Join, tiles: bool) -> DataFrame:
-    """(id, node, size, values) of (id, text): the number of each text's set, and its tiles or, without ``tiles``, its elements."""
+    """(id, h, node, size, values) of (id, text): hash of the text, number of its set, and its tiles or, without ``tiles``, elements."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,14 +140,15 @@ def sets_of(docs: DataFrame, join: Join, tiles: bool) -> DataFrame:
                 values = [segment_keys(v, join) if tiles and len(v) else v for v in found]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("id"), pa.array([node_of(v) for v in found], pa.int64()),
+                        part.column("id"), part.column("h"), pa.array([node_of(v) for v in found], pa.int64()),
                         pa.array([len(v) for v in found], pa.int64()),
                         pa.array([v.view(np.int64) for v in values], pa.list_(pa.int64())),
                     ],
-                    ["id", "node", "size", "values"],
+                    ["id", "h", "node", "size", "values"],
                 )
 
-    return docs.mapInArrow(run, "id long, node long, size long, values array<long>")
+    rows = docs.select("id", "text", F.xxhash64("text").alias("h"))
+    return rows.mapInArrow(run, "id long, h long, node long, size long, values array<long>")
 
 
 def forest(nodes: list[int], sets: list[np.ndarray], join: Join) -> Iterator[tuple[int, int]]:
@@ -214,9 +215,10 @@ def set_links(docs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
 
     ``docs`` has (id, text); ``sets`` is ``sets_of(docs, join, tiles=True)``, stored.
     """
-    distinct = sets.where("size > 0").groupBy("node").agg(F.first("values").alias("tiles"), F.min("id").alias("id"))
+    distinct = stored(sets.where("size > 0").groupBy("node").agg(F.first("values").alias("tiles"), F.min("id").alias("id")), "distinct-sets")
     tiles = distinct.select("node", F.explode("tiles").alias("tile"))
-    heads = tiles.groupBy("tile").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # stored, so that the join can split a tile with very many members
+    heads = stored(tiles.groupBy("tile").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"), "tile-heads")
     near = tiles.join(heads, "tile").where("node != head").select("node", "head").distinct()
     # nodes that tiles connect; similar sets are always in one such cluster
     clusters = stored(components(near, "node", "head"), "clusters")
@@ -270,13 +272,41 @@ def similarity_classes(docs: DataFrame, join: Join = Join(), id_col: str = "doc_
     return classes(sets, links)
 
 
-def classes(sets: DataFrame, links: DataFrame) -> DataFrame:
+def named_nodes(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, least, component): of each set the least id that has it, and the component."""
     least = sets.where("size > 0").groupBy("node").agg(F.min("id").alias("least"))
-    reached = components(links, "a", "b")
-    named = least.join(reached, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    return least.join(components(links, "a", "b"), "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+
+
+def classes(sets: DataFrame, links: DataFrame) -> DataFrame:
+    named = named_nodes(sets, links)
     first = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_node = named.join(first, "component").select(F.col("node").alias("of"), "component_id")
     return sets.join(by_node, (F.col("node") == F.col("of")) & (F.col("size") > 0), "left").select(
         F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"),
         F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
     )
+
+
+def keep_one(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stand for their component: one row of each.
+
+    It is the row with the least id (NULL last), of several the one with the least set and hash of its text, of equal rows any.
+    Rows with empty sets link with nothing and all stay.
+    """
+    texts = texts_of(docs, id_col, text_col)
+    sets = stored(sets_of(texts, join, tiles=True), "sets")
+    nodes = named_nodes(sets, set_links(texts, sets, join)).select("node", "component")
+    placed = sets.where("size > 0").select("id", "h", "node").join(nodes, "node")
+    rank = F.struct(F.col("id").isNull(), "id", "node", "h")
+    chosen = placed.groupBy("component").agg(F.min(rank).alias("m"), F.count("*").alias("n")).where("n > 1")
+    rows = stored(placed.join(chosen, "component").select("id", "h", (F.struct("node", "h") == F.struct("m.node", "m.h")).alias("first")), "kept-rows")
+    # rows with equal ids and texts can't be told apart here; they are all first or all not
+    lost = rows.groupBy("id", "h").agg(F.max("first").alias("first"), F.count("*").alias("n")).where("not first or n > 1")
+    lost = lost.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("first").alias("__first"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__h"))
+    alone = docs.join(lost, same, "left_anti")
+    repeated = lost.where("__first")
+    if repeated.isEmpty():
+        return alone
+    return alone.unionByName(docs.join(repeated, same).dropDuplicates(["__id", "__h"]).select(*docs.columns))
