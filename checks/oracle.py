@@ -269,6 +269,10 @@ oracle("insider_days", "SELECT user_id, date, is_insider FROM enriched")
 oracle("enriched_daily", f"SELECT user_id, date, pc, total_actions, sess_count, role, department, functional_unit, {pick(TRAITS)}, role_changed, dept_changed, functional_unit_changed, terminated_flag, is_insider FROM enriched")
 oracle("unified_events", "SELECT CAST(id AS VARCHAR) AS id, datetime, user_id, pc, activity, to_addr, cc, bcc, CAST(attachments AS VARCHAR) AS attachments, url, filename FROM (SELECT * REPLACE (date_trunc('second', datetime) AS datetime) FROM ev)")
 oracle("ingest_csv_roundtrip", "SELECT CAST(id AS VARCHAR) AS id, date_trunc('second', datetime) AS datetime, user_id, pc, activity, url, filename, to_addr, CAST(attachments AS VARCHAR) AS attachments FROM ev")
+oracle("ingest_counts", """SELECT log, rows, kept FROM (SELECT CASE activity WHEN 'Logon' THEN 'logon' WHEN 'Logoff' THEN 'logon' WHEN 'Connect' THEN 'device'
+  WHEN 'Disconnect' THEN 'device' ELSE lower(activity) END AS log, count(*) AS rows FROM ev GROUP BY 1), (VALUES (false), (true)) k(kept)""")
+oracle("ingest_snapshots", "SELECT employee_name, user_id, role, department, functional_unit, ldap_month FROM snap")
+oracle("ingest_truth", """SELECT dataset, scenario, user_id, strftime(start_date, '%m/%d/%Y %H:%M:%S') AS start, strftime(end_date, '%m/%d/%Y %H:%M:%S') AS "end" FROM truth""")
 oracle("labels_load", "SELECT dataset, scenario, details, user_id, start_date, end_date FROM truth")
 oracle("lookup_encode", """SELECT u.user_id, u.functional_unit, coalesce(t.code, -1) AS code FROM (SELECT user_id,
   CASE functional_unit WHEN 'FU0' THEN 'Administration' WHEN 'FU1' THEN 'ResearchAndEngineering' WHEN 'FU2' THEN 'Manufacturing'
@@ -599,8 +603,7 @@ CTE["best"] = "SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDE
 oracle("top_windows", "SELECT * FROM best WHERE rank <= 5")
 CTE["scored6"] = "SELECT * REPLACE (round(score, 6) AS score) FROM win_score"
 CTE["sampled"] = """
-SELECT user_id, seq_no FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq_no) AS place
-  FROM scored6 WHERE score >= (SELECT quantile_cont(score, 0.9) FROM scored6)) WHERE place <= 5"""
+SELECT user_id, seq_no FROM scored6 WHERE score >= (SELECT quantile_cont(score, 0.9) FROM scored6)"""
 CTE["feat_members"] = members_cte(P.lookback, P.stride, "profile_err")
 CTE["feat_long"] = "SELECT user_id, seq_no, unnest(range(0, " + str(len(_F)) + ")) AS f, unnest([" + ", ".join(f"{c}::DOUBLE" for c in _F) + f"]) / {P.lookback}.0::DOUBLE AS e FROM feat_members SEMI JOIN sampled USING (user_id, seq_no)"
 CTE["feat_mean"] = "SELECT user_id, f, sum(e) / count(DISTINCT seq_no) AS e FROM feat_long GROUP BY user_id, f"
@@ -617,15 +620,14 @@ oracle("risk_indicators", f"""SELECT user_id, string_agg(text, '; ' ORDER BY pla
     SELECT user_id, f, row_number() OVER (PARTITION BY user_id ORDER BY e DESC, f DESC) AS place FROM feat_mean) JOIN {texts()} USING (f)
   WHERE place <= 3 GROUP BY user_id, text) GROUP BY user_id""")
 CTE["flag_dates"] = """
-SELECT user_id, end_date FROM (SELECT user_id, end_date, row_number() OVER (PARTITION BY user_id ORDER BY end_date) AS place
-  FROM (SELECT DISTINCT user_id, end_date FROM own_test WHERE score >= (SELECT quantile_cont(score, 0.5) FROM own_test))) WHERE place <= 10"""
+SELECT DISTINCT user_id, end_date FROM own_test WHERE score >= (SELECT quantile_cont(score, 0.5) FROM own_test)"""
 CTE["drill_ev"] = """
 SELECT * FROM (
   SELECT s.user_id, s.pc, s.session_start, e.datetime, e.activity AS type,
     coalesce(e.filename, e.url, CASE WHEN e.activity = 'Email' THEN 'to: ' || coalesce(e.to_addr, '') END, e.activity) AS detail,
     row_number() OVER (PARTITION BY s.user_id, s.pc, s.session_start ORDER BY e.datetime, e.id) AS nth
   FROM sess s JOIN flag_dates d ON d.user_id = s.user_id AND d.end_date = s.session_date
-  JOIN ev e ON e.user_id = s.user_id AND e.datetime BETWEEN s.session_start AND s.session_end) WHERE nth <= 20"""
+  JOIN ev e ON e.user_id = s.user_id AND e.datetime BETWEEN s.session_start AND s.session_end)"""
 CTE["drill_sum"] = """
 SELECT user_id, pc, session_start, string_agg(c || ' ' || type, ', ' ORDER BY first) AS mix FROM (
   SELECT user_id, pc, session_start, type, count(*) AS c, min(nth) AS first FROM drill_ev GROUP BY ALL) GROUP BY ALL"""
@@ -685,8 +687,8 @@ oracle("context_summary", "SELECT 'scenario' AS part, CAST(scenario AS VARCHAR)
     + " UNION ALL ".join(f"SELECT 'changes', '{c}', CAST(sum({c}) AS BIGINT) FROM changes" for c in ("role_changed", "dept_changed", "fu_changed"))
     + " UNION ALL SELECT 'terminated', termination_month, count(*) FROM ended GROUP BY termination_month")
 oracle("score_histogram", """SELECT label, bin, n, round(n / (sum(n) OVER (PARTITION BY label) * w), 6) AS density FROM (
-  SELECT label, least(CAST(floor((score - lo) / w) AS INTEGER), 119) AS bin, count(*) AS n, any_value(w) AS w FROM test_set,
-    (SELECT lo, hi, (hi - lo) / 120.0::DOUBLE AS w FROM (SELECT min(score) AS lo, quantile_cont(score, 0.995) AS hi FROM test_set))
+  SELECT label, least(CAST(floor((score - lo) / w) AS INTEGER), 118) AS bin, count(*) AS n, any_value(w) AS w FROM test_set,
+    (SELECT lo, hi, (hi - lo) / 119.0::DOUBLE AS w FROM (SELECT min(score) AS lo, quantile_cont(score, 0.995) AS hi FROM test_set))
   WHERE score <= hi GROUP BY 1, 2)""")
 _CHART = ("precision", "recall", "f1", "fpr", "fnr")
 oracle("chart_threshold_long", " UNION ALL ".join(f"SELECT method, is_oracle, '{m}' AS metric, {m} AS value FROM ({rates('cells', 'method, is_oracle,')})" for m in _CHART))

@@ -84,11 +84,45 @@ def test_conversion_failure_is_collected(spark, tmp_path):
             "file": (str(tmp_path / "file.csv"), str(tmp_path / "file.parquet"), LOG_SCHEMAS["file"]),
         },
     )
-    assert done["file"] == "ok" and done["http"].startswith("failed")
+    assert (done["file"].rows, done["file"].kept) == (1, False) and done["http"].error
     found = logs.load_logs(spark, str(tmp_path))
     assert list(found) == ["file"] and found["file"].first()["content"] == "x, y"
 
 
+def test_columns_are_found_by_name(spark, tmp_path):
+    from vigilume.schema import LOG_SCHEMAS
+
+    for kind, schema in LOG_SCHEMAS.items():
+        names = ["extra", *reversed(schema.names)]
+        (tmp_path / f"{kind}.csv").write_text(",".join(names) + "\n" + ",".join(n.upper() for n in names) + "\n")
+        row = logs.read_csv(spark, str(tmp_path / f"{kind}.csv"), schema).first().asDict()
+        assert row == {n: n.upper() for n in schema.names}
+    (tmp_path / "short.csv").write_text("id,date\n1,2\n")
+    with pytest.raises(ValueError, match="has no column user"):
+        logs.read_csv(spark, str(tmp_path / "short.csv"), LOG_SCHEMAS["logon"])
+
+
+def test_incomplete_target_is_rewritten_and_a_complete_one_kept(spark, tmp_path):
+    from vigilume.schema import LOG_SCHEMAS
+
+    (tmp_path / "file.csv").write_text("id,date,user,pc,filename,content\n1,01/02/2010 06:30:00,u,p,a.doc,x\n")
+    target = tmp_path / "file.parquet"
+    job = {"file": (str(tmp_path / "file.csv"), str(target), LOG_SCHEMAS["file"])}
+    target.mkdir()
+    (target / "part-0.parquet").write_text("half")
+    first, second = (logs.csv_to_parquet(spark, job)["file"] for _ in range(2))
+    assert (first.rows, first.kept, second.rows, second.kept) == (1, False, 1, True)
+
+
+def test_a_log_that_cannot_be_read_is_not_absent(spark, tmp_path):
+    (tmp_path / "logon.parquet").write_text("no parquet")
+    (tmp_path / "device.parquet").mkdir()
+    found = logs.load_logs(spark, str(tmp_path))
+    assert "http" not in found
+    with pytest.raises(Exception):  # noqa: B017 - whatever Spark says about the file
+        found["logon"].count()
+
+
 def test_snapshot_month_comes_from_the_file_name(spark, tmp_path):
     head = "employee_name,user_id,email,role,business_unit,functional_unit,department,team,supervisor\n"
     for month in ("2010-01", "2010-02"):

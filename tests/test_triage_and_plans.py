@@ -2,7 +2,9 @@ import json
 from datetime import date, datetime
 from pathlib import Path
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vigilume.config import Settings
 from vigilume.operators import metrics as mt, profiling as pr, sessions as se, triage as tr
@@ -47,7 +49,7 @@ def test_indicators_follow_the_largest_errors(spark):
     assert got == ["Personality trait deviation", "Email volume deviation"]
 
 
-def test_drilldown_takes_twenty_events_over_bins_and_applies_rules(spark, events):
+def test_drilldown_counts_all_events_over_bins_and_applies_rules(spark, events):
     rows = [("2024-01-01T19:00:00", "u", "p", "Logon"), ("2024-01-02T06:00:00", "u", "p", "Logoff")]
     rows += [(f"2024-01-01T{19 + i // 4}:{15 * (i % 4):02d}:30", "u", "other", "Http", {"url": f"http://h/{i}"}) for i in range(15)]
     rows += [(f"2024-01-02T0{i // 4}:{15 * (i % 4):02d}:30", "u", "other", "File", {"filename": f"f{i}.EXE"}) for i in range(12)]
@@ -58,11 +60,45 @@ def test_drilldown_takes_twenty_events_over_bins_and_applies_rules(spark, events
     got = {r["date"].day: r for r in tr.session_drilldown(flags, se.sessions(ev, cfg), ev, cfg).collect()}
     night, brief = got[1], got[3]
     assert night["risk"] == "medium" and night["indicators"] == ["After-hours session (19:00)"]
-    assert night["summary"] == "660-min session: 1 Logon, 15 Http, 4 File" and len(night["events"]) == 10
+    assert night["summary"] == "660-min session: 1 Logon, 15 Http, 12 File, 1 Logoff" and len(night["events"]) == 10
     assert brief["risk"] == "high" and brief["summary"] == "5-min session: 1 Logon, 1 File, 1 Logoff"
     assert brief["indicators"] == ["Short session (<15 min)", "Executable file copied", "File activity in short session"]
 
 
+def test_an_executable_behind_many_events_counts(spark, events):
+    rows = [("2024-01-01T09:00:00", "u", "p", "Logon"), ("2024-01-01T17:00:00", "u", "p", "Logoff")]
+    rows += [(f"2024-01-01T10:{i:02d}:00", "u", "p", "Http", {"url": f"http://h/{i}"}) for i in range(40)]
+    rows += [("2024-01-01T16:00:00", "u", "p", "File", {"filename": "tool.exe"})]
+    ev, cfg = events(*rows), Settings(shown_events=3)
+    flags = judged(spark, [("u", i, 0, date(2024, 1, 1 + i), 0, 2.0) for i in range(12)], 1.0)
+    (row,) = tr.session_drilldown(flags, se.sessions(ev, cfg), ev, cfg).collect()
+    assert row["risk"] == "high" and row["summary"] == "480-min session: 1 Logon, 40 Http, 1 File, 1 Logoff" and len(row["events"]) == 3
+    dated = ev.withColumn("date", F.to_date("datetime"))
+    assert tr.session_drilldown(flags, se.sessions(ev, cfg), dated, cfg).first()["summary"] == row["summary"]
+
+
+def test_indicators_take_all_flagged_windows(spark):
+    rows = [("u", date(2024, 1, d), 0, float(d == 9), 0.4) for d in range(1, 13)]
+    errors = spark.createDataFrame(rows, "user_id string, date date, is_insider int, emails_sent double, openness double")
+    flags = judged(spark, [("u", k, 0, date(2024, 1, k + 2), 0, 9.0) for k in range(11)], 1.0)
+    found = tr.risk_indicators(errors, flags, ["emails_sent", "openness"], 2, 1, top=1)
+    assert found.first()["indicators"] == [tr.indicator_text("openness")]
+    late = tr.risk_indicators(errors, flags.where("seq_no in (7, 8)"), ["emails_sent", "openness"], 2, 1, top=1)
+    assert late.first()["indicators"] == [tr.indicator_text("emails_sent")]
+    assert "Generate explode" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_histogram_has_one_bin_less_than_edges(spark):
+    values = np.round(np.random.default_rng(0).gamma(2, size=1000), 6)
+    scores = spark.createDataFrame([("u", i, 0, None, 0, float(v)) for i, v in enumerate(values)], "user_id string, seq_no long, copy int, end_date date, label int, score double")
+    got = {r["bin"]: r["n"] for r in pr.score_histogram(scores, mt.ladder(scores)).collect()}
+    high = np.percentile(values, 99.5)
+    want, _ = np.histogram(values, bins=np.linspace(values.min(), high, 120))
+    assert max(got) <= 118 and sum(got.values()) == want.sum() and sum(abs(got.get(k, 0) - n) for k, n in enumerate(want)) <= 2
+    flat = scores.withColumn("score", F.lit(0.5))
+    assert [(r["bin"], r["n"], r["density"]) for r in pr.score_histogram(flat, mt.ladder(flat)).collect()] == [(0, 1000, None)]
+
+
 def test_profiles(spark):
     df = spark.createDataFrame([(1, "a", "x" * 60), (2, "a", None), (None, "b", "y")], "n int, t string, long string")
     (r,) = pr.numeric_profile(df).collect()

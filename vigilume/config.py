@@ -144,6 +144,8 @@ class Settings:
     mean_weight: float = 0.5
     max_weight: float = 0.5
     profile_days: int = 20
+    #: Events listed for a session in drill-downs (None: all); counts, flags and risk come from all of them.
+    shown_events: int | None = 10
     categorical: tuple[str, ...] = CATEGORICAL
     normalized: tuple[str, ...] = USER_NORMALIZED
 

@@ -140,19 +140,23 @@ def context_summary(truth: DataFrame, traits: DataFrame, changes: DataFrame, end
     )
 
 
-def score_histogram(scores: DataFrame, steps: DataFrame, bins: int = 120) -> DataFrame:
-    """(label, bin, n, density) between the lowest score and the 99.5th percentile, by class."""
-    edges = with_scalars(scores.agg(F.min("score").alias("_lo")), percentiles(steps, {"_hi": 0.995}))
+def score_histogram(scores: DataFrame, steps: DataFrame, edges: int = 120) -> DataFrame:
+    """(label, bin, n, density) between the lowest score and the 99.5th percentile, by class.
+
+    ``edges`` evenly spaced edges bound ``edges - 1`` bins. Where all scores are equal they fall into bin 0, without a density.
+    """
+    bins = edges - 1
+    span = with_scalars(scores.agg(F.min("score").alias("_lo")), percentiles(steps, {"_hi": 0.995}))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
-    at = F.floor((F.col("score") - F.col("_lo")) / width).cast("int")
+    at = F.when(width > 0, F.floor(F.try_divide(F.col("score") - F.col("_lo"), width)).cast("int")).otherwise(0)
     placed = (
-        with_scalars(scores.select("label", "score"), edges.select("_lo", "_hi"))
+        with_scalars(scores.select("label", "score"), span.select("_lo", "_hi"))
         .where(F.col("score") <= F.col("_hi"))
         .select("label", F.least(at, F.lit(bins - 1)).alias("bin"), width.alias("_width"))
     )
     counts = placed.groupBy("label", "bin").agg(F.count("*").alias("n"), F.max("_width").alias("_width"))
     whole = F.sum("n").over(W.partitionBy("label"))  # at most `bins` rows per class
-    return counts.select("label", "bin", "n", (F.col("n") / (whole * F.col("_width"))).alias("density"))
+    return counts.select("label", "bin", "n", F.try_divide(F.col("n"), whole * F.col("_width")).alias("density"))
 
 
 def long_form(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import DoubleType
 
 from vigilume.config import Settings
-from vigilume.operators.windows import WINDOW, window_days
+from vigilume.operators.windows import WINDOW, window_days, window_totals
 
 
 def profile_errors(days: DataFrame, columns: Sequence[str], history: int) -> DataFrame:
@@ -37,14 +37,12 @@ def day_error(errors: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def window_score(day_errors: DataFrame, lookback: int, stride: int, cfg: Settings) -> DataFrame:
     """Weighted mean and maximum of the day errors of every window; padded days count with error 0."""
-    members = window_days(day_errors.select("user_id", "date", "is_insider", "error"), lookback, stride)
-    mean = F.sum("error") / F.lit(float(lookback))
-    return members.groupBy(*WINDOW).agg(
-        F.max("date").alias("end_date"),
-        F.max("is_insider").alias("label"),
-        mean.alias("mean_error"),
-        F.max("error").alias("max_error"),
-        (mean * cfg.mean_weight + F.max("error") * cfg.max_weight).alias("score"),
+    return window_totals(
+        day_errors.select("user_id", "date", "is_insider", "error"), lookback, stride,
+        end_date=F.max("date"), label=F.max("is_insider"), _sum=F.sum("error"), max_error=F.max("error"),
+    ).select(
+        *WINDOW, "end_date", "label", (F.col("_sum") / F.lit(float(lookback))).alias("mean_error"), "max_error",
+        (F.col("_sum") / F.lit(float(lookback)) * cfg.mean_weight + F.col("max_error") * cfg.max_weight).alias("score"),
     )
 
 

@@ -8,7 +8,7 @@ from vigilume.config import Settings
 from vigilume.functions.columns import is_activity, micros, ratio, with_scalars
 from vigilume.functions.ordering import ranked
 from vigilume.operators.metrics import last_interval
-from vigilume.operators.windows import WINDOW, window_days
+from vigilume.session import stored
 
 # Indicator texts by feature.
 INDICATOR_TEXT = {
@@ -82,11 +82,7 @@ INDICATOR_TEXT = {
 }
 # File endings that the drill-down treats as executable (case matters).
 DRILLDOWN_EXECUTABLE = (".exe", ".msi", ".bat")
-DRILLDOWN_EVENTS = 20
-DRILLDOWN_DATES = 10
-KEPT_EVENTS = 10
 TOP_WINDOWS = 5
-SAMPLE_WINDOWS = 5
 BIN_US = 6 * 3_600_000_000
 
 
@@ -147,21 +143,19 @@ def severity_counts(risk: DataFrame) -> DataFrame:
 def risk_indicators(
     errors: DataFrame, judged: DataFrame, features: list[str], lookback: int, stride: int, top: int = 3
 ) -> DataFrame:
-    """(user_id, indicators): texts of the features with the largest mean squared error over the first
-    flagged windows of a user.
+    """(user_id, indicators): texts of the features with the largest mean squared error over the flagged windows of a user.
 
-    ``errors`` has one row per day with the squared error of every feature; a padded day counts as 0.
+    ``errors`` has one row per day with the squared error of every feature; a padded day counts as 0. A day counts once for
+    each flagged window that covers it: the number of such windows is the number of them that begin in the days up to it.
     """
-    first = W.partitionBy("user_id").orderBy("seq_no")
-    sample = (
-        judged.where(F.col("pred") == 1).select(*WINDOW, F.row_number().over(first).alias("_nth"))
-        .where(F.col("_nth") <= SAMPLE_WINDOWS).select(*WINDOW)
-    )
-    members = window_days(errors.select("user_id", "date", *features), lookback, stride)
-    size = F.count_distinct("seq_no") * F.lit(float(lookback))
-    means = members.join(sample, WINDOW, "left_semi").groupBy("user_id").agg(
-        *[(F.sum(f) / size).alias(f) for f in features]
-    )
+    flagged = judged.where(F.col("pred") == 1).select("user_id", (F.col("seq_no") * stride).alias("_first")).distinct()
+    starts = flagged.groupBy("user_id").agg(F.collect_set("_first").alias("_starts"))  # bounded by a user's days
+    order = W.partitionBy("user_id").orderBy("date")
+    begins = F.array_contains("_starts", (F.row_number().over(order) - 1).cast("long"))
+    days = errors.select("user_id", "date", *features).join(starts, "user_id").withColumn("_begins", begins.cast("int"))
+    covered = days.withColumn("_cover", F.sum("_begins").over(order.rowsBetween(-(lookback - 1), 0)))
+    size = F.max(F.size("_starts")) * F.lit(float(lookback))
+    means = covered.groupBy("user_id").agg(*[(F.sum(F.col(f) * F.col("_cover")) / size).alias(f) for f in features])
     ordered = F.sort_array(
         F.array(*[F.struct(F.col(f).alias("e"), F.lit(i).alias("i"), F.lit(indicator_text(f)).alias("text")) for i, f in enumerate(features)]),
         asc=False,
@@ -170,61 +164,71 @@ def risk_indicators(
 
 
 def flagged_dates(judged: DataFrame) -> DataFrame:
-    """The earliest flagged window dates of every user, ten at most."""
-    dates = judged.where((F.col("pred") == 1) & F.col("end_date").isNotNull()).select("user_id", F.col("end_date").alias("date")).distinct()
-    return (
-        dates.withColumn("_nth", F.row_number().over(W.partitionBy("user_id").orderBy("date")))
-        .where(F.col("_nth") <= DRILLDOWN_DATES).drop("_nth")
-    )
+    """The dates of every user's flagged windows."""
+    return judged.where((F.col("pred") == 1) & F.col("end_date").isNotNull()).select("user_id", F.col("end_date").alias("date")).distinct()
 
 
-def first_events(targets: DataFrame, events: DataFrame, limit: int = DRILLDOWN_EVENTS) -> DataFrame:
-    """The first ``limit`` events of the user, on any machine, inside each session of ``targets``.
+def session_events(targets: DataFrame, events: DataFrame) -> DataFrame:
+    """All events of the user, on any machine, inside each session of ``targets``.
 
-    Events are numbered within (user, time bin); a session looks up the numbers that follow its start
-    in each bin it touches, so no session is compared with events beyond those it may keep.
+    Sessions and events meet in time bins, each event in one; an event log with a ``date`` column is also joined by date, so
+    that only the folders of the dates in question are read.
     """
     keys = ["session_id", "user_id", "pc", "session_start"]
     spans = targets.select(*keys, micros(F.col("session_start")).alias("s"), micros(F.col("session_end")).alias("e"))
     bin_of = lambda us: F.floor(us / F.lit(BIN_US)).cast("long")
-    marks = spans.where(F.col("e") >= F.col("s")).select(
-        "*", F.explode(F.sequence(bin_of(F.col("s")), bin_of(F.col("e")))).alias("bin")
-    ).withColumn("us", F.greatest("s", F.col("bin") * BIN_US))
+    marks = spans.where(F.col("e") >= F.col("s")).select("*", F.explode(F.sequence(bin_of(F.col("s")), bin_of(F.col("e")))).alias("bin"))
     detail = F.coalesce(
         "filename", "url", F.when(is_activity("Email"), F.concat(F.lit("to: "), F.coalesce("to_addr", F.lit("")))), "activity"
     )
+    on, dated = ["user_id", "bin"], [c for c in ("date",) if c in events.columns]
+    if dated:
+        on += dated
+        marks = marks.withColumn("date", F.date_from_unix_date((F.col("bin") * BIN_US / F.lit(86_400_000_000)).cast("int")))
     log = events.select(
-        "user_id", micros(F.col("datetime")).alias("us"), "id", "datetime", F.col("activity").alias("type"), detail.alias("detail")
+        "user_id", micros(F.col("datetime")).alias("us"), "id", "datetime", F.col("activity").alias("type"), detail.alias("detail"), *dated
     ).withColumn("bin", bin_of(F.col("us")))
-    log = log.join(marks.select("user_id", "bin").distinct(), ["user_id", "bin"], "left_semi")
-    stream = log.withColumn("event", F.lit(1)).unionByName(marks, allowMissingColumns=True)
-    order = W.partitionBy("user_id", "bin").orderBy("us", F.col("event").asc_nulls_first(), "id")
-    numbered = stream.withColumn("no", F.count("event").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    wanted = numbered.where(F.col("event").isNull()).select(
-        *keys, "e", "bin", F.explode(F.sequence(F.col("no") + 1, F.col("no") + limit)).alias("no")
-    )
-    found = numbered.where(F.col("event") == 1).select("user_id", "bin", "no", "us", "id", "datetime", "type", "detail")
-    inside = wanted.join(found, ["user_id", "bin", "no"]).where(F.col("us") <= F.col("e"))
-    nth = F.row_number().over(W.partitionBy(*keys).orderBy("us", "id"))
-    return inside.withColumn("nth", nth).where(F.col("nth") <= limit).select(*keys, "nth", "datetime", "type", "detail")
+    return log.join(marks, on).where(F.col("us").between(F.col("s"), F.col("e"))).select(*keys, "us", "id", "datetime", "type", "detail")
+
+
+def first_events(inside: DataFrame, limit: int | None) -> DataFrame:
+    """The first ``limit`` events (None: all) of each session, numbered; Spark keeps so many per task before the shuffle."""
+    keys = ["session_id", "user_id", "pc", "session_start"]
+    numbered = inside.withColumn("nth", F.row_number().over(W.partitionBy(*keys).orderBy("us", "id")))
+    return (numbered if limit is None else numbered.where(F.col("nth") <= limit)).select(*keys, "nth", "datetime", "type", "detail")
 
 
 def session_drilldown(judged: DataFrame, sessions: DataFrame, events: DataFrame, cfg: Settings) -> DataFrame:
-    """Sessions of the flagged dates with a risk level, indicators, a summary and their first events."""
+    """Sessions of the flagged dates with a risk level, indicators and a summary, from all events of the session.
+
+    The list of events shows the first ``cfg.shown_events`` of a session of medium or high risk.
+    """
     keys = ["session_id", "user_id", "pc", "session_start"]
     dates = flagged_dates(judged)
-    targets = sessions.join(dates, (sessions["user_id"] == dates["user_id"]) & (sessions["session_date"] == dates["date"]), "left_semi")
-    entries = first_events(targets, events).groupBy(*keys).agg(
+    targets = stored(
+        sessions.join(dates, (sessions["user_id"] == dates["user_id"]) & (sessions["session_date"] == dates["date"]), "left_semi"), "targets"
+    )
+    inside = stored(session_events(targets, events), "session-events")
+    shown = first_events(inside, cfg.shown_events).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("nth", F.col("datetime").alias("time"), "type", "detail"))).alias("events")
     )
-    out = targets.join(entries, keys, "left").withColumn("events", F.coalesce("events", F.array().cast("array<struct<nth:int,time:timestamp_ntz,type:string,detail:string>>")))
-    late, brief = F.col("is_after_hours") == 1, F.col("duration_min") < 15
-    usb = F.exists("events", lambda e: e["type"].isin("Connect", "Disconnect"))
-    exe = F.exists(
-        "events",
-        lambda e: e["detail"].endswith(DRILLDOWN_EXECUTABLE[0]) | e["detail"].endswith(DRILLDOWN_EXECUTABLE[1]) | e["detail"].endswith(DRILLDOWN_EXECUTABLE[2]),
+    executable = F.col("detail").endswith(DRILLDOWN_EXECUTABLE[0]) | F.col("detail").endswith(DRILLDOWN_EXECUTABLE[1]) | F.col("detail").endswith(DRILLDOWN_EXECUTABLE[2])
+    by_type = inside.groupBy(*keys, "type").agg(
+        F.count("*").alias("n"), F.min(F.struct("us", "id")).alias("first"), F.max(executable).alias("exe")
     )
-    file = F.exists("events", lambda e: e["type"] == "File")
+    mix = by_type.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("first", F.concat(F.col("n").cast("string"), F.lit(" "), F.col("type")).alias("text"))))["text"].alias("mix"),
+        F.bool_or(F.col("type").isin("Connect", "Disconnect")).alias("usb"), F.bool_or("exe").alias("exe"),
+        F.bool_or(F.col("type") == "File").alias("file"),
+    )
+    none = F.array().cast("array<struct<nth:int,time:timestamp_ntz,type:string,detail:string>>")
+    no = F.lit(False)
+    out = targets.join(shown, keys, "left").join(mix, keys, "left").select(
+        *targets.columns, F.coalesce("events", none).alias("events"), "mix",
+        F.coalesce("usb", no).alias("usb"), F.coalesce("exe", no).alias("exe"), F.coalesce("file", no).alias("file"),
+    )
+    usb, exe, file = F.col("usb"), F.col("exe"), F.col("file")
+    late, brief = F.col("is_after_hours") == 1, F.col("duration_min") < 15
     risk = (
         F.when(exe, "high").when(usb, F.when(late, "high").otherwise("medium"))
         .when(late & brief, "high").when(late, "medium").otherwise("low")
@@ -238,18 +242,14 @@ def session_drilldown(judged: DataFrame, sessions: DataFrame, events: DataFrame,
             F.when(file & brief, "File activity in short session"),
         )
     )
-    types = F.transform("events", lambda e: e["type"])
-    counts = F.transform(
-        F.array_distinct(types), lambda t: F.concat(F.size(F.filter(types, lambda x: x == t)).cast("string"), F.lit(" "), t)
-    )
     head = F.concat(F.bround("duration_min", 0).cast("int").cast("string"), F.lit("-min session"))
-    summary = F.when(F.size("events") > 0, F.concat(head, F.lit(": "), F.array_join(counts, ", "))).otherwise(head)
+    summary = F.when(F.size("mix") > 0, F.concat(head, F.lit(": "), F.array_join("mix", ", "))).otherwise(head)
     return out.select(
         "user_id", F.col("session_date").alias("date"), "session_id", "pc", "session_start", "session_end",
         F.round("duration_min", 1).alias("duration_min"), risk.alias("risk"), notes.alias("indicators"),
         summary.alias("summary"), "events",
     ).withColumn(
-        "events", F.when(F.col("risk").isin("medium", "high"), F.slice("events", 1, KEPT_EVENTS)).otherwise(F.slice("events", 1, 0))
+        "events", F.when(F.col("risk").isin("medium", "high"), F.col("events")).otherwise(none)
     )
 
 
@@ -282,7 +282,7 @@ def alerts(
             F.struct(F.col("truth_start").alias("start"), F.col("truth_end").alias("end")).alias("ground_truth_window"),
         ]
     if drilldown is not None:
-        # ten dates per user at most; the sessions themselves stay rows of the drill-down table
+        # bounded by a user's dates; the sessions themselves stay rows of the drill-down table
         level = F.max(F.when(F.col("risk") == "high", 3).when(F.col("risk") == "medium", 2).otherwise(1))
         per_date = drilldown.groupBy("user_id", "date").agg(F.count("*").alias("sessions"), level.alias("level"))
         risk = F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col("level")).alias("risk")

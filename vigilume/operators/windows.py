@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from vigilume.config import Settings
 from vigilume.functions.columns import with_scalars
@@ -65,6 +65,27 @@ def window_days(days: DataFrame, lookback: int, stride: int) -> DataFrame:
     )
 
 
+def window_totals(days: DataFrame, lookback: int, stride: int, **totals: Column) -> DataFrame:
+    """(user_id, seq_no, padding) and the given aggregates of every window, without pairing windows with days.
+
+    Each aggregate runs over the last ``lookback`` days of a user, and the days on which a window ends are kept.
+    """
+    user = W.partitionBy("user_id")
+    frame = user.orderBy("date").rowsBetween(-(lookback - 1), 0)
+    ended = days.select(
+        "user_id",
+        (F.row_number().over(user.orderBy("date")) - lookback).alias("_past"),
+        F.count("*").over(user).cast("int").alias("_n"),
+        *[total.over(frame).alias(name) for name, total in totals.items()],
+    )
+    past, n = F.col("_past"), F.col("_n")
+    short = n < lookback
+    return ended.where(F.when(short, past == n - lookback).otherwise((past >= 0) & (past % stride == 0))).select(
+        "user_id", F.when(short, 0).otherwise(past / stride).cast("long").alias("seq_no"),
+        F.when(short, lookback - n).otherwise(0).alias("padding"), *totals,
+    )
+
+
 def window_labels(members: DataFrame) -> DataFrame:
     """Label (any positive day), first and last date, and padding of every window."""
     return members.groupBy(*WINDOW).agg(

@@ -14,7 +14,7 @@ from vigilume.operators import (
 )
 from vigilume.plans.inference import calibration_limit, inference_features as run_features, score_range as run_scores
 from vigilume.plans.prepare import Inputs, Prepared, enriched_days, merged_days, prepare
-from vigilume.schema import LOG_SCHEMAS
+from vigilume.schema import LOG_SCHEMAS, SNAPSHOT
 from vigilume.session import shared_dir, stored
 from vigilume.sources import artifacts, fixtures as fx, logs
 from vigilume.streaming import daily as sd, sessions as ss
@@ -71,11 +71,13 @@ def ingest_csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     root = shared_dir(spark, "csv")
     raw = raw_logs(spark, d)
     for kind, log in raw.items():
-        log.write.csv(f"{root}/{kind}.csv", header=True, escape='"')
+        # in another order, and with a column that isn't read: columns are found by name
+        own = log.withColumn("from", F.lit("someone@example.org")).select("from", *reversed(log.columns))
+        own.write.csv(f"{root}/{kind}.csv", header=True, escape='"')
     done = logs.csv_to_parquet(
         spark, {k: (f"{root}/{k}.csv", f"{root}/{k}.parquet", LOG_SCHEMAS[k]) for k in raw}
     )
-    failed = {k: v for k, v in done.items() if v != "ok"}
+    failed = {k: v.error for k, v in done.items() if v.error}
     if failed:
         raise RuntimeError(f"conversion failed: {failed}")
     return logs.unify_events(logs.load_logs(spark, root)).select(
@@ -83,6 +85,45 @@ def ingest_csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def ingest_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of a conversion, and of a second one that finds its targets complete."""
+    root = shared_dir(spark, "csv")
+    raw = raw_logs(spark, d)
+    for kind, log in raw.items():
+        log.write.csv(f"{root}/{kind}.csv", header=True, escape='"')
+    jobs = {k: (f"{root}/{k}.csv", f"{root}/{k}.parquet", LOG_SCHEMAS[k]) for k in raw}
+    rows = [(k, c.rows, c.kept) for _ in range(2) for k, c in logs.csv_to_parquet(spark, jobs).items()]
+    return spark.createDataFrame(rows, "log string, rows long, kept boolean")
+
+
+@query
+def ingest_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Monthly directory files, written and read by name."""
+    root = shared_dir(spark, "ldap")
+    snaps = fx.snapshots(spark, d)
+    missing = [c for c in SNAPSHOT.names if c not in snaps.columns]
+    full = snaps.select("*", *[F.lit(None).cast("string").alias(c) for c in missing])
+    for month in ("2023-11", "2023-12", "2024-01", "2024-02"):
+        one = full.where(F.col("ldap_month") == month).select(*reversed(SNAPSHOT.names)).coalesce(1)
+        one.write.csv(f"{root}/raw/{month}.csv", header=True, escape='"')
+    read = reduce(
+        DataFrame.unionByName,
+        [logs.read_csv(spark, f"{root}/raw/{m}.csv", SNAPSHOT).withColumn("ldap_month", F.lit(m)) for m in ("2023-11", "2023-12", "2024-01", "2024-02")],
+    )
+    return read.select("employee_name", "user_id", "role", "department", "functional_unit", "ldap_month")
+
+
+@query
+def ingest_truth(spark: SparkSession, d: str) -> DataFrame:
+    """The label file, written with other columns and read by name."""
+    home = shared_dir(spark, "answers")
+    form = lambda c: F.date_format(c, "MM/dd/yyyy HH:mm:ss")
+    raw = fx.labels(spark, d)
+    raw.select(F.lit("x").alias("note"), *reversed(raw.columns)).write.csv(home, header=True, escape='"')
+    return logs.read_truth(spark, home, CFG).select("dataset", "scenario", "user_id", form("start_date").alias("start"), form("end_date").alias("end"))
+
+
 @query
 def unified_events(spark: SparkSession, d: str) -> DataFrame:
     return logs.unify_events(raw_logs(spark, d)).drop("size", "content")
@@ -398,12 +439,12 @@ def window_labels(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def dense_windows(spark: SparkSession, d: str) -> DataFrame:
-    members = wn.window_days(scaled(spark, d).select("user_id", "date", "total_actions"), CFG.lookback, 1)
+    days = scaled(spark, d).select("user_id", "date", "total_actions")
     return rounded(
-        members.groupBy("user_id", "seq_no").agg(
-            F.min("date").alias("first_date"), F.max("date").alias("end_date"),
-            F.count("*").alias("n_days"), F.avg("total_actions").alias("mean_actions"),
-        )
+        wn.window_totals(
+            days, CFG.lookback, 1,
+            first_date=F.min("date"), end_date=F.max("date"), n_days=F.count("*"), mean_actions=F.avg("total_actions"),
+        ).drop("padding")
     )
 
 

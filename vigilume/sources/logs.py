@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import warnings
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.errors import AnalysisException
 
 from vigilume.config import FUNCTIONAL_UNIT_CODES, Settings
@@ -19,22 +20,53 @@ _RENAMED = {"user": "user_id", "to": "to_addr"}
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Splittable CSV scan with quoted text. Mail bodies with line breaks need ``multiLine`` files."""
-    return spark.read.schema(schema).csv(path, header=True, escape='"')
+    """The columns of ``schema`` from CSV files with a header, found by name; quoted text may hold commas.
+
+    Other columns and their order don't matter, but all files of one read share one header. A column that is missing
+    raises; a value that isn't of the column's type becomes NULL. Mail bodies with line breaks need ``multiLine`` files.
+    """
+    header = spark.read.csv(path, header=True, escape='"').columns
+    missing = [c for c in schema.names if c not in header]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}; it has {', '.join(header)}")
+    text = StructType([StructField(c, StringType()) for c in header])
+    raw = spark.read.schema(text).csv(path, header=True, escape='"', enforceSchema=False)
+    return raw.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema])
+
+
+def is_absent(error: AnalysisException) -> bool:
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` has ended: Spark leaves a marker then."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
+@dataclass(frozen=True)
+class Conversion:
+    """What became of a file: rows of its target, or why there is none."""
+
+    rows: int = 0
+    kept: bool = False
+    error: str | None = None
 
 
-def csv_to_parquet(spark: SparkSession, jobs: dict[str, tuple[str, str, StructType]]) -> dict[str, str]:
-    """Convert each ``name: (csv, parquet, schema)``; an existing target is kept.
+def csv_to_parquet(spark: SparkSession, jobs: dict[str, tuple[str, str, StructType]]) -> dict[str, Conversion]:
+    """Convert each ``name: (csv, parquet, schema)``; a complete target is kept, what an aborted run has left is replaced.
 
-    A file that cannot be converted does not stop the others; returns ``name: outcome``.
+    A file that cannot be converted does not stop the others.
     """
     outcome = {}
     for name, (source, target, schema) in jobs.items():
         try:
-            read_csv(spark, source, schema).write.mode("ignore").parquet(target, compression="snappy")
-            outcome[name] = "ok"
+            kept = is_complete(spark, target)
+            if not kept:
+                read_csv(spark, source, schema).write.mode("overwrite").parquet(target, compression="snappy")
+            outcome[name] = Conversion(spark.read.schema(schema).parquet(target).count(), kept)
         except Exception as e:  # noqa: BLE001 - collected per file
-            outcome[name] = f"failed: {type(e).__name__}: {str(e).splitlines()[0]}"
+            outcome[name] = Conversion(error=f"{type(e).__name__}: {str(e).splitlines()[0]}")
     return outcome
 
 
@@ -67,8 +99,9 @@ def load_logs(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     for kind in LOG_SCHEMAS:
         try:
             found[kind] = spark.read.schema(LOG_SCHEMAS[kind]).parquet(f"{root}/{kind}.parquet")
-        except AnalysisException:
-            continue
+        except AnalysisException as e:
+            if not is_absent(e):
+                raise
     return found
 
 
@@ -94,7 +127,9 @@ def read_traits(spark: SparkSession, path: str) -> DataFrame | None:
     """Trait scores by user, or None when the file is absent."""
     try:
         return traits(read_csv(spark, path, PSYCHOMETRIC))
-    except AnalysisException:
+    except AnalysisException as e:
+        if not is_absent(e):
+            raise
         return None
 
 
