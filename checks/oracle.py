@@ -733,7 +733,5 @@ oracle("stream_daily", """SELECT user_id, CAST(datetime AS DATE) AS date, count(
   count(*) FILTER (activity = 'File') AS file_copy_count, count(*) FILTER (activity = 'Connect') AS usb_connect_count,
   count(*) FILTER (hour(datetime) < 8 OR hour(datetime) >= 18) AS after_hours_actions
 FROM ev GROUP BY user_id, CAST(datetime AS DATE)""")
-# a twelve-hour bin is closed once the watermark, one day behind the newest mark, is twelve hours past its end
-oracle("stream_sessions", """SELECT user_id, pc, session_date, session_start, session_end, is_after_hours FROM sess
-WHERE (epoch_us(session_start) // 43200000000 + 2) * 43200000 + 1 <=
-  (SELECT epoch_us(max(datetime)) // 1000 - 86400000 FROM ev WHERE activity IN ('Logon', 'Logoff'))""")
+oracle("stream_sessions", f"""SELECT user_id, pc, session_date, session_start, session_end, hour_of_start, {r6('duration_min')} AS duration_min,
+  is_after_hours FROM sess""")

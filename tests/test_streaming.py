@@ -1,6 +1,6 @@
 from datetime import datetime, timedelta
 
-from pyspark.sql import functions as F
+import pytest
 
 from vigilume.config import Settings
 from vigilume.operators import daily, sessions as se
@@ -26,12 +26,29 @@ def test_daily_counts_over_several_batches(spark, events, tmp_path):
     assert got == want
 
 
-def test_sessions_equal_the_batch_operator_once_timers_fired(spark, events, tmp_path):
+def sessions_of(df):
+    columns = ("user_id", "pc", "session_start", "session_end", "session_date", "hour_of_start", "duration_min", "is_after_hours")
+    return sorted(map(str, df.select(*columns).collect()))
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Tokyo"])
+def test_sessions_equal_the_batch_operator(spark, events, tmp_path, zone):
     start = datetime(2024, 1, 1)
-    marks = [((start + timedelta(hours=h)).isoformat(), "u", "p", a) for h, a in ((1, "Logon"), (3, "Logoff"), (20, "Logon"), (25, "Logoff"), (30, "Logon"), (43, "Logoff"))]
-    last = [("2024-01-09T00:00:00", "u", "p", "Logoff")]
+    marks = [((start + timedelta(hours=h)).isoformat(), "u", "p", a) for h, a in ((1, "Logon"), (1, "Logon"), (3, "Logoff"), (20, "Logon"), (25, "Logoff"), (30, "Logon"), (43, "Logoff"))]
+    marks += [((start + timedelta(hours=46)).isoformat(), u, p, "Logon") for u, p in (("u", "p"), ("v", None))]
+    # a late Logoff that comes before a known one, and the newest sessions, whose bins are still open
+    last = [((start + timedelta(hours=2)).isoformat(), "u", "p", "Logoff"), ((start + timedelta(hours=47)).isoformat(), "u", "p", "Logoff")]
+    last += [((start + timedelta(hours=47)).isoformat(), "v", None, "Logoff")]
     one_day, later = events(*marks), events(*last)
-    live = ss.live_sessions(as_stream(spark, [one_day, later], str(tmp_path)), CFG)
-    got = sorted((r["session_start"], r["session_end"]) for r in sd.run_available(live, ["user_id", "pc", "session_start"], "append").collect())
-    want = sorted((r["session_start"], r["session_end"]) for r in se.sessions(one_day.unionByName(later), CFG).select("session_start", "session_end", F.lit(1)).collect())
-    assert got == want and len(got) == 3
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        live = ss.live_sessions(as_stream(spark, [one_day, later], str(tmp_path)), CFG)
+        got = sessions_of(sd.run_available(live, ss.SESSION_KEYS))
+        want = sessions_of(se.sessions(one_day.unionByName(later), CFG))
+        counts = sd.live_daily(as_stream(spark, [one_day, later], str(tmp_path / "daily")), CFG)
+        days = {(r["user_id"], r["date"]): (r["total_actions"], r["after_hours_actions"]) for r in sd.run_available(counts, ["user_id", "date"]).collect()}
+        batch = daily.daily_activity(one_day.unionByName(later), CFG)
+        assert days == {(r["user_id"], r["date"]): (r["total_actions"], r["after_hours_actions"]) for r in batch.collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == want and len(got) == 6

@@ -79,3 +79,13 @@ def require(df: DataFrame, columns: list[str], what: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"{what}: columns {missing} are missing")
+
+
+def from_micros(us: Column) -> Column:
+    """The zone-less timestamp so many microseconds after 1970, whatever the session's time zone."""
+    return F.timestamp_add("MICROSECOND", us, F.lit("1970-01-01").cast("timestamp_ntz"))
+
+
+def epoch_instant(ts: Column) -> Column:
+    """A zone-less timestamp as an instant, as if it were UTC, for watermarks: the session's time zone plays no part."""
+    return F.timestamp_micros(micros(ts))

@@ -907,4 +907,4 @@ def stream_daily(spark: SparkSession, d: str) -> DataFrame:
 @query
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     found = ss.live_sessions(event_stream(spark, d), CFG)
-    return sd.run_available(found, ["user_id", "pc", "session_start"], mode="append")
+    return rounded(sd.run_available(found, ss.SESSION_KEYS).drop("nth"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from vigilume.config import Settings
-from vigilume.functions.columns import after_hours, host_of, is_activity
+from vigilume.functions.columns import after_hours, epoch_instant, from_micros, host_of, is_activity
 from vigilume.session import shared_dir
 
 LATE = "1 day"
@@ -16,7 +16,7 @@ def live_daily(events: DataFrame, cfg: Settings, late: str = LATE) -> DataFrame:
 
     A day stays open for ``late`` after its end; later events are dropped by the watermark.
     """
-    timed = events.withColumn("ts", F.col("datetime").cast("timestamp"))
+    timed = events.withColumn("ts", epoch_instant(F.col("datetime")))
     return (
         timed.withWatermark("ts", late)
         .groupBy(F.window("ts", "1 day").alias("day"), "user_id")
@@ -27,10 +27,10 @@ def live_daily(events: DataFrame, cfg: Settings, late: str = LATE) -> DataFrame:
             F.count_if(is_activity("Email")).alias("emails_sent"),
             F.count_if(is_activity("File")).alias("file_copy_count"),
             F.count_if(is_activity("Connect")).alias("usb_connect_count"),
-            F.count_if(after_hours(F.hour("ts"), cfg)).alias("after_hours_actions"),
+            F.count_if(after_hours(F.hour("datetime"), cfg)).alias("after_hours_actions"),
             F.approx_count_distinct(F.when(is_activity("Http"), host_of(F.col("url")))).alias("approx_domains"),
         )
-        .select("user_id", F.to_date("day.start").alias("date"), *_counts(), "approx_domains")
+        .select("user_id", F.to_date(from_micros(F.unix_micros("day.start"))).alias("date"), *_counts(), "approx_domains")
     )
 
 

@@ -1,8 +1,9 @@
 """Live logon-to-logoff pairing.
 
 Marks are keyed by (user, machine, time bin) as in the batch operator, so a busy machine's state is
-split over bins and a bin's state ends with its timer. A bin is paired once the watermark shows that no
-Logoff within the pairing limit can still arrive.
+split over bins and a bin's state ends with its timer. A Logon gives its session at once, with the end that
+holds while no Logoff is known, and again whenever a Logoff changes that end; the newest row of a session counts.
+A bin is forgotten once the watermark shows that no Logoff within the pairing limit can still arrive.
 """
 
 from __future__ import annotations
@@ -15,38 +16,50 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vigilume.config import Settings
-from vigilume.functions.columns import after_hours, is_activity, micros, one
+from vigilume.functions.columns import after_hours, epoch_instant, from_micros, is_activity, micros, one
 
 HOUR_US = 3_600_000_000
-_OUT = "user_id string, pc string, start_us bigint, end_us bigint"
-_STATE = "logons array<bigint>, logoffs array<bigint>"
-
-
-def _pair(logons: np.ndarray, logoffs: np.ndarray, limit: int) -> list[int | None]:
-    """For each Logon the first strictly later Logoff within the limit."""
-    logoffs = np.sort(logoffs)
-    at = np.searchsorted(logoffs, logons, side="right")
-    return [
-        int(logoffs[i]) if i < len(logoffs) and logoffs[i] - t <= limit else None for t, i in zip(logons, at)
-    ]
+#: What makes a session, for reading the newest row of each; ``nth`` tells Logons of one instant apart.
+SESSION_KEYS = ["user_id", "pc", "session_start", "nth"]
+_OUT = "user_id string, pc string, start_us bigint, nth int, end_us bigint"
+_STATE = "logons array<bigint>, ends array<bigint>, logoffs array<bigint>"
 
 
 def live_sessions(events: DataFrame, cfg: Settings, late: str = "1 day") -> DataFrame:
-    """Sessions of an event stream, emitted when their time bin can no longer change."""
+    """Sessions of an event stream, for the update output mode: new ones, and those whose end has changed."""
     limit = cfg.pairing_hours * HOUR_US
 
+    # nested, so that it travels to the workers whole
     def close_bins(key: tuple, marks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        logons, logoffs = (list(part) for part in state.get) if state.exists else ([], [])
         if state.hasTimedOut:
             state.remove()
-            starts = np.sort(np.array(logons, dtype="int64"))
-            ends = _pair(starts, np.array(logoffs, dtype="int64"), limit)
-            yield pd.DataFrame({"user_id": key[0], "pc": key[1], "start_us": starts, "end_us": pd.array(ends, dtype="Int64")})
             return
-        for part in marks:
-            logons += part.loc[~part["off"], "us"].tolist()
-            logoffs += part.loc[part["off"], "us"].tolist()
-        state.update((logons, logoffs))
+        logons, ends, logoffs = (np.array(part, dtype="int64") for part in (state.get if state.exists else ([], [], [])))
+        parts = list(marks)
+        off = np.concatenate([p["off"].to_numpy(dtype=bool) for p in parts])
+        us = np.concatenate([p["us"].to_numpy(dtype="int64") for p in parts])
+        # known Logons first among those of one instant, so that each keeps its number
+        starts = np.concatenate([logons, us[~off]])
+        before = np.concatenate([ends, np.full((~off).sum(), -2)])
+        order = np.argsort(starts, kind="stable")
+        starts, before = starts[order], before[order]
+        logoffs = np.sort(np.concatenate([logoffs, us[off]]))
+        after = np.full(len(starts), -1)
+        if len(logoffs) and not any(k is None or k != k for k in key[:2]):
+            at = np.searchsorted(logoffs, starts, side="right")  # the first strictly later one
+            found = logoffs[np.minimum(at, len(logoffs) - 1)]
+            after = np.where((at < len(logoffs)) & (found - starts <= limit), found, -1)
+        changed = after != before
+        first = np.searchsorted(starts, starts, side="left")
+        if changed.any():
+            yield pd.DataFrame(
+                {
+                    "user_id": key[0], "pc": key[1], "start_us": starts[changed],
+                    "nth": (np.arange(len(starts)) - first)[changed].astype("int32"),
+                    "end_us": pd.array([None if e < 0 else e for e in after[changed].tolist()], dtype="Int64"),
+                }
+            )
+        state.update((starts.tolist(), after.tolist(), logoffs.tolist()))
         due = (int(key[2]) + 2) * limit // 1000 + 1
         state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
 
@@ -54,19 +67,20 @@ def live_sessions(events: DataFrame, cfg: Settings, late: str = "1 day") -> Data
     home = F.floor(us / F.lit(limit)).cast("long")
     off = is_activity("Logoff")
     marks = (
-        events.where(F.col("activity").isin("Logon", "Logoff") & F.col("user_id").isNotNull() & F.col("pc").isNotNull())
-        .withColumn("ts", F.col("datetime").cast("timestamp"))
+        events.where(F.col("activity").isin("Logon", "Logoff"))
+        .withColumn("ts", epoch_instant(F.col("datetime")))
         .withWatermark("ts", late)
         .select("ts", "user_id", "pc", us.alias("us"), off.alias("off"), F.explode(F.when(off, F.array(home - 1, home)).otherwise(F.array(home))).alias("bin"))
     )
     paired = marks.groupBy("user_id", "pc", "bin").applyInPandasWithState(
-        close_bins, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
+        close_bins, _OUT, _STATE, "update", GroupStateTimeout.EventTimeTimeout
     )
-    start = F.timestamp_micros("start_us").cast("timestamp_ntz")
     midnight = F.expr("cast(date_add(cast(session_start as date), 1) as timestamp_ntz) - interval 1 second")
-    timed = paired.select("user_id", "pc", "end_us", start.alias("session_start"))
-    return timed.select(
-        "user_id", "pc", F.to_date("session_start").alias("session_date"), "session_start",
-        F.coalesce(F.timestamp_micros("end_us").cast("timestamp_ntz"), midnight).alias("session_end"),
+    timed = paired.select("user_id", "pc", "nth", from_micros(F.col("start_us")).alias("session_start"), from_micros(F.col("end_us")).alias("paired"))
+    ended = timed.withColumn("session_end", F.coalesce("paired", midnight))
+    minutes = F.timestamp_diff("MICROSECOND", F.col("session_start"), F.col("session_end")) / F.lit(60e6)
+    return ended.select(
+        "user_id", "pc", "nth", F.to_date("session_start").alias("session_date"), "session_start", "session_end",
+        F.hour("session_start").alias("hour_of_start"), F.least(minutes, F.lit(cfg.session_cap_min)).alias("duration_min"),
         one(after_hours(F.hour("session_start"), cfg)).alias("is_after_hours"),
     )
