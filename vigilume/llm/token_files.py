@@ -10,25 +10,34 @@ Readers map the files into memory.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import tempfile
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from vigilume.llm.arrow_rows import WordCache, bounded, map_rows, texts_of
+from vigilume.llm.bpe_automaton import byte_alphabet
 from vigilume.session import shared_dir, stored
 
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: White space and what follows it up to the next white space. No token of a byte-level vocabulary that splits like this
 #: one reaches from other characters into white space, so each stretch can be encoded by itself.
 STRETCH = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
+#: White space besides single spaces and line ends.
+ODD_SPACE = re.compile(r"[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: How byte-level files cut a text into words; and where all Unicode versions agree on the classes in it.
+SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
+PLAIN = re.compile(r"[\x00-\x1b\x20-\u024f]*")
 NULL_ID = -(1 << 63)
 
 
@@ -42,16 +51,44 @@ class StretchEncoder:
         self.library = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.pieces = WordCache(self._encode)
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        split = spec["pre_tokenizer"]
+        if spec["normalizer"] or split["type"] != "ByteLevel" or not split["use_regex"] or split["add_prefix_space"]:
+            raise ValueError("texts can be cut at white space for plain byte-level files only")
+        self.bytes = byte_alphabet()
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.words = WordCache(self._word, 400_000)
+        self.pieces = WordCache(self._piece)
+        self.spaced = WordCache(lambda word: self._piece(" " + word), 400_000)
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """One pre-split word by the library's model alone."""
+        tokens = self.library.model.tokenize("".join(map(self.bytes.__getitem__, word.encode())))
+        return array(self.code, [t.id for t in tokens]).tobytes()
+
+    def _piece(self, text: str) -> bytes:
+        if PLAIN.fullmatch(text):
+            words = self.words
+            return b"".join([words[w] for w in SPLIT(text)])
+        return self._whole(text)  # letters of a Unicode version that only the library knows
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):  # the library takes these out of the text before it splits
-            return self._encode(text)
-        pieces = self.pieces
-        return b"".join([pieces[s] for s in STRETCH.findall(text)])
+            return self._whole(text)
+        pieces, spaced = self.pieces, self.spaced
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or ODD_SPACE.search(text):
+            return b"".join([pieces[s] for s in STRETCH.findall(text)])
+        out = []
+        for k, line in enumerate(text.split("\n")):
+            first, *rest = line.split(" ")
+            if k or first:
+                out.append(pieces["\n" + first if k else first])
+            out += [spaced[w] for w in rest]
+        return b"".join(out)
 
 
 @lru_cache(maxsize=2)
@@ -143,7 +180,9 @@ def read_token_files(parts: DataFrame, folder: str, dtype: str, what=None, schem
 
         return row
 
-    spread = parts.select("part", "base").repartition("part")
+    # a number of its own, as small rows would be put together into one task
+    tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = parts.select("part", "base").repartition(tasks, "part")
     return map_rows(spread, make, schema)
 
 
