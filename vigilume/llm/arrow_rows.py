@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 #: How pyarrow names the column types that the operators return.
 ARROW = {
@@ -50,6 +50,23 @@ def bounded(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBat
         yield batch.slice(start, rows)
 
 
+def broadcast_if_small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A stored table of narrow rows, with a broadcast hint where it has at most ``most`` rows; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """Names for columns of an operator's own beside ``columns``: the wanted ones, underlined where they are taken."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in wanted:
+        while name in taken:
+            name = f"_{name}"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 class WordCache(dict):
     """What ``make`` gives for a word, kept for the words met lately.
 

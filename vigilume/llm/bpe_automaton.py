@@ -59,7 +59,8 @@ class Automaton:
             if w in results:
                 raise ValueError(f"two merges make {self.label[w]!r}")
             results.add(w)
-            if not self._has_arc(u, v):  # no path has u before v any more: the merge never applies
+            dead = any(t in results and t not in self.parts for t in (u, v))
+            if dead or not self._has_arc(u, v):  # no path has u before v any more: the merge never applies
                 continue
             self.made[w], self.parts[w] = state, (u, v)
             self.ends[w] = self.ends.get(v, 0)

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from vigilume.llm.arrow_rows import bounded
+from vigilume.llm.arrow_rows import bounded, free_names
 from vigilume.session import stored
 
 SPACES = re.compile(r"\s+")
@@ -200,12 +200,13 @@ def keep_first_lines(docs: DataFrame, rule: Winnow = Winnow(), id_col: str = "do
     A column ``n_chars``, where there is one, follows the text.
     """
     columns, schema = docs.columns, docs.schema
-    runs = repeated_lines(stored(mark_fingerprints(docs, rule, id_col, text_col), "fingerprints")).toDF("__of", "__h", "__runs")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__of")) & (F.xxhash64(text_col) == F.col("__h"))
+    of, text_hash, own = free_names(columns, "of", "text_hash", "runs")
+    runs = repeated_lines(stored(mark_fingerprints(docs, rule, id_col, text_col), "fingerprints")).toDF(of, text_hash, own)
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(of)) & (F.xxhash64(text_col) == F.col(text_hash))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, found = batch.column(text_col).to_pylist(), batch.column("__runs").to_pylist()
+            texts, found = batch.column(text_col).to_pylist(), batch.column(own).to_pylist()
             after = [remaining(t, runs)[0] if runs else t for t, runs in zip(texts, found, strict=True)]
             keep = pa.array([not runs or bool(t.strip()) for t, runs in zip(after, found, strict=True)], pa.bool_())
             new = {text_col: pa.array(after, batch.schema.field(text_col).type)}
@@ -214,4 +215,4 @@ def keep_first_lines(docs: DataFrame, rule: Winnow = Winnow(), id_col: str = "do
                 new["n_chars"] = pa.array(counts, batch.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in columns], columns).filter(keep)
 
-    return docs.join(runs, same, "left").select(*columns, "__runs").mapInArrow(run, schema)
+    return docs.join(runs, same, "left").select(*columns, own).mapInArrow(run, schema)
