@@ -1,14 +1,17 @@
 """Similarity join of word shingles: size bands, tiles of equal segments, bitmap bounds, exact intersection.
 
 Two sets with a Jaccard similarity of at least t differ in at most d = (|A| + |B|) (1 - t) / (1 + t) elements. Sets are put into
-bands by size, and in each band the elements are dealt by hash into d + 1 segments: two similar sets then have at least one
-segment in common, whole and unchanged. Sets that agree in a segment form a tile; no other pair needs to be looked at.
-
-Copies (equal sets) are one node from the start. In a tile each member is first compared with the least one, which settles
-nearly all of a group of near copies in one pass without pairing its members. Only where a group of tiles is left with
-members in several components are its members compared with each other, in blocks of a bounded size: bitmaps of the sets
-bound the overlap from above, pairs already connected are skipped, and the rest is settled by intersecting the sorted
-arrays. A block reports a spanning forest of its links, never all pairs.
+bands by size, and in each band the elements are dealt by hash into somewhat more than d + 1 segments: two similar sets then
+have segments in common, whole and unchanged. Sets that agree in a segment form a tile; no other pair needs to be looked at.
+
+A segment that very many sets share says little (a common line, alone in its segment), and one without elements says nothing. A set
+with more than d other segments does without them: one of the others is unchanged in any similar set. The few sets left, near copies
+of many others above all, meet in the common tiles too, but only each other.
+
+In small tiles every pair is tested: bitmaps of the sets bound the overlap from above, and most pairs end there. Pairs that pass, and
+stars over the common tiles, connect nodes into clusters; members of a cluster are compared in blocks of a bounded size, again by
+bitmaps and then by exact intersection of the sorted arrays, leaving out what is connected already. Large clusters begin with a
+few hubs. A block reports a spanning forest of its links, never all pairs. Copies (equal sets) are one node from the start.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from vigilume.llm.arrow_rows import bounded, texts_of
+from vigilume.llm.arrow_rows import bounded, broadcast_if_small, free_names, texts_of
 from vigilume.llm.components import components
 from vigilume.session import stored
 
@@ -37,6 +40,8 @@ class Join:
     """``width`` words to a shingle; sets are linked when ``over`` * intersection >= ``least`` * union.
 
     ``growth``: ratio of the sizes at a band's ends. ``bits``: width of the bitmaps. ``block``: members compared at once.
+    ``hubs``: about how many members of a large cluster all others are compared with first. ``common``: rows from which a tile
+    counts as common. None of these but the first three changes a result.
     """
 
     width: int = 3
@@ -45,6 +50,8 @@ class Join:
     growth: float = 1.5
     bits: int = 2048
     block: int = 512
+    hubs: int = 64
+    common: int = 8
 
     @property
     def differs(self) -> Fraction:
@@ -89,27 +96,28 @@ def band_tops(growth: float) -> tuple[int, ...]:
     return tuple(tops)
 
 
-def segment_keys(values: np.ndarray, join: Join) -> np.ndarray:
-    """Keys of a set's tiles: one for each segment in its own band, and in the next one if that can hold similar sets.
+def segment_keys(values: np.ndarray, join: Join) -> list[tuple[np.ndarray, int]]:
+    """Keys of a set's tiles in its own band, and in the next one if that can hold similar sets; each with the number of segments
+    that it can do without.
 
-    Two similar sets have at most d changed segments of d + 1 or more. A segment without elements says nothing, so it
-    makes no key, unless the set has so few others that all of them may have changed; then the other set has as few.
+    Similar sets have at most d changed segments. Segments without elements make no key, unless d or fewer others are left;
+    then a similar set that shares none of these is in the same state.
     """
-    size, keys, tops = len(values), [], band_tops(join.growth)
+    size, out, tops = len(values), [], band_tops(join.growth)
     own = bisect_left(tops, size)
     for b in (own, own + 1):
         if b > own and size * join.over < join.least * (tops[own] + 1):
             break
         d = int(2 * tops[b] * join.differs)
-        n = d + 1
+        n = d + 2 + d // 8 if d else 1
         place = (mixed(values + np.uint64(b + 1)) % np.uint64(n)).astype(np.int64)
         sums = np.zeros(n, np.uint64)
         np.add.at(sums, place, mixed(values ^ np.uint64(0xD6E8FEB86659FD93)))
-        count = np.bincount(place, minlength=n)
-        used = np.arange(n) if (count > 0).sum() <= d else np.flatnonzero(count)
+        filled = np.flatnonzero(np.bincount(place, minlength=n))
+        used = filled if len(filled) > d else np.arange(n)
         head = np.uint64((b * 0x9E3779B97F4A7C15) & (2**64 - 1))
-        keys.append(mixed(sums[used] + mixed(used.astype(np.uint64) + head)))
-    return np.unique(np.concatenate(keys))
+        out.append((mixed(sums[used] + mixed(used.astype(np.uint64) + head)), max(len(filled) - d, 0)))
+    return out
 
 
 def bitmap(values: np.ndarray, bits: int) -> np.ndarray:
@@ -119,6 +127,21 @@ def bitmap(values: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+def signature(values: np.ndarray) -> np.ndarray:
+    """A bitmap of two to four bits for each element; a power of two, so that it folds onto narrower ones."""
+    return bitmap(values, max(64, min(1 << (2 * len(values)).bit_length(), 1 << 16)))
+
+
+def may_link(size_a: int, a: np.ndarray, size_b: int, b: np.ndarray, join: Join) -> bool:
+    """Whether bit counts leave the wanted similarity possible: an element whose bit the other set hasn't is not in it."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    most = min(size_a - int(np.bitwise_count(a & ~b).sum()), size_b - int(np.bitwise_count(b & ~a).sum()))
+    return join.over * most >= join.least * (size_a + size_b - most)
+
+
 def linked(a: np.ndarray, b: np.ndarray, join: Join) -> bool:
     """Exact: intersect the sorted arrays."""
     common = len(np.intersect1d(a, b, assume_unique=True))
@@ -130,25 +153,80 @@ def node_of(values: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def sets_of(docs: DataFrame, join: Join, tiles: bool) -> DataFrame:
-    """(id, h, node, size, values) of (id, text): hash of the text, number of its set, and its tiles or, without ``tiles``, elements."""
+def sets_of(docs: DataFrame, join: Join) -> DataFrame:
+    """(id, h, node, size, own, own_spare, next, next_spare, bits) of (id, text): hash of the text, number of its set, its tiles, bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in bounded(batch, 4 << 20):
                 found = [shingles(t or "", join.width) for t in part.column("text").to_pylist()]
-                values = [segment_keys(v, join) if tiles and len(v) else v for v in found]
+                tiles = [segment_keys(v, join) if len(v) else [] for v in found]
+                column = lambda k, i, none: [t[k][i] if len(t) > k else none for t in tiles]  # noqa: E731, B023
+                lists = [pa.array([x if x is None else x.view(np.int64) for x in column(k, 0, None)], pa.list_(pa.int64())) for k in (0, 1)]
+                spare = [pa.array(column(k, 1, 0), pa.int32()) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id"), part.column("h"), pa.array([node_of(v) for v in found], pa.int64()),
-                        pa.array([len(v) for v in found], pa.int64()),
-                        pa.array([v.view(np.int64) for v in values], pa.list_(pa.int64())),
+                        pa.array([len(v) for v in found], pa.int64()), lists[0], spare[0], lists[1], spare[1],
+                        pa.array([signature(v).tobytes() for v in found], pa.binary()),
                     ],
-                    ["id", "h", "node", "size", "values"],
+                    ["id", "h", "node", "size", "own", "own_spare", "next", "next_spare", "bits"],
                 )
 
     rows = docs.select("id", "text", F.xxhash64("text").alias("h"))
-    return rows.mapInArrow(run, "id long, h long, node long, size long, values array<long>")
+    return rows.mapInArrow(
+        run, "id long, h long, node long, size long, own array<long>, own_spare int, next array<long>, next_spare int, bits binary"
+    )
+
+
+def elements_of(docs: DataFrame, join: Join) -> DataFrame:
+    """(node, values) of (id, text): number of each text's set, and its sorted elements."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in bounded(batch, 4 << 20):
+                found = [shingles(t or "", join.width) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([node_of(v) for v in found], pa.int64()), pa.array([v.view(np.int64) for v in found], pa.list_(pa.int64()))],
+                    ["node", "values"],
+                )
+
+    return docs.select("text").mapInArrow(run, "node long, values array<long>")
+
+
+def near_pairs(sets: DataFrame, join: Join) -> DataFrame:
+    """(node, head): pairs that connect all nodes which similar sets may connect."""
+    kinds = [
+        sets.where("size > 0").select("node", F.lit(k).alias("kind"), F.col(f"{k}_spare").alias("spare"), F.explode(k).alias("tile"))
+        for k in ("own", "next")
+    ]
+    tiles = kinds[0].unionAll(kinds[1])
+    # stored, so that joins can split a tile with very many members
+    shared = stored(
+        tiles.groupBy("tile").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n")).where("a != b").select("tile", "n"),
+        "tiles",
+    )
+    # small tiles: all pairs of at most ``common`` members, tested by their bitmaps
+    small = broadcast_if_small(shared.where(F.col("n") <= join.common).select("tile"))
+    members = tiles.join(small, "tile").groupBy("tile").agg(F.collect_set("node").alias("nodes"))
+    pairs = members.select(F.explode("nodes").alias("a"), "nodes").select("a", F.explode("nodes").alias("b")).where("a < b").distinct()
+    bits = stored(sets.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits")), "bitmaps")
+    both = pairs.join(bits.toDF("a", "size_a", "bits_a"), "a").join(bits.toDF("b", "size_b", "bits_b"), "b")
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*[batch.column(c).to_pylist() for c in ("size_a", "bits_a", "size_b", "bits_b")], strict=True)
+            keep = [may_link(m, np.frombuffer(x, np.uint64), n, np.frombuffer(y, np.uint64), join) for m, x, n, y in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["node", "head"]).filter(pa.array(keep, pa.bool_()))
+
+    tested = both.mapInArrow(test, "node long, head long")
+    # common tiles: only sets that need them, each with the least of these
+    common = broadcast_if_small(shared.where(F.col("n") > join.common).select("tile"))
+    held = stored(tiles.join(common, "tile").distinct(), "common-tiles")
+    needy = held.groupBy("node", "kind").agg(F.count("*").alias("n"), F.first("spare").alias("spare")).where("n >= spare").select("node", "kind")
+    meeting = stored(held.join(needy, ["node", "kind"]).select("tile", "node").distinct(), "meetings")
+    heads = stored(meeting.groupBy("tile").agg(F.min("node").alias("head")), "heads")
+    return tested.unionAll(meeting.join(heads, "tile").where("node != head").select("node", "head").distinct())
 
 
 def forest(nodes: list[int], sets: list[np.ndarray], join: Join) -> Iterator[tuple[int, int]]:
@@ -213,47 +291,42 @@ def streamed_groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterato
 def set_links(docs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     """Links (a, b) between nodes, enough to connect all that are connected.
 
-    ``docs`` has (id, text); ``sets`` is ``sets_of(docs, join, tiles=True)``, stored.
+    ``docs`` has (id, text); ``sets`` is ``sets_of(docs, join)``, stored.
     """
-    distinct = stored(sets.where("size > 0").groupBy("node").agg(F.first("values").alias("tiles"), F.min("id").alias("id")), "distinct-sets")
-    tiles = distinct.select("node", F.explode("tiles").alias("tile"))
-    # stored, so that the join can split a tile with very many members
-    heads = stored(tiles.groupBy("tile").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"), "tile-heads")
-    near = tiles.join(heads, "tile").where("node != head").select("node", "head").distinct()
     # nodes that tiles connect; similar sets are always in one such cluster
-    clusters = stored(components(near, "node", "head"), "clusters")
-    wanted = distinct.join(clusters, "node", "left_semi").select(F.col("id").alias("wanted")).distinct()
-    some = docs.join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
-    elements = sets_of(some, join, tiles=False).join(clusters, "node").select("component", "node", "values")
-    size = clusters.groupBy("component").agg(F.ceil(F.count("*") / join.block).cast("int").alias("blocks"))
+    clusters = components(near_pairs(sets, join), "node", "head")
+    size = stored(clusters.groupBy("component").agg(F.ceil(F.count("*") / join.block).cast("int").alias("blocks")), "cluster-sizes")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    members = stored(
-        elements.groupBy("component", "node").agg(F.first("values").alias("values")).join(size, "component")
-        .withColumn("block", block),
-        "members",
-    )
-    # every block with the first one of its cluster
-    first = members.where("block = 0").select("component", F.explode(F.expr("sequence(0, blocks - 1)")).alias("with"), "node", "values")
-    others = members.where("block > 0").select("component", F.col("block").alias("with"), "node", "values")
-    links = stored(compare_groups(first.unionByName(others), ["component", "with"], join), "set-links")
+    placed = stored(clusters.join(size, "component").withColumn("block", block), "clusters")
+    least = sets.where("size > 0").groupBy("node").agg(F.min("id").alias("wanted"))
+    wanted = stored(least.join(placed, "node").select("wanted").distinct(), "wanted")
+    some = docs.join(broadcast_if_small(wanted), F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
+    elements = elements_of(some, join)
+    members = stored(elements.join(broadcast_if_small(placed), "node").select("component", "node", "values", "blocks", "block"), "members")
+    # every block with the cluster's hubs, the nodes that a hash puts first
+    hub = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks") * join.block) < join.hubs)
+    hubs = members.where(hub).select("component", F.explode(F.expr("sequence(0, blocks - 1)")).alias("with"), "node", "values")
+    blocks = members.select("component", F.col("block").alias("with"), "node", "values")
+    links = stored(compare_groups(hubs.unionByName(blocks), ["component", "with"], join), "set-links")
     large = size.where("blocks > 1")
     if large.isEmpty():
         return links
     # in large clusters: what isn't connected with the largest component, with everything
     parts = (
-        members.join(large.select("component"), "component", "left_semi")
+        placed.join(large.select("component"), "component", "left_semi")
         .join(components(links, "a", "b").withColumnRenamed("component", "part"), "node", "left")
-        .select("component", "node", "values", "blocks", "block", F.coalesce("part", "node").alias("part"))
+        .select("component", "node", F.coalesce("part", "node").alias("part"))
     )
     counts = parts.groupBy("component", "part").agg(F.count("*").alias("n"))
     main = counts.groupBy("component").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
     left = main.where("all > most").withColumn("rest", F.ceil((F.col("all") - F.col("most")) / join.block).cast("int"))
-    parts = stored(parts.join(left, "component"), "parts")
+    state = stored(parts.join(left, "component").select("node", (F.col("part") != F.col("main")).alias("outside"), "rest"), "parts")
+    open_ = members.join(broadcast_if_small(state), "node")
     each = lambda upto, name: F.explode(F.expr(f"sequence(0, {upto} - 1)")).alias(name)
-    outside = parts.where("part != main").select(
+    outside = open_.where("outside").select(
         "component", F.pmod(F.xxhash64(F.col("node"), F.lit(1)), F.col("rest")).cast("int").alias("own"), each("blocks", "with"), "node", "values",
     )
-    against = parts.select("component", each("rest", "own"), F.col("block").alias("with"), "node", "values")
+    against = open_.select("component", each("rest", "own"), F.col("block").alias("with"), "node", "values")
     more = compare_groups(outside.unionByName(against), ["component", "own", "with"], join)
     return stored(links.unionAll(more), "set-links")
 
@@ -267,7 +340,7 @@ def similarity_classes(docs: DataFrame, join: Join = Join(), id_col: str = "doc_
     Other columns are left behind. Words, shingles and sets are compared as 64-bit hashes.
     """
     texts = texts_of(docs, id_col, text_col)
-    sets = stored(sets_of(texts, join, tiles=True), "sets")
+    sets = stored(sets_of(texts, join), "sets")
     links = set_links(texts, sets, join)
     return classes(sets, links)
 
@@ -295,18 +368,19 @@ def keep_one(docs: DataFrame, join: Join = Join(), id_col: str = "doc_id", text_
     Rows with empty sets link with nothing and all stay.
     """
     texts = texts_of(docs, id_col, text_col)
-    sets = stored(sets_of(texts, join, tiles=True), "sets")
+    sets = stored(sets_of(texts, join), "sets")
     nodes = named_nodes(sets, set_links(texts, sets, join)).select("node", "component")
     placed = sets.where("size > 0").select("id", "h", "node").join(nodes, "node")
     rank = F.struct(F.col("id").isNull(), "id", "node", "h")
     chosen = placed.groupBy("component").agg(F.min(rank).alias("m"), F.count("*").alias("n")).where("n > 1")
-    rows = stored(placed.join(chosen, "component").select("id", "h", (F.struct("node", "h") == F.struct("m.node", "m.h")).alias("first")), "kept-rows")
+    rows = stored(placed.join(chosen, "component").select("id", "h", (F.col("id").eqNullSafe(F.col("m.id")) & (F.struct("node", "h") == F.struct("m.node", "m.h"))).alias("first")), "kept-rows")
     # rows with equal ids and texts can't be told apart here; they are all first or all not
-    lost = rows.groupBy("id", "h").agg(F.max("first").alias("first"), F.count("*").alias("n")).where("not first or n > 1")
-    lost = lost.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("first").alias("__first"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__h"))
+    lost = stored(rows.groupBy("id", "h").agg(F.max("first").alias("first"), F.count("*").alias("n")).where("not first or n > 1"), "lost-rows")
+    of, text_hash, is_first = free_names(docs.columns, "of", "text_hash", "is_first")
+    lost = lost.toDF(of, text_hash, is_first, free_names(docs.columns, "rows")[0])
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(of)) & (F.xxhash64(text_col) == F.col(text_hash))
     alone = docs.join(lost, same, "left_anti")
-    repeated = lost.where("__first")
+    repeated = lost.where(F.col(is_first))
     if repeated.isEmpty():
         return alone
-    return alone.unionByName(docs.join(repeated, same).dropDuplicates(["__id", "__h"]).select(*docs.columns))
+    return alone.unionByName(docs.join(repeated, same).dropDuplicates([of, text_hash]).select(*docs.columns))
