@@ -73,7 +73,7 @@ def test_one_class(spark):
 
 def test_confusion_without_denominators(spark):
     limits = spark.createDataFrame([("m", 0.5, False)], "method string, threshold double, is_oracle boolean")
-    r = mt.threshold_metrics(frame(spark, [("u", 0, 0.1), ("u", 0, 0.2)]), limits).first()
+    r = mt.threshold_metrics(mt.ladder(frame(spark, [("u", 0, 0.1), ("u", 0, 0.2)])), limits).first()
     assert (r["tn"], r["precision"], r["recall"], r["f1"], r["fnr"], r["specificity"]) == (2, 0.0, 0.0, 0.0, 0.0, 1.0)
 
 

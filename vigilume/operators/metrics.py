@@ -186,6 +186,11 @@ def confusion(judged: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.count_if(y & p).alias("tp"), F.count_if(~y & ~p).alias("tn"),
         F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"),
     )
+    return confusion_rates(cells, by)
+
+
+def confusion_rates(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rates of counted cells."""
     tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
     return cells.select(
         *by, "tp", "tn", "fp", "fn",
@@ -199,8 +204,24 @@ def confusion(judged: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def threshold_metrics(scores: DataFrame, limits: DataFrame) -> DataFrame:
-    return confusion(judge(scores, limits), ["method", "threshold", "is_oracle"])
+def threshold_metrics(steps: DataFrame, limits: DataFrame) -> DataFrame:
+    """Counts and rates under each of a handful of thresholds, from the ladder of distinct scores in one aggregate.
+
+    What lies below a threshold is the running count of the highest score under it; without a threshold nothing is flagged.
+    """
+    rows = limits.select("method", "threshold", "is_oracle").collect()  # one for each method
+    total = lambda kind: F.coalesce(F.max(f"all_{kind}"), F.lit(0)).cast("long")
+    below = lambda kind, t: total(kind) if t is None else F.coalesce(F.max(F.when(F.col("score") < F.lit(t), F.col(f"{kind}_le"))), F.lit(0)).cast("long")
+    cells = [
+        F.struct(
+            F.lit(r["method"]).alias("method"), F.lit(r["threshold"]).cast("double").alias("threshold"), F.lit(r["is_oracle"]).alias("is_oracle"),
+            (total("pos") - below("pos", r["threshold"])).alias("tp"), below("neg", r["threshold"]).alias("tn"),
+            (total("neg") - below("neg", r["threshold"])).alias("fp"), below("pos", r["threshold"]).alias("fn"),
+        )
+        for r in rows
+    ]
+    counted = steps.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+    return confusion_rates(counted, ["method", "threshold", "is_oracle"])
 
 
 def score_separation(scores: DataFrame, steps: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def evaluate(
     report = {
         "global_metrics": metrics.ranking_metrics(steps),
         "score_separation": metrics.score_separation(test, steps),
-        "threshold_results": metrics.threshold_metrics(test, limits),
+        "threshold_results": metrics.threshold_metrics(steps, limits),
         "per_user_results": per_user,
         "user_level_metrics": metrics.user_level_metrics(judged),
         "detection_latency_summary": metrics.latency_summary(per_user),

@@ -629,9 +629,14 @@ def threshold_lookup(spark: SparkSession, d: str) -> DataFrame:
     return rounded(reduce(DataFrame.unionByName, parts))
 
 
+def threshold_table(spark: SparkSession, d: str) -> DataFrame:
+    steps = test_ladder(spark, d)
+    return mt.threshold_metrics(steps, mt.thresholds(steps, calibration_set(spark, d)))
+
+
 @query
 def threshold_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(mt.threshold_metrics(test_set(spark, d), all_thresholds(spark, d)))
+    return rounded(threshold_table(spark, d))
 
 
 @query
@@ -844,7 +849,7 @@ def score_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def chart_threshold_long(spark: SparkSession, d: str) -> DataFrame:
-    metrics = mt.threshold_metrics(test_set(spark, d), all_thresholds(spark, d))
+    metrics = threshold_table(spark, d)
     return rounded(pr.long_form(metrics, ["method", "is_oracle"], ["precision", "recall", "f1", "fpr", "fnr"]))
 
 
