@@ -651,10 +651,27 @@ oracle("session_drilldown", """SELECT user_id, date, pc, session_start, session_
 oracle("alert_report", f"""SELECT 'INSIDER-' || u.user_id || '-' || lpad(CAST(place AS VARCHAR), CAST(greatest(3, length(CAST(place AS VARCHAR))) AS INTEGER), '0') AS alert_id,
   CASE WHEN {_RATE} > 0.5 OR max_score > 2 * (SELECT threshold FROM own_limit) THEN 'HIGH' WHEN {_RATE} > 0.25 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
   u.user_id, total_sequences, detected AS flagged_sequences, round({_RATE}, 6) AS detection_rate, round(max_score, 6) AS max_anomaly_score,
-  round(mean_score, 6) AS mean_anomaly_score, insider_sequences, latency_sequences, first_detection_date AS first_detection,
+  round(mean_score, 6) AS mean_anomaly_score, insider_sequences, latency_sequences, first_detection_date AS first_detection, latency_hours, lead_time_hours,
   least(5, total_sequences) AS n_windows, round(max_score, 6) AS best_score, coalesce(t.scenario, 0) AS scenario,
-  (SELECT count(DISTINCT date) FROM drill d WHERE d.user_id = u.user_id) AS n_days
-FROM (SELECT *, row_number() OVER (ORDER BY user_id) AS place FROM per_user) u LEFT JOIN last_truth t ON t.user_id = u.user_id WHERE detected > 0""")
+  (SELECT count(DISTINCT date) FROM drill d WHERE d.user_id = u.user_id) AS n_days,
+  (SELECT count(*) FROM drill d WHERE d.user_id = u.user_id) AS n_sessions
+FROM (SELECT * EXCLUDE (scenario, truth_start, truth_end), row_number() OVER (ORDER BY user_id) AS place FROM latency) u LEFT JOIN last_truth t ON t.user_id = u.user_id WHERE detected > 0""")
+
+_SHARE = "flagged / total_sequences::DOUBLE"
+CTE["all_users"] = """
+SELECT user_id, count(*) AS total_sequences, CAST(sum(pred) AS BIGINT) AS flagged, max(score) AS max_score, avg(score) AS mean_score,
+  max(threshold) AS threshold, row_number() OVER (ORDER BY user_id) AS place FROM judged GROUP BY user_id"""
+oracle("alert_report_unlabelled", f"""SELECT 'INSIDER-' || user_id || '-' || lpad(CAST(place AS VARCHAR), CAST(greatest(3, length(CAST(place AS VARCHAR))) AS INTEGER), '0') AS alert_id,
+  CASE WHEN {_SHARE} > 0.5 OR max_score > 2 * threshold THEN 'HIGH' WHEN {_SHARE} > 0.25 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+  user_id, total_sequences, flagged AS flagged_sequences, round({_SHARE}, 6) AS detection_rate, round(max_score, 6) AS max_anomaly_score,
+  round(mean_score, 6) AS mean_anomaly_score, least(5, total_sequences) AS n_windows FROM all_users WHERE flagged > 0""")
+oracle("alert_summary", f"""SELECT 'best_f1' AS threshold_method, (SELECT round(max(threshold), 6) FROM judged) AS threshold_value,
+  (SELECT count(*) FROM all_users) AS total_users, (SELECT count(*) FROM all_users WHERE flagged > 0) AS flagged_users,
+  (SELECT CAST(sum(total_sequences) AS BIGINT) FROM all_users) AS total_sequences, (SELECT CAST(sum(flagged) AS BIGINT) FROM all_users) AS flagged_sequences,
+  count(*) FILTER (detected > 0) AS total_alerts, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium,
+  count(*) FILTER (severity = 'LOW') AS low, count(*) FILTER (detected = 0) AS users_missed
+FROM (SELECT *, CASE WHEN detected = 0 THEN NULL WHEN {_RATE} > 0.5 OR max_score > 2 * (SELECT threshold FROM own_limit) THEN 'HIGH'
+  WHEN {_RATE} > 0.25 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM per_user)""")
 
 # --- profiling ----------------------------------------------------------------------------------
 

@@ -260,10 +260,10 @@ def alerts(
     truth: DataFrame | None = None,
     drilldown: DataFrame | None = None,
 ) -> DataFrame:
-    """One nested row per caught user of a latency table. ``drilldown`` adds its dates with their session
-    count and highest risk; write the drill-down next to the alerts for the sessions.
+    """One nested row per caught user of a breakdown or latency table, or of ``flagged_users`` where there are no labels.
 
-    ``alert_id`` numbers the caught user among all positive users in name order.
+    The detection summary has what the table knows. ``drilldown`` adds the flagged dates with their sessions and highest risk.
+    ``alert_id`` numbers the user among all users of the table in name order.
     """
     limit = judged.agg(F.max("threshold").alias("_threshold"))
     placed = with_scalars(ranked(breakdown, "user_id", "_place"), limit).where(F.col("detected") > 0)
@@ -276,17 +276,21 @@ def alerts(
         out = out.join(indicators, "user_id", "left")
         extra.append(F.coalesce("indicators", F.array().cast("array<string>")).alias("risk_indicators"))
     if truth is not None:
-        out = out.join(last_interval(truth), "user_id", "left")
+        known = [c for c in ("scenario", "truth_start", "truth_end", "details") if c in out.columns]
+        out = out.drop(*known).join(last_interval(truth), "user_id", "left")
         extra += [
             F.col("scenario"), F.col("details").alias("scenario_description"),
             F.struct(F.col("truth_start").alias("start"), F.col("truth_end").alias("end")).alias("ground_truth_window"),
         ]
     if drilldown is not None:
-        # bounded by a user's dates; the sessions themselves stay rows of the drill-down table
+        # bounded by a user's flagged dates and the sessions that start on them
         level = F.max(F.when(F.col("risk") == "high", 3).when(F.col("risk") == "medium", 2).otherwise(1))
-        per_date = drilldown.groupBy("user_id", "date").agg(F.count("*").alias("sessions"), level.alias("level"))
+        details = F.struct("session_start", "session_id", "pc", "session_end", "duration_min", "risk", "indicators", "summary", "events")
+        per_date = drilldown.groupBy("user_id", "date").agg(
+            F.count("*").alias("sessions"), level.alias("level"), F.array_sort(F.collect_list(details)).alias("details")
+        )
         risk = F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col("level")).alias("risk")
-        days = per_date.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("date", "sessions", risk))).alias("session_drilldown"))
+        days = per_date.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("date", "sessions", risk, "details"))).alias("session_drilldown"))
         out = out.join(days, "user_id", "left")
         extra.append(F.col("session_drilldown"))
     number = F.lpad(F.col("_place").cast("string"), F.greatest(F.lit(3), F.length(F.col("_place").cast("string"))), F.lit("0"))
@@ -297,13 +301,36 @@ def alerts(
         F.struct(
             "total_sequences", F.col("detected").alias("flagged_sequences"), "detection_rate",
             F.col("max_score").alias("max_anomaly_score"), F.col("mean_score").alias("mean_anomaly_score"),
-            "insider_sequences", "latency_sequences", F.col("first_detection_date").alias("first_detection"),
+            *[
+                F.col(c).alias(name)
+                for c, name in (
+                    ("insider_sequences", "insider_sequences"), ("latency_sequences", "latency_sequences"),
+                    ("first_detection_date", "first_detection"), ("latency_hours", "latency_hours"), ("lead_time_hours", "lead_time_hours"),
+                )
+                if c in breakdown.columns
+            ],
         ).alias("detection_summary"),
         "top_anomalous_windows",
         *extra,
     )
 
 
+def flagged_users(judged: DataFrame) -> DataFrame:
+    """All users of judged windows without labels, as a breakdown: ``detected`` counts flagged windows, the rate is their share."""
+    return judged.groupBy("user_id").agg(
+        F.count("*").alias("total_sequences"), F.sum("pred").cast("long").alias("detected"),
+        F.max("score").alias("max_score"), F.avg("score").alias("mean_score"),
+    ).withColumn("detection_rate", ratio(F.col("detected"), F.col("total_sequences")))
+
+
+def alert_summary(alerts: DataFrame, breakdown: DataFrame, judged: DataFrame, method: str) -> DataFrame:
+    """One row: what was evaluated, the number of alerts in all and by severity, and of users missed (``missed_users`` lists them)."""
+    count = lambda level: F.count_if(F.col("severity") == level).alias(level.lower())
+    totals = alerts.agg(F.count("*").alias("total_alerts"), count("HIGH"), count("MEDIUM"), count("LOW"))
+    missed = missed_users(breakdown).agg(F.count("*").alias("users_missed"))
+    return with_scalars(with_scalars(report_metadata(judged, method), totals), missed)
+
+
 def missed_users(breakdown: DataFrame) -> DataFrame:
     return breakdown.where(F.col("detected") == 0).select("user_id")
 

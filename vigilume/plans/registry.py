@@ -772,7 +772,7 @@ def session_drilldown(spark: SparkSession, d: str) -> DataFrame:
 
 def alert_table(spark: SparkSession, d: str) -> DataFrame:
     judged = judged_users(spark, d)
-    breakdown = mt.detection_latency(mt.per_user_breakdown(judged))
+    breakdown = mt.detection_latency(mt.per_user_breakdown(judged), truth(spark, d))
     return tr.alerts(breakdown, judged, truth=truth(spark, d), drilldown=drilldown(spark, d))
 
 
@@ -790,10 +790,28 @@ def alert_report(spark: SparkSession, d: str) -> DataFrame:
             F.get("top_anomalous_windows", F.lit(0))["anomaly_score"].alias("best_score"),
             F.coalesce("scenario", F.lit(0)).alias("scenario"),
             F.greatest(F.size("session_drilldown"), F.lit(0)).cast("long").alias("n_days"),
+            F.aggregate(
+                F.coalesce("session_drilldown", F.array()), F.lit(0).cast("long"), lambda n, day: n + F.size(day["details"])
+            ).alias("n_sessions"),
         )
     )
 
 
+@query
+def alert_report_unlabelled(spark: SparkSession, d: str) -> DataFrame:
+    """Alerts of flagged users where no truth is known."""
+    judged = judged_users(spark, d).drop("label")
+    nested = tr.alerts(tr.flagged_users(judged), judged)
+    return rounded(nested.select("alert_id", "severity", "user_id", "detection_summary.*", F.size("top_anomalous_windows").cast("long").alias("n_windows")))
+
+
+@query
+def alert_summary(spark: SparkSession, d: str) -> DataFrame:
+    judged = judged_users(spark, d)
+    breakdown = mt.per_user_breakdown(judged)
+    return rounded(tr.alert_summary(tr.alerts(breakdown, judged), breakdown, judged, "best_f1"))
+
+
 # --- profiling ----------------------------------------------------------------------------------
 
 
