@@ -7,6 +7,7 @@ the difference into the probability of label 1.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -20,8 +21,8 @@ from vigilume.llm.arrow_rows import map_rows, texts_of
 class Fit:
     """Bounds of the labelled sample the classifier is fitted on, and the dictionaries' parameters.
 
-    The sample takes the ``per_class`` labelled documents of either label with the least hash of their id, among those of
-    at most ``longest`` characters; they are used whole. Half of them make the dictionaries, half fit the curve.
+    The sample takes the ``per_class`` labelled ids of either label with the least hash, and of them the documents of at most
+    ``longest`` characters, which are used whole. Half of them make the dictionaries, half fit the curve.
     Everything that is scored is compressed whole.
     """
 
@@ -85,12 +86,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, fit: Fit, id_col: str, t
         .where(~held_out(F.col("id")))
         .groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most")
     )
+    ids = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(fit.per_class) for y in (0, 1)]
+    # at most 2 x per_class ids
+    chosen = docs.sparkSession.createDataFrame([tuple(r) for part in ids for r in part.collect()], "id long, y int")
     texts = texts_of(docs, id_col, text_col).where(F.length("text").between(1, fit.longest))
-    rows = texts.join(known, "id").withColumn("h", F.xxhash64("id"))
-    out = []
-    for y in (0, 1):
-        out += rows.where(F.col("y") == y).orderBy("h", "id", "text").limit(fit.per_class).select("id", "y", "text").collect()
-    return [tuple(r) for r in out]
+    rows = texts.join(F.broadcast(chosen), "id").select("id", "y", "text").collect()
+    return sorted((tuple(r) for r in rows), key=lambda r: (r[1], zlib.crc32(str(r[0]).encode()), *r))
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -115,7 +116,6 @@ def fit_model(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), id_col: str
     rest = [r for rows in halves for r in rows[1::2]]
     x = np.array([difference(model, t) for _, _, t in rest])
     y = np.array([y for _, y, _ in rest], float)
-    # the sample takes either label equally often, at most; the curve is for the mix of all labelled rows
     intercept, slope = _logistic(x, y)
     return Model(good, bad, intercept, slope, fit.block, fit.level)
 
