@@ -51,7 +51,7 @@ class Automaton:
         self.origin, self.lacks = [0] * n, [-1] * n
         self.ends: dict[int, int] = {}
         self.gadget: dict[tuple[int, int], int] = {}
-        self.table: dict[tuple[int, int], bool] = {}
+        self.table: dict[int, bool] = {}
         results = set()
         for state, pair in enumerate(model["merges"], 1):
             u, v = (self.ids[x] for x in (pair.split(" ") if isinstance(pair, str) else pair))
@@ -139,12 +139,12 @@ class Automaton:
                 continue
             token, end = choices[-1].pop()
             if path:
-                key = (path[-1], token)
+                key = path[-1] << 32 | token
                 found = table.get(key)
                 if found is None:
-                    if len(table) > 1_000_000:
+                    if len(table) >= 250_000:
                         table.clear()
-                    found = table[key] = self._has_arc(*key)
+                    found = table[key] = self._has_arc(path[-1], token)
                 if not found or (end, token) in dead:
                     continue
             elif (end, token) in dead:
@@ -177,26 +177,27 @@ class WordTokenizer:
         # the class of white space is spelled out: see SPACE
         self.find = regex.compile(split["pattern"]["Regex"].replace(r"^\s", "^" + SPACE.pattern[1:-2])).findall
         self.bytes = byte_alphabet()
-        self.words, self.units = WordCache(self._word), WordCache(self._unit)
+        # small enough that workers which run other operators as well keep room
+        self.words, self.units = WordCache(self._word, 60_000), WordCache(self._unit, 80_000)
 
     def _word(self, word: str) -> list[int]:
         return self.automaton.encode_word("".join(map(self.bytes.__getitem__, word.encode())))
 
-    def _unit(self, unit: str) -> tuple[int, str, str, tuple[int, ...]]:
-        """Of a string without white space: the number of tokens, the ids and the labels in text, the ids."""
+    def _unit(self, unit: str) -> tuple[int, str, str]:
+        """Of a string without white space: the number of tokens, and their ids and labels, joined by spaces."""
         if BEYOND_LATIN.search(unit):  # letters of a Unicode version that only the library knows
             ids = [i for w, _ in self.presplit(unit) for i in self.automaton.encode_word(w)]
         else:
             ids = [i for w in self.find(unit) for i in self.words[w]]
-        return len(ids), " ".join(map(str, ids)), " ".join(map(self.label.__getitem__, ids)), tuple(ids)
+        return len(ids), " ".join(map(str, ids)), " ".join(map(self.label.__getitem__, ids))
 
-    def parts(self, text: str) -> list[tuple[int, str, str, tuple[int, ...]]]:
+    def parts(self, text: str) -> list[tuple[int, str, str]]:
         """What ``_unit`` gives for each stretch of a text between white space, in order."""
         if "<" in text and len(pieces := self.split_special.split(text)) > 1:
             out = []
             for piece in pieces:
                 if (i := self.special.get(piece)) is not None:
-                    out.append((1, str(i), piece, (i,)))
+                    out.append((1, str(i), piece))
                 else:
                     out += self.parts(piece)
             return out
@@ -206,7 +207,7 @@ class WordTokenizer:
         return [found[u] for u in units if u]
 
     def encode(self, text: str) -> list[int]:
-        return [i for part in self.parts(text) for i in part[3]]
+        return [int(i) for part in self.parts(text) for i in part[1].split()]
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.label[i] for i in ids if i in self.label)
