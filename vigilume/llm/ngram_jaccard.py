@@ -49,7 +49,7 @@ class Join:
     over: int = 100
     growth: float = 1.5
     bits: int = 2048
-    block: int = 512
+    block: int = 1024
     hubs: int = 64
     common: int = 8
 
