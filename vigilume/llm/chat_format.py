@@ -67,13 +67,10 @@ def reply_paths(messages: DataFrame, chosen: int | None = 1) -> DataFrame:
     # branches are no longer than the number of messages: whatever is open then runs in a circle
     while 1 << len(levels) <= 2 * most and not level.where("up is not null").isEmpty():
         above = level.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("total").alias("plus"))
-        level = stored(
-            level.join(above, "up", "left").select(
-                "node", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-                (F.col("total") + F.coalesce("plus", F.lit(0.0))).alias("total"),
-            ),
-            "replies",
+        further = level.where("up is not null").join(above, "up").select(
+            "node", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("total") + F.col("plus")).alias("total"),
         )
+        level = stored(level.where("up is null").unionAll(further), "replies")
         levels.append(level.select("node", "up"))
     done = level.where("up is null").drop("up")
     leaves = base.select("tree", "node").join(base.select(F.col("up").alias("node")).where("node is not null").distinct(), "node", "left_anti")
