@@ -213,6 +213,18 @@ def test_held_out_labels_are_not_learnt(spark, documents):
     assert quality.keep_good(docs, one).columns == docs.columns
 
 
+def test_score_does_not_depend_on_the_sample_bounds(spark, documents):
+    """Texts that say nothing about their label score the share of label 1, whether or not the bound cuts a label."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice("a river ran under old stone bridges near the mill".split()) for _ in range(60))) for i in range(900)]
+    labels = spark.createDataFrame([(i, int(i % 6 > 0)) for i in range(900)], "doc_id long, quality int")
+    docs = documents(rows)
+    for per_class in (60, 300, 5000):
+        model = quality.fit_model(docs, labels, quality.Fit(per_class=per_class))
+        mean = np.mean([quality.score(model, t) for _, t in rows])
+        assert abs(mean - 5 / 6) < 0.08, per_class
+
+
 def test_quality_without_labels_or_texts(spark, documents):
     labels = spark.createDataFrame([(1, None, 0), (None, 1, 0), (2, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
     model = quality.fit_model(documents(ODD), labels)

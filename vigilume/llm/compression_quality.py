@@ -22,7 +22,8 @@ class Fit:
     """Bounds of the labelled sample the classifier is fitted on, and the dictionaries' parameters.
 
     The sample takes the ``per_class`` labelled ids of either label with the least hash, and of them the documents of at most
-    ``longest`` characters, which are used whole. Half of them make the dictionaries, half fit the curve.
+    ``longest`` characters, which are used whole. Half of them make the dictionaries, half fit the curve. The curve's intercept
+    is moved to the share of the labels among all such documents, so a score doesn't depend on how many of each are sampled.
     Everything that is scored is compressed whole.
     """
 
@@ -75,25 +76,40 @@ def held_out(id_col: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, fit: Fit, id_col: str, text_col: str) -> list[tuple[int, int, str]]:
-    """(id, label, text) of the sample, fetched to the driver: at most 2 x per_class x longest characters.
+def trainable_labels(labels: DataFrame) -> DataFrame:
+    """(id, y): one row for each id that may be learnt from.
 
     Labels that are NULL, rows whose labels disagree, and ids that are NULL are not learnt from.
     """
-    known = (
+    return (
         labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("y"))
         .where("id is not null and y in (0, 1)")
         .where(~held_out(F.col("id")))
         .groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most")
     )
+
+
+def trainable_texts(docs: DataFrame, fit: Fit, id_col: str, text_col: str) -> DataFrame:
+    return texts_of(docs, id_col, text_col).where(F.length("text").between(1, fit.longest))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, fit: Fit, id_col: str, text_col: str) -> list[tuple[int, int, str]]:
+    """(id, label, text) of the sample, fetched to the driver: at most 2 x per_class x longest characters."""
+    known = trainable_labels(labels)
     ids = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(fit.per_class) for y in (0, 1)]
     # at most 2 x per_class ids
     chosen = docs.sparkSession.createDataFrame([tuple(r) for part in ids for r in part.collect()], "id long, y int")
-    texts = texts_of(docs, id_col, text_col).where(F.length("text").between(1, fit.longest))
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "y", "text").collect()
+    rows = trainable_texts(docs, fit, id_col, text_col).join(F.broadcast(chosen), "id").select("id", "y", "text").collect()
     return sorted((tuple(r) for r in rows), key=lambda r: (r[1], zlib.crc32(str(r[0]).encode()), *r))
 
 
+def label_counts(docs: DataFrame, labels: DataFrame, fit: Fit, id_col: str, text_col: str) -> tuple[int, int]:
+    """Documents of label 0 and of label 1 that the sample is drawn from: all of them, by one aggregate."""
+    texts = trainable_texts(docs, fit, id_col, text_col).select("id")
+    n = {r["y"]: r["n"] for r in texts.join(trainable_labels(labels), "id").groupBy("y").agg(F.count("*").alias("n")).collect()}
+    return n.get(0, 0), n.get(1, 0)
+
+
 def fit_model(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on the sample. Without labels of either kind every text scores 0.5."""
     import zstandard
@@ -117,6 +133,9 @@ def fit_model(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), id_col: str
     x = np.array([difference(model, t) for _, _, t in rest])
     y = np.array([y for _, y, _ in rest], float)
     intercept, slope = _logistic(x, y)
+    # the curve has seen the labels in the sample's shares: its log-odds move to those of all documents
+    n0, n1 = label_counts(docs, labels, fit, id_col, text_col)
+    intercept += float(np.log(n1 / n0) - np.log(y.sum() / (len(y) - y.sum())))
     return Model(good, bad, intercept, slope, fit.block, fit.level)
 
 
