@@ -205,6 +205,17 @@ def test_first_lines_stay_and_repeats_of_odd_rows_go(documents):
     assert lines.dedup_lines(documents([])).count() == 0
 
 
+def test_a_short_line_goes_between_different_neighbours(documents):
+    short = ["Licensed under the Apache License, Version 2.0.", "sixteen letters.", "All rights kept, 2024"]
+    rows = [(k, "\n".join(f"{line}\nonly document {k} has this line, number {n}" for n, line in enumerate(short))) for k in range(6)]
+    rows += [(k, f"before {k}\nfifteen letters\nafter {k}") for k in (10, 11)]
+    got = {r["doc_id"]: r for r in lines.dedup_lines(documents(rows)).collect()}
+    for line in short:
+        assert [k for k in sorted(got) if line in got[k]["text"].split("\n")] == [0], line
+    assert [got[k]["n_removed"] for k in range(6)] == [0, 3, 3, 3, 3, 3]
+    assert got[10]["n_removed"] == got[11]["n_removed"] == 0, "a shorter line needs neighbours"
+
+
 # --- shingles
 
 

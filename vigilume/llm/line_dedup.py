@@ -2,8 +2,9 @@
 
 Lines are hashed, and every line starts a gram: the shortest run of lines from it on that has ``noise`` characters. Winnowing looks
 at windows of consecutive grams, each as long as it takes to have ``window`` characters, and selects the gram with the least hash in
-each, the last of several. Two texts that share a run of at least ``noise`` + ``window`` characters (and the rest of the line it ends
-in) share a selected gram, so fingerprints are guaranteed to meet; long lines are windows of their own, and always selected.
+each, the last of several. A line of at least ``noise`` and ``window`` characters is a gram and a window of its own, so it is always
+selected and meets its repeats whatever stands beside it. Shorter lines need neighbours: two texts that share a run of at least
+``noise`` + ``window`` characters (and the rest of the line it ends in) share a selected gram.
 
 Fingerprints are joined with the first place where they occur, in the order of ids and lines, and matches are extended line by line
 both ways as far as the two places agree, up to where the next window's fingerprint takes over. Lines so covered are later repeats
@@ -29,10 +30,14 @@ SPACES = re.compile(r"\s+")
 
 @dataclass(frozen=True)
 class Winnow:
-    """``noise``: characters a repeat must have to count. ``window``: characters between fingerprints at most."""
+    """``noise``: characters a repeat must have to count. ``window``: characters between fingerprints at most.
 
-    noise: int = 60
-    window: int = 60
+    Sixteen characters are about three words: from there on equal lines are copied rather than met by chance, while shorter ones
+    (brackets, numbers, "Yes.", single words) recur in texts of their own and go only with the lines beside them.
+    """
+
+    noise: int = 16
+    window: int = 16
 
 
 def line_hashes(lines: list[str]) -> tuple[list[int], list[int]]:
