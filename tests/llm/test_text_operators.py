@@ -71,6 +71,19 @@ def test_guessed_values_in_context():
     assert [text[a:b] for a, b, *_ in secret_scan.guess_spans(text, 8.0)] == ["Tr0ub4dor&3x!kq", "zX9#kLm2$vQ8"]
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ('pwd="QmWnEbRvTcYxUzIo" and secret="LpOkMjNiUhBvGyCf"', ["QmWnEbRvTcYxUzIo", "LpOkMjNiUhBvGyCf"]),
+    ('secret="LpOkMjNiUhBvGyCf" and pwd="QmWnEbRvTcYxUzIo"', ["LpOkMjNiUhBvGyCf", "QmWnEbRvTcYxUzIo"]),
+    ('pwd="QmWnEbRvTcYxUzIo" or, again, pwd="QmWnEbRvTcYxUzIo"', ["QmWnEbRvTcYxUzIo"] * 2),
+    ('old pwd="QmWnEbRvTcYxUzIo", new pwd="QmWnEbRvTcYxUzIo7"', ["QmWnEbRvTcYxUzIo", "QmWnEbRvTcYxUzIo7"]),
+    ("pwd: QmWnEbRvTcYxUzIo.", ["QmWnEbRvTcYxUzIo"]),
+    ('passphrase: "correct horse battery staple"', ["correct horse battery staple"]),
+    ("The password: important. It is important to keep the secret: placeholder", []),
+])
+def test_letters_and_phrases_are_judged_by_their_cost(text, want):
+    assert [text[a:b] for a, b, *_ in secret_scan.guess_spans(text, 8.0)] == want
+
+
 def test_scan_of_odd_rows(documents):
     got = secret_scan.scan_secrets(documents([*ODD, (9, "secret=abcdefgh12 x")])).collect()
     assert len(got) == len(ODD) + 1 and {r["n_assign"] for r in got if r["doc_id"] != 9} == {0}

@@ -120,7 +120,7 @@ def guess_cost(value: str, ranks: dict[str, int]) -> float:
 
 
 def word_ranks(text: str) -> dict[str, int]:
-    """Known words: the common ones, then those of the text around the value, by how often they occur there."""
+    """Known words: the common ones, then those of the text around the values, by how often they occur there."""
     near = Counter(w.lower() for w in re.findall(r"[^\W\d_]{3,24}", text))
     ranked = sorted(near, key=lambda w: (-near[w], w))
     return {w: i for i, w in reversed([*enumerate(WORDS), *((len(WORDS) + i, w) for i, w in enumerate(ranked))])}
@@ -139,20 +139,26 @@ def hinted(text: str) -> bool:
 
 
 def guess_spans(text: str, limit: float) -> list[tuple[int, int, str, float]]:
-    """(start, end, "guess", log10 of guesses) of the values beside credential words that cost ``limit`` or more."""
+    """(start, end, "guess", log10 of guesses) of the values beside credential words that cost ``limit`` or more.
+
+    The words of the text are those outside of all such values: neither a value itself nor a copy or variant of it beside
+    another credential word makes it a known word, and the order of the values doesn't matter. Plain words and phrases are
+    judged by their cost, as all values are.
+    """
     out, ranks = [], None
     if not hinted(text):
         return out
-    for m in CONTEXT.finditer(text):
-        k = m.lastindex
-        value = m[k].rstrip(",;.)]}>") if k == 3 else m[k]
-        if len(value) < 6 or re.search(r"\s", value) or k == 3 and re.fullmatch(r"[^\W\d_]+", value):
-            continue  # a phrase or an unquoted plain word is prose
+    found = [(m.start(m.lastindex), m.end(m.lastindex), m.lastindex == 3) for m in CONTEXT.finditer(text)]
+    for start, end, bare in found:
+        value = text[start:end].rstrip(",;.)]}>") if bare else text[start:end]
+        if len(value) < 6:
+            continue
         if ranks is None:
-            ranks = word_ranks(text[: m.start(k)] + " " + text[m.end(k) :])
+            ends = [0, *(e for _, e, _ in found)]
+            ranks = word_ranks(" ".join(text[e:s] for e, s in zip(ends, [*(s for s, _, _ in found), len(text)], strict=True)))
         cost = guess_cost(value, ranks)
         if cost >= limit:
-            out.append((m.start(k), m.start(k) + len(value), "guess", cost))
+            out.append((start, start + len(value), "guess", cost))
     return out
 
 
