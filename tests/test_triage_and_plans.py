@@ -77,6 +77,21 @@ def test_an_executable_behind_many_events_counts(spark, events):
     assert tr.session_drilldown(flags, se.sessions(ev, cfg), dated, cfg).first()["summary"] == row["summary"]
 
 
+def test_sessions_of_an_alert_are_rows_of_their_own(spark, tmp_path):
+    flags = judged(spark, [("busy", 0, 0, date(2024, 1, 2), 0, 9.0), ("calm", 0, 0, date(2024, 1, 2), 0, 0.1)], 1.0)
+    rows = [("busy", date(2024, 1, 1 + k % 2), f"s{k}", datetime(2024, 1, 1 + k % 2, k // 120, k // 2 % 60), "high" if k == 7 else "low") for k in range(2000)]
+    rows.append(("calm", date(2024, 1, 2), "c", datetime(2024, 1, 2, 9), "low"))
+    drill = spark.createDataFrame(rows, "user_id string, date date, session_id string, session_start timestamp_ntz, risk string")
+    alerts = tr.alerts(tr.flagged_users(flags), flags, drilldown=drill)
+    (alert,) = alerts.collect()
+    assert [tuple(x) for x in alert["session_drilldown"]] == [(date(2024, 1, 1), 1000, "low"), (date(2024, 1, 2), 1000, "high")]
+    sessions = tr.alert_sessions(alerts, drill)
+    artifacts.save_report(sessions, str(tmp_path / "sessions"))
+    back = spark.read.schema(sessions.schema).json(str(tmp_path / "sessions")).collect()
+    assert back[0].__fields__[:3] == ["alert_id", "date", "session_start"] and {r["alert_id"] for r in back} == {alert["alert_id"]}
+    assert sorted((r["date"], r["session_id"], r["session_start"]) for r in back) == sorted((r[1], r[2], r[3]) for r in rows[:-1])
+
+
 def test_indicators_take_all_flagged_windows(spark):
     rows = [("u", date(2024, 1, d), 0, float(d == 9), 0.4) for d in range(1, 13)]
     errors = spark.createDataFrame(rows, "user_id string, date date, is_insider int, emails_sent double, openness double")

@@ -262,7 +262,8 @@ def alerts(
 ) -> DataFrame:
     """One nested row per caught user of a breakdown or latency table, or of ``flagged_users`` where there are no labels.
 
-    The detection summary has what the table knows. ``drilldown`` adds the flagged dates with their sessions and highest risk.
+    The detection summary has what the table knows. ``drilldown`` adds the flagged dates with the number of their sessions and the
+    highest risk; the sessions themselves are the rows of ``alert_sessions``.
     ``alert_id`` numbers the user among all users of the table in name order.
     """
     limit = judged.agg(F.max("threshold").alias("_threshold"))
@@ -283,14 +284,11 @@ def alerts(
             F.struct(F.col("truth_start").alias("start"), F.col("truth_end").alias("end")).alias("ground_truth_window"),
         ]
     if drilldown is not None:
-        # bounded by a user's flagged dates and the sessions that start on them
         level = F.max(F.when(F.col("risk") == "high", 3).when(F.col("risk") == "medium", 2).otherwise(1))
-        details = F.struct("session_start", "session_id", "pc", "session_end", "duration_min", "risk", "indicators", "summary", "events")
-        per_date = drilldown.groupBy("user_id", "date").agg(
-            F.count("*").alias("sessions"), level.alias("level"), F.array_sort(F.collect_list(details)).alias("details")
-        )
+        per_date = drilldown.groupBy("user_id", "date").agg(F.count("*").alias("sessions"), level.alias("level"))
         risk = F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col("level")).alias("risk")
-        days = per_date.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("date", "sessions", risk, "details"))).alias("session_drilldown"))
+        # bounded by a user's flagged dates
+        days = per_date.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("date", "sessions", risk))).alias("session_drilldown"))
         out = out.join(days, "user_id", "left")
         extra.append(F.col("session_drilldown"))
     number = F.lpad(F.col("_place").cast("string"), F.greatest(F.lit(3), F.length(F.col("_place").cast("string"))), F.lit("0"))
@@ -315,6 +313,13 @@ def alerts(
     )
 
 
+def alert_sessions(alerts: DataFrame, drilldown: DataFrame) -> DataFrame:
+    """One row per session behind an alert, by (alert_id, date, session_start): the drill-down of the users that have one."""
+    first = ("alert_id", "date", "session_start")
+    rows = drilldown.join(alerts.select("alert_id", "user_id"), "user_id")
+    return rows.select(*first, *[c for c in drilldown.columns if c not in first])
+
+
 def flagged_users(judged: DataFrame) -> DataFrame:
     """All users of judged windows without labels, as a breakdown: ``detected`` counts flagged windows, the rate is their share."""
     return judged.groupBy("user_id").agg(

@@ -770,29 +770,27 @@ def session_drilldown(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def alert_table(spark: SparkSession, d: str) -> DataFrame:
-    judged = judged_users(spark, d)
-    breakdown = mt.detection_latency(mt.per_user_breakdown(judged), truth(spark, d))
-    return tr.alerts(breakdown, judged, truth=truth(spark, d), drilldown=drilldown(spark, d))
-
-
 @query
 def alert_report(spark: SparkSession, d: str) -> DataFrame:
-    """Alerts through the JSON sink, read back and flattened."""
+    """Alerts and their sessions through the JSON sink, read back and flattened."""
     home = shared_dir(spark, "alerts")
-    nested = alert_table(spark, d)
-    artifacts.save_report(nested, home)
-    back = spark.read.schema(nested.schema).json(home)
+    judged = judged_users(spark, d)
+    breakdown = mt.detection_latency(mt.per_user_breakdown(judged), truth(spark, d))
+    drill = stored(drilldown(spark, d), "drilldown")
+    nested = tr.alerts(breakdown, judged, truth=truth(spark, d), drilldown=drill)
+    artifacts.save_report(nested, f"{home}/alerts")
+    back = spark.read.schema(nested.schema).json(f"{home}/alerts")
+    sessions = tr.alert_sessions(back, drill)
+    artifacts.save_report(sessions, f"{home}/sessions")
+    counts = spark.read.schema(sessions.schema).json(f"{home}/sessions").groupBy("alert_id").agg(F.count("*").alias("n_sessions"))
     return rounded(
-        back.select(
+        back.join(counts, "alert_id", "left").select(
             "alert_id", "severity", "user_id", "detection_summary.*",
             F.size("top_anomalous_windows").cast("long").alias("n_windows"),
             F.get("top_anomalous_windows", F.lit(0))["anomaly_score"].alias("best_score"),
             F.coalesce("scenario", F.lit(0)).alias("scenario"),
             F.greatest(F.size("session_drilldown"), F.lit(0)).cast("long").alias("n_days"),
-            F.aggregate(
-                F.coalesce("session_drilldown", F.array()), F.lit(0).cast("long"), lambda n, day: n + F.size(day["details"])
-            ).alias("n_sessions"),
+            F.coalesce("n_sessions", F.lit(0).cast("long")).alias("n_sessions"),
         )
     )
 
