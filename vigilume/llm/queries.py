@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigilume.session import ship_package
 
@@ -86,6 +86,13 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, fit_model(docs, table(spark, sf_dir, "labels")))
 
 
+def op13_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilume.llm.pii_sanitise import sanitise
+
+    found = sanitise(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "n_term", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -99,6 +106,7 @@ QUERIES: dict[str, Query] = {
         op8_ngram_jaccard,
         op9_bpe_automaton,
         op10_compression_quality,
+        op13_pii_sanitise,
     )
 }
 
