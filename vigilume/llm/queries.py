@@ -86,6 +86,12 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, fit_model(docs, table(spark, sf_dir, "labels")))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilume.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigilume.llm.pii_sanitise import sanitise
 
@@ -106,6 +112,7 @@ QUERIES: dict[str, Query] = {
         op8_ngram_jaccard,
         op9_bpe_automaton,
         op10_compression_quality,
+        op12_whitening,
         op13_pii_sanitise,
     )
 }
