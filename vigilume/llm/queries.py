@@ -86,6 +86,12 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, fit_model(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilume.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigilume.llm.whitening import whiten
 
@@ -112,6 +118,7 @@ QUERIES: dict[str, Query] = {
         op8_ngram_jaccard,
         op9_bpe_automaton,
         op10_compression_quality,
+        op11_collocations,
         op12_whitening,
         op13_pii_sanitise,
     )
