@@ -57,7 +57,7 @@ def brute(rows, cfg):
         end = min(offs) if offs else datetime(t.year, t.month, t.day, 23, 59, 59)
         inside = [x for x in rows if x[1] == user and x[2] == pc and x[3] not in ("Logon", "Logoff") and t <= x[0] <= end]
         n = {a: sum(x[3] == a for x in inside) for a in {x[3] for x in inside}}
-        share = [c / len(inside) for c in n.values()]
+        share = [c / len(inside) for c in n.values()] if inside else []
         hosts = {x[4]["url"].split("/")[2].split(":")[0] for x in inside if x[3] == "Http" and x[4].get("url")}
         out[(user, pc, t)] = (
             len(inside), n.get("File", 0), n.get("Email", 0), n.get("Http", 0), int(n.get("Connect", 0) > 0),
@@ -94,6 +94,31 @@ def test_features_equal_brute_force_on_overlapping_sessions(events):
     assert max(v[-1] for v in got.values()) <= math.log2(5) + 1e-9
 
 
+def test_entropy_counts_every_activity(events):
+    """Two activities without counts of their own are two classes of the mix, not one."""
+    ev = events(
+        ("2024-01-01T08:00:00", "u", "a", "Logon"), ("2024-01-01T12:00:00", "u", "a", "Logoff"),
+        *[(f"2024-01-01T09:0{i}:00", "u", "a", kind) for i, kind in enumerate(("Print", "Print", "Scan", "Scan"))],
+        ("2024-01-01T13:00:00", "u", "a", "Logon"), ("2024-01-01T14:00:00", "u", "a", "Print"),
+    )
+    rows = sorted(se.session_features(se.sessions(ev, CFG), ev, CFG).collect(), key=lambda r: r["session_start"])
+    assert [(r["session_event_count"], r["session_event_entropy"]) for r in rows] == [(4, 1.0), (1, 0.0)]
+
+
+def test_a_machine_with_most_marks_is_paired_right(events):
+    """Nine marks in ten are of one machine within half a day."""
+    rng = random.Random(3)
+    start = datetime(2024, 1, 1, 6)
+    rows = []
+    for i in range(1500):
+        user, pc = ("u", "hot") if i % 10 else (rng.choice("vw"), rng.choice("pq"))
+        rows.append((start + timedelta(seconds=rng.randrange(40_000), microseconds=i), user, pc, rng.choice(["Logon", "Logoff", "File"]), {}))
+    ev = events(*[(t.isoformat(), u, p, a, e) for t, u, p, a, e in rows])
+    feats = se.session_features(se.sessions(ev, CFG), ev, CFG).collect()
+    got = {(r["user_id"], r["pc"], r["session_start"]): r["session_event_count"] for r in feats}
+    assert got == {k: v[0] for k, v in brute([r for r in rows], CFG).items()}
+
+
 def test_gap_uses_the_previous_session_and_ignores_overlap(events):
     ev = events(
         ("2024-01-01T08:00:00", "u", "a", "Logon"), ("2024-01-01T12:00:00", "u", "a", "Logoff"),

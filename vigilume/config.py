@@ -127,7 +127,6 @@ class Settings:
     work_end: int = 18
     pairing_hours: int = 12
     session_cap_min: float = 720.0
-    session_bin_hours: int = 6
     heavy_files: int = 10
     short_session_min: float = 15.0
     rolling_window: int = 20

@@ -1,8 +1,8 @@
 """Logon-to-logoff sessions, what happened in them, and their daily statistics.
 
-Nothing here pairs sessions with events row by row. Events and session borders are put into one
-time-ordered stream, cut into fixed time bins so that a busy (user, machine) is spread over many
-groups, and a session's amount is the running total at its end minus the one at its start.
+Nothing here pairs sessions with events. Events and session borders are put into one time-ordered stream for each (user,
+machine), and a session's amount is the running total at its end minus the one at its start. The streams are scanned in
+ranges with a carry (``ordering.segmented``), so a machine with most of all events is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -13,17 +13,14 @@ from vigilume.config import SESSION, Settings
 from vigilume.functions.columns import (
     EXECUTABLE, after_hours, has_suffix, host_of, is_activity, lacks_domain, micros, minutes_between, one,
 )
+from vigilume.functions.ordering import segmented
 
 HOUR_US = 3_600_000_000
 KEY = ["session_id", "user_id", "pc", "session_start"]
-# Activities that make up a session's mix (besides Logon and Logoff).
+# Activities with a count of their own in a session (Logon and Logoff are none).
 MIX = ("File", "Email", "Http", "Connect", "Disconnect")
 
 
-def _bin(us: Column, width: int) -> Column:
-    return F.floor(us / F.lit(width)).cast("long")
-
-
 def sessions(events: DataFrame, cfg: Settings) -> DataFrame:
     """Every Logon, closed by the first later Logoff of the same user and machine within the pairing
     limit, else at 23:59:59 of its day. A later Logon does not close a session."""
@@ -32,18 +29,14 @@ def sessions(events: DataFrame, cfg: Settings) -> DataFrame:
         events.where(F.col("activity").isin("Logon", "Logoff"))
         .select("user_id", "pc", "datetime", micros(F.col("datetime")).alias("us"), is_activity("Logoff").alias("off"))
     )
-    home = _bin(F.col("us"), limit)
-    # bins are as wide as the limit: a Logoff can close sessions of its own bin and the one before
-    bins = F.when(F.col("off"), F.array(home - 1, home)).otherwise(F.array(home))
     joinable = ~F.col("off") | (F.col("user_id").isNotNull() & F.col("pc").isNotNull())
-    binned = marks.where(joinable).select("*", F.explode(bins).alias("bin"))
-    later = W.partitionBy("user_id", "pc", "bin").orderBy(F.col("us").desc()).rangeBetween(W.unboundedPreceding, -1)
-    same = W.partitionBy("user_id", "pc", "bin", "us").orderBy("us")
-    logons = (
-        binned.withColumn("next_off", F.min(F.when(F.col("off"), F.col("datetime"))).over(later))
-        .where(~F.col("off"))
-        .withColumn("nth", F.row_number().over(same))
+    # backwards in time, a Logoff of the same instant after the Logon: the latest one met is the next strictly later one
+    paired = segmented(
+        marks.where(joinable), ["user_id", "pc"], [F.col("us").desc(), F.col("off").asc()],
+        latest={"next_off": F.when(F.col("off"), F.col("datetime"))}, keep=~F.col("off"),
     )
+    same = W.partitionBy("user_id", "pc", "us").orderBy("us")
+    logons = paired.withColumn("nth", F.row_number().over(same))
     usable = F.col("pc").isNotNull() & (micros(F.col("next_off")) - F.col("us") <= limit)
     day = F.to_date("datetime")
     midnight = F.expr("cast(date_add(cast(datetime as date), 1) as timestamp_ntz) - interval 1 second")
@@ -70,12 +63,19 @@ def _inside(events: DataFrame) -> DataFrame:
     )
 
 
+def session_activities(events: DataFrame) -> list[str]:
+    """Activities of events that can count towards a session, in order: a code list, one column each."""
+    return sorted(r[0] for r in _inside(events).select("activity").distinct().collect() if r[0] is not None)
+
+
 def session_counts(sess: DataFrame, events: DataFrame, cfg: Settings) -> DataFrame:
-    """Additive per-session amounts, without distinct hosts; one row per session."""
-    width = cfg.session_bin_hours * HOUR_US
+    """Additive per-session amounts, without distinct hosts; one row per session.
+
+    ``kinds`` holds the number of events of every activity that ``events`` know, in alphabetical order.
+    """
+    kinds = session_activities(events)
     exe = is_activity("File") & has_suffix(F.col("filename"), EXECUTABLE)
-    measures = {f"n_{a.lower()}": one(is_activity(a)) for a in MIX} | {
-        "n_other": one(~F.col("activity").isin(*MIX)),
+    measures = {f"_kind_{i}": one(is_activity(a)) for i, a in enumerate(kinds)} | {
         "n_external": one(is_activity("Email") & lacks_domain(F.col("to_addr"), cfg.internal_domain)),
         "n_exe": one(exe),
         "session_attachment_count": F.when(
@@ -85,89 +85,86 @@ def session_counts(sess: DataFrame, events: DataFrame, cfg: Settings) -> DataFra
     facts = ["session_date", "session_end", "duration_min", "is_after_hours", "hour_of_start"]
     flow = _inside(events).select(
         "user_id", "pc", micros(F.col("datetime")).alias("us"), F.lit(1).alias("rank"), F.lit(0).alias("sign"),
-        *[m.alias(n) for n, m in measures.items()],
-    ).withColumn("bin", _bin(F.col("us"), width))
-
-    start, end = micros(F.col("session_start")), micros(F.col("session_end"))
-    pieces = sess.select(*KEY, *facts, start.alias("s"), F.greatest(start, end).alias("e"), (end < start).alias("empty")).select(
-        "*", F.explode(F.sequence(_bin(F.col("s"), width), _bin(F.col("e"), width))).alias("bin")
+        *[m.alias(f"_m_{n}") for n, m in measures.items()],
     )
-    lo = F.greatest("s", F.col("bin") * width)
-    hi = F.least("e", (F.col("bin") + 1) * width - 1)
+    start, end = micros(F.col("session_start")), micros(F.col("session_end"))
     # a border is read before (rank 0) or after (rank 2) the events of its instant
     opening = F.col("sign") < 0
-    borders = pieces.withColumn("sign", F.explode(F.array(F.lit(-1), F.lit(1)))).select(
-        *KEY, *facts, "bin", "sign",
-        F.when(opening, lo).otherwise(hi).alias("us"),
-        F.when(opening | F.col("empty"), 0).otherwise(2).alias("rank"),
+    borders = (
+        sess.select(*KEY, *facts, start.alias("s"), F.greatest(start, end).alias("e"), (end < start).alias("empty"))
+        .withColumn("sign", F.explode(F.array(F.lit(-1), F.lit(1))))
+        .select(
+            *KEY, *facts, "sign", F.when(opening, F.col("s")).otherwise(F.col("e")).alias("us"),
+            F.when(opening | F.col("empty"), 0).otherwise(2).alias("rank"),
+        )
     )
     stream = flow.unionByName(borders, allowMissingColumns=True)
-    so_far = W.partitionBy("user_id", "pc", "bin").orderBy("us", "rank").rowsBetween(W.unboundedPreceding, 0)
-    read = stream.select(
-        *KEY, *facts, "sign", "rank",
-        *[F.coalesce(F.sum(n).over(so_far), F.lit(0)).alias(n) for n in measures],
-    ).where(F.col("sign") != 0)
-    return read.groupBy(*KEY, *facts).agg(*[F.sum(F.col("sign") * F.col(n)).alias(n) for n in measures])
+    read = segmented(
+        stream, ["user_id", "pc"], [F.col("us").asc(), F.col("rank").asc()], totals={n: F.col(f"_m_{n}") for n in measures}, keep=F.col("sign") != 0
+    )
+    summed = read.groupBy(*KEY, *facts).agg(*[F.sum(F.col("sign") * F.col(n)).alias(n) for n in measures])
+    every = [F.col(f"_kind_{i}") for i in range(len(kinds))]
+    of = dict(zip(kinds, every))
+    none = F.lit(0).cast("long")
+    return summed.select(
+        *KEY, *facts, *[of.get(a, none).alias(f"n_{a.lower()}") for a in MIX],
+        (F.array(*every) if every else F.array().cast("array<bigint>")).alias("kinds"),
+        "n_external", "n_exe", "session_attachment_count",
+    )
 
 
-def session_hosts(sess: DataFrame, events: DataFrame, cfg: Settings) -> DataFrame:
+def session_hosts(sess: DataFrame, events: DataFrame) -> DataFrame:
     """Distinct web hosts per session.
 
     Sessions that share an end form a bundle: bundles closed by a Logoff do not overlap each other,
-    nor do those closed by the end of a day, so an event lies in a few bundles at most. A host counts
-    for a session when its last visit within the bundle is not before the session's start.
+    nor do those closed by the end of a day, so an event lies in two bundles of each kind at most: the one that ends next,
+    and the one after where that one ends at the event's instant. A host counts for a session when its last visit within
+    the bundle is not before the session's start.
     """
-    width = cfg.session_bin_hours * HOUR_US
     bundle = ["user_id", "pc", "closed_by_logoff", "end_us"]
     spans = sess.where(F.col("session_end") >= F.col("session_start")).select(
         *KEY, "closed_by_logoff", micros(F.col("session_start")).alias("us"), micros(F.col("session_end")).alias("end_us")
     )
     ends = (
         spans.groupBy(*bundle).agg(F.min("us").alias("lo"))
-        .select("*", F.explode(F.sequence(_bin(F.col("lo"), width), _bin(F.col("end_us"), width))).alias("bin"))
-        .withColumn("us", F.least("end_us", (F.col("bin") + 1) * width - 1))
-        .withColumn("mark", F.struct("us", "lo", "end_us"))
+        .select("user_id", "pc", "closed_by_logoff", F.col("end_us").alias("us"), F.struct("lo", "end_us").alias("mark"))
+        # met before the visits of its instant, and after them
+        .withColumn("rank", F.explode(F.array(F.lit(0), F.lit(2))))
     )
     visits = (
         _inside(events).where(is_activity("Http") & F.col("url").isNotNull())
-        .select("user_id", "pc", micros(F.col("datetime")).alias("us"), host_of(F.col("url")).alias("host"))
-        .select("*", _bin(F.col("us"), width).alias("bin"), F.explode(F.array(F.lit(True), F.lit(False))).alias("closed_by_logoff"))
-    )
-    stream = visits.unionByName(ends.select("user_id", "pc", "closed_by_logoff", "bin", "us", "mark"), allowMissingColumns=True)
-    ahead = W.partitionBy("user_id", "pc", "closed_by_logoff", "bin").orderBy(F.col("us").desc())
-    here = F.min("mark").over(ahead.rangeBetween(W.unboundedPreceding, 0))
-    after = F.min("mark").over(ahead.rangeBetween(W.unboundedPreceding, -1))
-    touching = F.max("mark").over(ahead.rangeBetween(0, 0))
+        .select("user_id", "pc", micros(F.col("datetime")).alias("us"), host_of(F.col("url")).alias("host"), F.lit(1).alias("rank"))
+        .withColumn("closed_by_logoff", F.explode(F.array(F.lit(True), F.lit(False))))
+    )
+    stream = visits.unionByName(ends, allowMissingColumns=True)
+    ahead = segmented(
+        stream, ["user_id", "pc", "closed_by_logoff"], [F.col("us").desc(), F.col("rank").asc()],
+        latest={"here": F.when(F.col("rank") == 0, F.col("mark")), "after": F.when(F.col("rank") == 2, F.col("mark"))}, keep=F.col("rank") == 1,
+    )
     last = (
-        stream.select("*", here.alias("here"), after.alias("after"), touching.alias("touching"))
-        .where(F.col("host").isNotNull())
-        .unpivot(["user_id", "pc", "closed_by_logoff", "us", "host"], ["here", "after", "touching"], "candidate", "m")
+        ahead.select("user_id", "pc", "closed_by_logoff", "us", "host", F.explode(F.array_distinct(F.array("here", "after"))).alias("m"))
         .where(F.col("m.lo") <= F.col("us"))
         .groupBy("user_id", "pc", "closed_by_logoff", F.col("m.end_us").alias("end_us"), "host")
         .agg(F.max("us").alias("us"))
         .drop("host")
         .withColumn("visit", F.lit(1))
     )
-    from_here = W.partitionBy(*bundle).orderBy(F.col("us").desc()).rangeBetween(W.unboundedPreceding, 0)
-    return (
-        spans.unionByName(last, allowMissingColumns=True)
-        .withColumn("session_unique_domains", F.count("visit").over(from_here))
-        .where(F.col("session_id").isNotNull())
-        .select(*KEY, "session_unique_domains")
+    counted = segmented(
+        spans.unionByName(last, allowMissingColumns=True), bundle, [F.col("us").desc(), F.col("visit").asc_nulls_last()],
+        totals={"session_unique_domains": F.col("visit")}, keep=F.col("visit").isNull(),
     )
+    return counted.select(*KEY, F.col("session_unique_domains").cast("long"))
 
 
 def session_features(sess: DataFrame, events: DataFrame, cfg: Settings, hosts: bool = True) -> DataFrame:
-    """Counts, flags and activity-mix entropy (bits) per session.
-
-    Activities outside ``MIX`` count as one further class.
-    """
+    """Counts, flags and entropy (bits) of the mix of activities per session."""
     counts = session_counts(sess, events, cfg)
-    parts = [F.col(f"n_{a.lower()}") for a in MIX] + [F.col("n_other")]
-    total = sum(parts[1:], parts[0])
-    share = [p.cast("double") / F.col("session_event_count") for p in parts]
-    entropy = sum((F.when(p > 0, -s * F.log2(s)).otherwise(0.0) for p, s in zip(parts, share)), F.lit(0.0))
-    out = counts.withColumn("session_event_count", total).select(
+    total = F.col("session_event_count")
+    entropy = F.aggregate(
+        "kinds", F.lit(0.0), lambda a, n: a - F.when(n > 0, n / total * F.log2(n / total)).otherwise(0.0)
+    )
+    events_in = F.aggregate("kinds", F.lit(0).cast("long"), lambda a, n: a + n)
+    out = counts.withColumn("session_event_count", events_in).select(
         *KEY, "session_date", "session_end", "duration_min", "is_after_hours", "hour_of_start",
         "session_event_count",
         F.col("n_file").alias("session_file_count"),
@@ -177,18 +174,20 @@ def session_features(sess: DataFrame, events: DataFrame, cfg: Settings, hosts: b
         one(F.col("n_external") > 0).alias("session_external_email"),
         one(F.col("n_exe") > 0).alias("session_exe_copied"),
         "session_attachment_count",
-        F.when(F.col("session_event_count") > 0, entropy).otherwise(0.0).alias("session_event_entropy"),
+        F.when(total > 0, entropy).otherwise(0.0).alias("session_event_entropy"),
     )
     if not hosts:
         return out
-    distinct = session_hosts(sess, events, cfg)
+    distinct = session_hosts(sess, events)
     return out.join(distinct, KEY, "left").na.fill(0, ["session_unique_domains"])
 
 
 def add_gaps(sess: DataFrame) -> DataFrame:
     """Add ``gap``: minutes since the end of the session that started before, of the same user and day."""
-    day = W.partitionBy("user_id", "session_date").orderBy("session_start", "pc", "session_id")
-    return sess.withColumn("gap", minutes_between(F.lag("session_end").over(day), F.col("session_start")))
+    ordered = segmented(
+        sess, ["user_id", "session_date"], [F.col(c).asc() for c in ("session_start", "pc", "session_id")], previous={"_end": F.col("session_end")}
+    )
+    return ordered.withColumn("gap", minutes_between(F.col("_end"), F.col("session_start"))).drop("_end")
 
 
 def session_gaps(sess: DataFrame) -> DataFrame:
