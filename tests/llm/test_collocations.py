@@ -59,7 +59,7 @@ def corpus(seed, n=160):
     return docs
 
 
-@pytest.mark.parametrize("how", [Phrases(least=12, top=40, shard=2000), Phrases(least=5, closed=80), Phrases(least=3, top=1000, longest=3, shard=500)])
+@pytest.mark.parametrize("how", [Phrases(least=12, top=40, shard=2000), Phrases(least=5, closed=80, sent=3), Phrases(least=3, top=1000, longest=3, shard=500)])
 def test_rows_equal_brute_force(spark, how):
     docs = corpus(how.least)
     expected = brute(docs, how)

@@ -34,13 +34,15 @@ ROWS = 65_536
 @dataclass(frozen=True)
 class Phrases:
     """``least``: occurrences of a phrase; ``longest``: words in it; ``top``: phrases of a language in the report; ``closed``: a
-    phrase goes when a longer one that holds it has so many percent of its occurrences. ``shard``: bytes of text in a shard."""
+    phrase goes when a longer one that holds it has so many percent of its occurrences. ``shard``: bytes of text in a shard.
+    ``sent``: frequent pairs (16 bytes each) that every task gets at most; if there are more, each shard gets its own by a join."""
 
     least: int = 100
     longest: int = 5
     top: int = 2000
     closed: int = 100
     shard: int = 16 << 20
+    sent: int = 2_000_000
 
 
 # --- shards ------------------------------------------------------------------------------------
@@ -214,14 +216,14 @@ def runs_of_words(sequence: np.ndarray, numbers: np.ndarray) -> np.ndarray:
 
 
 def indexed(shards: DataFrame, words: DataFrame) -> DataFrame:
-    """(shard, alphabet, before): the index of each shard, and (shard, w1, w2, start, n): its intervals of two words.
+    """(shard, alphabet, before): the index of each shard; ``words`` has (lang, word, id), the words that count.
 
-    ``words`` has (lang, word, id), the words that count. A shard's vocabulary is joined with them, not the texts.
+    A shard's vocabulary is joined with them, not the texts.
     """
     local = shards.select("shard", "lang", F.posexplode("words").alias("at", "word")).join(words, ["lang", "word"])
     numbers = local.groupBy("shard").agg(F.collect_list("at").alias("ats"), F.collect_list("id").alias("ids"))
     both = shards.select("shard", F.size("words").alias("n"), "sequence").join(numbers, "shard").select("shard", "n", "sequence", "ats", "ids")
-    schema = "shard long, w1 long, w2 long, start long, n long, alphabet binary, before binary"
+    schema = "shard long, alphabet binary, before binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,18 +233,27 @@ def indexed(shards: DataFrame, words: DataFrame) -> DataFrame:
                 numbers[ats.values.to_numpy()] = ids.values.to_numpy()
                 known = runs_of_words(unpacked(data.as_py(), np.int32), numbers)
                 alphabet, symbols = np.unique(known, return_inverse=True)
-                before = transform(symbols.astype(np.int32))
-                yield _rows(schema, 1, shard=shard.as_py(), alphabet=packed(alphabet), before=packed(before.astype(np.int32)))
-                index = Index.of_transform(before)
-                starts, sizes = pairs_of(index)
-                first, second = index.words(starts, 2)
+                yield _rows(schema, 1, shard=shard.as_py(), alphabet=packed(alphabet), before=packed(transform(symbols.astype(np.int32)).astype(np.int32)))
+
+    return both.mapInArrow(run, schema)
+
+
+def intervals_of_pairs(index: DataFrame) -> DataFrame:
+    """(shard, w1, w2, start, n): each shard's intervals of two words."""
+    schema = "shard long, w1 long, w2 long, start long, n long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                shard, alphabet, before = (batch.column(c)[k].as_py() for c in range(3))
+                alphabet, own = unpacked(alphabet, np.int64), Index.of_transform(unpacked(before, np.int32))
+                starts, sizes = pairs_of(own)
+                first, second = own.words(starts, 2)
                 for i in range(0, len(starts), ROWS):
                     part = slice(i, i + ROWS)
-                    yield _rows(
-                        schema, len(starts[part]), shard=shard.as_py(), w1=alphabet[first[part]], w2=alphabet[second[part]], start=starts[part], n=sizes[part],
-                    )
+                    yield _rows(schema, len(starts[part]), shard=shard, w1=alphabet[first[part]], w2=alphabet[second[part]], start=starts[part], n=sizes[part])
 
-    return both.mapInArrow(run, schema)
+    return index.select("shard", "alphabet", "before").mapInArrow(run, schema)
 
 
 def _rows(schema: str, count: int, **values: object) -> pa.RecordBatch:
@@ -255,26 +266,58 @@ def _rows(schema: str, count: int, **values: object) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=[name for name, _ in fields])
 
 
-def longer_phrases(index: DataFrame, pairs: DataFrame, longest: int) -> DataFrame:
-    """(w1, ..., n): phrases of more than two words by shard, from (shard, start, n), the intervals of frequent pairs."""
-    held = pairs.groupBy("shard").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("sizes"))
-    names = [f"w{i + 1}" for i in range(longest)]
+def longer_phrases(index: DataFrame, pairs: DataFrame, how: Phrases) -> DataFrame:
+    """(w1, ..., n): phrases of more than two words by shard, which hold only the frequent ``pairs`` (w1, w2)."""
+    names = [f"w{i + 1}" for i in range(how.longest)]
     schema = ", ".join(f"{c} long" for c in [*names, "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def enumerated(alphabet: np.ndarray, own: Index, starts: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for length, at, n in longer_of(own, starts, sizes, how.longest):
+            words = own.words(at, length)
+            for i in range(0, len(at), ROWS):
+                part = slice(i, i + ROWS)
+                yield _rows(schema, len(at[part]), n=n[part], **{c: alphabet[w[part]] for c, w in zip(names, words)})
+
+    known = pairs.select("w1", "w2").limit(how.sent + 1).collect()
+    if len(known) <= how.sent:
+        table = np.array(known, np.int64).reshape(-1, 2)
+        sent = index.sparkSession.sparkContext.broadcast(table[np.lexsort((table[:, 1], table[:, 0]))])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    alphabet, before = (batch.column(c)[k].as_py() for c in range(2))
+                    alphabet, own = unpacked(alphabet, np.int64), Index.of_transform(unpacked(before, np.int32))
+                    starts, sizes = pairs_of(own)
+                    kept = _among(*own.words(starts, 2), alphabet, sent.value)
+                    yield from enumerated(alphabet, own, starts[kept], sizes[kept])
+
+        return index.select("alphabet", "before").mapInArrow(run, schema)
+
+    held = (
+        intervals_of_pairs(index).join(pairs.select("w1", "w2"), ["w1", "w2"]).groupBy("shard")
+        .agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("sizes"))
+    )
+
+    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 alphabet, before, starts, sizes = (batch.column(c)[k] for c in range(4))
-                alphabet = unpacked(alphabet.as_py(), np.int64)
                 own = Index.of_transform(unpacked(before.as_py(), np.int32))
-                for length, at, n in longer_of(own, starts.values.to_numpy(), sizes.values.to_numpy(), longest):
-                    words = own.words(at, length)
-                    for i in range(0, len(at), ROWS):
-                        part = slice(i, i + ROWS)
-                        found = {c: alphabet[w[part]] for c, w in zip(names, words)}
-                        yield _rows(schema, len(at[part]), n=n[part], **found)
+                yield from enumerated(unpacked(alphabet.as_py(), np.int64), own, starts.values.to_numpy(), sizes.values.to_numpy())
+
+    return index.join(held, "shard").select("alphabet", "before", "starts", "sizes").mapInArrow(run_joined, schema)
+
 
-    return index.join(held, "shard").select("alphabet", "before", "starts", "sizes").mapInArrow(run, schema)
+def _among(first: np.ndarray, second: np.ndarray, alphabet: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which pairs of a shard's numbers are among the rows of ``table``, pairs of global numbers."""
+    place = np.full((len(table), 2), -1)
+    for side in (0, 1):
+        at = np.searchsorted(alphabet, table[:, side])
+        at[at == len(alphabet)] = 0
+        place[:, side] = np.where(alphabet[at] == table[:, side], at, -1)
+    place = place[(place >= 0).all(axis=1)]
+    return np.isin(first.astype(np.int64) * len(alphabet) + second, place[:, 0] * len(alphabet) + place[:, 1])
 
 
 def frequent_phrases(docs: DataFrame, how: Phrases) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -288,11 +331,10 @@ def frequent_phrases(docs: DataFrame, how: Phrases) -> tuple[DataFrame, DataFram
     )
     words = stored(ranked(counted.select("lang", "word", "f", F.struct("lang", "word").alias("by")), "by", "id").drop("by"), "frequent-words")
     index = stored(indexed(shards, words.select("lang", "word", "id")), "word-index")
-    intervals = index.where("w1 is not null").select("shard", "w1", "w2", "start", "n")
-    pairs = stored(intervals.groupBy("w1", "w2").agg(F.sum("n").alias("f")).where(F.col("f") >= how.least), "frequent-pairs")
-    kept = intervals.join(pairs.select("w1", "w2"), ["w1", "w2"]).select("shard", "start", "n")
+    summed = intervals_of_pairs(index).groupBy("w1", "w2").agg(F.sum("n").alias("f"))
+    pairs = stored(summed.where(F.col("f") >= how.least), "frequent-pairs")
     names = [f"w{i + 1}" for i in range(how.longest)]
-    more = longer_phrases(index.where("before is not null").select("shard", "alphabet", "before"), kept, how.longest) if how.longest > 2 else None
+    more = longer_phrases(index, pairs, how) if how.longest > 2 else None
     found = [words.select(F.array("id").alias("key"), "f"), pairs.select(F.array("w1", "w2").alias("key"), "f")]
     if more is not None:
         summed = more.groupBy(*names).agg(F.sum("n").alias("f")).where(F.col("f") >= how.least)
