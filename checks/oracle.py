@@ -748,7 +748,8 @@ oracle("inference_features", "SELECT s.user_id, s.date, " + ", ".join(f"s.{c}" i
 oracle("stream_daily", """SELECT user_id, CAST(datetime AS DATE) AS date, count(*) AS total_actions, count(*) FILTER (activity = 'Logon') AS num_sessions,
   count(*) FILTER (activity = 'Http') AS http_request_count, count(*) FILTER (activity = 'Email') AS emails_sent,
   count(*) FILTER (activity = 'File') AS file_copy_count, count(*) FILTER (activity = 'Connect') AS usb_connect_count,
-  count(*) FILTER (hour(datetime) < 8 OR hour(datetime) >= 18) AS after_hours_actions
+  count(*) FILTER (hour(datetime) < 8 OR hour(datetime) >= 18) AS after_hours_actions,
+  count(DISTINCT split_part(split_part(url, '/', 3), ':', 1)) FILTER (activity = 'Http') AS unique_domains
 FROM ev GROUP BY user_id, CAST(datetime AS DATE)""")
 oracle("stream_sessions", f"""SELECT user_id, pc, session_date, session_start, session_end, hour_of_start, {r6('duration_min')} AS duration_min,
   is_after_hours FROM sess""")

@@ -52,3 +52,33 @@ def test_sessions_equal_the_batch_operator(spark, events, tmp_path, zone):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert got == want and len(got) == 6
+
+
+def test_live_domains_are_exact_over_batches(spark, events, tmp_path):
+    """A host met again after more than the lateness, in another batch, still counts once for its day."""
+    visit = lambda t, host: (t, "u", "p", "Http", {"url": f"http://{host}/x"})
+    batches = [
+        events(visit("2024-01-01T01:00:00", "a.org"), visit("2024-01-01T01:05:00", "a.org:80")),
+        events(visit("2024-01-01T12:00:00", "b.org"), ("2024-01-01T13:00:00", "u", "p", "Http")),
+        events(visit("2024-01-01T23:00:00", "a.org"), visit("2024-01-02T01:00:00", "a.org")),
+        events(visit("2024-01-02T02:00:00", "c.org"), ("2024-01-02T03:00:00", "v", "p", "Email")),
+    ]
+    counts = sd.live_daily(as_stream(spark, batches, str(tmp_path)), CFG, late="1 hour")
+    got = {(r["user_id"], str(r["date"])): (r["total_actions"], r["unique_domains"]) for r in sd.run_available(counts, ["user_id", "date"]).collect()}
+    assert got == {("u", "2024-01-01"): (5, 2), ("u", "2024-01-02"): (2, 2), ("v", "2024-01-02"): (1, 0)}
+
+
+def test_state_written_follows_the_new_marks(spark, events, tmp_path, monkeypatch):
+    """Six batches of as many marks of one bin write as much state each, however many marks the bin holds already."""
+    monkeypatch.setattr(sd, "shared_dir", lambda spark, label: str(tmp_path / label))
+    start = datetime(2024, 1, 1, 1)
+    marks = [((start + timedelta(seconds=10 * i)).isoformat(), "u", "p", "Logoff" if i % 3 else "Logon") for i in range(1200)]
+    batches = [events(*marks[k : k + 200]) for k in range(0, 1200, 200)]
+    live = ss.live_sessions(as_stream(spark, batches, str(tmp_path / "in")), CFG)
+    assert sd.run_available(live, ss.SESSION_KEYS).count() == 400
+    written = {}
+    for path in (tmp_path / "stream" / "checkpoint" / "state").rglob("*.changelog"):
+        version = int(path.name.split(".")[0].split("_")[0])
+        written[version] = written.get(version, 0) + path.stat().st_size
+    sizes = [written[v] for v in sorted(written)][:6]
+    assert len(sizes) == 6 and max(sizes[1:]) <= 1.5 * min(sizes[1:])
