@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from vigilume.config import Settings
 from vigilume.operators import augment, features as ft, scoring as sc, windows as wn
+from vigilume.session import stored
 from vigilume.sources import artifacts
 
 FIRST = date(2024, 1, 1)
@@ -72,6 +73,47 @@ def test_dictionary_null_last_and_unseen(spark):
         ft.dictionary_sizes(codes, ["role", "pc"])
 
 
+def test_frequent_values_stay_out_of_the_shuffled_join(spark):
+    """Nine days in ten have one role: codes are right, and with no broadcast of the dictionary no task gets most days."""
+    rows = [(f"u{i}", "boss" if i % 10 else (None if i % 20 == 0 else f"r{i % 300:03d}")) for i in range(6000)]
+    days = spark.createDataFrame(rows, "user_id string, role string")
+    codes = stored(ft.fit_dictionary(days, ["role"]), "codes")
+    frequent = ft.frequent_values(days, ["role"], most=4)
+    assert "boss" in frequent["role"] and len(frequent["role"]) <= 4
+    names = sorted({r for _, r in rows if r}) + [None]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for known in (frequent, {"role": [None, "boss"]}, {"role": []}):
+            out = ft.encode(days, codes, ["role"], known)
+            assert {(r.user_id, r.role_encoded) for r in out.collect()} == {(u, names.index(r)) for u, r in rows}
+        tasks = [r["n"] for r in ft.encode(days, codes, ["role"], frequent).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert sum(tasks) == 6000 and max(tasks) <= 1.5 * 6000 / len(tasks) and len(tasks) > 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_artifacts_appear_all_at_once(spark, tmp_path, monkeypatch):
+    cfg = Settings()
+    scaler = lambda x: spark.createDataFrame([("a", float(x), 1.0)], "feature string, mean double, std double")
+    codes = lambda x: spark.createDataFrame([("role", "r", x)], "feature string, value string, code int")
+    home = str(tmp_path / "artifacts")
+    assert artifacts.save(home, scaler(1), codes(1), cfg) == 1
+
+    # the write breaks off between the tables
+    with pytest.raises(Exception, match="does_not_exist"):
+        artifacts.save(home, artifacts.load(spark, home).scaler, codes(2).select(F.raise_error(F.lit("does_not_exist")).alias("code")), cfg)
+    found = artifacts.load(spark, home)
+    assert artifacts.versions(spark, home) == [1] and found.scaler.first()["mean"] == 1.0 and found.dictionary.first()["code"] == 1
+    assert artifacts.save(home, scaler(3), codes(3), cfg) == 2
+    assert artifacts.load(spark, home).scaler.first()["mean"] == 3.0 and artifacts.load(spark, home, 1).dictionary.first()["code"] == 1
+    # what was read before the second version stays as it was
+    assert found.scaler.first()["mean"] == 1.0
+    with pytest.raises(FileNotFoundError):
+        artifacts.load(spark, home, 7)
+
+
 def test_missing_artifacts(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         artifacts.load(spark, str(tmp_path / "none"))
@@ -129,6 +171,15 @@ def test_pca_error_equals_projection_residual(spark):
     assert np.allclose(got, ((x - x @ p @ p.T) ** 2).mean(axis=1))
 
 
+def test_windows_copy_no_days(spark, days):
+    """Windows are framed on a user's days: no day is exploded into the windows that cover it."""
+    encoded = sc.day_vectors(days, ["x"])
+    model = sc.fit_pca(encoded, 1)
+    for df in (wn.sliding_windows(days, ["x"], [], 5, 3), sc.window_embedding(model.transform(encoded), 1, 5, 3)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and plan.count("Exchange") == 1
+
+
 def test_supplied_model_and_pooling_equal_numpy(spark):
     import numpy as np
 

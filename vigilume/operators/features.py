@@ -94,11 +94,25 @@ def dictionary_sizes(dictionary: DataFrame, columns: Sequence[str]) -> DataFrame
     return sizes
 
 
-def encode(days: DataFrame, dictionary: DataFrame, columns: Sequence[str]) -> DataFrame:
+def frequent_values(days: DataFrame, columns: Sequence[str], most: int = 64, tracked: int = 4096) -> dict[str, list[str | None]]:
+    """Of each column the values that hold most days, by a frequent-items sketch: ``most`` at the most.
+
+    The sketch (a merged Misra-Gries summary of ``tracked`` counters) is an aggregate, so it takes one pass and a bounded row
+    for each task; it names every value that holds more than one day in ``tracked`` (times 4/3).
+    """
+    tagged = days.select(*[F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")).alias(c) for c in columns])
+    found = tagged.agg(*[F.expr(f"approx_top_k(`{c}`, {most}, {tracked})").alias(c) for c in columns]).first()
+    return {c: [None if item[0] == "n" else item[0][1:] for item in found[c] or []] for c in columns}
+
+
+def encode(
+    days: DataFrame, dictionary: DataFrame, columns: Sequence[str], frequent: dict[str, list[str | None]] | None = None
+) -> DataFrame:
     """Add ``<column>_encoded``; a value that is not in the dictionary gets the largest code + 1.
 
-    Small dictionaries are broadcast by Spark on their measured size; a large one is shuffled, and
-    adaptive execution splits a value shared by very many days.
+    Small dictionaries are broadcast by Spark on their measured size. For large ones, ``frequent`` (of :func:`frequent_values`) keeps
+    values with very many days out of the shuffled join: their codes are broadcast, a bounded number, and their days are
+    dealt evenly.
     """
     unseen = dictionary.agg(
         *[F.coalesce(F.max(F.when(F.col("feature") == c, F.col("code"))) + 1, F.lit(0)).alias(f"_unseen_{c}") for c in columns]
@@ -106,21 +120,43 @@ def encode(days: DataFrame, dictionary: DataFrame, columns: Sequence[str]) -> Da
     out = with_scalars(days, unseen)
     for c in columns:
         codes = dictionary.where(F.col("feature") == c).select(F.col("value").alias("_value"), F.col("code").alias(f"_code_{c}"))
-        out = out.join(codes, F.col(c).cast("string").eqNullSafe(F.col("_value")), "left").drop("_value")
+        if frequent and frequent.get(c):
+            out = _join_frequent(out, codes, c, frequent[c])
+        else:
+            out = out.join(codes, F.col(c).cast("string").eqNullSafe(F.col("_value")), "left").drop("_value")
     return out.select(
         *days.columns, *[F.coalesce(f"_code_{c}", f"_unseen_{c}").alias(f"{c}_encoded") for c in columns]
     )
 
 
+def _join_frequent(days: DataFrame, codes: DataFrame, column: str, values: list[str | None]) -> DataFrame:
+    named = [v for v in values if v is not None]
+
+    def is_frequent(value: Column) -> Column:
+        return F.when(value.isNull(), F.lit(None in values)).otherwise(value.isin(named))
+
+    own, code = F.col(column).cast("string"), f"_code_{column}"
+    hot = codes.where(is_frequent(F.col("_value"))).withColumnRenamed(code, "_hot")
+    with_hot = days.join(F.broadcast(hot), own.eqNullSafe(F.col("_value")), "left").drop("_value")
+    # keys of frequent values match nothing and lie apart, so their days go to all tasks
+    apart = F.concat(F.lit("hot "), F.pmod(F.xxhash64(*[F.col(c) for c in days.columns]), F.lit(4096)).cast("string"))
+    tagged = lambda value: F.coalesce(F.concat(F.lit("v"), value), F.lit("n"))
+    rest = codes.where(~is_frequent(F.col("_value"))).select(tagged(F.col("_value")).alias("_other"), code)
+    keyed = with_hot.withColumn("_key", F.when(is_frequent(own), apart).otherwise(tagged(own)))
+    joined = keyed.join(rest, F.col("_key") == F.col("_other"), "left")
+    return joined.select(*days.columns, F.coalesce("_hot", code).alias(code))
+
+
 def fit_scaler(train_days: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, mean, std) over the training days; a constant feature gets std 1."""
-    values = train_days.select(F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("place", "x"))
-    stats = values.groupBy("place").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
-    return stats.select(
-        F.get(F.array(*[F.lit(c) for c in columns]), F.col("place")).alias("feature"),
-        "mean",
-        F.when(F.col("std") < SMALLEST_STD, 1.0).otherwise(F.col("std")).alias("std"),
+    stats = train_days.agg(
+        *[F.avg(F.col(c).cast("double")).alias(f"mean_{c}") for c in columns],
+        *[F.stddev_pop(F.col(c).cast("double")).alias(f"std_{c}") for c in columns],
     )
+    # one row becomes one for each feature
+    parts = [F.struct(F.lit(c).alias("feature"), F.col(f"mean_{c}").alias("mean"), F.col(f"std_{c}").alias("std")) for c in columns]
+    rows = stats.select(F.inline(F.array(*parts)))
+    return rows.where(F.col("mean").isNotNull()).withColumn("std", F.when(F.col("std") < SMALLEST_STD, 1.0).otherwise(F.col("std")))
 
 
 def apply_scaler(days: DataFrame, scaler: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import DoubleType
 
 from vigilume.config import Settings
-from vigilume.operators.windows import WINDOW, window_days, window_totals
+from vigilume.operators.windows import WINDOW, window_totals
 
 
 def profile_errors(days: DataFrame, columns: Sequence[str], history: int) -> DataFrame:
@@ -72,14 +72,14 @@ def window_embedding(encoded: DataFrame, width: int, lookback: int, stride: int,
     """One vector per window from encoded days of ``width`` numbers: their mean (padding counts as
     zeros) or the last day."""
     day = encoded.select("user_id", "date", vector_to_array("encoded").alias("z"))
-    members = window_days(day, lookback, stride)
+    names = [f"_z{i}" for i in range(width)]
     if pooling == "last":
-        pooled = F.max_by("z", "pos")
+        pooled, totals = F.col("_last"), {"_last": F.last("z")}
     elif pooling == "mean":
-        pooled = F.array(*[F.sum(F.col("z")[i]) / F.lit(float(lookback)) for i in range(width)])
+        pooled, totals = F.array(*[F.col(n) / F.lit(float(lookback)) for n in names]), {n: F.sum(F.col("z")[i]) for i, n in enumerate(names)}
     else:
         raise ValueError(f"unknown pooling {pooling!r}")
-    return members.groupBy(*WINDOW).agg(F.max("date").alias("end_date"), pooled.alias("embedding"))
+    return window_totals(day, lookback, stride, end_date=F.max("date"), **totals).select(*WINDOW, "end_date", pooled.alias("embedding"))
 
 
 def mean_pool(vectors: DataFrame, group: str, vector: str) -> DataFrame:

@@ -100,19 +100,24 @@ def window_labels(members: DataFrame) -> DataFrame:
 def sliding_windows(
     days: DataFrame, vector: Sequence[str], codes: Sequence[str], lookback: int, stride: int
 ) -> DataFrame:
-    """One row per window with its days as an array of (pos, date, x, cat), zero-padded on the left."""
+    """One row per window with its days as an array of (pos, date, x, cat), zero-padded on the left.
+
+    The array is framed on a user's days, and the days on which a window ends are kept: no day is copied to windows and shuffled.
+    """
     day = days.select(
         "user_id", "date", "is_insider",
         F.array(*[F.col(c).cast("double") for c in vector]).alias("x"),
         F.array(*[F.col(c).cast("int") for c in codes]).cast("array<int>").alias("cat"),
     )
-    members = window_days(day, lookback, stride)
-    rows = members.groupBy(*WINDOW).agg(
-        F.max("is_insider").alias("label"),
-        F.max("date").alias("end_date"),
-        F.max("padding").alias("padding"),
-        F.array_sort(F.collect_list(F.struct("pos", "date", "x", "cat"))).alias("days"),
+    framed = window_totals(
+        day, lookback, stride,
+        label=F.max("is_insider"), end_date=F.max("date"), _framed=F.collect_list(F.struct("date", "x", "cat")),
+    )
+    placed = F.transform(
+        "_framed",
+        lambda e, i: F.struct((F.col("padding") + i).cast("int").alias("pos"), e["date"].alias("date"), e["x"].alias("x"), e["cat"].alias("cat")),
     )
+    rows = framed.select(*WINDOW, "label", "end_date", "padding", placed.alias("days"))
     empty = F.struct(
         F.lit(0).alias("pos"),
         F.lit(None).cast("date").alias("date"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -52,15 +52,21 @@ class Prepared:
     days: DataFrame
     splits: DataFrame
     scaler: DataFrame
+    dictionaries: dict[tuple[str, ...], DataFrame] = field(default_factory=dict, repr=False, compare=False)
 
     def scaled(self, cfg: Settings) -> DataFrame:
         return features.apply_scaler(self.days, self.scaler, cfg.scaled)
 
     def dictionary(self, cfg: Settings) -> DataFrame:
-        return features.fit_dictionary(self.days, cfg.categorical)
+        """Fitted and stored at its first use: every encoded column reads it."""
+        columns = tuple(cfg.categorical)
+        if columns not in self.dictionaries:
+            self.dictionaries[columns] = stored(features.fit_dictionary(self.days, columns), "dictionary")
+        return self.dictionaries[columns]
 
     def encoded(self, cfg: Settings) -> DataFrame:
-        return features.encode(self.scaled(cfg), self.dictionary(cfg), cfg.categorical)
+        frequent = features.frequent_values(self.days, cfg.categorical)
+        return features.encode(self.scaled(cfg), self.dictionary(cfg), cfg.categorical, frequent)
 
 
 def prepare(inputs: Inputs, cfg: Settings) -> Prepared:

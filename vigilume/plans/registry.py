@@ -340,15 +340,15 @@ def calendar_features(spark: SparkSession, d: str) -> DataFrame:
 @query
 def dictionary_encode(spark: SparkSession, d: str) -> DataFrame:
     days = stored(keys_of_days(spark, d), "keys")
-    out = ft.encode(days, ft.fit_dictionary(days, CATEGORICAL), CATEGORICAL)
+    out = ft.encode(days, stored(ft.fit_dictionary(days, CATEGORICAL), "dictionary"), CATEGORICAL, ft.frequent_values(days, CATEGORICAL))
     return out.select("user_id", "date", *[f"{c}_encoded" for c in CATEGORICAL])
 
 
 @query
 def encode_unseen(spark: SparkSession, d: str) -> DataFrame:
     days = stored(keys_of_days(spark, d), "keys")
-    known = ft.fit_dictionary(days.where(F.col("date") < "2024-01-08"), CATEGORICAL)
-    return ft.encode(days, known, CATEGORICAL).select("user_id", "date", *[f"{c}_encoded" for c in CATEGORICAL])
+    known = stored(ft.fit_dictionary(days.where(F.col("date") < "2024-01-08"), CATEGORICAL), "dictionary")
+    return ft.encode(days, known, CATEGORICAL, ft.frequent_values(days, CATEGORICAL)).select("user_id", "date", *[f"{c}_encoded" for c in CATEGORICAL])
 
 
 @query
