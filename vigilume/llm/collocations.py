@@ -35,13 +35,14 @@ ROWS = 65_536
 class Phrases:
     """``least``: occurrences of a phrase; ``longest``: words in it; ``top``: phrases of a language in the report; ``closed``: a
     phrase goes when a longer one that holds it has so many percent of its occurrences. ``shard``: bytes of text in a shard.
-    ``sent``: frequent pairs (16 bytes each) that every task gets at most; if there are more, each shard gets its own by a join."""
+    ``sent``: frequent words, and frequent pairs, that every task gets at most (about 32 MB each); if there are more, each shard gets
+    its own by a join."""
 
     least: int = 100
     longest: int = 5
     top: int = 2000
     closed: int = 100
-    shard: int = 16 << 20
+    shard: int = 8 << 20
     sent: int = 2_000_000
 
 
@@ -215,27 +216,52 @@ def runs_of_words(sequence: np.ndarray, numbers: np.ndarray) -> np.ndarray:
 # --- counts over all shards --------------------------------------------------------------------
 
 
-def indexed(shards: DataFrame, words: DataFrame) -> DataFrame:
-    """(shard, alphabet, before): the index of each shard; ``words`` has (lang, word, id), the words that count.
+def indexed(shards: DataFrame, words: DataFrame, sent: int) -> DataFrame:
+    """(shard, alphabet, before): the index of each shard; ``words`` has (lang, word, id), the words that count."""
+    schema = "shard long, alphabet binary, before binary"
 
-    A shard's vocabulary is joined with them, not the texts.
-    """
+    def index_row(shard: int, data: bytes, numbers: np.ndarray) -> pa.RecordBatch:
+        known = runs_of_words(unpacked(data, np.int32), numbers)
+        alphabet, symbols = np.unique(known, return_inverse=True)
+        before = transform(symbols.astype(np.int32))
+        return _rows(schema, 1, shard=shard, alphabet=packed(alphabet), before=packed(before.astype(np.int32)))
+
+    known = words.limit(sent + 1).collect()
+    if len(known) <= sent:
+        langs = {lang: ([], []) for lang in {r.lang for r in known}}
+        for r in known:
+            langs[r.lang][0].append(r.word)
+            langs[r.lang][1].append(r.id)
+        table = shards.sparkSession.sparkContext.broadcast({k: (pa.array(w, pa.string()), np.array(i, np.int64)) for k, (w, i) in langs.items()})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    own = batch.column(2)[k].values
+                    names, ids = table.value.get(batch.column(1)[k].as_py(), (pa.array([], pa.string()), np.zeros(0, np.int64)))
+                    at = pc.index_in(own, value_set=names)
+                    numbers = np.zeros(len(own), np.int64)
+                    among = at.is_valid().to_numpy(zero_copy_only=False)
+                    numbers[among] = ids[at.drop_null().to_numpy()]
+                    if among.any():
+                        yield index_row(batch.column(0)[k].as_py(), batch.column(3)[k].as_py(), numbers)
+
+        return shards.select("shard", "lang", "words", "sequence").mapInArrow(run, schema)
+
+    # a shard's vocabulary is joined with them, not the texts
     local = shards.select("shard", "lang", F.posexplode("words").alias("at", "word")).join(words, ["lang", "word"])
-    numbers = local.groupBy("shard").agg(F.collect_list("at").alias("ats"), F.collect_list("id").alias("ids"))
-    both = shards.select("shard", F.size("words").alias("n"), "sequence").join(numbers, "shard").select("shard", "n", "sequence", "ats", "ids")
-    schema = "shard long, alphabet binary, before binary"
+    numbered = local.groupBy("shard").agg(F.collect_list("at").alias("ats"), F.collect_list("id").alias("ids"))
+    both = shards.select("shard", F.size("words").alias("n"), "sequence").join(numbered, "shard").select("shard", "n", "sequence", "ats", "ids")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 shard, n, data, ats, ids = (batch.column(c)[k] for c in range(5))
                 numbers = np.zeros(n.as_py(), np.int64)
                 numbers[ats.values.to_numpy()] = ids.values.to_numpy()
-                known = runs_of_words(unpacked(data.as_py(), np.int32), numbers)
-                alphabet, symbols = np.unique(known, return_inverse=True)
-                yield _rows(schema, 1, shard=shard.as_py(), alphabet=packed(alphabet), before=packed(transform(symbols.astype(np.int32)).astype(np.int32)))
+                yield index_row(shard.as_py(), data.as_py(), numbers)
 
-    return both.mapInArrow(run, schema)
+    return both.mapInArrow(run_joined, schema)
 
 
 def intervals_of_pairs(index: DataFrame) -> DataFrame:
@@ -330,7 +356,7 @@ def frequent_phrases(docs: DataFrame, how: Phrases) -> tuple[DataFrame, DataFram
         .groupBy("lang", F.col("c.word").alias("word")).agg(F.sum("c.n").alias("f")).where(F.col("f") >= how.least)
     )
     words = stored(ranked(counted.select("lang", "word", "f", F.struct("lang", "word").alias("by")), "by", "id").drop("by"), "frequent-words")
-    index = stored(indexed(shards, words.select("lang", "word", "id")), "word-index")
+    index = stored(indexed(shards, words.select("lang", "word", "id"), how.sent), "word-index")
     summed = intervals_of_pairs(index).groupBy("w1", "w2").agg(F.sum("n").alias("f"))
     pairs = stored(summed.where(F.col("f") >= how.least), "frequent-pairs")
     names = [f"w{i + 1}" for i in range(how.longest)]
