@@ -615,10 +615,22 @@ def texts() -> str:
     return "(VALUES " + ", ".join(f"({i}, '{indicator_text(c)}')" for i, c in enumerate(_F)) + ") t(f, text)"
 
 
-oracle("risk_indicators", f"""SELECT user_id, string_agg(text, '; ' ORDER BY place) AS indicators FROM (
+def indicators_of(means: str) -> str:
+    return f"""SELECT user_id, string_agg(text, '; ' ORDER BY place) AS indicators FROM (
   SELECT user_id, text, min(place) AS place FROM (
-    SELECT user_id, f, row_number() OVER (PARTITION BY user_id ORDER BY e DESC, f DESC) AS place FROM feat_mean) JOIN {texts()} USING (f)
-  WHERE place <= 3 GROUP BY user_id, text) GROUP BY user_id""")
+    SELECT user_id, f, row_number() OVER (PARTITION BY user_id ORDER BY e DESC, f DESC) AS place FROM {means}) JOIN {texts()} USING (f)
+  WHERE place <= 3 GROUP BY user_id, text) GROUP BY user_id"""
+
+
+def windows_text(table: str) -> str:
+    """The five best windows of each user as text."""
+    return f"""SELECT user_id, string_agg(place || ' ' || CAST(round(round(score, 6) * 1000000) AS BIGINT) || ' ' || CAST(end_date AS DATE), '; ' ORDER BY place) AS windows FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, end_date DESC, seq_no DESC) AS place FROM {table}) WHERE place <= 5 GROUP BY user_id"""
+
+
+CTE["indicator_text"] = indicators_of("feat_mean")
+CTE["own_windows"] = windows_text("own_test")
+oracle("risk_indicators", "SELECT * FROM indicator_text")
 CTE["flag_dates"] = """
 SELECT DISTINCT user_id, end_date FROM own_test WHERE score >= (SELECT quantile_cont(score, 0.5) FROM own_test)"""
 CTE["drill_ev"] = """
@@ -652,10 +664,12 @@ oracle("alert_report", f"""SELECT 'INSIDER-' || u.user_id || '-' || lpad(CAST(pl
   CASE WHEN {_RATE} > 0.5 OR max_score > 2 * (SELECT threshold FROM own_limit) THEN 'HIGH' WHEN {_RATE} > 0.25 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
   u.user_id, total_sequences, detected AS flagged_sequences, round({_RATE}, 6) AS detection_rate, round(max_score, 6) AS max_anomaly_score,
   round(mean_score, 6) AS mean_anomaly_score, insider_sequences, latency_sequences, first_detection_date AS first_detection, latency_hours, lead_time_hours,
-  least(5, total_sequences) AS n_windows, round(max_score, 6) AS best_score, coalesce(t.scenario, 0) AS scenario,
+  least(5, total_sequences) AS n_windows, round(max_score, 6) AS best_score, ow.windows, coalesce(it.indicators, '') AS risk_indicators,
+  coalesce(t.scenario, 0) AS scenario, coalesce(t.details, '') AS scenario_description, t.truth_start, t.truth_end,
   (SELECT count(DISTINCT date) FROM drill d WHERE d.user_id = u.user_id) AS n_days,
   (SELECT count(*) FROM drill d WHERE d.user_id = u.user_id) AS n_sessions
-FROM (SELECT * EXCLUDE (scenario, truth_start, truth_end), row_number() OVER (ORDER BY user_id) AS place FROM latency) u LEFT JOIN last_truth t ON t.user_id = u.user_id WHERE detected > 0""")
+FROM (SELECT * EXCLUDE (scenario, truth_start, truth_end), row_number() OVER (ORDER BY user_id) AS place FROM latency) u LEFT JOIN last_truth t ON t.user_id = u.user_id
+LEFT JOIN own_windows ow ON ow.user_id = u.user_id LEFT JOIN indicator_text it ON it.user_id = u.user_id WHERE detected > 0""")
 
 _SHARE = "flagged / total_sequences::DOUBLE"
 CTE["all_users"] = """
@@ -742,6 +756,43 @@ CTE["range_limit"] = "SELECT quantile_cont(score, 0.95) AS threshold FROM win_sc
 CTE["range_judged"] = "SELECT *, CAST(score >= threshold AS INTEGER) AS pred FROM range_scores, range_limit"
 CTE["range_risk"] = risk_cte("range_judged")
 oracle("score_range", "SELECT * FROM range_risk")
+CTE["range_windows"] = windows_text("range_scores")
+CTE["feat_members_r"] = members_cte(P.lookback, 1, "profile_err_r")
+CTE["range_flags"] = "SELECT user_id, seq_no FROM range_judged WHERE pred = 1"
+CTE["feat_long_r"] = ("SELECT user_id, seq_no, unnest(range(0, " + str(len(_F)) + ")) AS f, unnest([" + ", ".join(f"{c}::DOUBLE" for c in _F)
+    + f"]) / {P.lookback}.0::DOUBLE AS e FROM feat_members_r SEMI JOIN range_flags USING (user_id, seq_no)")
+CTE["feat_mean_r"] = "SELECT user_id, f, sum(e) / count(DISTINCT seq_no) AS e FROM feat_long_r GROUP BY user_id, f"
+CTE["indicator_text_r"] = indicators_of("feat_mean_r")
+oracle("risk_report", """SELECT r.*, w.windows, coalesce(i.indicators, '') AS indicators FROM range_risk r
+LEFT JOIN range_windows w ON w.user_id = r.user_id LEFT JOIN indicator_text_r i ON i.user_id = r.user_id""")
+oracle("risk_report_totals", """SELECT 'score n' AS item, count(*) AS value FROM range_scores UNION ALL SELECT 'score users', count(DISTINCT user_id) FROM range_scores
+UNION ALL SELECT 'severity ' || severity, count(*) FROM range_risk WHERE severity <> 'NORMAL' GROUP BY severity
+UNION ALL SELECT 'total_users', count(DISTINCT user_id) FROM range_judged UNION ALL SELECT 'flagged_users', count(DISTINCT user_id) FROM range_judged WHERE pred = 1
+UNION ALL SELECT 'total_sequences', count(*) FROM range_judged UNION ALL SELECT 'flagged_sequences', count(*) FROM range_judged WHERE pred = 1""")
+oracle("saved_days", f"SELECT s.user_id, s.date, p.split, {r6('s.total_actions')} AS total_actions, {r6('s.sess_count')} AS sess_count FROM scaled s JOIN splits p ON p.user_id = s.user_id WHERE p.split = 'val'")
+oracle("saved_sessions", "SELECT user_id, pc, session_date, session_start, session_end, round(duration_min, 6) AS duration_min, is_after_hours, hour_of_start FROM sess")
+oracle("saved_scores", "SELECT user_id, seq_no, end_date, score FROM scored6")
+oracle("training_windows", """SELECT split, count(*) AS windows, CAST(max(label) AS BIGINT) AS positive, count(DISTINCT user_id) AS users FROM (
+  SELECT user_id, seq_no, max(is_insider) AS label FROM members GROUP BY user_id, seq_no) JOIN splits USING (user_id) GROUP BY split""")
+
+
+def cells(part: str, sql: str, key: str = "''", numbers: tuple[str, ...] = ()) -> str:
+    """One row for each number of a table."""
+    return " UNION ALL ".join(
+        f"SELECT '{part}' AS part, {key} AS item, '{n}' AS metric, round(CAST({n} AS DOUBLE), 4) AS value FROM ({sql}) WHERE {n} IS NOT NULL" for n in numbers
+    )
+
+
+oracle("evaluation_report", " UNION ALL ".join((
+    cells("user_level_metrics", SQL["user_level_metrics"], numbers=("total_users", "insider_users", "normal_users", "tp", "fp", "fn", "tn", "precision", "recall", "f1", "fpr", "fnr")),
+    cells("detection_latency_summary", SQL["latency_summary"], numbers=("caught_users", "missed_users", "total_insider_users", "mean_latency_sequences",
+        "median_latency_sequences", "mean_latency_hours", "median_latency_hours", "min_latency_hours", "max_latency_hours")),
+    cells("per_scenario_results", SQL["per_scenario"], "CAST(scenario AS VARCHAR)", ("insider_sequences", "detected_sequences", "insider_users", "users_detected", "sequence_recall", "user_recall")),
+    cells("session_level_metrics", SQL["session_metrics"], numbers=("total_insider_sessions", "flagged_insider_sessions", "total_flagged_sessions", "total_flagged_days",
+        "correct_localizations", "session_precision", "session_recall", "session_f1", "session_localization_accuracy")),
+    cells("per_user_results", f"SELECT *, {_RATE} AS detection_rate FROM latency", "user_id", ("total_sequences", "insider_sequences", "detected", "max_score", "mean_score",
+        "latency_sequences", "latency_hours", "latency_days", "lead_time_hours", "detection_rate")),
+)))
 oracle("inference_features", "SELECT s.user_id, s.date, " + ", ".join(f"s.{c}" if c in BINARY else f"{r6('s.' + c)} AS {c}" for c in P.behavioural)
     + ", " + ", ".join(f"(SELECT any_value({c}_encoded) FROM codes k WHERE k.{c} IS NOT DISTINCT FROM s.{c}) AS {c}_encoded" for c in CATEGORICAL)
     + " FROM scaled_r s WHERE s.user_id IN (SELECT user_id FROM truth)")

@@ -12,8 +12,9 @@ from vigilume.operators import (
     augment as ag, context, daily as dy, features as ft, metrics as mt, profiling as pr, scoring as sc, sessions as se,
     triage as tr, windows as wn,
 )
-from vigilume.plans.inference import calibration_limit, inference_features as run_features, score_range as run_scores
-from vigilume.plans.prepare import Inputs, Prepared, enriched_days, merged_days, prepare
+from vigilume.plans.evaluation import evaluate, write_evaluation
+from vigilume.plans.inference import calibration_limit, inference_features as run_features, score_range as run_scores, write_risk_report
+from vigilume.plans.prepare import Inputs, Prepared, enriched_days, merged_days, prepare, training_windows as cut_windows
 from vigilume.schema import LOG_SCHEMAS, SNAPSHOT
 from vigilume.session import shared_dir, stored
 from vigilume.sources import artifacts, fixtures as fx, logs
@@ -99,18 +100,20 @@ def ingest_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def ingest_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    """Monthly directory files, written and read by name."""
+    """Monthly directory files, one for each month, read by one glob; the month is in the file's name."""
     root = shared_dir(spark, "ldap")
     snaps = fx.snapshots(spark, d)
     missing = [c for c in SNAPSHOT.names if c not in snaps.columns]
     full = snaps.select("*", *[F.lit(None).cast("string").alias(c) for c in missing])
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path(f"{root}/LDAP"))
     for month in ("2023-11", "2023-12", "2024-01", "2024-02"):
         one = full.where(F.col("ldap_month") == month).select(*reversed(SNAPSHOT.names)).coalesce(1)
-        one.write.csv(f"{root}/raw/{month}.csv", header=True, escape='"')
-    read = reduce(
-        DataFrame.unionByName,
-        [logs.read_csv(spark, f"{root}/raw/{m}.csv", SNAPSHOT).withColumn("ldap_month", F.lit(m)) for m in ("2023-11", "2023-12", "2024-01", "2024-02")],
-    )
+        one.write.csv(f"{root}/written/{month}", header=True, escape='"')
+        (part,) = files.globStatus(path(f"{root}/written/{month}/part-*.csv"))
+        files.rename(part.getPath(), path(f"{root}/LDAP/{month}.csv"))
+    read = logs.read_snapshots(spark, f"{root}/LDAP/*.csv")
     return read.select("employee_name", "user_id", "role", "department", "functional_unit", "ldap_month")
 
 
@@ -770,6 +773,11 @@ def session_drilldown(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def shown_window(score: str, day: str) -> Callable[[Column], Column]:
+    """A window of a report as text: rank, score in millionths and the day it ends."""
+    return lambda w: F.concat_ws(" ", w["rank"], F.round(w[score] * 1_000_000).cast("long"), w[day].cast("string"))
+
+
 @query
 def alert_report(spark: SparkSession, d: str) -> DataFrame:
     """Alerts and their sessions through the JSON sink, read back and flattened."""
@@ -777,7 +785,9 @@ def alert_report(spark: SparkSession, d: str) -> DataFrame:
     judged = judged_users(spark, d)
     breakdown = mt.detection_latency(mt.per_user_breakdown(judged), truth(spark, d))
     drill = stored(drilldown(spark, d), "drilldown")
-    nested = tr.alerts(breakdown, judged, truth=truth(spark, d), drilldown=drill)
+    errors, windows = judged_windows(spark, d)
+    found = tr.risk_indicators(errors, windows, CFG.vector, CFG.lookback, CFG.stride)
+    nested = tr.alerts(breakdown, judged, indicators=found, truth=truth(spark, d), drilldown=drill)
     artifacts.save_report(nested, f"{home}/alerts")
     back = spark.read.schema(nested.schema).json(f"{home}/alerts")
     sessions = tr.alert_sessions(back, drill)
@@ -788,7 +798,10 @@ def alert_report(spark: SparkSession, d: str) -> DataFrame:
             "alert_id", "severity", "user_id", "detection_summary.*",
             F.size("top_anomalous_windows").cast("long").alias("n_windows"),
             F.get("top_anomalous_windows", F.lit(0))["anomaly_score"].alias("best_score"),
-            F.coalesce("scenario", F.lit(0)).alias("scenario"),
+            F.array_join(F.transform("top_anomalous_windows", shown_window("anomaly_score", "timestamp")), "; ").alias("windows"),
+            F.array_join("risk_indicators", "; ").alias("risk_indicators"),
+            F.coalesce("scenario", F.lit(0)).alias("scenario"), F.coalesce("scenario_description", F.lit("")).alias("scenario_description"),
+            F.col("ground_truth_window.start").alias("truth_start"), F.col("ground_truth_window.end").alias("truth_end"),
             F.greatest(F.size("session_drilldown"), F.lit(0)).cast("long").alias("n_days"),
             F.coalesce("n_sessions", F.lit(0).cast("long")).alias("n_sessions"),
         )
@@ -915,6 +928,101 @@ def score_range(spark: SparkSession, d: str) -> DataFrame:
     return run_scores(days, limit, CFG)
 
 
+@query
+def risk_report(spark: SparkSession, d: str) -> DataFrame:
+    """A scored date range written as a report, its users read back."""
+    ready, fitted = saved_artifacts(spark, d)
+    limit = stored(calibration_limit(ready, CFG), "limit")
+    days = stored(run_features(inputs(spark, d), CFG, fitted, date_range=RANGE), "range")
+    home = shared_dir(spark, "risk-report")
+    write_risk_report(days, limit, "percentile_95", CFG, home)
+    window = "struct<rank:int,score:double,date:date>"
+    schema = (
+        "user_id string, severity string, anomaly_score_max double, anomaly_score_mean double, total_sequences long, flagged_sequences long, "
+        f"detection_rate double, top_anomalous_windows array<{window}>, indicators array<string>"
+    )
+    users = spark.read.schema(schema).json(f"{home}/users")
+    return users.select(
+        "user_id", "severity", "anomaly_score_max", "anomaly_score_mean", "total_sequences", "flagged_sequences", "detection_rate",
+        F.array_join(F.transform("top_anomalous_windows", shown_window("score", "date")), "; ").alias("windows"),
+        F.coalesce(F.array_join("indicators", "; "), F.lit("")).alias("indicators"),
+    )
+
+
+@query
+def risk_report_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Scores, severities and metadata of the same report, by a few counts of each."""
+    ready, fitted = saved_artifacts(spark, d)
+    limit = stored(calibration_limit(ready, CFG), "limit")
+    days = stored(run_features(inputs(spark, d), CFG, fitted, date_range=RANGE), "range")
+    home = shared_dir(spark, "risk-report")
+    write_risk_report(days, limit, "percentile_95", CFG, home)
+    scored = artifacts.load_scores(spark, f"{home}/scores").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users")).select(
+        F.inline(F.array(*[F.struct(F.lit(f"score {c}").alias("item"), F.col(c).alias("value")) for c in ("n", "users")]))
+    )
+    levels = spark.read.schema("severity string, users long").json(f"{home}/by_severity").select(F.concat(F.lit("severity "), "severity").alias("item"), F.col("users").alias("value"))
+    names = ("total_users", "flagged_users", "total_sequences", "flagged_sequences")
+    meta = spark.read.schema(", ".join(f"{n} long" for n in names)).json(f"{home}/metadata")
+    whole = meta.select(F.inline(F.array(*[F.struct(F.lit(n).alias("item"), F.col(n).alias("value")) for n in names])))
+    return scored.unionByName(levels).unionByName(whole)
+
+
+@query
+def evaluation_report(spark: SparkSession, d: str) -> DataFrame:
+    """The parts of an evaluation written and read back: one row for each number."""
+    own = fx.user_scores(spark, d)
+    report = evaluate(own.where(F.col("label").isNotNull()), own.where(F.col("label").isNull()), truth(spark, d), session_table(spark, d))
+    home = shared_dir(spark, "evaluation")
+    write_evaluation(report, home)
+    keys = {"per_user_results": "user_id", "per_scenario_results": "scenario"}
+    parts = ["user_level_metrics", "detection_latency_summary", "per_scenario_results", "session_level_metrics", "per_user_results"]
+    out = []
+    for part in parts:
+        schema = report[part].schema
+        table = spark.read.schema(schema).json(f"{home}/{part}")
+        key = keys.get(part)
+        kinds = (T.LongType, T.IntegerType, T.DoubleType)
+        numbers = [f.name for f in schema.fields if isinstance(f.dataType, kinds) and f.name != key and not (part == "per_user_results" and f.name == "scenario")]
+        item = F.col(key).cast("string") if key else F.lit("")
+        cells = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in numbers])
+        out.append(table.select(F.lit(part).alias("part"), item.alias("item"), F.inline(cells)))
+    return rounded(reduce(DataFrame.unionByName, out).where(F.col("value").isNotNull()), 4)
+
+
+@query
+def saved_days(spark: SparkSession, d: str) -> DataFrame:
+    """Scaled days written by split; the validation split read back."""
+    ready = prepare(inputs(spark, d), CFG)
+    home = shared_dir(spark, "days")
+    artifacts.save_days(ready.scaled(CFG), ready.splits, home)
+    return rounded(artifacts.load_days(spark, home, "val").select("user_id", "date", "split", "total_actions", "sess_count"))
+
+
+@query
+def saved_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions written twice, the second time replacing the first, and read back."""
+    home = shared_dir(spark, "saved-sessions")
+    found = session_table(spark, d)
+    artifacts.save_sessions(found.limit(0), home)
+    artifacts.save_sessions(found, home)
+    return rounded(artifacts.load_sessions(spark, home).drop("session_id", "closed_by_logoff"))
+
+
+@query
+def saved_scores(spark: SparkSession, d: str) -> DataFrame:
+    home = shared_dir(spark, "saved-scores")
+    _, judged = judged_windows(spark, d)
+    artifacts.save_scores(judged.select("user_id", "seq_no", "end_date", "score"), home)
+    return artifacts.load_scores(spark, home)
+
+
+@query
+def training_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of all splits behind the guard against leaks, by split."""
+    cut = cut_windows(prepare(inputs(spark, d), CFG), CFG)
+    return cut.groupBy("split").agg(F.count("*").alias("windows"), F.max("label").cast("long").alias("positive"), F.countDistinct("user_id").alias("users"))
+
+
 def event_stream(spark: SparkSession, d: str, batches: int = 10) -> DataFrame:
     """The test events as a source that delivers them in so many batches, by time."""
     events = spark.read.schema(fx.SCHEMAS["events"]).parquet(f"{d}/events.parquet")
