@@ -6,8 +6,9 @@ it. Its LF mapping extends the intervals of all phrases of a depth by one word t
 one of its phrase without the last word, the same sweep tells what that one is extended by to the right. Both extensions have to be
 frequent, or the longer phrase can't be.
 
-Intervals of two words, with their sizes as counts, are summed over the shards. What stays goes back to the shards, which enumerate longer
-phrases from it, and their counts are summed in turn. All sums are exact; shards only ever leave out what can't reach the least count.
+Phrases grow by one word a round. The sizes of the intervals are their counts; these are summed over the shards, and the next round
+extends only the intervals of phrases that are frequent in the whole corpus. All sums are exact; shards only ever leave out
+what can't reach the least count.
 """
 
 from __future__ import annotations
@@ -190,17 +191,14 @@ def pairs_of(index: Index) -> tuple[np.ndarray, np.ndarray]:
     return starts, sizes
 
 
-def longer_of(index: Index, starts: np.ndarray, sizes: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, interval starts, sizes) of the phrases of three words and more that hold only the given intervals of two."""
-    pair = np.full(len(index.before), -1, np.int64)
+def longer_of(index: Index, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Interval starts and sizes of the phrases of one word more whose parts without the first and without the last word are both
+    among the given intervals, which are of phrases of one length."""
+    same = np.full(len(index.before), -1, np.int64)
     rows = np.repeat(starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    pair[rows] = np.repeat(np.arange(len(starts)), sizes)
-    same = pair
-    for length in range(3, longest + 1):
-        at, n, same = index.left(np.flatnonzero(same >= 0), same, pair >= 0, pair)
-        if not len(at):
-            return
-        yield length, at, n
+    same[rows] = np.repeat(np.arange(len(starts)), sizes)
+    at, n, _ = index.left(rows, same, same >= 0, same)
+    return at, n
 
 
 def runs_of_words(sequence: np.ndarray, numbers: np.ndarray) -> np.ndarray:
@@ -264,22 +262,46 @@ def indexed(shards: DataFrame, words: DataFrame, sent: int) -> DataFrame:
     return both.mapInArrow(run_joined, schema)
 
 
-def intervals_of_pairs(index: DataFrame) -> DataFrame:
-    """(shard, w1, w2, start, n): each shard's intervals of two words."""
-    schema = "shard long, w1 long, w2 long, start long, n long"
+def intervals(index: DataFrame, length: int, tables: list, held: DataFrame | None = None) -> DataFrame:
+    """(shard, w1, ..., start, n): each shard's intervals of phrases of ``length`` words, all parts of which are frequent.
+
+    Frequent phrases of fewer words are known to every task (``tables``: broadcast arrays, one for each length from 2 on), or
+    ``held`` has the intervals of those of one word less by shard.
+    """
+    names = [f"w{i + 1}" for i in range(length)]
+    schema = ", ".join(f"{c} long" for c in ["shard", *names, "start", "n"])
+    joined = held is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 shard, alphabet, before = (batch.column(c)[k].as_py() for c in range(3))
                 alphabet, own = unpacked(alphabet, np.int64), Index.of_transform(unpacked(before, np.int32))
-                starts, sizes = pairs_of(own)
-                first, second = own.words(starts, 2)
+                if not joined:
+                    starts, sizes = pairs_of(own)
+                    for at, table in enumerate(tables, 2):
+                        kept = among([alphabet[w] for w in own.words(starts, at)], table.value, alphabet)
+                        starts, sizes = longer_of(own, starts[kept], sizes[kept])
+                else:
+                    starts, sizes = longer_of(own, *(batch.column(c)[k].values.to_numpy() for c in (3, 4)))
+                words = own.words(starts, length)
                 for i in range(0, len(starts), ROWS):
                     part = slice(i, i + ROWS)
-                    yield _rows(schema, len(starts[part]), shard=shard, w1=alphabet[first[part]], w2=alphabet[second[part]], start=starts[part], n=sizes[part])
+                    yield _rows(schema, len(starts[part]), shard=shard, start=starts[part], n=sizes[part], **{c: alphabet[w[part]] for c, w in zip(names, words)})
 
-    return index.select("shard", "alphabet", "before").mapInArrow(run, schema)
+    source = index if not joined else index.join(held, "shard").select("shard", "alphabet", "before", "starts", "sizes")
+    return source.mapInArrow(run, schema)
+
+
+def among(words: list[np.ndarray], table: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
+    """Which phrases (a column for each word) are rows of ``table``; only rows of words in ``alphabet`` matter."""
+    table = table[np.isin(table, alphabet).all(axis=1)]
+    n = len(words[0])
+    key = np.zeros(n + len(table), np.int64)
+    for w, column in zip(words, table.T):
+        word = np.searchsorted(alphabet, np.concatenate([w, column]))
+        _, key = np.unique(key * len(alphabet) + word, return_inverse=True)
+    return np.isin(key[:n], key[n:])
 
 
 def _rows(schema: str, count: int, **values: object) -> pa.RecordBatch:
@@ -292,63 +314,10 @@ def _rows(schema: str, count: int, **values: object) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=[name for name, _ in fields])
 
 
-def longer_phrases(index: DataFrame, pairs: DataFrame, how: Phrases) -> DataFrame:
-    """(w1, ..., n): phrases of more than two words by shard, which hold only the frequent ``pairs`` (w1, w2)."""
-    names = [f"w{i + 1}" for i in range(how.longest)]
-    schema = ", ".join(f"{c} long" for c in [*names, "n"])
-
-    def enumerated(alphabet: np.ndarray, own: Index, starts: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for length, at, n in longer_of(own, starts, sizes, how.longest):
-            words = own.words(at, length)
-            for i in range(0, len(at), ROWS):
-                part = slice(i, i + ROWS)
-                yield _rows(schema, len(at[part]), n=n[part], **{c: alphabet[w[part]] for c, w in zip(names, words)})
-
-    known = pairs.select("w1", "w2").limit(how.sent + 1).collect()
-    if len(known) <= how.sent:
-        table = np.array(known, np.int64).reshape(-1, 2)
-        sent = index.sparkSession.sparkContext.broadcast(table[np.lexsort((table[:, 1], table[:, 0]))])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for k in range(batch.num_rows):
-                    alphabet, before = (batch.column(c)[k].as_py() for c in range(2))
-                    alphabet, own = unpacked(alphabet, np.int64), Index.of_transform(unpacked(before, np.int32))
-                    starts, sizes = pairs_of(own)
-                    kept = _among(*own.words(starts, 2), alphabet, sent.value)
-                    yield from enumerated(alphabet, own, starts[kept], sizes[kept])
-
-        return index.select("alphabet", "before").mapInArrow(run, schema)
-
-    held = (
-        intervals_of_pairs(index).join(pairs.select("w1", "w2"), ["w1", "w2"]).groupBy("shard")
-        .agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("sizes"))
-    )
-
-    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                alphabet, before, starts, sizes = (batch.column(c)[k] for c in range(4))
-                own = Index.of_transform(unpacked(before.as_py(), np.int32))
-                yield from enumerated(unpacked(alphabet.as_py(), np.int64), own, starts.values.to_numpy(), sizes.values.to_numpy())
-
-    return index.join(held, "shard").select("alphabet", "before", "starts", "sizes").mapInArrow(run_joined, schema)
-
-
-def _among(first: np.ndarray, second: np.ndarray, alphabet: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Which pairs of a shard's numbers are among the rows of ``table``, pairs of global numbers."""
-    place = np.full((len(table), 2), -1)
-    for side in (0, 1):
-        at = np.searchsorted(alphabet, table[:, side])
-        at[at == len(alphabet)] = 0
-        place[:, side] = np.where(alphabet[at] == table[:, side], at, -1)
-    place = place[(place >= 0).all(axis=1)]
-    return np.isin(first.astype(np.int64) * len(alphabet) + second, place[:, 0] * len(alphabet) + place[:, 1])
-
-
 def frequent_phrases(docs: DataFrame, how: Phrases) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(key, f): phrases of one word to ``longest``, as arrays of word numbers, that occur ``least`` times; (id, lang, word); and
     (lang, n): occurrences of all words."""
+    spark = docs.sparkSession
     shards = stored(shards_of(docs, how.shard), "shards")
     total = shards.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
     counted = (
@@ -357,14 +326,25 @@ def frequent_phrases(docs: DataFrame, how: Phrases) -> tuple[DataFrame, DataFram
     )
     words = stored(ranked(counted.select("lang", "word", "f", F.struct("lang", "word").alias("by")), "by", "id").drop("by"), "frequent-words")
     index = stored(indexed(shards, words.select("lang", "word", "id"), how.sent), "word-index")
-    summed = intervals_of_pairs(index).groupBy("w1", "w2").agg(F.sum("n").alias("f"))
-    pairs = stored(summed.where(F.col("f") >= how.least), "frequent-pairs")
-    names = [f"w{i + 1}" for i in range(how.longest)]
-    more = longer_phrases(index, pairs, how) if how.longest > 2 else None
-    found = [words.select(F.array("id").alias("key"), "f"), pairs.select(F.array("w1", "w2").alias("key"), "f")]
-    if more is not None:
-        summed = more.groupBy(*names).agg(F.sum("n").alias("f")).where(F.col("f") >= how.least)
-        found.append(summed.select(F.array_compact(F.array(*names)).alias("key"), "f"))
+    found = [words.select(F.array("id").alias("key"), "f")]
+    tables: list = []
+    held = None
+    for length in range(2, how.longest + 1):
+        names = [f"w{i + 1}" for i in range(length)]
+        rows = intervals(index, length, tables, held)
+        summed = stored(rows.groupBy(*names).agg(F.sum("n").alias("f")).where(F.col("f") >= how.least), f"phrases-{length}")
+        found.append(summed.select(F.array(*names).alias("key"), "f"))
+        if length == how.longest:
+            break
+        if held is None:
+            known = summed.select(*names).limit(how.sent + 1).collect()
+            if not known:
+                break
+            if len(known) <= how.sent:
+                tables.append(spark.sparkContext.broadcast(np.array(known, np.int64)))
+                continue
+        kept = rows.join(summed.select(*names), names).groupBy("shard").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("sizes"))
+        held = stored(kept, "kept-intervals")
     phrases = found[0]
     for part in found[1:]:
         phrases = phrases.unionByName(part)
