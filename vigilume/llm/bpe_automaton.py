@@ -51,7 +51,9 @@ class Automaton:
         self.origin, self.lacks = [0] * n, [-1] * n
         self.ends: dict[int, int] = {}
         self.gadget: dict[tuple[int, int], int] = {}
+        #: Whether an arc can follow another, as met lately: a younger and an older generation.
         self.table: dict[int, bool] = {}
+        self.older: dict[int, bool] = {}
         results = set()
         for state, pair in enumerate(model["merges"], 1):
             u, v = (self.ids[x] for x in (pair.split(" ") if isinstance(pair, str) else pair))
@@ -67,15 +69,19 @@ class Automaton:
             self.origin[state], self.lacks[state] = self.ends.get(u, 0), v
             self.ends[u] = state
             self.gadget[u, v] = state
-        #: The arcs that leave the first state, as a tree over symbols: {symbol: [subtree, token or None]}.
-        self.tree: dict = {}
-        for label, token in self.ids.items():
-            if token in self.parts or token not in results:
-                at, node = self.tree, None
-                for symbol in self.symbols(label):
-                    node = at.setdefault(symbol, [{}, None])
-                    at = node[0]
-                node[1] = token
+        arcs = {self.symbols(label): token for label, token in self.ids.items() if token in self.parts or token not in results}
+        #: Of every stretch with which an arc's symbols begin, its longest arc; and of each arc the next shorter one and the length.
+        self.within: dict[str, int] = {}
+        self.shorter: dict[int, int] = {}
+        self.length = {token: len(symbols) for symbols, token in arcs.items()}
+        for symbols in sorted(arcs, key=len):
+            before = -1
+            for k in range(1, len(symbols) + 1):
+                known = self.within.get(symbols[:k])
+                if known is None:
+                    known = self.within[symbols[:k]] = arcs.get(symbols[:k], before)
+                before = known if k < len(symbols) else before
+            self.shorter[arcs[symbols]] = before
 
     def symbols(self, label: str) -> str:
         """One character for each symbol: a last one that carries the mark of a word's end is moved out of the way."""
@@ -106,17 +112,17 @@ class Automaton:
             before = min(before, self.made[token] + 1)
             token = self.parts[token][0]
 
-    def starting(self, text: str, at: int) -> list[tuple[int, int]]:
-        """The tokens that match ``text`` from ``at`` on, shortest first, each with its end."""
-        node, out = self.tree, []
-        for end in range(at, len(text)):
-            found = node.get(text[end])
+    def follows(self, before: int, token: int) -> bool:
+        key = before << 32 | token
+        found = self.table.get(key)
+        if found is None:
+            found = self.older.get(key)
             if found is None:
-                break
-            node = found[0]
-            if found[1] is not None:
-                out.append((found[1], end + 1))
-        return out
+                found = self._has_arc(before, token)
+            if len(self.table) >= 200_000:
+                self.older, self.table = self.table, {}
+            self.table[key] = found
+        return found
 
     def encode_word(self, word: str) -> list[int]:
         """The tokens of one pre-split word, given in the byte alphabet; symbols outside the vocabulary are left out.
@@ -124,36 +130,51 @@ class Automaton:
         Follows the automaton along the word, the longest arc first, and steps back where no arc goes on; a
         (position, arc) that led nowhere is not tried again, so the work is linear in the word.
         """
-        text = "".join([c for c in self.symbols(word + self.suffix) if c in self.tree])
-        n, table = len(text), self.table
+        text, within, shorter, length, follows = self.symbols(word + self.suffix), self.within, self.shorter, self.length, self.follows
+        n = len(text)
+        whole = within.get(text)
+        if whole is not None and length[whole] == n:
+            return [whole]
+        for c in text:
+            if c not in within:
+                text = "".join([c for c in text if c in within])
+                n = len(text)
+                break
         if not n:
             return []
         path: list[int] = []
-        choices = [self.starting(text, 0)]
         ends: list[int] = []
         dead: set[tuple[int, int]] = set()
+        at, last, token = 0, -1, -2
         while True:
-            if not choices[-1]:
-                choices.pop()
-                dead.add((ends.pop(), path.pop()))
-                continue
-            token, end = choices[-1].pop()
-            if path:
-                key = path[-1] << 32 | token
-                found = table.get(key)
-                if found is None:
-                    if len(table) >= 250_000:
-                        table.clear()
-                    found = table[key] = self._has_arc(path[-1], token)
-                if not found or (end, token) in dead:
-                    continue
-            elif (end, token) in dead:
+            if token == -2:  # a place come to anew: the longest stretch that begins an arc, which most often has 3 or 4 symbols
+                low, high = 1, n - at
+                middle = 4
+                while low < high:
+                    if middle > high:
+                        middle = high
+                    if text[at : at + middle] in within:
+                        low = middle
+                    else:
+                        high = middle - 1
+                    middle = low + 1 if high - low < 3 else (low + high + 1) // 2
+                token = within[text[at : at + low]]
+            while token >= 0:
+                if (last < 0 or follows(last, token)) and not (dead and (at + length[token], token) in dead):
+                    break
+                token = shorter[token]
+            else:
+                token = path.pop()
+                dead.add((ends.pop(), token))
+                at, last = (ends[-1], path[-1]) if path else (0, -1)
+                token = shorter[token]
                 continue
             path.append(token)
-            if end == n:
+            at += length[token]
+            if at == n:
                 return path
-            ends.append(end)
-            choices.append(self.starting(text, end))
+            ends.append(at)
+            last, token = token, -2
 
 
 class WordTokenizer:
@@ -181,14 +202,17 @@ class WordTokenizer:
         self.words, self.units = WordCache(self._word, 60_000), WordCache(self._unit, 80_000)
 
     def _word(self, word: str) -> list[int]:
-        return self.automaton.encode_word("".join(map(self.bytes.__getitem__, word.encode())))
+        # letters and digits stand for their own bytes
+        plain = word.isascii() and word.isalnum()
+        return self.automaton.encode_word(word if plain else "".join(map(self.bytes.__getitem__, word.encode())))
 
     def _unit(self, unit: str) -> tuple[int, str, str]:
         """Of a string without white space: the number of tokens, and their ids and labels, joined by spaces."""
         if BEYOND_LATIN.search(unit):  # letters of a Unicode version that only the library knows
             ids = [i for w, _ in self.presplit(unit) for i in self.automaton.encode_word(w)]
         else:
-            ids = [i for w in self.find(unit) for i in self.words[w]]
+            # letters alone are one word
+            ids = self.words[unit] if unit.isalpha() else [i for w in self.find(unit) for i in self.words[w]]
         return len(ids), " ".join(map(str, ids)), " ".join(map(self.label.__getitem__, ids))
 
     def parts(self, text: str) -> list[tuple[int, str, str]]:
