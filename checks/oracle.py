@@ -784,7 +784,7 @@ def cells(part: str, sql: str, key: str = "''", numbers: tuple[str, ...] = ()) -
 
 
 oracle("evaluation_report", " UNION ALL ".join((
-    cells("user_level_metrics", SQL["user_level_metrics"], numbers=("total_users", "insider_users", "normal_users", "tp", "fp", "fn", "tn", "precision", "recall", "f1", "fpr", "fnr")),
+    cells("user_level_metrics", SQL["user_level_metrics"], numbers=("total_users", "insider_users", "normal_users", "tp", "fp", "fn", "tn", "precision", "recall", "f1", "fpr", "fnr", "accuracy", "specificity")),
     cells("detection_latency_summary", SQL["latency_summary"], numbers=("caught_users", "missed_users", "total_insider_users", "mean_latency_sequences",
         "median_latency_sequences", "mean_latency_hours", "median_latency_hours", "min_latency_hours", "max_latency_hours")),
     cells("per_scenario_results", SQL["per_scenario"], "CAST(scenario AS VARCHAR)", ("insider_sequences", "detected_sequences", "insider_users", "users_detected", "sequence_recall", "user_recall")),
