@@ -291,3 +291,19 @@ def test_decontamination_of_empty_tables(spark, documents):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r["contaminated"] for r in deco.find_contamination(documents(ODD), none).collect()} == {False}
     assert deco.find_contamination(documents([]), none).count() == 0
+
+
+def test_stretches_equal_the_library():
+    """Letters with and without a mark behind them, other alphabets, contractions and white space of all kinds."""
+    import public_tokenizers
+
+    from vigilume.llm.token_files import StretchEncoder
+
+    own = StretchEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [
+        "", " ", ".", "a.", " a.", "é. ß, x's don't. I'm, 'll", "Ǆa ªb. º, word́. a\xad.", "ⅷ. x", "１２. a1. 1.", "ɏz. ɐz. 漢字. да, y", "a  b\n\n c.\t.",
+        "<|endoftext|> x.", "..", " ..", "a.. b..", "x" * 300 + ". " + "y" * 70, "word word. word, (word) word\nword",
+    ]
+    for text in texts * 2:
+        assert own.encode(text) == own._whole(text)
+    assert all(len(w) <= own.spaced.LONGEST for cache in (own.spaced, own.words, own.pieces) for w in cache)

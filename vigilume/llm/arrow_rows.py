@@ -74,6 +74,8 @@ class WordCache(dict):
     words stay and memory is bounded however many words the data hold.
     """
 
+    LONGEST = 64
+
     def __init__(self, make: Callable[[str], object], most: int = 250_000):
         super().__init__()
         self.make, self.most, self.older = make, most, {}
@@ -82,6 +84,8 @@ class WordCache(dict):
         found = self.older.get(word)
         if found is None:
             found = self.make(word)
+        if len(word) > self.LONGEST:
+            return found
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()

@@ -39,6 +39,8 @@ ODD_SPACE = re.compile(r"[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
 PLAIN = re.compile(r"[\x00-\x1b\x20-\u024f]*")
 NULL_ID = -(1 << 63)
+#: Marks that the pre-splitter parts from letters before them.
+ENDS = frozenset(".,;:!?")
 
 
 class StretchEncoder:
@@ -58,9 +60,10 @@ class StretchEncoder:
             raise ValueError("texts can be cut at white space for plain byte-level files only")
         self.bytes = byte_alphabet()
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        self.words = WordCache(self._word, 400_000)
-        self.pieces = WordCache(self._piece)
-        self.spaced = WordCache(lambda word: self._piece(" " + word), 400_000)
+        # about 80 MB a worker in all: an entry takes some 200 bytes, and a cache has two generations
+        self.words = WordCache(self._word, 30_000)
+        self.pieces = WordCache(self._piece, 30_000)
+        self.spaced = WordCache(self._spaced, 150_000)
 
     def _whole(self, text: str) -> bytes:
         return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -70,10 +73,23 @@ class StretchEncoder:
         tokens = self.library.model.tokenize("".join(map(self.bytes.__getitem__, word.encode())))
         return array(self.code, [t.id for t in tokens]).tobytes()
 
+    def _spaced(self, word: str) -> bytes:
+        """A stretch behind a space. Letters alone are one pre-split word, those of ASCII stand for their own bytes; a mark behind
+        letters is the next one."""
+        if word.isalpha():
+            if word.isascii():
+                return array(self.code, [t.id for t in self.library.model.tokenize(self.bytes[32] + word)]).tobytes()
+            return self._word(" " + word) if PLAIN.fullmatch(word) else self._whole(" " + word)
+        if word[-1:] in ENDS and word[:-1].isalpha():
+            return self.spaced[word[:-1]] + self.words[word[-1]]
+        return self._piece(" " + word)
+
     def _piece(self, text: str) -> bytes:
         if PLAIN.fullmatch(text):
+            found = SPLIT(text)
             words = self.words
-            return b"".join([words[w] for w in SPLIT(text)])
+            # a stretch of one word is kept by its own cache
+            return self._word(text) if len(found) == 1 else b"".join([words[w] for w in found])
         return self._whole(text)  # letters of a Unicode version that only the library knows
 
     def encode(self, text: str) -> bytes:
