@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -79,3 +80,9 @@ def test_a_hot_key_is_spread_over_the_ranges(spark, monkeypatch):
     sizes = [r["count"] for r in kept[0].groupBy("_range").count().collect()]
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert sum(sizes) == 40_000 and max(sizes) <= 2 * 40_000 / ranges
+
+
+def test_discarded_tables_are_deleted(spark):
+    kept, gone = session.stored(spark.range(5), "kept"), session.stored(spark.range(7), "gone")
+    session.discard(gone)
+    assert kept.count() == 5 and not Path(gone._stored_at).exists() and Path(kept._stored_at).exists()
