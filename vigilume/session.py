@@ -82,16 +82,20 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of :func:`stored` whose last reader has run, and let Spark drop the shuffle files behind them.
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files that nothing refers to any more.
 
-    Spark deletes shuffle files when the driver's garbage collector finds that nothing refers to them, which a driver with
-    little to do may not run for long; so it is run here.
+    It does so when the driver's garbage collector finds them, which a driver with little to do may not run for long.
     """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`stored` whose last reader has run, and the shuffle files behind them."""
     for table in tables:
         spark = table.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(table._stored_at)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     if tables:
-        gc.collect()
-        tables[0].sparkSession._jvm.System.gc()
+        release(tables[0].sparkSession)
