@@ -50,8 +50,8 @@ def bounded(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBat
         yield batch.slice(start, rows)
 
 
-def broadcast_if_small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """A stored table of narrow rows, with a broadcast hint where it has at most ``most`` rows; else joins shuffle it."""
+def broadcast_if_small(df: DataFrame, most: int = 400_000) -> DataFrame:
+    """A stored table of narrow rows, with a broadcast hint where it has at most ``most`` rows (about 10 MB); else joins shuffle it."""
     return F.broadcast(df) if df.count() <= most else df
 
 

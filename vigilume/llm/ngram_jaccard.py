@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from vigilume.llm.arrow_rows import bounded, broadcast_if_small, free_names, texts_of
 from vigilume.llm.components import components
-from vigilume.session import stored
+from vigilume.session import discard, release, stored
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
@@ -196,21 +196,22 @@ def elements_of(docs: DataFrame, join: Join) -> DataFrame:
 
 def near_pairs(sets: DataFrame, join: Join) -> DataFrame:
     """(node, head): pairs that connect all nodes which similar sets may connect."""
+    # of copies one row is enough; rows that share the id as well may stay, which only makes a tile look shared
+    first = broadcast_if_small(stored(sets.where("size > 0").groupBy("node").agg(F.min("id").alias("least")), "first-rows"))
+    once = sets.where("size > 0").join(first.withColumnRenamed("node", "of"), (F.col("node") == F.col("of")) & F.col("id").eqNullSafe(F.col("least")), "left_semi")
     kinds = [
-        sets.where("size > 0").select("node", F.lit(k).alias("kind"), F.col(f"{k}_spare").alias("spare"), F.explode(k).alias("tile"))
+        once.select("node", F.lit(k).alias("kind"), F.col(f"{k}_spare").alias("spare"), F.explode(k).alias("tile"))
         for k in ("own", "next")
     ]
     tiles = kinds[0].unionAll(kinds[1])
     # stored, so that joins can split a tile with very many members
-    shared = stored(
-        tiles.groupBy("tile").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n")).where("a != b").select("tile", "n"),
-        "tiles",
-    )
+    shared = stored(tiles.groupBy("tile").agg(F.count("*").alias("n")).where("n > 1"), "tiles")
     # small tiles: all pairs of at most ``common`` members, tested by their bitmaps
     small = broadcast_if_small(shared.where(F.col("n") <= join.common).select("tile"))
-    members = tiles.join(small, "tile").groupBy("tile").agg(F.collect_set("node").alias("nodes"))
+    members = stored(tiles.join(small, "tile").groupBy("tile").agg(F.collect_set("node").alias("nodes")).where("size(nodes) > 1"), "tile-members")
     pairs = members.select(F.explode("nodes").alias("a"), "nodes").select("a", F.explode("nodes").alias("b")).where("a < b").distinct()
-    bits = stored(sets.where("size > 0").groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits")), "bitmaps")
+    meet = stored(members.select(F.explode("nodes").alias("node")).distinct(), "tile-nodes")
+    bits = stored(once.join(broadcast_if_small(meet), "node", "left_semi").groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits")), "bitmaps")
     both = pairs.join(bits.toDF("a", "size_a", "bits_a"), "a").join(bits.toDF("b", "size_b", "bits_b"), "b")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,14 +220,17 @@ def near_pairs(sets: DataFrame, join: Join) -> DataFrame:
             keep = [may_link(m, np.frombuffer(x, np.uint64), n, np.frombuffer(y, np.uint64), join) for m, x, n, y in rows]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["node", "head"]).filter(pa.array(keep, pa.bool_()))
 
-    tested = both.mapInArrow(test, "node long, head long")
+    tested = stored(both.mapInArrow(test, "node long, head long"), "tested-pairs")
+    discard(members, meet, bits)
     # common tiles: only sets that need them, each with the least of these
     common = broadcast_if_small(shared.where(F.col("n") > join.common).select("tile"))
     held = stored(tiles.join(common, "tile").distinct(), "common-tiles")
     needy = held.groupBy("node", "kind").agg(F.count("*").alias("n"), F.first("spare").alias("spare")).where("n >= spare").select("node", "kind")
     meeting = stored(held.join(needy, ["node", "kind"]).select("tile", "node").distinct(), "meetings")
     heads = stored(meeting.groupBy("tile").agg(F.min("node").alias("head")), "heads")
-    return tested.unionAll(meeting.join(heads, "tile").where("node != head").select("node", "head").distinct())
+    met = stored(meeting.join(heads, "tile").where("node != head").select("node", "head").distinct(), "met-pairs")
+    discard(shared, held, meeting, heads)
+    return tested.unionAll(met)
 
 
 def forest(nodes: list[int], sets: list[np.ndarray], join: Join) -> Iterator[tuple[int, int]]:
@@ -293,6 +297,7 @@ def set_links(docs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
 
     ``docs`` has (id, text); ``sets`` is ``sets_of(docs, join)``, stored.
     """
+    release(docs.sparkSession)
     # nodes that tiles connect; similar sets are always in one such cluster
     clusters = components(near_pairs(sets, join), "node", "head")
     size = stored(clusters.groupBy("component").agg(F.ceil(F.count("*") / join.block).cast("int").alias("blocks")), "cluster-sizes")
