@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from vigilume.llm.collocations import Index, Phrases, among, collocations, frequent_phrases, longer_of, pairs_of, runs_of_words, transform, words_and_sequence
+from vigilume.llm.collocations import Index, Phrases, among, collocations, frequent_phrases, longer_of, pairs_of, runs_of_words, summed_phrases, transform, words_and_sequence
 
 SCHEMA = "doc_id long, text string, lang string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -123,6 +123,12 @@ def test_phrases_among_a_table():
     assert among(words, table, alphabet).tolist() == [True, True, False, False]
 
 
+def test_phrases_are_summed():
+    words = [np.array([4, 9, 4, 4]), np.array([1, 1, 1, 2])]
+    first, sums = summed_phrases(words, np.array([5, 6, 7, 8]))
+    assert {(int(words[0][i]), int(words[1][i]), int(n)) for i, n in zip(first, sums)} == {(4, 1, 12), (9, 1, 6), (4, 2, 8)}
+
+
 def test_words_and_runs():
     words, counts, sequence = words_and_sequence(["A b\tb. ", "", "c,,A "])
     names = words.to_pylist()

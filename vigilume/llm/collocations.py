@@ -262,37 +262,63 @@ def indexed(shards: DataFrame, words: DataFrame, sent: int) -> DataFrame:
     return both.mapInArrow(run_joined, schema)
 
 
-def intervals(index: DataFrame, length: int, tables: list, held: DataFrame | None = None) -> DataFrame:
-    """(shard, w1, ..., start, n): each shard's intervals of phrases of ``length`` words, all parts of which are frequent.
+def intervals(index: DataFrame, length: int, tables: list, held: DataFrame | None = None, placed: bool = False) -> DataFrame:
+    """(w1, ..., n): counts of phrases of ``length`` words, all parts of which are frequent, in parts to be summed; with
+    ``placed`` each shard's intervals, (shard, w1, ..., start, n).
 
     Frequent phrases of fewer words are known to every task (``tables``: broadcast arrays, one for each length from 2 on), or
     ``held`` has the intervals of those of one word less by shard.
     """
     names = [f"w{i + 1}" for i in range(length)]
-    schema = ", ".join(f"{c} long" for c in ["shard", *names, "start", "n"])
+    schema = ", ".join(f"{c} long" for c in (["shard", *names, "start", "n"] if placed else [*names, "n"]))
     joined = held is not None
 
+    def of_shard(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        alphabet, own = unpacked(batch.column(1)[k].as_py(), np.int64), Index.of_transform(unpacked(batch.column(2)[k].as_py(), np.int32))
+        if joined:
+            starts, sizes = longer_of(own, *(batch.column(c)[k].values.to_numpy() for c in (3, 4)))
+        else:
+            starts, sizes = pairs_of(own)
+            for at, table in enumerate(tables, 2):
+                kept = among([alphabet[w] for w in own.words(starts, at)], table.value, alphabet)
+                starts, sizes = longer_of(own, starts[kept], sizes[kept])
+        return starts, sizes, [alphabet[w] for w in own.words(starts, length)]
+
+    def rows(words: list[np.ndarray], **more: object) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(words[0]), ROWS):
+            part = slice(i, i + ROWS)
+            cut = {c: v[part] if isinstance(v, np.ndarray) else v for c, v in more.items()}
+            yield _rows(schema, len(words[0][part]), **cut, **{c: w[part] for c, w in zip(names, words)})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            few = []
             for k in range(batch.num_rows):
-                shard, alphabet, before = (batch.column(c)[k].as_py() for c in range(3))
-                alphabet, own = unpacked(alphabet, np.int64), Index.of_transform(unpacked(before, np.int32))
-                if not joined:
-                    starts, sizes = pairs_of(own)
-                    for at, table in enumerate(tables, 2):
-                        kept = among([alphabet[w] for w in own.words(starts, at)], table.value, alphabet)
-                        starts, sizes = longer_of(own, starts[kept], sizes[kept])
+                starts, sizes, words = of_shard(batch, k)
+                if placed:
+                    yield from rows(words, shard=batch.column(0)[k].as_py(), start=starts, n=sizes)
+                elif length == 2:
+                    yield from rows(words, n=sizes)
                 else:
-                    starts, sizes = longer_of(own, *(batch.column(c)[k].values.to_numpy() for c in (3, 4)))
-                words = own.words(starts, length)
-                for i in range(0, len(starts), ROWS):
-                    part = slice(i, i + ROWS)
-                    yield _rows(schema, len(starts[part]), shard=shard, start=starts[part], n=sizes[part], **{c: alphabet[w[part]] for c, w in zip(names, words)})
+                    few.append((*words, sizes))
+            if few:  # longer phrases are few: a batch's shards are summed before they are sent
+                *words, sizes = (np.concatenate(column) for column in zip(*few, strict=True))
+                first, sums = summed_phrases(words, sizes)
+                yield from rows([w[first] for w in words], n=sums)
 
     source = index if not joined else index.join(held, "shard").select("shard", "alphabet", "before", "starts", "sizes")
     return source.mapInArrow(run, schema)
 
 
+def summed_phrases(words: list[np.ndarray], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct phrase (a column for each word), and the sum of its sizes."""
+    key = np.zeros(len(sizes), np.int64)
+    for column in words:
+        _, word = np.unique(column, return_inverse=True)
+        _, first, key = np.unique(key * (int(word.max(initial=0)) + 1) + word, return_index=True, return_inverse=True)
+    return first, np.bincount(key, sizes, len(first)).astype(np.int64)
+
+
 def among(words: list[np.ndarray], table: np.ndarray, alphabet: np.ndarray) -> np.ndarray:
     """Which phrases (a column for each word) are rows of ``table``; only rows of words in ``alphabet`` matter."""
     table = table[np.isin(table, alphabet).all(axis=1)]
@@ -343,6 +369,7 @@ def frequent_phrases(docs: DataFrame, how: Phrases) -> tuple[DataFrame, DataFram
             if len(known) <= how.sent:
                 tables.append(spark.sparkContext.broadcast(np.array(known, np.int64)))
                 continue
+        rows = intervals(index, length, tables, held, placed=True)
         kept = rows.join(summed.select(*names), names).groupBy("shard").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("sizes"))
         held = stored(kept, "kept-intervals")
     phrases = found[0]
