@@ -660,6 +660,13 @@ oracle("session_drilldown", """SELECT user_id, date, pc, session_start, session_
     CASE WHEN duration_min < 15 THEN 'Short session (<15 min)' END, CASE WHEN usb THEN 'USB device activity' END,
     CASE WHEN exe THEN 'Executable file copied' END, CASE WHEN fil AND duration_min < 15 THEN 'File activity in short session' END) AS indicators,
   CASE WHEN risk IN ('medium', 'high') THEN coalesce(shown, '') ELSE '' END AS events FROM drill_risk""")
+CTE["own_test_e"] = "SELECT * FROM own_test WHERE end_date < DATE '2024-01-08'"
+CTE["flag_dates_e"] = """
+SELECT DISTINCT user_id, end_date FROM own_test_e WHERE score >= (SELECT quantile_cont(score, 0.5) FROM own_test_e)"""
+for _name in ("drill_ev", "drill_sum", "drill", "drill_risk"):
+    CTE[f"{_name}_e"] = re.sub(r"\b(flag_dates|drill_ev|drill_sum|drill)\b", r"\1_e", CTE[_name])
+oracle("session_drilldown_dated", """SELECT user_id, date, pc, session_start, session_end, round(duration_min, 1) AS duration_min, risk,
+  CAST(round_even(duration_min, 0) AS INT) || '-min session' || coalesce(': ' || mix, '') AS summary FROM drill_risk_e""")
 oracle("alert_report", f"""SELECT 'INSIDER-' || u.user_id || '-' || lpad(CAST(place AS VARCHAR), CAST(greatest(3, length(CAST(place AS VARCHAR))) AS INTEGER), '0') AS alert_id,
   CASE WHEN {_RATE} > 0.5 OR max_score > 2 * (SELECT threshold FROM own_limit) THEN 'HIGH' WHEN {_RATE} > 0.25 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
   u.user_id, total_sequences, detected AS flagged_sequences, round({_RATE}, 6) AS detection_rate, round(max_score, 6) AS max_anomaly_score,
@@ -734,6 +741,8 @@ UNION ALL SELECT 1, 1, flagged_insider_sessions FROM session_sums""")
 oracle("chart_timeline", "SELECT user_id, truth_start, truth_end, first_insider_date, first_detection_date, CASE WHEN detected > 0 THEN 'caught' ELSE 'missed' END AS outcome FROM latency")
 oracle("chart_scatter", f"SELECT user_id, seq_no, copy, label, score, md5('{P.seed}|' || user_id || '|' || seq_no || '|' || copy) AS draw FROM test_set")
 
+oracle("threshold_percentile_sketch", """SELECT m AS method, (SELECT count(*) FROM cal_set) AS n, true AS within FROM (VALUES ('percentile_99'), ('percentile_95')) t(m)""")
+
 # --- inference and streaming --------------------------------------------------------------------
 
 _RANGED = (

@@ -3,6 +3,7 @@ from datetime import date, datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import HealthCheck, given, settings, strategies as st
 
 from vigilume.operators import metrics as mt
@@ -119,3 +120,15 @@ def test_rates_stay_within_bounds(spark, rows):
     for table in (mt.pr_curve(steps), mt.roc_curve(steps), mt.ranking_metrics(steps)):
         for r in table.drop("threshold").collect():
             assert all(0 <= v <= 1 for v in r)
+
+
+def test_sketched_percentiles_by_date(spark):
+    """Sketches of dates merge to the percentiles of all scores, within their rank error; a date can be replaced."""
+    rows = spark.range(60_000).select(
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 20).cast("int")).alias("end_date"), (F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003).alias("score")
+    )
+    found = {r["method"]: r["threshold"] for r in mt.sketched_percentiles(mt.score_sketches(rows), {"a": 0.95, "b": 0.5}).collect()}
+    for name, p in (("a", 0.95), ("b", 0.5)):
+        rank = rows.where(F.col("score") <= found[name]).count() / 60_000
+        assert abs(rank - p) < 0.005
+    assert mt.sketched_percentiles(mt.score_sketches(rows.limit(0)), {"a": 0.5}).collect() == []

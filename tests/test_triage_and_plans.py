@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vigilume import session
 from vigilume.config import Settings
 from vigilume.operators import metrics as mt, profiling as pr, sessions as se, triage as tr
 from vigilume.plans import evaluation, inference, prepare
@@ -172,3 +173,22 @@ def test_last_truth_interval_wins(spark):
     truth = spark.createDataFrame([("u", 1, None, datetime(2024, 1, 1), datetime(2024, 1, 2)), ("u", None, None, datetime(2024, 2, 1), datetime(2024, 2, 2))],
                                   "user_id string, scenario int, details string, start_date timestamp_ntz, end_date timestamp_ntz")
     assert mt.last_interval(truth).first()["scenario"] == 0
+
+
+def test_drilldown_reads_the_folders_of_its_dates_only(spark, tmp_path):
+    log = fx.events(spark, DATA)
+    logs.write_events(log, str(tmp_path / "log"))
+    dated = spark.read.parquet(str(tmp_path / "log"))
+    keys = ["session_id", "user_id", "pc", "session_start", "session_end"]
+    targets = session.stored(se.sessions(log, fx.FIXTURE).where("session_date = date'2024-01-10'").select(*keys), "targets")
+    inside = tr.session_events(targets, dated)
+    assert sorted(map(str, inside.collect())) == sorted(map(str, tr.session_events(targets, log).collect()))
+    assert "dynamicpruning" in inside._jdf.queryExecution().executedPlan().toString()
+    # files of other days may hold anything: they aren't opened
+    for path in (tmp_path / "log").glob("date=2024-01-2*/*.parquet"):
+        path.write_bytes(b"no parquet")
+        (path.parent / f".{path.name}.crc").unlink(missing_ok=True)
+    again = tr.session_events(targets, spark.read.schema(dated.schema).parquet(str(tmp_path / "log")))
+    assert sorted(map(str, again.collect())) == sorted(map(str, inside.collect()))
+    with pytest.raises(Exception, match="no parquet|FAILED_READ_FILE|Parquet"):
+        spark.read.schema(dated.schema).parquet(str(tmp_path / "log")).select("id").collect()

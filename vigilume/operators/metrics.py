@@ -132,6 +132,28 @@ def calibration_thresholds(cal_scores: DataFrame) -> DataFrame:
     return with_scalars(percentiles(steps, {"percentile_99": 0.99, "percentile_95": 0.95}), spread)
 
 
+#: Size of the quantile sketches: a percentile's rank is off by 0.5 % of the scores or less, in 99 of 100 cases.
+SKETCH_SIZE = 1024
+
+
+def score_sketches(scores: DataFrame, size: int = SKETCH_SIZE) -> DataFrame:
+    """(date, n, sketch): a mergeable quantile sketch of the scores of the windows that end on each date."""
+    return scores.groupBy(F.col("end_date").alias("date")).agg(
+        F.count("score").alias("n"), F.kll_sketch_agg_double(F.col("score").cast("double"), F.lit(size)).alias("sketch")
+    ).where(F.col("n") > 0)
+
+
+def sketched_percentiles(sketches: DataFrame, probs: Mapping[str, float]) -> DataFrame:
+    """(method, threshold) by merging sketches of any dates: the scores themselves aren't read again.
+
+    :func:`percentiles` is exact and stays the default; this is for calibration over very many scores, or when a date is added.
+    """
+    # without a sketch there is no percentile: an empty sketch has none
+    merged = sketches.agg(F.kll_merge_agg_double("sketch").alias("_all"), F.count("*").alias("_n"))
+    cells = [F.struct(F.lit(n).alias("method"), F.when(F.col("_n") > 0, F.kll_sketch_get_quantile_double("_all", F.lit(p))).alias("threshold")) for n, p in probs.items()]
+    return merged.select(F.inline(F.array(*cells))).where(F.col("threshold").isNotNull())
+
+
 def thresholds(test_steps: DataFrame | None, cal_scores: DataFrame, methods: Sequence[str] = THRESHOLD_METHODS) -> DataFrame:
     """(method, threshold, is_oracle), one row per method; label-aware methods need the test ladder."""
     unknown = set(methods) - set(THRESHOLD_METHODS)

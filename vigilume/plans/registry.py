@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from vigilume.config import CATEGORICAL, CONTEXT_ONLY, CYCLICAL, SESSION
+from vigilume.functions.columns import with_scalars
 from vigilume.operators import (
     augment as ag, context, daily as dy, features as ft, metrics as mt, profiling as pr, scoring as sc, sessions as se,
     triage as tr, windows as wn,
@@ -601,6 +602,24 @@ def judged_users(spark: SparkSession, d: str) -> DataFrame:
     return mt.judge(own, limit)
 
 
+@query
+def threshold_percentile_sketch(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles from sketches stored by date, one date written after the others: is each one's rank within one percent?"""
+    scored = calibration_set(spark, d)
+    home = shared_dir(spark, "sketches")
+    late = F.col("end_date") >= F.lit("2024-01-28").cast("date")
+    artifacts.save_sketches(mt.score_sketches(scored.where(~late)), home)
+    artifacts.save_sketches(mt.score_sketches(scored.where(late)), home)
+    found = mt.sketched_percentiles(artifacts.load_sketches(spark, home), {"percentile_99": 0.99, "percentile_95": 0.95})
+    ranks = with_scalars(scored, found.agg(F.collect_list(F.struct("method", "threshold")).alias("_found"))).select("score", F.inline("_found"))
+    share = F.lit(0.01) + F.when(F.col("method") == "percentile_99", 0.99).otherwise(0.95)
+    return ranks.groupBy("method").agg(
+        F.count("*").alias("n"),
+        ((F.count_if(F.col("score") < F.col("threshold")) <= F.first(share) * F.count("*"))
+         & (F.count_if(F.col("score") <= F.col("threshold")) >= (F.first(share) - 0.02) * F.count("*"))).alias("within"),
+    )
+
+
 @query
 def threshold_percentile(spark: SparkSession, d: str) -> DataFrame:
     return rounded(mt.thresholds(None, calibration_set(spark, d), ["percentile_99", "percentile_95"]))
@@ -773,6 +792,18 @@ def session_drilldown(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query
+def session_drilldown_dated(spark: SparkSession, d: str) -> DataFrame:
+    """The drill-down over a log stored by date: only the folders of the sessions' dates are read."""
+    home = shared_dir(spark, "dated-events")
+    logs.write_events(fx.events(spark, d), home)
+    own = fx.user_scores(spark, d).where(F.col("label").isNotNull() & (F.col("end_date") < F.lit("2024-01-08").cast("date")))
+    median = mt.percentiles(mt.ladder(own), {"threshold": 0.5})
+    judged = mt.judge(own, median.select(F.lit("median").alias("method"), "threshold"))
+    found = tr.session_drilldown(judged, session_table(spark, d), spark.read.parquet(home), CFG)
+    return found.select("user_id", "date", "pc", "session_start", "session_end", "duration_min", "risk", "summary")
+
+
 def shown_window(score: str, day: str) -> Callable[[Column], Column]:
     """A window of a report as text: rank, score in millionths and the day it ends."""
     return lambda w: F.concat_ws(" ", w["rank"], F.round(w[score] * 1_000_000).cast("long"), w[day].cast("string"))

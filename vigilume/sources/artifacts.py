@@ -91,6 +91,15 @@ def load_days(spark: SparkSession, source: str, split: str | None = None) -> Dat
     return days if split is None else days.where(F.col("split") == split)
 
 
+def save_sketches(sketches: DataFrame, target: str) -> None:
+    """One folder for each date; dates that are written again are replaced, the others stay."""
+    sketches.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(target)
+
+
+def load_sketches(spark: SparkSession, source: str) -> DataFrame:
+    return spark.read.parquet(source)
+
+
 def load_scores(spark: SparkSession, source: str) -> DataFrame:
     return spark.read.parquet(source)
 
