@@ -245,7 +245,8 @@ _REAL_SESSION = (
 
 
 def pick(columns, real=(), digits=6) -> str:
-    return ", ".join(f"round({c}, {digits}) AS {c}" if c in real else c for c in columns)
+    shown = lambda c: 5 if c == "total_session_time" else digits
+    return ", ".join(f"round({c}, {shown(c)}) AS {c}" if c in real else c for c in columns)
 
 
 _FILES = ("exe_copy_count", "doc_copy_count", "archive_copy_count")
@@ -258,9 +259,9 @@ oracle("session_counts", """SELECT user_id, pc, session_start, session_event_cou
   session_http_count, session_usb_used, session_external_email, session_exe_copied, session_unique_domains,
   session_attachment_count FROM sess_feat""")
 oracle("session_entropy", "SELECT user_id, pc, session_start, round(session_event_entropy, 6) AS session_event_entropy FROM sess_feat")
-oracle("daily_session_stats", f"SELECT user_id, date, {pick([c for c in SESSION if c != 'longest_inter_session_gap'], _REAL_SESSION, 3)} FROM day_sess")
+oracle("daily_session_stats", f"SELECT user_id, date, {pick([c for c in SESSION if c != 'longest_inter_session_gap'], _REAL_SESSION)} FROM day_sess")
 oracle("session_gaps", "SELECT user_id, date, round(longest_inter_session_gap, 6) AS longest_inter_session_gap FROM gaps")
-oracle("daily_merged", f"SELECT user_id, date, {pick(DAILY_COLUMNS, _REAL_DAILY, 3)}, {pick(SESSION, _REAL_SESSION, 3)} FROM merged")
+oracle("daily_merged", f"SELECT user_id, date, {pick(DAILY_COLUMNS, _REAL_DAILY)}, {pick(SESSION, _REAL_SESSION)} FROM merged")
 oracle("latest_profile", "SELECT employee_name, user_id, role, department, functional_unit FROM profile")
 oracle("attribute_changes", "SELECT * FROM changes")
 oracle("terminated_users", "SELECT * FROM ended")

@@ -277,10 +277,15 @@ def session_entropy(spark: SparkSession, d: str) -> DataFrame:
     return rounded(features.select("user_id", "pc", "session_start", "session_event_entropy"))
 
 
+def total_time(days: DataFrame) -> DataFrame:
+    """A sum of minutes can end in a 5 behind the sixth digit, which the order of summation then rounds either way."""
+    return days.withColumn("total_session_time", F.round("total_session_time", 5))
+
+
 @query
 def daily_session_stats(spark: SparkSession, d: str) -> DataFrame:
     features = se.session_features(session_table(spark, d), fx.events(spark, d), CFG, hosts=False)
-    return rounded(se.daily_session_stats(features, CFG), 3)
+    return rounded(total_time(se.daily_session_stats(features, CFG)))
 
 
 @query
@@ -290,7 +295,7 @@ def session_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def daily_merged(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(merged(spark, d).select("user_id", "date", *dy.DAILY_COLUMNS, *SESSION), 3)
+    return rounded(total_time(merged(spark, d).select("user_id", "date", *dy.DAILY_COLUMNS, *SESSION)))
 
 
 # --- features -----------------------------------------------------------------------------------
