@@ -442,6 +442,17 @@ CTE["profile_err"] = profile_cte("numbered")
 CTE["day_err"] = day_error_cte("profile_err")
 CTE["err_members"] = members_cte(P.lookback, P.stride, "day_err")
 CTE["win_score"] = window_score_cte("err_members")
+_P = P.behavioural
+_ROOT = "sqrt(0.5::DOUBLE)"
+_FIRST, _SECOND = f"({_P[0]} + {_P[1]}) * {_ROOT}", f"({_P[2]} - {_P[3]}) * {_ROOT}"
+CTE["fixed_err"] = ("SELECT user_id, date, is_insider, rn, n, " + f"{_FIRST} AS z1, {_SECOND} AS z2, greatest((" + " + ".join(f"{c}::DOUBLE * {c}" for c in _P)
+    + f") - ({_FIRST}) * ({_FIRST}) - ({_SECOND}) * ({_SECOND}), 0) / {len(_P)}.0::DOUBLE AS error FROM numbered")
+CTE["fixed_members"] = members_cte(P.lookback, P.stride, "fixed_err")
+CTE["fixed_score"] = window_score_cte("fixed_members")
+oracle("fixed_basis_reconstruction", f"SELECT user_id, seq_no, label, end_date, {r6('max_error')} AS max_error, {r6('score')} AS score FROM fixed_score")
+oracle("fixed_model_score", f"SELECT user_id, seq_no, {r6('score')} AS score FROM fixed_score")
+oracle("fixed_window_embedding", f"""SELECT user_id, seq_no, max(date) AS end_date, {r6(f'sum(z1) / {P.lookback}.0::DOUBLE')} AS first,
+  {r6(f'sum(z2) / {P.lookback}.0::DOUBLE')} AS second FROM fixed_members GROUP BY user_id, seq_no""")
 _SHOWN = ("total_actions", "emails_sent", "sess_count", "mean_session_entropy", "http_request_count_zscore")
 oracle("profile_reconstruction", "SELECT user_id, date, " + ", ".join(f"{r6(c)} AS {c}" for c in _SHOWN) + " FROM profile_err")
 oracle("day_error", "SELECT user_id, date, round(error, 6) AS error FROM day_err")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
-from pyspark.ml.functions import predict_batch_udf, vector_to_array
+from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import DoubleType
 
@@ -58,14 +58,18 @@ def fit_pca(train: DataFrame, k: int) -> PCAModel:
 
 
 def pca_errors(days: DataFrame, model: PCAModel, n_features: int) -> DataFrame:
-    """Mean squared reconstruction error. The components are orthonormal, so the squared residual is
-    the squared length that the projection loses."""
+    """Mean squared reconstruction error under the model's components."""
+    return projection_errors(model.transform(days), n_features)
+
+
+def projection_errors(encoded: DataFrame, n_features: int) -> DataFrame:
+    """Mean squared reconstruction error of ``vector`` from ``encoded``, its projection on orthonormal components: the squared
+    residual is the squared length that the projection loses."""
     def squared(v: Column) -> Column:
         return F.aggregate(vector_to_array(v), F.lit(0.0), lambda acc, x: acc + x * x)
 
     lost = squared(F.col("vector")) - squared(F.col("encoded"))
-    out = model.transform(days)
-    return out.withColumn("error", F.greatest(lost, F.lit(0.0)) / F.lit(float(n_features)))
+    return encoded.withColumn("error", F.greatest(lost, F.lit(0.0)) / F.lit(float(n_features)))
 
 
 def window_embedding(encoded: DataFrame, width: int, lookback: int, stride: int, pooling: str = "mean") -> DataFrame:

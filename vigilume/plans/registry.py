@@ -576,6 +576,44 @@ def window_embedding(spark: SparkSession, d: str) -> DataFrame:
     return pooled.select("user_id", "seq_no", "end_date", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
+def fixed_basis() -> list[list[float]]:
+    """Two orthonormal components over the behavioural features: the first two added, the next two subtracted."""
+    half = 0.5**0.5
+    rows = [[half, 0.0], [half, 0.0], [0.0, half], [0.0, -half]]
+    return rows + [[0.0, 0.0]] * (len(CFG.behavioural) - 4)
+
+
+def fixed_encoding(spark: SparkSession, d: str) -> DataFrame:
+    """Scaled days with their projection on the fixed basis."""
+    days = prepare(inputs(spark, d), CFG).scaled(CFG)
+    vectors = sc.day_vectors(days, CFG.behavioural)
+    x = [F.get(sc.vector_to_array("vector"), F.lit(i)) for i in range(4)]
+    half = F.lit(0.5**0.5)
+    return vectors.withColumn("encoded", sc.array_to_vector(F.array((x[0] + x[1]) * half, (x[2] - x[3]) * half)))
+
+
+@query
+def fixed_basis_reconstruction(spark: SparkSession, d: str) -> DataFrame:
+    """The linear reconstruction with components that SQL can write down."""
+    errors = sc.projection_errors(fixed_encoding(spark, d), len(CFG.behavioural))
+    return rounded(sc.window_score(errors, CFG.lookback, CFG.stride, CFG).select("user_id", "seq_no", "label", "end_date", "max_error", "score"))
+
+
+@query
+def fixed_model_score(spark: SparkSession, d: str) -> DataFrame:
+    """A supplied model, loaded in each Python worker, over whole windows."""
+    days = prepare(inputs(spark, d), CFG).scaled(CFG)
+    windows = wn.sliding_windows(days, CFG.behavioural, [], CFG.lookback, CFG.stride)
+    make = sc.linear_autoencoder(fixed_basis(), CFG.lookback, CFG)
+    return rounded(sc.batch_score(windows, make, CFG.lookback, len(CFG.behavioural)).select("user_id", "seq_no", "score"))
+
+
+@query
+def fixed_window_embedding(spark: SparkSession, d: str) -> DataFrame:
+    pooled = sc.window_embedding(fixed_encoding(spark, d), 2, CFG.lookback, CFG.stride)
+    return rounded(pooled.select("user_id", "seq_no", "end_date", F.col("embedding")[0].alias("first"), F.col("embedding")[1].alias("second")))
+
+
 @query
 def embedding_mean_pool(spark: SparkSession, d: str) -> DataFrame:
     return rounded(sc.mean_pool(fx.table(spark, d, "embeddings"), "label", "embedding"))
