@@ -124,4 +124,28 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op11_collocations": r"""
+WITH docs AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM docs),
+lists AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS g
+  FROM lists, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k),
+f AS MATERIALIZED (SELECT lang, k, g, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM lists GROUP BY lang),
+beyond AS (
+  SELECT lang, g, max(l) AS l, max(r) AS r FROM (
+    SELECT lang, g[2:] AS g, f AS l, 0 AS r FROM f WHERE k > 2 UNION ALL SELECT lang, g[:k - 1], 0, f FROM f WHERE k > 2) GROUP BY ALL),
+kept AS (
+  SELECT f.lang, f.k, f.g, f.f AS a, coalesce(b.l, 0)::BIGINT AS longer_left, coalesce(b.r, 0)::BIGINT AS longer_right
+  FROM f LEFT JOIN beyond b ON b.lang = f.lang AND b.g = f.g WHERE f.k > 1 AND 100 * greatest(coalesce(b.l, 0), coalesce(b.r, 0)) < 100 * f.f),
+cuts AS (
+  SELECT c.*, n.n, p.f AS l, s.f AS r, ((1000::HUGEINT * a * n.n) // (p.f::HUGEINT * s.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept) c JOIN n ON n.lang = c.lang
+  JOIN f p ON p.lang = c.lang AND p.g = c.g[:c.cut] JOIN f s ON s.lang = c.lang AND s.g = c.g[c.cut + 1:]),
+best AS (SELECT *, array_to_string(g, ' ') AS phrase FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1)
+SELECT lang, rank, phrase, a, l, r, n, score, longer_left AS "left", longer_right AS "right" FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best) WHERE rank <= 2000""",
+}
