@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from vigilume.llm.collocations import Index, Phrases, among, collocations, frequent_phrases, longer_of, pairs_of, runs_of_words, summed_phrases, transform, words_and_sequence
+from vigilume.llm.collocations import BUCKETS, PARTS, Index, Phrases, among, bucket_of, collocations, frequent_phrases, full_buckets, longer_of, packed, pairs_of, runs_of_words, summed_phrases, transform, words_and_sequence
 
 SCHEMA = "doc_id long, text string, lang string"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -123,6 +123,17 @@ def test_phrases_among_a_table():
     assert among(words, table, alphabet).tolist() == [True, True, False, False]
 
 
+def test_buckets_never_lose_a_frequent_phrase(spark):
+    """Parts of two tasks' tables add up; equal phrases share a bucket."""
+    words = [np.array([4, 9, 4, 4]), np.array([1, 1, 1, 2])]
+    assert bucket_of(words)[0] == bucket_of(words)[2] != bucket_of(words)[3]
+    counts = np.zeros((2, BUCKETS), np.int64)
+    counts[0, 5], counts[1, 5], counts[0, BUCKETS - 1] = 2, 3, 4
+    rows = [(part, packed(some)) for table in counts for part, some in enumerate(np.split(table, PARTS)) if some.any()]
+    full = full_buckets(spark.createDataFrame(rows, "part long, counts binary"), 5)
+    assert np.flatnonzero(full).tolist() == [5]
+
+
 def test_phrases_are_summed():
     words = [np.array([4, 9, 4, 4]), np.array([1, 1, 1, 2])]
     first, sums = summed_phrases(words, np.array([5, 6, 7, 8]))

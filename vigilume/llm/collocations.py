@@ -8,7 +8,8 @@ frequent, or the longer phrase can't be.
 
 Phrases grow by one word a round. The sizes of the intervals are their counts; these are summed over the shards, and the next round
 extends only the intervals of phrases that are frequent in the whole corpus. All sums are exact; shards only ever leave out
-what can't reach the least count.
+what can't reach the least count. Phrases of three words and more are first counted in hashed buckets, a fixed number; those in a
+bucket that all of them together don't fill to the least count aren't sent.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from vigilume.functions.ordering import ranked
@@ -30,6 +31,8 @@ from vigilume.session import stored
 PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n")
 #: Rows in a batch that goes back to Spark.
 ROWS = 65_536
+#: Buckets in which phrases are counted by hash, and the parts in which a task sends its counts.
+BUCKETS, PARTS = 1 << 20, 64
 
 
 @dataclass(frozen=True)
@@ -262,16 +265,50 @@ def indexed(shards: DataFrame, words: DataFrame, sent: int) -> DataFrame:
     return both.mapInArrow(run_joined, schema)
 
 
-def intervals(index: DataFrame, length: int, tables: list, held: DataFrame | None = None, placed: bool = False) -> DataFrame:
+def bucket_of(words: list[np.ndarray]) -> np.ndarray:
+    """One of ``BUCKETS`` for each phrase (a column for each word)."""
+    key = np.zeros(len(words[0]), np.uint64)
+    for w in words:
+        key = (key ^ w.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return (key % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def full_buckets(counted: DataFrame, least: int) -> np.ndarray:
+    """Which buckets hold ``least`` occurrences, from (part, counts): parts of the tasks' tables, summed part by part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, data in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                counts = unpacked(data, np.int64)
+                sums[part] = sums[part] + counts if part in sums else counts
+        for part, counts in sums.items():
+            yield _rows("part long, full binary", 1, part=part, full=np.packbits(counts >= least).tobytes())
+
+    full = np.zeros(BUCKETS, bool)
+    width = BUCKETS // PARTS
+    # one bit for each bucket, a fixed number
+    for part, bits in counted.repartition("part").mapInArrow(run, "part long, full binary").collect():
+        full[part * width : (part + 1) * width] = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
+    return full
+
+
+def intervals(
+    index: DataFrame, length: int, tables: list, held: DataFrame | None = None, placed: bool = False, full: Broadcast | None = None, buckets: bool = False
+) -> DataFrame:
     """(w1, ..., n): counts of phrases of ``length`` words, all parts of which are frequent, in parts to be summed; with
     ``placed`` each shard's intervals, (shard, w1, ..., start, n).
 
     Frequent phrases of fewer words are known to every task (``tables``: broadcast arrays, one for each length from 2 on), or
-    ``held`` has the intervals of those of one word less by shard.
+    ``held`` has the intervals of those of one word less by shard. With ``buckets`` the counts are those of hashed buckets,
+    (part, counts); phrases in buckets that aren't ``full`` are left out, as such a phrase can't be frequent.
     """
     names = [f"w{i + 1}" for i in range(length)]
     schema = ", ".join(f"{c} long" for c in (["shard", *names, "start", "n"] if placed else [*names, "n"]))
     joined = held is not None
+    if buckets:
+        schema = "part long, counts binary"
 
     def of_shard(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         alphabet, own = unpacked(batch.column(1)[k].as_py(), np.int64), Index.of_transform(unpacked(batch.column(2)[k].as_py(), np.int32))
@@ -282,7 +319,11 @@ def intervals(index: DataFrame, length: int, tables: list, held: DataFrame | Non
             for at, table in enumerate(tables, 2):
                 kept = among([alphabet[w] for w in own.words(starts, at)], table.value, alphabet)
                 starts, sizes = longer_of(own, starts[kept], sizes[kept])
-        return starts, sizes, [alphabet[w] for w in own.words(starts, length)]
+        words = [alphabet[w] for w in own.words(starts, length)]
+        if full is not None:
+            kept = full.value[bucket_of(words)]
+            starts, sizes, words = starts[kept], sizes[kept], [w[kept] for w in words]
+        return starts, sizes, words
 
     def rows(words: list[np.ndarray], **more: object) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(words[0]), ROWS):
@@ -290,6 +331,16 @@ def intervals(index: DataFrame, length: int, tables: list, held: DataFrame | Non
             cut = {c: v[part] if isinstance(v, np.ndarray) else v for c, v in more.items()}
             yield _rows(schema, len(words[0][part]), **cut, **{c: w[part] for c, w in zip(names, words)})
 
+    def tables_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                _, sizes, words = of_shard(batch, k)
+                np.add.at(counts, bucket_of(words), sizes)
+        for part, some in enumerate(np.split(counts, PARTS)):
+            if some.any():
+                yield _rows(schema, 1, part=part, counts=packed(some))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             few = []
@@ -307,7 +358,7 @@ def intervals(index: DataFrame, length: int, tables: list, held: DataFrame | Non
                 yield from rows([w[first] for w in words], n=sums)
 
     source = index if not joined else index.join(held, "shard").select("shard", "alphabet", "before", "starts", "sizes")
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tables_of if buckets else run, schema)
 
 
 def summed_phrases(words: list[np.ndarray], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -357,7 +408,10 @@ def frequent_phrases(docs: DataFrame, how: Phrases) -> tuple[DataFrame, DataFram
     held = None
     for length in range(2, how.longest + 1):
         names = [f"w{i + 1}" for i in range(length)]
-        rows = intervals(index, length, tables, held)
+        full = None
+        if length > 2:
+            full = spark.sparkContext.broadcast(full_buckets(intervals(index, length, tables, held, buckets=True), how.least))
+        rows = intervals(index, length, tables, held, full=full)
         summed = stored(rows.groupBy(*names).agg(F.sum("n").alias("f")).where(F.col("f") >= how.least), f"phrases-{length}")
         found.append(summed.select(F.array(*names).alias("key"), "f"))
         if length == how.longest:
@@ -369,7 +423,7 @@ def frequent_phrases(docs: DataFrame, how: Phrases) -> tuple[DataFrame, DataFram
             if len(known) <= how.sent:
                 tables.append(spark.sparkContext.broadcast(np.array(known, np.int64)))
                 continue
-        rows = intervals(index, length, tables, held, placed=True)
+        rows = intervals(index, length, tables, held, placed=True, full=full)
         kept = rows.join(summed.select(*names), names).groupBy("shard").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("sizes"))
         held = stored(kept, "kept-intervals")
     phrases = found[0]
