@@ -8,7 +8,7 @@ frequent, or the longer phrase can't be.
 
 Phrases grow by one word a round. The sizes of the intervals are their counts; these are summed over the shards, and the next round
 extends only the intervals of phrases that are frequent in the whole corpus. All sums are exact; shards only ever leave out
-what can't reach the least count. Phrases of three words and more are first counted in hashed buckets, a fixed number; those in a
+what can't reach the least count. Phrases of three words are first counted in hashed buckets, a fixed number; those in a
 bucket that all of them together don't fill to the least count aren't sent.
 """
 
@@ -409,7 +409,7 @@ def frequent_phrases(docs: DataFrame, how: Phrases) -> tuple[DataFrame, DataFram
     for length in range(2, how.longest + 1):
         names = [f"w{i + 1}" for i in range(length)]
         full = None
-        if length > 2:
+        if length == 3:  # phrases of more words hold frequent ones of three, and are few
             full = spark.sparkContext.broadcast(full_buckets(intervals(index, length, tables, held, buckets=True), how.least))
         rows = intervals(index, length, tables, held, full=full)
         summed = stored(rows.groupBy(*names).agg(F.sum("n").alias("f")).where(F.col("f") >= how.least), f"phrases-{length}")
