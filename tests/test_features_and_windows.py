@@ -62,6 +62,23 @@ def test_constant_feature_and_unknown_column(spark):
         ft.apply_scaler(days, scaler, ["a"])
 
 
+def test_scaler_is_one_narrow_aggregate(spark):
+    """However many features: two aggregates in all, with NULLs left out and a feature without values dropped."""
+    names = [f"f{i}" for i in range(40)]
+    rows = [(*[float(d * i) if (d + i) % 7 else None for i in range(39)], None) for d in range(9)]
+    scaler = ft.fit_scaler(spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)), names)
+    plan = scaler._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("avg(") == 1 and plan.count("stddev_pop(") == 1
+    got = {r["feature"]: (r["mean"], r["std"]) for r in scaler.collect()}
+    assert sorted(got) == sorted(names[:-1])
+    for i, name in enumerate(names[:-1]):
+        own = [r[i] for r in rows if r[i] is not None]
+        mean = sum(own) / len(own)
+        std = (sum((x - mean) ** 2 for x in own) / len(own)) ** 0.5
+        assert got[name] == pytest.approx((mean, std if std >= 1e-8 else 1.0))
+    assert ft.fit_scaler(spark.createDataFrame([], "a double"), ["a"]).collect() == []
+
+
 def test_dictionary_null_last_and_unseen(spark):
     days = spark.createDataFrame([("b",), (None,), ("a",), ("b",)], "role string")
     codes = ft.fit_dictionary(days, ["role"])
