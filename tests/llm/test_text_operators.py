@@ -200,6 +200,18 @@ def test_bpe_documents(documents, real):
     assert bpe_automaton.round_trip_digests(documents([]), WORD).count() == 0
 
 
+def test_what_is_remembered_changes_no_ids(real):
+    """Few stretches remembered or many: the same tokens; many are worked out once."""
+    few, many = bpe_automaton.WordTokenizer(WORD, 3), bpe_automaton.WordTokenizer(WORD, 250_000)
+    texts = [t or "" for _, t in [*real[:20], *ODD]]
+    assert [few.parts(t) for t in texts] == [many.parts(t) for t in texts]
+    assert len(few.units) <= 3 and many.units.most == 250_000 and bpe_automaton.WordTokenizer(WORD).units.most == bpe_automaton.KEPT
+    worked = []
+    many.units.make = lambda unit, make=many.units.make: worked.append(unit) or make(unit)
+    assert [many.parts(t) for t in texts] and not worked
+
+
+
 # --- quality
 
 

@@ -76,7 +76,8 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigilume.llm.bpe_automaton import round_trip_digests
 
-    return round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    # here the workers run nothing else, so they can remember more
+    return round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), kept=250_000)
 
 
 def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
