@@ -211,6 +211,13 @@ def test_what_is_remembered_changes_no_ids(real):
     assert [many.parts(t) for t in texts] and not worked
 
 
+def test_stretches_of_a_large_vocabulary_are_encoded_once():
+    own, made = token_files.StretchEncoder(BYTE), []
+    own.spaced.make = lambda word, make=own.spaced.make: made.append(word) or make(word)
+    letters = "aeioubdgklmnprst"
+    text = "x " + " ".join(f"{letters[i & 15]}{letters[i >> 4 & 15]}{letters[i >> 8 & 15]}{letters[i >> 12 & 15]}{letters[i >> 16 & 15]}" for i in range(200_000))
+    assert own.encode(text) == own.encode(text) and len(made) == 200_000
+
 
 # --- quality
 

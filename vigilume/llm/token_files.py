@@ -60,10 +60,10 @@ class StretchEncoder:
             raise ValueError("texts can be cut at white space for plain byte-level files only")
         self.bytes = byte_alphabet()
         self.code = "H" if self.dtype.itemsize == 2 else "I"
-        # about 80 MB a worker in all: an entry takes some 200 bytes, and a cache has two generations
+        # about 120 MB a worker in all: an entry takes some 200 bytes, and a cache has two generations
         self.words = WordCache(self._word, 30_000)
         self.pieces = WordCache(self._piece, 30_000)
-        self.spaced = WordCache(self._spaced, 150_000)
+        self.spaced = WordCache(self._spaced, 250_000)
 
     def _whole(self, text: str) -> bytes:
         return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
