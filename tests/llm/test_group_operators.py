@@ -321,3 +321,22 @@ def test_stages_take_odd_and_no_rows(spark, documents):
             docs = documents(rows)
             assert stage(spark, docs, DATA).columns == docs.columns
             stage(spark, docs, DATA).collect()
+
+
+def test_tiles_of_one_set_go_before_the_join(spark):
+    """Of tiles that no other set has only a few are left to be sent; the shared ones all are."""
+    rng = random.Random(3)
+    draw = lambda n: [rng.getrandbits(64) - (1 << 63) for _ in range(n)]
+    common = draw(50)
+    rows = [(n, draw(20) + [common[n % 50]], 2, draw(5) + [common[n * 7 % 50]] if n % 3 else None, 1) for n in range(400)]
+    sets = spark.createDataFrame(rows, "node long, own array<long>, own_spare int, next array<long>, next_spare int").repartition(3)
+    held = [(r[0], k, s, t) for r in rows for k, s, at in (("own", r[2], r[1]), ("next", r[4], r[3])) for t in at or []]
+    shared = spark.createDataFrame([(t,) for t in common], "tile long")
+    wanted = sorted(h for h in held if h[3] in set(common))
+    found = [tuple(r) for r in ngram.maybe_shared(sets, shared).collect()]
+    assert set(found) <= set(held) and sorted(f for f in found if f[3] in set(common)) == wanted
+    assert len(found) - len(wanted) < (len(held) - len(wanted)) / 8
+    # too small a bitmap lets more through
+    found = [tuple(r) for r in ngram.maybe_shared(sets, shared, 64).collect()]
+    assert sorted(f for f in found if f[3] in set(common)) == wanted
+    assert ngram.maybe_shared(sets, shared.limit(0)).count() == 0

@@ -194,6 +194,39 @@ def elements_of(docs: DataFrame, join: Join) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, values array<long>")
 
 
+def maybe_shared(sets: DataFrame, shared: DataFrame, most_bits: int = 1 << 28) -> DataFrame:
+    """(node, kind, spare, tile): the tiles of ``sets`` that are among ``shared``, and a few others.
+
+    A bitmap of the shared tiles goes to every task: 16 to 32 bits for each of them, ``most_bits`` (32 MB) in all. Fewer bits let
+    more tiles through, and never lose one.
+    """
+    bits = 64
+    while bits < min(16 * shared.count(), most_bits):
+        bits *= 2
+    words = shared.groupBy(F.expr(f"shiftright(tile & {bits - 1}L, 6)").alias("at")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(tile & 63L as int)))").alias("word")
+    ).toArrow()
+    bitmap = np.zeros(bits // 64, np.int64)
+    bitmap[words.column("at").to_numpy()] = words.column("word").to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in ("own", "next"):
+                lists = batch.column(k)
+                tile = lists.flatten().to_numpy()
+                row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+                hit = (bitmap[(tile & (bits - 1)) >> 6] >> (tile & 63)) & 1 == 1
+                row = pa.array(row[hit])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("node").take(row), pa.array([k], pa.string()).take(pa.array(np.zeros(len(row), np.int64))),
+                     batch.column(f"{k}_spare").take(row), pa.array(tile[hit])],
+                    ["node", "kind", "spare", "tile"],
+                )
+
+    rows = sets.select("node", "own", "own_spare", "next", "next_spare")
+    return rows.mapInArrow(run, "node long, kind string, spare int, tile long")
+
+
 def near_pairs(sets: DataFrame, join: Join) -> DataFrame:
     """(node, head): pairs that connect all nodes which similar sets may connect."""
     # of copies one row is enough; rows that share the id as well may stay, which only makes a tile look shared
@@ -206,6 +239,8 @@ def near_pairs(sets: DataFrame, join: Join) -> DataFrame:
     tiles = kinds[0].unionAll(kinds[1])
     # stored, so that joins can split a tile with very many members
     shared = stored(tiles.groupBy("tile").agg(F.count("*").alias("n")).where("n > 1"), "tiles")
+    # most tiles have one set: those go before anything is joined, and sent, by tile
+    tiles = stored(maybe_shared(once, shared), "shared-tiles")
     # small tiles: all pairs of at most ``common`` members, tested by their bitmaps
     small = broadcast_if_small(shared.where(F.col("n") <= join.common).select("tile"))
     members = stored(tiles.join(small, "tile").groupBy("tile").agg(F.collect_set("node").alias("nodes")).where("size(nodes) > 1"), "tile-members")
@@ -229,7 +264,7 @@ def near_pairs(sets: DataFrame, join: Join) -> DataFrame:
     meeting = stored(held.join(needy, ["node", "kind"]).select("tile", "node").distinct(), "meetings")
     heads = stored(meeting.groupBy("tile").agg(F.min("node").alias("head")), "heads")
     met = stored(meeting.join(heads, "tile").where("node != head").select("node", "head").distinct(), "met-pairs")
-    discard(shared, held, meeting, heads)
+    discard(shared, tiles, held, meeting, heads)
     return tested.unionAll(met)
 
 
