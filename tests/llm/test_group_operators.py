@@ -340,3 +340,35 @@ def test_tiles_of_one_set_go_before_the_join(spark):
     found = [tuple(r) for r in ngram.maybe_shared(sets, shared, 64).collect()]
     assert sorted(f for f in found if f[3] in set(common)) == wanted
     assert ngram.maybe_shared(sets, shared.limit(0)).count() == 0
+
+
+def test_stages_hold_a_small_part_of_a_batch(spark):
+    """A batch of 32 MB of text leaves the first two stages in parts of at most 5 MB, none of its rows lost."""
+    import pyarrow as pa
+
+    from vigilume.llm import compression_quality as quality
+
+    class Rows:
+        """Catches the function that goes to the workers."""
+
+        columns, schema = ["doc_id", "text"], None
+
+        def mapInArrow(self, run, schema):
+            return run
+
+        join = select = lambda self, *a: self
+
+    texts = [f"{k:06} " + "words of a text " * 1024 for k in range(2000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(2000)), "text": texts})
+    model = quality.Model(b"", b"", 9.0, 0.0, 512, 3)
+    parts = list(quality.keep_good(Rows(), model)(iter([batch])))
+    assert max(p.nbytes for p in parts) < 5 << 20 and [i for p in parts for i in p.column("doc_id").to_pylist()] == list(range(2000))
+    docs, made = spark.createDataFrame([(1, "a line")], "doc_id long, text string"), []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(docs), "mapInArrow", lambda self, run, schema: made.append(run) or docs)
+        patch.setattr(lines, "repeated_lines", lambda marks: docs.selectExpr("doc_id", "doc_id as h", "cast(null as array<struct<begin:long,end:long>>) as runs"))
+        patch.setattr(lines, "stored", lambda df, label: df)
+        lines.keep_first_lines(docs)
+    runs = pa.nulls(2000, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))
+    parts = list(made[-1](iter([batch.append_column("runs", runs)])))
+    assert max(p.nbytes for p in parts) < 5 << 20 and [i for p in parts for i in p.column("doc_id").to_pylist()] == list(range(2000))

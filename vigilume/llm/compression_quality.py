@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vigilume.llm.arrow_rows import map_rows, texts_of
+from vigilume.llm.arrow_rows import bounded, map_rows, texts_of
 
 
 @dataclass(frozen=True)
@@ -181,7 +181,8 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: s
         import pyarrow as pa
 
         for batch in batches:
-            keep = [score(model, t) >= threshold for t in batch.column(text_col).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for part in bounded(batch, 4 << 20):
+                keep = [score(model, t) >= threshold for t in part.column(text_col).to_pylist()]
+                yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

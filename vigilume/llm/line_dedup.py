@@ -211,13 +211,14 @@ def keep_first_lines(docs: DataFrame, rule: Winnow = Winnow(), id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, found = batch.column(text_col).to_pylist(), batch.column(own).to_pylist()
-            after = [remaining(t, runs)[0] if runs else t for t, runs in zip(texts, found, strict=True)]
-            keep = pa.array([not runs or bool(t.strip()) for t, runs in zip(after, found, strict=True)], pa.bool_())
-            new = {text_col: pa.array(after, batch.schema.field(text_col).type)}
-            if "n_chars" in columns:
-                counts = [len(t) if runs else n for t, runs, n in zip(after, found, batch.column("n_chars").to_pylist(), strict=True)]
-                new["n_chars"] = pa.array(counts, batch.schema.field("n_chars").type)
-            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in columns], columns).filter(keep)
+            for part in bounded(batch, 4 << 20):
+                texts, found = part.column(text_col).to_pylist(), part.column(own).to_pylist()
+                after = [remaining(t, runs)[0] if runs else t for t, runs in zip(texts, found, strict=True)]
+                keep = pa.array([not runs or bool(t.strip()) for t, runs in zip(after, found, strict=True)], pa.bool_())
+                new = {text_col: pa.array(after, part.schema.field(text_col).type)}
+                if "n_chars" in columns:
+                    counts = [len(t) if runs else n for t, runs, n in zip(after, found, part.column("n_chars").to_pylist(), strict=True)]
+                    new["n_chars"] = pa.array(counts, part.schema.field("n_chars").type)
+                yield pa.RecordBatch.from_arrays([new.get(c, part.column(c)) for c in columns], columns).filter(keep)
 
     return docs.join(runs, same, "left").select(*columns, own).mapInArrow(run, schema)
