@@ -299,6 +299,37 @@ def test_similar_sets_share_a_segment(join):
                 assert ngram.may_link(len(a), ngram.signature(a), len(b), ngram.signature(b), join)
 
 
+def test_sets_can_do_without_as_many_segments_as_they_say():
+    """Also at the ends of the bands, and where the sets differ as much as similar ones can."""
+    rng = np.random.default_rng(6)
+    draw = lambda n: np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+    for join in JOINS[1:]:
+        pairs = 0
+        for size in [1, 4, 9, 19, 20, 94, 113, 141, 170, 211, 316, 317, 711]:
+            for more in [0, 1, size * (join.over - join.least) // join.least]:
+                for less in [0, 1, size * (join.over - join.least) // (2 * join.over)]:
+                    a = draw(size)
+                    b = np.unique(np.concatenate([a[less:], draw(more)]))
+                    if not len(b) or not ngram.linked(a, b, join):
+                        continue
+                    small, large = sorted((a, b), key=len)
+                    keys = [ngram.segment_keys(x, join) for x in (small, large)]
+                    tops = ngram.band_tops(join.growth)
+                    (x, spare_x), (y, spare_y) = keys[0][int(np.searchsorted(tops, len(small)) < np.searchsorted(tops, len(large)))], keys[1][0]
+                    assert len(np.intersect1d(x, y)) >= max(spare_x, spare_y, 1)
+                    pairs += 1
+        assert pairs > 60
+
+
+def test_sets_without_common_elements_do_not_meet(documents):
+    """Sets smaller than their band's largest leave some of its segments empty, and all met in these."""
+    rng = random.Random(8)
+    rows = [(n, " ".join(f"{rng.getrandbits(60):x}" for _ in range(rng.randrange(150, 240)))) for n in range(120)]
+    join = ngram.Join(width=5, least=80, common=3)
+    sets = stored(ngram.sets_of(documents(rows).selectExpr("doc_id as id", "text"), join), "sets")
+    assert ngram.near_pairs(sets, join).isEmpty()
+
+
 # --- pipeline
 
 

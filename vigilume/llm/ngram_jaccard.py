@@ -100,16 +100,18 @@ def segment_keys(values: np.ndarray, join: Join) -> list[tuple[np.ndarray, int]]
     """Keys of a set's tiles in its own band, and in the next one if that can hold similar sets; each with the number of segments
     that it can do without.
 
-    Similar sets have at most d changed segments. Segments without elements make no key, unless d or fewer others are left;
-    then a similar set that shares none of these is in the same state.
+    Similar sets have at most d changed segments. The number of segments follows the largest d in the band; a set's own d
+    follows its size, and that of the largest set similar to it. Segments without elements make no key, unless d or fewer
+    others are left; then a similar set that shares none of these is in the same state.
     """
     size, out, tops = len(values), [], band_tops(join.growth)
-    own = bisect_left(tops, size)
+    own, similar = bisect_left(tops, size), size * join.over // join.least
     for b in (own, own + 1):
-        if b > own and size * join.over < join.least * (tops[own] + 1):
+        if b > own and similar <= tops[own]:
             break
-        d = int(2 * tops[b] * join.differs)
-        n = d + 2 + d // 8 if d else 1
+        most = int(2 * tops[b] * join.differs)
+        n = most + 2 + most // 8 if most else 1
+        d = int((size + min(similar, tops[b])) * join.differs)
         place = (mixed(values + np.uint64(b + 1)) % np.uint64(n)).astype(np.int64)
         sums = np.zeros(n, np.uint64)
         np.add.at(sums, place, mixed(values ^ np.uint64(0xD6E8FEB86659FD93)))
