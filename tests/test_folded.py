@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vigilume.config import Settings
 from vigilume.functions.folded import FLAGS, SCORES, trait_copies, unfold
-from vigilume.operators import context, daily, features as ft, sessions as se, windows as wn
+from vigilume.operators import context, daily, features as ft, scoring as sc, sessions as se, windows as wn
 
 FIRST = date(2024, 1, 29)
 CFG = Settings(rolling_window=3, profile_days=2)
@@ -64,3 +64,27 @@ def test_copies_of_traits_and_least_days(parts, spark):
     assert {r["user_id"] for r in wn.min_days_filter(folded, 4).select("user_id").collect()} == {"a", "b", "c"}
     some = spark.range(1).select(F.expr("array(named_struct('x', 1), named_struct('x', 2), named_struct('x', 3))").alias("_traits"), F.lit(4).alias("_first"), F.lit(7).alias("_copies"))
     assert some.select(trait_copies().alias("n")).first()["n"] == [2, 3, 2]  # pairs 4 to 10 hold traits 1, 2, 0, 1, 2, 0, 1
+
+
+def test_errors_of_folded_days_follow_the_order_of_the_pairs(parts):
+    columns = ["total_actions", "http_request_count_rolling_mean", "openness", "neuroticism", *FLAGS]
+    folded = ft.featured(context.enrich_folded(*parts, None), CFG)
+    rows = {}
+    for r in folded.orderBy("user_id", "date", "_place").collect():
+        for pair in range(r["_first"], r["_first"] + r["_copies"]):
+            n = len(r["_traits"])
+            held = {**r.asDict(), **r["_changes"][pair // n].asDict(), **r["_traits"][pair % n].asDict()}
+            rows.setdefault(r["user_id"], []).append((r["date"], [float(held[c]) for c in columns]))
+    want = []
+    for user, own in rows.items():
+        for i, (day, x) in enumerate(own):
+            seen = [y for _, y in own[max(0, i - CFG.profile_days):i]]
+            errors = [(v - sum(y[k] for y in seen) / len(seen)) ** 2 if seen else 0.0 for k, v in enumerate(x)]
+            want.append((user, day, *[round(e, 6) + 0.0 for e in errors]))
+    found = sc.profile_errors(folded, columns, CFG.profile_days)
+    assert found.count() == 6 * (CFG.rolling_window + CFG.profile_days) + 4 + 4
+    assert len({w[2:] for w in want if w[0] == "a"}) > 6
+    assert rows_of(sc.unfold_errors(found, columns, CFG.profile_days), ["user_id", "date", *columns]) == sorted(want)
+    mean = sorted((w[0], w[1], round(sum(w[2:]) / len(columns), 5)) for w in want)
+    got = sorted((r["user_id"], r["date"], round(r["error"], 5)) for r in sc.day_error(found, columns, CFG.profile_days).collect())
+    assert [g[:2] for g in got] == [m[:2] for m in mean] and all(abs(g[2] - m[2]) < 2e-5 for g, m in zip(got, mean))
